@@ -4,9 +4,10 @@ Texts become sets of distinct five-word shingles. Exact copies (equal word seque
 classes first. Each class has a SuperMinHash signature: every element spreads one random
 permutation of ranks over the slots, round by round, until no slot can improve. Bands of the
 signature deal classes to buckets; members of a bucket are verified on their full sets against the
-bucket's representatives, and only pairs that are still in different components after two
-representatives are verified one by one. So a group of near copies costs rows in proportion to
-its size, and no candidate is dropped.
+bucket's most central member (the one whose buckets are largest). In buckets that this leaves in
+several components, the members outside the largest one meet all members, block against block
+inside tasks, which return a forest of links and no pairs. So a group of near copies costs rows in
+proportion to its size, and no candidate is dropped.
 
 Texts without words have an empty set and link with nothing, not even with each other. A null text
 is empty. Rows with a null id form no links: their component is null and they are kept. Repeated
@@ -33,6 +34,8 @@ WORDS = 5
 SIMILAR = 75
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
+#: Classes and shingles on one side of a block comparison, about.
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 400_000
 
 _PHI = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -141,38 +144,80 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WORDS, similar: in
     return with_both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
+def block_links(rest: DataFrame, width: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """Links between minors and all members of (bucket, minor_block, all_block), as a forest.
+
+    rest: these keys, class, root, minor (whether the row stands on that side) and text. Classes
+    with one root are linked already.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        minors, everyone = group[group["minor"]], group[~group["minor"]]
+        sets = [shingle_set(words_of(t), width) for t in everyone["text"].array]
+        sizes = np.array([len(x) for x in sets])
+        if not len(minors) or not len(sets):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        known, place = np.unique(np.concatenate(sets), return_inverse=True)
+        names, roots = everyone["class"].to_numpy(), everyone["root"].to_numpy()
+        parent = {int(r): int(r) for r in [*roots, *minors["root"]]}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        for name, root, text in minors[["class", "root", "text"]].itertuples(index=False, name=None):
+            x = shingle_set(words_of(text), width)
+            held = np.zeros(len(known), bool)
+            at = np.searchsorted(known, x)
+            at[at == len(known)] = 0
+            held[at[known[at] == x]] = True
+            shared = np.bincount(owner[held[place]], minlength=len(sets))
+            for i in np.flatnonzero(100 * shared >= similar * (len(x) + sizes - shared)).tolist():
+                p, q = find(int(root)), find(int(roots[i]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((name, int(names[i])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rest.groupBy("bucket", "minor_block", "all_block").applyInPandas(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, similar: int = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     sketched = materialize(sketches(own, width, bands, bands * rows), "sketches")
-    classes = materialize(sketched.where("doc_id is not null and n_shingles > 0").groupBy("copy_key").agg(F.min("doc_id").alias("class"), F.first("bands").alias("bands")), "classes")
+    classes = materialize(sketched.where("doc_id is not null and n_shingles > 0").groupBy("copy_key").agg(F.min("doc_id").alias("class"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")), "classes")
 
-    dealt = classes.select("class", F.explode(F.array_distinct("bands")).alias("bucket"))
-    seeded = lambda seed: F.struct(F.xxhash64(F.lit(seed), "class").alias("h"), F.col("class").alias("class"))
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min(seeded(1))["class"].alias("first"), F.max(seeded(1))["class"].alias("second")).where("n > 1")
+    dealt = classes.select("class", "n_shingles", F.explode(F.array_distinct("bands")).alias("bucket"))
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(dealt.join(shared, "bucket"), "members")
+    central = members.groupBy("class").agg(F.sum("n").alias("met"))
+    centre = members.join(central, "class").groupBy("bucket").agg(F.max(F.struct("met", F.xxhash64("class"), "class"))["class"].alias("centre"))
+    members = materialize(members.join(centre, "bucket"), "members")
     texts = materialize(own.join(members.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
-    tested = materialize(members.where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
-    links = components(materialize(verified(tested, texts, width, similar), "links"))
-    for last in (False, True):
-        # What is left: buckets whose members aren't yet in one component.
-        named = members.where("n > 2").join(links.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        split = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-        open_members = materialize(named.join(split, "bucket").select("bucket", "class", "root", "second"), "open")
-        if open_members.isEmpty():
-            break
-        if last:
-            x, y = open_members.alias("x"), open_members.alias("y")
-            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-        else:
-            pairs = open_members.where("class <> second").select(F.col("second").alias("a"), F.col("class").alias("b"))
-        ordered = lambda p: p.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "a", "b")
-        fresh = ordered(pairs.distinct()).join(ordered(tested).select("low", "high"), ["low", "high"], "left_anti").select("a", "b")
-        fresh = materialize(fresh, "pairs")
-        more = materialize(verified(fresh, texts, width, similar), "links")
-        tested = tested.unionByName(fresh)
-        links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    pairs = members.where("class <> centre").select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()
+    star = components(materialize(verified(pairs, texts, width, similar), "links"))
+
+    # Buckets of three or more that are in several components yet; equal ones count once.
+    named = members.where("n > 2").join(star.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    split = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("who")).where("low <> high").groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
+    rest = materialize(named.join(split, "bucket").select("bucket", "class", "root", "n_shingles"), "rest")
+    largest = rest.groupBy("bucket", "root").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "root"))["root"].alias("largest"))
+    rest = rest.join(largest, "bucket").withColumn("minor", F.col("root") != F.col("largest"))
+    parts = lambda where: F.greatest(F.ceil(F.greatest(F.sum(where.cast("int")) / BLOCK_CLASSES, F.sum(F.when(where, F.col("n_shingles"))) / BLOCK_SHINGLES)), F.lit(1)).cast("int")
+    blocks = rest.groupBy("bucket").agg(parts(F.col("minor")).alias("minor_blocks"), parts(F.col("class").isNotNull()).alias("all_blocks"))
+    rest = rest.join(blocks, "bucket")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    everyone = rest.select("bucket", "class", "root", F.lit(False).alias("minor"), one("all_blocks").alias("all_block"), each("minor_blocks").alias("minor_block"))
+    minors = rest.where("minor").select("bucket", "class", "root", "minor", each("all_blocks").alias("all_block"), one("minor_blocks").alias("minor_block"))
+    facing = everyone.unionByName(minors).join(texts.withColumnRenamed("doc_id", "class"), "class")
+    more = block_links(facing, width, similar)
+    links = components(star.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     grouped = classes.select("copy_key", "class").join(links.select(F.col("node").alias("class"), "root"), "class", "left").select("copy_key", F.coalesce("root", "class").alias("component"))
     out = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("copy_key")).alias("copy_key")).join(grouped, "copy_key", "left")
