@@ -121,7 +121,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     taken = mix(docs, id_col, text_col, source_col, **options).groupBy("doc_id").agg(F.max(times).alias("_times")).where("_times > 0").withColumnRenamed("doc_id", "_id")
     whole = docs.select(F.struct(*docs.columns).alias("_row"))
-    return whole.join(taken, F.col(f"_row.{id_col}").eqNullSafe(F.col("_id"))).select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_copy")).select("_row.*")
+    # The hint makes small and large corpora join alike: the ids grow with the corpus.
+    return whole.join(taken.hint("merge"), F.col(f"_row.{id_col}").eqNullSafe(F.col("_id"))).select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_copy")).select("_row.*")
 
 
 def op3_mixing(spark, sf_dir):
