@@ -30,7 +30,7 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     names = sorted(df.columns)
     rows = sorted(tuple(shown(r[c]) for c in names) for r in df.collect())
-    assert rows
+    assert rows or name in ORACLE_SQL  # at this size noise hides all bins of one query, in SQL as well
     if name in ORACLE_SQL:
         found = duck.sql(ORACLE_SQL[name])
         at = [found.columns.index(c) for c in names]
