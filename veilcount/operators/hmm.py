@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -77,3 +77,49 @@ def model_errors(start: DataFrame, transitions: DataFrame) -> DataFrame:
     s = start.agg(F.sum("p").alias("p")).select(F.lit("START").alias("src"), "p")
     t = transitions.where(~F.contains("src", F.lit("End"))).groupBy("src").agg(F.sum("p").alias("p"))
     return s.unionByName(t).where(F.abs(F.col("p") - 1) > 1e-9)
+
+
+#: What is summed over a whole model.
+TOTALS = ("StreamCount", "EmissionCount", "TransitionCount", "DelayTime", "LogDelayTime", "SquaredLogDelayTime")
+
+
+def model_counters(spark: SparkSession, prefix: str, transitions: DataFrame, emissions: DataFrame) -> DataFrame:
+    """H3: counter, template, kind and the cell (a, b) of each counter that a model needs.
+
+    transitions (src, dst, p) hold the start as the source START; those without probability get no
+    counter. emissions (state, obs). Totals have no cell and are their own template.
+    """
+    total = spark.createDataFrame([(t,) for t in TOTALS], "kind string").select(F.concat(F.lit(prefix), "kind").alias("counter"), F.concat(F.lit(prefix), "kind").alias("template"), "kind", F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"))
+    start = F.col("src") == "START"
+    named = lambda kind, *tail: F.concat_ws("_", F.concat(F.lit(prefix), kind), *tail)
+    count = F.lit("TransitionCount")
+    moves = transitions.where("p > 0").select(named(count, "src", "dst").alias("counter"), F.when(start, named(count, F.lit("START_<STATE>"))).otherwise(named(count, F.lit("<SRCSTATE>_<DSTSTATE>"))).alias("template"), count.alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    logged = F.col("obs").isin("+", "-") | ((F.col("obs") == "$") & F.contains("state", F.lit("Dwell")))
+    plain = ~logged & (F.col("obs") == "$") & F.contains("state", F.lit("Active"))
+    kinds = F.explode(F.array_compact(F.array(F.lit("EmissionCount"), F.when(logged, "LogDelayTime"), F.when(logged, "SquaredLogDelayTime"), F.when(plain, "DelayTime"))))
+    seen = emissions.select("state", "obs", kinds.alias("kind")).select(named(F.col("kind"), "state", "obs").alias("counter"), named(F.col("kind"), F.lit("<STATE>_<OBS>")).alias("template"), "kind", F.col("state").alias("a"), F.col("obs").alias("b"))
+    return total.unionByName(moves).unionByName(seen)
+
+
+def unknown_templates(counters: DataFrame, noise: DataFrame) -> DataFrame:
+    """H3: templates of a noise table that no counter of the model has; noise with any isn't valid."""
+    return noise.select("template").join(counters, "template", "left_anti")
+
+
+def expanded(counters: DataFrame, noise: DataFrame) -> DataFrame:
+    """H3: the noise of each counter whose template has one, and its single bin."""
+    return counters.select("counter", "template").join(noise, "template").drop("template").withColumn("lo", F.lit(0.0)).withColumn("hi", F.lit(float("inf")))
+
+
+def updated_model(counters: DataFrame, transitions: DataFrame, emissions: DataFrame, tallies: DataFrame, inertia: float = 0.5) -> tuple[DataFrame, DataFrame] | None:
+    """H5: transitions and emissions after tallies (counter, bin_idx, count), of which bin 0 counts.
+
+    None where a counter of a cell has no tally. The start comes along as the source START.
+    """
+    cells = counters.where("a is not null").join(tallies.where("bin_idx = 0").select("counter", F.col("count").cast("double").alias("n")), "counter", "left")
+    if not cells.where("n is null").isEmpty():
+        return None
+    moved = cells.where("kind = 'TransitionCount'").select(F.col("a").alias("src"), F.col("b").alias("dst"), "n")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("n")))
+    sent = cells.where("kind <> 'TransitionCount'").groupBy(F.col("a").alias("state"), F.col("b").alias("obs")).agg(of("EmissionCount").alias("n"), of("LogDelayTime").alias("ld"), of("SquaredLogDelayTime").alias("sq"), of("DelayTime").alias("d"))
+    return updated_transitions(transitions, moved, inertia), updated_emissions(emissions, sent, inertia)
