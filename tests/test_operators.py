@@ -42,11 +42,27 @@ def test_addresses(spark):
     assert got == [4, None, 6, 6, None, None]
 
 
+def test_networks(spark):
+    rows = [("10.0.0.0", 8), ("10.0.0.1", 8), ("10.0.0.1", 32), ("10.0.0.0", 33), ("0.0.0.0", 0), ("2001:db8::", 32), ("2001:db8::1", 32), ("::", 0), ("::1", 128), ("1:2:3:4:5:6:7:8", 125), ("1:2:3:4:5:6:7:8", 124), ("::", 129), ("host", 8), (None, 8), ("10.0.0.0", None)]
+    assert values(spark, scalars.is_network(F.col("a"), F.col("p")), rows, "a string, p int") == [True, False, True, False, True, True, False, True, True, True, False, False, False, False, False]
+    assert values(spark, scalars.is_network(F.col("a"), F.col("p"), strict=False), rows[1:2], "a string, p int") == [True]
+
+
+def test_lines_lose_their_prefix(spark, tmp_path):
+    (tmp_path / "log").write_text("650 X_CLOSE a b\nCLOSE\n")
+    got = {(r.code, *r.fields) for r in ev.read_lines(spark, str(tmp_path / "log"), prefix="X_").collect()}
+    assert got == {("CLOSE", "a", "b"), ("CLOSE",)}
+
+
 def test_periods(spark):
     got = values(spark, scalars.period(F.col("v")), [(x,) for x in (0, 59, 3600, 90061, 999999)], "v long")
     assert got == ["0s", "59s", "1h 0m 0s", "1d 1h 1m 1s", "1w 4d 13h 46m 39s"]
 
 
+def test_times(spark):
+    assert values(spark, scalars.at_time(F.lit(65), "since", F.col("v")), [(1706745599.9,), (0.0,)], "v double") == ["1m 5s (since 2024-01-31 23:59:59 UTC 1706745599)", "1m 5s (since 1970-01-01 00:00:00 UTC 0)"]
+
+
 def test_allocation_spends_the_budget():
     counters = {"a": (1.0, 100.0), "b": (5.0, 3000.0)}
     found, ratio = privacy.optimal_allocation(0.3, 1e-3, 2.0, counters)

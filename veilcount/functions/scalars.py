@@ -72,6 +72,25 @@ def ipv4_number(address: Column) -> Column:
     return F.when(address.rlike(IPV4), sum(F.get(part, F.lit(i)).cast("long") * 256 ** (3 - i) for i in range(4)))
 
 
+def ipv6_bits(address: Column) -> Column:
+    """The 128 bits of an IPv6 address as a text of 0 and 1, null where it isn't one."""
+    halves = F.split(F.lower(address), "::")
+    groups = lambda i: F.coalesce(F.filter(F.split(F.get(halves, F.lit(i)), ":"), lambda x: x != ""), F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0"), 8 - F.size(groups(0)) - F.size(groups(1)))
+    bits = F.transform(F.concat(groups(0), zeros, groups(1)), lambda g: F.lpad(F.conv(g, 16, 2), 16, "0"))
+    return F.when(address.rlike(IPV6), F.array_join(bits, ""))
+
+
+def is_network(address: Column, prefix: Column, strict: bool = True) -> Column:
+    """whether address/prefix is a network; a strict one has no bits set beyond the prefix."""
+    v4, v6 = ipv4_number(address), ipv6_bits(address)
+    ok4, ok6 = prefix.between(0, 32), prefix.between(0, 128)
+    if strict:
+        ok4 = ok4 & (F.pmod(v4.cast("double"), F.pow(F.lit(2.0), 32 - prefix)) == 0)
+        ok6 = ok6 & ~F.contains(F.substring(v6, prefix.cast("int") + 1, F.lit(128)), F.lit("1"))
+    return F.coalesce(F.when(v4.isNotNull(), ok4).when(v6.isNotNull(), ok6), F.lit(False))
+
+
 def host_class(requested: Column) -> Column:
     """F8: how the destination was asked for."""
     version = ip_version(requested)
@@ -132,6 +151,17 @@ def period(seconds: Column) -> Column:
     return F.concat(F.when(seconds <= -1, "-").otherwise(""), F.concat_ws(" ", *shown))
 
 
+def moment(seconds: Column) -> Column:
+    """'2024-01-31 23:59:59 UTC', whatever the session's time zone; parts of a second are cut off."""
+    at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("long").cast("decimal(18,6)"))
+    return F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
+
+
+def at_time(elapsed: Column, what: str, seconds: Column) -> Column:
+    """'1m 5s (since 2024-01-31 23:59:59 UTC 1706745599)'."""
+    return F.concat(period(elapsed), F.lit(f" ({what} "), moment(seconds), F.lit(" "), seconds.cast("long").cast("string"), F.lit(")"))
+
+
 def size_text(n: Column) -> Column:
     """1024-based, one place; negative sizes stay in bytes."""
     out = F.when(n < 1024, F.concat(F.format_string("%.1f", n.cast("double")), F.lit(" B")))

@@ -75,6 +75,15 @@ def longest_prefix(addresses: DataFrame, prefixes: DataFrame, id_col: str, numbe
     return addresses.select(id_col).join(best, id_col, "left")
 
 
+def longest_prefix_bits(addresses: DataFrame, prefixes: DataFrame, id_col: str, bits: str) -> DataFrame:
+    """M5 for IPv6: prefixes (bits, prefix_len, asn) of addresses as texts of bits. Only lengths that occur are tried."""
+    lengths = [r[0] for r in prefixes.select("prefix_len").distinct().orderBy("prefix_len").collect()]  # 129 at most
+    tried = addresses.select(id_col, F.explode(F.array(*[F.substring(bits, 1, n) for n in lengths])).alias("_net"))
+    nets = prefixes.select(F.expr("substring(bits, 1, prefix_len)").alias("_net"), "prefix_len", "asn")
+    best = tried.join(nets, "_net").groupBy(id_col).agg(F.max_by("asn", "prefix_len").alias("asn"))
+    return addresses.select(id_col).join(best, id_col, "left")
+
+
 def common_counters(a: DataFrame, b: DataFrame) -> DataFrame:
     """P10."""
     return a.select("counter").intersect(b.select("counter"))

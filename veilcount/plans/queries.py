@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilcount.functions import scalars
-from veilcount.operators import analysis, binning, fanout, hmm, matching, privacy, state, weights
+from veilcount.operators import analysis, binning, fanout, hmm, matching, privacy, rounds, state, weights
 from veilcount.sources import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -308,3 +308,38 @@ def n8_allocation(spark, sf_dir):
 def s4_replay(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", seconds("ts").alias("end_ts"))
     return ev.replay(e, F.lit(1704500000.0), F.lit(1705500000.0)).select("event_id", F.floor("end_ts").cast("long").alias("end_ts"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey ELSE 999 END AS asn FROM customer""")
+def m5_longest_prefix_ipv6(spark, sf_dir):
+    """Every other nation has a /48 within one /32."""
+    hexed = lambda c: F.lower(F.hex(c))
+    nets = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("2001:db8:"), hexed("n_nationkey"), F.lit("::")).alias("net"), F.lit(48).alias("prefix_len"), F.col("n_nationkey").cast("long").alias("asn"))
+    nets = nets.unionByName(spark.createDataFrame([("2001:DB8::", 32, 999)], "net string, prefix_len int, asn long"))
+    addresses = table(spark, sf_dir, "customer").select("c_custkey", scalars.ipv6_bits(F.concat(F.lit("2001:db8:"), hexed("c_nationkey"), F.lit("::"), hexed("c_custkey"))).alias("bits"))
+    return matching.longest_prefix_bits(addresses, nets.select(scalars.ipv6_bits(F.col("net")).alias("bits"), "prefix_len", "asn"), "c_custkey", "bits")
+
+
+@query("""SELECT o_orderkey, strftime(make_timestamp(t * 1000000), '%Y-%m-%d %H:%M:%S UTC') AS moment, CASE WHEN t >= 604800 THEN t // 604800 || 'w ' ELSE '' END || CASE WHEN t >= 86400 THEN t // 86400 % 7 || 'd ' ELSE '' END || CASE WHEN t >= 3600 THEN t // 3600 % 24 || 'h ' ELSE '' END || CASE WHEN t >= 60 THEN t // 60 % 60 || 'm ' ELSE '' END || t % 60 || 's' AS period FROM (SELECT o_orderkey, o_custkey * 977 AS t FROM orders)""")
+def f18_times(spark, sf_dir):
+    t = F.col("o_custkey") * 977
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.moment(t).alias("moment"), scalars.period(t).alias("period"))
+
+
+@query("""SELECT s_name AS counter FROM supplier WHERE s_suppkey % 10 = 0 OR s_suppkey % 3 = 2""")
+def st5_changed_noise(spark, sf_dir):
+    """Noise falls by 0, 1 or 2, of which 1.5 is tolerated; some counters are gone."""
+    s = table(spark, sf_dir, "supplier")
+    proposed = s.where("s_suppkey % 10 > 0").select(F.col("s_name").alias("counter"), (5000.0 - F.col("s_suppkey") % 3).alias("sigma"))
+    return rounds.changes(s.select(F.col("s_name").alias("counter"), F.lit(5000.0).alias("sigma")), proposed, 1.5).select("counter")
+
+
+@query("""WITH t AS (SELECT DISTINCT CASE WHEN n_regionkey = 0 THEN 'START' ELSE 's' || n_regionkey END AS src, n_name AS dst, n_nationkey % 4 > 0 AS has FROM nation), e AS (SELECT CASE n_nationkey % 3 WHEN 0 THEN 'sActive' WHEN 1 THEN 'sDwell' ELSE 'sEnd' END || n_nationkey AS s, ['+', '-', '$', 'F'][n_nationkey % 4 + 1] AS o FROM nation),
+ k AS (SELECT s, o, unnest(CASE WHEN o IN ('+', '-') OR (o = '$' AND s LIKE '%Dwell%') THEN ['EmissionCount', 'LogDelayTime', 'SquaredLogDelayTime'] WHEN o = '$' AND s LIKE '%Active%' THEN ['EmissionCount', 'DelayTime'] ELSE ['EmissionCount'] END) AS kind FROM e)
+ SELECT 'M' || kind || '_' || s || '_' || o AS counter, 'M' || kind || '_<STATE>_<OBS>' AS template FROM k UNION ALL SELECT 'MTransitionCount_' || src || '_' || dst, CASE src WHEN 'START' THEN 'MTransitionCount_START_<STATE>' ELSE 'MTransitionCount_<SRCSTATE>_<DSTSTATE>' END FROM t WHERE has
+ UNION ALL SELECT 'M' || c, 'M' || c FROM (SELECT unnest(['StreamCount', 'EmissionCount', 'TransitionCount', 'DelayTime', 'LogDelayTime', 'SquaredLogDelayTime']) AS c)""")
+def h3_model_counters(spark, sf_dir):
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    moves = n.select(F.when(F.col("n_regionkey") == 0, "START").otherwise(F.concat(F.lit("s"), "n_regionkey")).alias("src"), F.col("n_name").alias("dst"), (k % 4 / 4).alias("p"))
+    sent = n.select(F.concat(F.when(k % 3 == 0, "sActive").when(k % 3 == 1, "sDwell").otherwise("sEnd"), k).alias("state"), F.element_at(F.array(*[F.lit(o) for o in "+-$F"]), (k % 4 + 1).cast("int")).alias("obs"))
+    return hmm.model_counters(spark, "M", moves, sent).select("counter", "template")

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Lines of a log, split off from an optional status code; code and the rest as fields."""
+def read_lines(spark: SparkSession, path: str, stream: bool = False, prefix: str = "") -> DataFrame:
+    """Lines of a log, split off from an optional status code and the codes' prefix; code and the rest as fields."""
     lines = spark.readStream.text(path) if stream else spark.read.text(path)
-    fields = F.split(F.regexp_replace("value", r"^650 (PRIVCOUNT_)?", ""), " ")
+    fields = F.split(F.regexp_replace("value", rf"^650 (\Q{prefix}\E)?", ""), " ")
     return lines.select(F.get(fields, F.lit(0)).alias("code"), F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0))).alias("fields"))
 
 
