@@ -47,3 +47,29 @@ def totals(results: DataFrame) -> DataFrame:
 def text_lines(results: DataFrame) -> DataFrame:
     """K2: one line a bin."""
     return results.select(F.format_string("%s bin %d: %.0f +- %.0f (%s)", "counter", F.col("bin_idx").cast("int"), F.col("value").cast("double"), "error", F.when(F.col("is_noisy"), "obscured").otherwise("visible")).alias("value"))
+
+
+def plotted(results: DataFrame, labels: list[str]) -> DataFrame:
+    """K3: counter, bin_idx and, for each labelled experiment, its value and the errors below and above it.
+
+    results as shown() gives them; the labels are the experiments, so that the pivot needs no pass of its own.
+    """
+    return results.groupBy("counter", "bin_idx").pivot("experiment", labels).agg(F.first("bound_value").alias("value"), (F.first("bound_value") - F.first("error_low")).alias("below"), (F.first("error_high") - F.first("bound_value")).alias("above"))
+
+
+def draw(results: DataFrame, labels: list[str], path: str) -> None:
+    """K3: a page of bars for each counter; needs matplotlib."""
+    from matplotlib import pyplot
+    from matplotlib.backends.backend_pdf import PdfPages
+
+    table = plotted(results, labels).toPandas()
+    with PdfPages(path) as pages:
+        for counter, bins in table.sort_values(["counter", "bin_idx"]).groupby("counter"):
+            figure, axis = pyplot.subplots()
+            for i, label in enumerate(labels):
+                at = [k + 0.8 * i / len(labels) for k in range(len(bins))]
+                axis.bar(at, bins[f"{label}_value"], 0.8 / len(labels), yerr=[bins[f"{label}_below"], bins[f"{label}_above"]], label=label)
+            axis.set_title(counter)
+            axis.legend()
+            pages.savefig(figure)
+            pyplot.close(figure)

@@ -101,3 +101,53 @@ def cache_counters(entries: DataFrame, kind: str = "Store", wanted: list[str] |
     names = F.concat(named(F.lit(f"HSDir{kind}"), variants(added, cached)), named(F.concat(F.lit("HSDir"), F.col("version"), F.lit(kind)), variants(added, cached, auth)))
     one, n = F.lit(0), F.col("n")
     return counted(cells, [("%sCount", one, n), ("%sDescriptorByteCount", one, F.col("bytes")), ("%sDescriptorByteHistogram", F.col("b"), n)], names, wanted)
+
+
+#: Positions of onion services; the first that holds counts.
+ONION_POSITIONS = (("is_hsdir", "HSDir"), ("is_intro", "Intro"), ("is_rend", "Rend"))
+
+
+def circuit_positions(circuits: DataFrame) -> DataFrame:
+    """One row for each position of a circuit: position, version, role, hop and active join its columns.
+
+    circuits: is_origin, is_entry, is_mid, is_end, is_exit, is_dir, is_hsdir, is_intro, is_rend,
+    is_client, hs_version, inbound_cells, outbound_cells; null flags are unset. A single hop is entry
+    and end at once. Exits, directories and service directories are always active; introductions and
+    rendezvous whose version nobody knows ("U") never.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    single = flag("is_entry") & flag("is_end")
+    active = F.when((flag("is_intro") | flag("is_rend")) & F.col("hs_version").isNull(), False).when(flag("is_exit") | flag("is_dir") | flag("is_hsdir"), True).otherwise(is_active(F.col("inbound_cells"), F.col("outbound_cells")))
+    plain = [F.when(flag(f"is_{p.lower()}"), p) for p in ("Origin", "Entry", "Mid", "End")] + [F.when(single, "SingleHop"), F.when(flag("is_exit"), "Exit"), F.when(flag("is_dir"), "Dir")]
+    onion = F.coalesce(*[F.when(flag(c), p) for c, p in ONION_POSITIONS])
+    role = F.when(F.col("is_client"), "Client").when(~F.col("is_client"), "Service")
+    hop = F.when(~single, F.concat(F.lit("MultiHop"), role)).when(F.col("is_client"), "Tor2WebClient").when(~F.col("is_client"), "SingleOnionService")
+    version = F.coalesce(F.col("hs_version").cast("string"), F.lit("U"))
+    rows = circuits.withColumns({"active": active, "_version": version, "_role": role, "_hop": hop}).withColumn("position", F.explode(F.array_compact(F.array(*plain, onion))))
+    of_onion = lambda c: F.when(F.col("position").isin(*[p for _, p in ONION_POSITIONS]), F.col(c))
+    return rows.withColumns({"version": of_onion("_version"), "role": of_onion("_role"), "hop": of_onion("_hop")}).drop("_version", "_role", "_hop")
+
+
+def versioned_circuit_counters(positions: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """Rows of circuit_positions with failed, lifetime and reason_list.
+
+    Names are position + version + role + activity + status, each part optional; the role comes alone
+    or with its hop. HSDir has no unknown version.
+    """
+    cells = positions.groupBy("position", "version", "role", "hop", "failed", "active", bin_of(F.col("inbound_cells"), BYTE_BINS).alias("b_in"), bin_of(F.col("outbound_cells"), BYTE_BINS).alias("b_out"), bin_of(encode_ratio(F.col("inbound_cells"), F.col("outbound_cells")), RATIO_BINS).alias("b_ratio"), bin_of(F.col("lifetime"), TIME_BINS).alias("b_life"), "reason_list").agg(F.count("*").alias("n"), F.sum("inbound_cells").alias("i"), F.sum("outbound_cells").alias("o"))
+    version = F.when(~((F.col("position") == "HSDir") & (F.col("version") == "U")), F.col("version"))
+    roles = F.array_compact(F.array(F.lit(""), F.col("role"), F.col("hop")))
+    status = F.when(F.col("failed"), "Failure").otherwise("Success")
+    activity = F.when(~F.col("position").isin("Exit", "Dir", "HSDir"), F.when(F.col("active"), "Active").otherwise("Inactive"))
+    tails = F.flatten(F.transform(variants(version), lambda v: F.transform(roles, lambda r: F.concat("position", v, r))))
+    names = F.flatten(F.transform(variants(activity, status), lambda x: F.transform(tails, lambda t: F.concat(t, x))))
+    one, n = F.lit(0), F.col("n")
+    measures = [("%sCircuitCount", one, n), ("%sCircuitInboundCellCount", one, F.col("i")), ("%sCircuitOutboundCellCount", one, F.col("o")), ("%sCircuitInboundCellHistogram", F.col("b_in"), n), ("%sCircuitOutboundCellHistogram", F.col("b_out"), n), ("%sCircuitCellRatio", F.when(F.col("active"), F.col("b_ratio")), n), ("%sCircuitLifeTime", F.col("b_life"), n), ("%sCircuitReasonCountList", F.when(F.col("failed"), F.col("reason_list")), n)]
+    return counted(cells, measures, names, wanted)
+
+
+def exit_and_rend_counters(circuits: DataFrame) -> DataFrame:
+    """Exits count for both sides, version 2 rendezvous for their own; columns as circuit_positions reads them."""
+    rend = F.col("is_rend") & (F.col("hs_version") == 2)
+    sides = F.filter(F.flatten(F.array(*[F.array(F.when(F.col("is_exit"), side), F.when(rend & held, side)) for side, held in (("Client", F.col("is_client")), ("Service", ~F.col("is_client")))])), lambda x: x.isNotNull())
+    return circuits.select(F.explode(sides).alias("side")).groupBy(F.concat(F.lit("ExitAndRend2"), "side", F.lit("CircuitCount")).alias("counter"), F.lit(0).alias("bin_idx")).agg(modular_sum(F.lit(1)).alias("count"))

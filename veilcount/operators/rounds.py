@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilcount.functions.scalars import needs_delay, tolerance_floor
+from veilcount.functions.scalars import needs_delay, signed, tolerance_floor
+from veilcount.operators.binning import modular_sum
 
 
 def changes(before: DataFrame, proposed: DataFrame, tolerance: float | None = None) -> DataFrame:
@@ -48,3 +49,27 @@ def prefix_map_problems(prefixes: DataFrame, lists: DataFrame) -> DataFrame:
         F.when((F.col("lists") == 0) & (F.col("v4") + F.col("v6") > 0), "maps without lists"),
     ))
     return n.select(F.explode(found).alias("problem"))
+
+
+def round_of(at: Column, start: float, period: float, rounds: int | None = None) -> Column:
+    """ST4: the collection window of a time in seconds, from 0; null before the first and after the last."""
+    k = F.floor((at - F.lit(start)) / F.lit(period))
+    inside = k >= 0 if rounds is None else (k >= 0) & (k < rounds)
+    return F.when(inside, k)
+
+
+def round_tallies(facts: DataFrame, collectors: int, keepers: int, period: float | None = None) -> DataFrame:
+    """ST4: round, counter, bin_idx, count, early of rounds with at least so many parties of each kind.
+
+    facts: round, party, is_keeper, counter, bin_idx, count, and, where a period is given, seconds (how
+    long the party counted). A round that ended before its period keeps its results and is marked.
+    A counter that one of the round's parties lacks, or has with another number of bins, isn't tallied.
+    """
+    spent = F.min("seconds") if period is not None else F.lit(None).cast("double")
+    parties = facts.groupBy("round", "party").agg(F.first("is_keeper").alias("is_keeper"), spent.alias("seconds"))
+    early = F.coalesce(F.min("seconds") < F.lit(period), F.lit(False)) if period is not None else F.lit(False)
+    held = parties.groupBy("round").agg(F.count_if(~F.col("is_keeper")).alias("dcs"), F.count_if("is_keeper").alias("sks"), F.count("*").alias("parties"), early.alias("early")).where((F.col("dcs") >= collectors) & (F.col("sks") >= keepers))
+    bins = facts.groupBy("round", "counter", "party").agg(F.count_distinct("bin_idx").alias("bins"))
+    whole = bins.groupBy("round", "counter").agg(F.count("*").alias("seen"), F.min("bins").alias("least"), F.max("bins").alias("most")).where("least = most").join(held, "round").where("seen = parties").select("round", "counter", "early")
+    sums = facts.groupBy("round", "counter", "bin_idx").agg(modular_sum(F.col("count")).alias("count"))
+    return sums.join(whole, ["round", "counter"]).select("round", "counter", "bin_idx", signed(F.col("count")).alias("count"), "early")

@@ -343,3 +343,41 @@ def h3_model_counters(spark, sf_dir):
     moves = n.select(F.when(F.col("n_regionkey") == 0, "START").otherwise(F.concat(F.lit("s"), "n_regionkey")).alias("src"), F.col("n_name").alias("dst"), (k % 4 / 4).alias("p"))
     sent = n.select(F.concat(F.when(k % 3 == 0, "sActive").when(k % 3 == 1, "sDwell").otherwise("sEnd"), k).alias("state"), F.element_at(F.array(*[F.lit(o) for o in "+-$F"]), (k % 4 + 1).cast("int")).alias("obs"))
     return hmm.model_counters(spark, "M", moves, sent).select("counter", "template")
+
+
+def flagged_circuits(spark, sf_dir):
+    """orders as closed circuits with the flags of all their positions."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    hit = lambda m, r: F.pmod(k, F.lit(m)) == r
+    return o.select(hit(11, 0).alias("is_origin"), hit(2, 0).alias("is_entry"), hit(5, 1).alias("is_mid"), hit(3, 0).alias("is_end"), hit(7, 3).alias("is_exit"), hit(9, 4).alias("is_dir"), hit(7, 4).alias("is_hsdir"), hit(7, 5).alias("is_intro"), hit(5, 2).alias("is_rend"), F.when(F.pmod("o_custkey", F.lit(3)) < 2, F.pmod("o_custkey", F.lit(3)) == 0).alias("is_client"), F.when(F.pmod("o_custkey", F.lit(4)) < 2, F.pmod("o_custkey", F.lit(4)) + 2).cast("int").alias("hs_version"), (F.col("o_orderstatus") == "F").alias("failed"), F.pmod(k, F.lit(13)).cast("long").alias("inbound_cells"), F.pmod(F.floor("o_totalprice"), F.lit(5000)).cast("long").alias("outbound_cells"), (F.pmod("o_custkey", F.lit(997)) * 100.0).alias("lifetime"), F.substring("o_orderpriority", 1, 1).cast("int").alias("reason_list"))
+
+
+S_FLAGGED = """flagged AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 3 < 2 THEN o_custkey % 3 = 0 END AS client, CASE WHEN o_custkey % 4 < 2 THEN o_custkey % 4 + 2 END AS version, o_orderstatus = 'F' AS failed,
+ o_orderkey % 13 AS i, CAST(floor(o_totalprice) AS BIGINT) % 5000 AS o FROM orders)"""
+
+
+@query(f"""WITH {S_FLAGGED}, p AS (SELECT *, k % 2 = 0 AND k % 3 = 0 AS single, CASE WHEN (k % 7 = 5 OR k % 5 = 2) AND version IS NULL THEN false WHEN k % 7 IN (3, 4) OR k % 9 = 4 THEN true ELSE i + o >= 8 END AS active,
+  unnest(list_filter([CASE WHEN k % 11 = 0 THEN 'Origin' END, CASE WHEN k % 2 = 0 THEN 'Entry' END, CASE WHEN k % 5 = 1 THEN 'Mid' END, CASE WHEN k % 3 = 0 THEN 'End' END, CASE WHEN k % 6 = 0 THEN 'SingleHop' END, CASE WHEN k % 7 = 3 THEN 'Exit' END, CASE WHEN k % 9 = 4 THEN 'Dir' END, CASE WHEN k % 7 = 4 THEN 'HSDir' WHEN k % 7 = 5 THEN 'Intro' WHEN k % 5 = 2 THEN 'Rend' END], lambda x: x IS NOT NULL)) AS pos FROM flagged),
+ v AS (SELECT *, unnest(CASE WHEN pos NOT IN ('HSDir', 'Intro', 'Rend') OR (pos = 'HSDir' AND version IS NULL) THEN [''] ELSE ['', coalesce(CAST(version AS VARCHAR), 'U')] END) AS v FROM p),
+ r AS (SELECT *, unnest(CASE WHEN pos NOT IN ('HSDir', 'Intro', 'Rend') OR client IS NULL THEN [''] WHEN client THEN ['', 'Client', CASE WHEN single THEN 'Tor2WebClient' ELSE 'MultiHopClient' END] ELSE ['', 'Service', CASE WHEN single THEN 'SingleOnionService' ELSE 'MultiHopService' END] END) AS r FROM v),
+ a AS (SELECT *, unnest(CASE WHEN pos IN ('Exit', 'Dir', 'HSDir') THEN [''] ELSE ['', CASE WHEN active THEN 'Active' ELSE 'Inactive' END] END) AS a FROM r),
+ s AS (SELECT *, unnest(['', CASE WHEN failed THEN 'Failure' ELSE 'Success' END]) AS s FROM a)
+ SELECT pos || v || r || a || s || 'Circuit' || unnest(['Count', 'InboundCellCount', 'OutboundCellCount']) AS counter, 0 AS bin_idx, CAST(unnest([count(*), sum(i), sum(o)]) AS DECIMAL(38,0)) AS count FROM s GROUP BY pos, v, r, a, s""")
+def x6_x7_versioned_circuits(spark, sf_dir):
+    found = fanout.versioned_circuit_counters(fanout.circuit_positions(flagged_circuits(spark, sf_dir)))
+    return found.where(F.col("counter").rlike("Circuit(InboundCell|OutboundCell|)Count$"))
+
+
+@query(f"""WITH {S_FLAGGED}, s AS (SELECT unnest([CASE WHEN k % 7 = 3 THEN 'Client' END, CASE WHEN k % 7 = 3 THEN 'Service' END, CASE WHEN k % 5 = 2 AND version = 2 THEN CASE WHEN client THEN 'Client' WHEN NOT client THEN 'Service' END END]) AS side FROM flagged)
+ SELECT 'ExitAndRend2' || side || 'CircuitCount' AS counter, 0 AS bin_idx, CAST(count(*) AS DECIMAL(38,0)) AS count FROM s WHERE side IS NOT NULL GROUP BY side""")
+def x7_exit_and_rend(spark, sf_dir):
+    return fanout.exit_and_rend_counters(flagged_circuits(spark, sf_dir))
+
+
+@query("""WITH f AS (SELECT CAST(floor((epoch(ts) - 1704067200) / 86400) AS BIGINT) AS round, user_id % 5 AS party, event_type AS counter, CAST(floor(value) AS BIGINT) - 50 AS n FROM events WHERE epoch(ts) >= 1704067200),
+ held AS (SELECT round, count(DISTINCT party) AS parties FROM f GROUP BY 1 HAVING count(DISTINCT CASE WHEN party < 3 THEN party END) >= 2 AND count(DISTINCT CASE WHEN party >= 3 THEN party END) >= 1)
+ SELECT round, counter, 0 AS bin_idx, CAST(sum(n) AS DECIMAL(38,0)) AS count FROM f JOIN held USING (round) WHERE round < 20 GROUP BY round, counter, parties HAVING count(DISTINCT party) = parties""")
+def st4_round_tallies(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(rounds.round_of(seconds("ts"), 1704067200.0, 86400.0, 20).alias("round"), F.pmod("user_id", F.lit(5)).alias("party"), F.col("event_type").alias("counter"), (F.floor("value").cast("long") - 50).alias("n")).where("round is not null")
+    facts = e.groupBy("round", "party", (F.col("party") >= 3).alias("is_keeper"), "counter", F.lit(0).alias("bin_idx")).agg(binning.modular_sum(F.col("n")).alias("count"))
+    return rounds.round_tallies(facts, 2, 1).drop("early")
