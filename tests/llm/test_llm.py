@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -224,6 +225,44 @@ def test_language_model(spark):
     assert got[4] < got[7] and got[10] == got[11] == 0
 
 
+def test_language_model_keeps_every_word(spark):
+    """Against both models counted outright: over 1,500 words, of which most occur once or twice."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in (rng.zipf(1.3, n) % 5000)) for n in rng.integers(0, 400, 60)] + [None, "", texts_with_odd_words()]
+    ids = [*range(60), None, 2**60, 61]
+    wanted = {*range(20), 61}
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    words = [(t or "").lower().split() for t in texts]
+    assert len({w for ws in words for w in ws}) > 1500
+    models = []
+    for chosen in (wanted, None):
+        pair, own, before = Counter(), Counter(), Counter()
+        for i, ws in zip(ids, words, strict=True):
+            if chosen is None or i in chosen:
+                pair.update(zip([None, *ws], ws, strict=False))
+                own.update(ws)
+                before.update([None, *ws][: len(ws)])
+        models.append((pair, own, before))
+    width = 1 + len(models[1][1])
+    want = []
+    for i, ws in zip(ids, words, strict=True):
+        losses = []
+        for pair, own, before in models:
+            unigram = {w: (own[w] + 0.5) / (own.total() + 0.5 * width) for w in ws}
+            found = [-np.log2(0.7 * (pair[p, w] / before[p] if before[p] else unigram[w]) + 0.3 * unigram[w]) for p, w in zip([None, *ws], ws, strict=False)]
+            losses.append(float(np.mean(found)) if found else 0.0)
+        want.append((i, len(ws), *losses))
+    key = lambda r: (r[0] is None, r[0] or 0)
+    for sizes in ({}, {"chunk_words": 500, "slice_bytes": 2000}):
+        got = sorted(((r["doc_id"], r["n_tokens"], r["target_loss"], r["background_loss"]) for r in rows_of(lm_score.cross_entropy_difference(df, df.where(df.doc_id.isin(list(wanted))), **sizes))), key=key)
+        assert [g[:2] for g in got] == [w[:2] for w in sorted(want, key=key)]
+        np.testing.assert_allclose([g[2:] for g in got], [w[2:] for w in sorted(want, key=key)], rtol=1e-9)
+
+
+def texts_with_odd_words():
+    return "\u00e9\u00df \u6f22\u5b57 w1 W1 \U0001f642 " * 3
+
+
 def test_repeated_passages(spark):
     rng = np.random.default_rng(6)
     word = lambda n: [f"q{x}" for x in rng.integers(0, 10**6, n)]
