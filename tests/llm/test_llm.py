@@ -273,6 +273,41 @@ def test_repeated_passages(spark):
     assert got == {(0, 100, 170), (1, 20, 90)}
 
 
+def test_repeated_passages_among_many_that_share_a_part(spark):
+    """60 words in two documents; of them many others share just the tail, or just the head. Against brute force."""
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"q{x}" for x in rng.integers(0, 10**6, n)]
+    texts = []
+    for case in range(8):
+        shared, part = word(60), 45 if case < 4 else -45
+        texts += [word(70 + case) + shared + word(20), word(10) + shared + word(90)]
+        texts += [word(15) + (shared[-part:] if part > 0 else shared[:-part]) + word(15) for _ in range(60)]
+    twice = word(55)
+    texts += [twice + word(9) + twice, word(49), texts[0], word(50)]
+    windows = {}
+    for i, t in enumerate(texts):
+        for at in range(len(t) - 49):
+            windows.setdefault(tuple(t[at : at + 50]), []).append((i, at))
+    want = {}
+    for found in windows.values():
+        for i, at in found if len(found) > 1 else []:
+            want.setdefault(i, []).append((at, min(j for j, b in found if (j, b) != (i, at))))
+    spans = set()
+    for i, hits in want.items():
+        runs = []
+        for at, other in sorted(hits):
+            if runs and at <= runs[-1][1]:
+                runs[-1] = runs[-1][0], at + 50, min(runs[-1][2], other)
+            else:
+                runs.append((at, at + 50, other))
+        spans |= {(i, *r) for r in runs}
+    assert len(spans) >= 18
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for sizes in ({}, {"chunk_words": 300, "slice_bytes": 20_000}):
+        got = [(r["doc_id"], r["first_word"], r["end_word"], r["other_id"]) for r in rows_of(suffixes.repeated_passages(df, **sizes))]
+        assert len(got) == len(set(got)) and set(got) == spans
+
+
 def test_empty_tables(nothing):
     for f in (mixing.mix, packing.pack_documents, secrets.scan, neardup.near_duplicates, suffixes.repeated_passages):
         assert f(nothing).count() == 0

@@ -1,11 +1,11 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages by sparse suffixes.
 
-Texts are sequences of words. Only suffixes at minimisers are kept: of each window of ``WINDOW``
-shingles the one with the smallest hash, so equal passages of ``LEAST`` words keep equal positions.
-Anchors that occur once can't repeat and leave before any text moves. The rest are suffixes with
-``REACH`` words to the right, and as many to the left; they are sorted globally over a range
-partitioner, neighbours are compared to the right, and matches are extended to the left. The last
-suffix of each range meets the first of the next, so no neighbours are lost at the seams.
+Texts are sequences of words. Only suffixes at minimisers are looked at: of each window of
+``WINDOW`` shingles the one with the smallest hash, so equal passages of ``LEAST`` words keep equal
+positions. Anchors that occur once can't repeat and leave before any text moves. Around the rest,
+the suffixes that start at every split (the anchor's shingle anywhere in the first ``LEAST`` words)
+are ordered by the hash of those words over ranges of the hash space, and all that are equal meet,
+not only neighbours (veilcount/llm/lookup.py); no pairs are made, however many documents share one.
 
 A null text has no words. Rows with a null id take no part. Repeated rows repeat each other's
 passages. An empty table gives no rows. Passages of fewer than ``LEAST`` words aren't reported.
@@ -14,6 +14,7 @@ Columns other than the two named are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilcount.llm._shared import materialize, table, text_of
+from veilcount.llm.lookup import ASKED, CHUNK_WORDS, SLICE_BYTES, answer, ask, meet, named, pack, text_bytes, unpack
 from veilcount.llm.neardup import mix
 
 LEAST = 50
 SHINGLE, WINDOW = 8, 40
-REACH = 64
 
 _PHI = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,108 +70,110 @@ def anchors(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "anchor long, doc_id long, position int")
 
 
-SUFFIXES = "doc_id long, position int, ahead binary, behind binary"
-
-
-def suffixes(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """Suffixes at the given positions (doc_id, text, positions): big-endian word hashes to the right,
-    and to the left in reverse, cut at `reach` words."""
+def window_hashes(hashes: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """Of the `least` words from each position on, from runs of 1, 2, 4 and so on."""
+    size, runs, out, done = 1, hashes, None, 0
+    while size <= least:
+        if least & size:
+            n = len(hashes) - least + 1
+            own = runs[done : done + n]
+            out = own if out is None else mix(mix(out) * _PHI + own)
+            done += size
+        runs = mix(mix(runs[:-size]) * _PHI + runs[size:])
+        size *= 2
+    return out
+
+
+def starts(length: int, positions: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """Where windows of `least` words begin that hold an anchor's shingle."""
+    marks = np.zeros(max(0, length - least + 1) + 1, np.int32)
+    last = len(marks) - 1
+    np.add.at(marks, np.clip(positions - max(0, least - SHINGLE), 0, last), 1)
+    np.add.at(marks, np.clip(positions + 1, 0, last), -1)
+    return np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+
+
+def holders(number: np.ndarray, doc_ids: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+    """For each of n keys: the smallest holder, its occurrences, the next holder, and all others' occurrences."""
+    most = np.iinfo(np.int64).max
+    first, second = np.full(n, most), np.full(n, most)
+    np.minimum.at(first, number, doc_ids)
+    is_first = doc_ids == first[number]
+    np.minimum.at(second, number[~is_first], doc_ids[~is_first])
+    count = lambda chosen: np.bincount(number[chosen], weights=times[chosen], minlength=n).astype(np.int64)
+    return np.vstack([first, count(is_first), second, count(~is_first)])
+
+
+def all_holders(keys: np.ndarray, number: np.ndarray, figures: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    first, n_first, second, n_others = figures
+    more = n_others > 0
+    joined = (np.concatenate(x) for x in ((number, number[more]), (first, second[more]), (n_first, n_others[more])))
+    return holders(*joined, len(keys)), [0]
+
+
+def chunked(docs: DataFrame, slices: int, least: int, chunk_words: int) -> DataFrame:
+    """docs (doc_id, text, positions) in chunks: what each asks about its windows, and its body."""
+
+    def rows(seed: int, found: list) -> pd.DataFrame:
+        ids, at, hashes = zip(*found, strict=True)
+        ids, counts = np.array(ids, np.int64), np.array([len(x) for x in at], np.uint32)
+        keys, number = np.unique(np.concatenate(hashes), return_inverse=True)
+        body = pickle.dumps([pack(x) for x in (ids, counts, np.concatenate(at).astype(np.uint32), number.astype(np.uint32))])
+        chunk = named(seed, body)
+        asked = ask(chunk, keys, holders(number, np.repeat(ids, counts), np.ones(len(number)), len(keys)), slices).assign(body=None)
+        return pd.concat([asked, pd.DataFrame([(chunk, -1, None, None, body)], columns=asked.columns)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seed, found, n = TaskContext.get().partitionId() << 24, [], 0
         for batch in batches:
-            out = []
             for doc_id, text, positions in zip(batch["doc_id"].tolist(), batch["text"].array, batch["positions"].array, strict=True):
-                short = (word_hashes(text) >> np.uint64(32)).astype(">u4")
-                for p in sorted(positions):
-                    out.append((doc_id, p, short[p : p + reach].tobytes(), short[max(0, p - reach) : p][::-1].tobytes()))
-                if len(out) > 5000:
-                    yield pd.DataFrame(out, columns=["doc_id", "position", "ahead", "behind"])
-                    out = []
-            yield pd.DataFrame(out, columns=["doc_id", "position", "ahead", "behind"])
-
-    return docs.select("doc_id", "text", "positions").mapInPandas(run, SUFFIXES)
-
-
-def common(a: bytes, b: bytes) -> int:
-    """Equal words at the beginning of two contexts."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // 4
-    x, y = np.frombuffer(a[:n], ">u4"), np.frombuffer(b[:n], ">u4")
-    return int(np.argmax(x != y))
-
-
-SPANS = "doc_id long, first int, last int, other_id long, part int, edge int, position int, ahead binary, behind binary"
-
-
-def neighbours(sorted_suffixes: DataFrame, least: int = LEAST) -> DataFrame:
-    """Spans of matches with the suffix before and after; and each part's first and last suffix as rows with an edge."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, last, first = TaskContext.get().partitionId(), None, None
-        for batch in batches:
-            out = []
-            for now in batch.itertuples(index=False, name=None):
-                if first is None:
-                    first = now
-                else:
-                    out += match(last, now, least)
-                last = now
-            yield spans(out)
-        if first is not None:
-            ends = [(first, 0), (last, 1)]
-            yield pd.DataFrame([(d, None, None, None, part, edge, p, a, b) for (d, p, a, b), edge in ends], columns=names).astype({"first": "Int32", "last": "Int32", "other_id": "Int64"})
-
-    names = [c.split()[0] for c in SPANS.split(", ")]
-
-    def spans(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*r, None, None, None, None, None) for r in rows], columns=names).astype({"part": "Int32", "edge": "Int32", "position": "Int32"})
-
-    return sorted_suffixes.mapInPandas(run, SPANS)
-
-
-def match(a: tuple, b: tuple, least: int = LEAST) -> list[tuple]:
-    """(doc_id, first word, last word + 1, other doc) of both sides, where the match is long enough."""
-    right = common(a[2], b[2])
-    if not right:
-        return []
-    left = common(a[3], b[3])
-    if left + right < least:
-        return []
-    return [(x[0], x[1] - left, x[1] + right, y[0]) for x, y in ((a, b), (b, a))]
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+                words = word_hashes(text)
+                at = starts(len(words), np.asarray(positions, np.int64), least)
+                if len(at):
+                    found.append((doc_id, at, window_hashes(words, least)[at]))
+                    n += len(at)
+                if n >= chunk_words:
+                    yield rows(seed, found)
+                    seed, found, n = seed + 1, [], 0
+        if found:
+            yield rows(seed, found)
+
+    return docs.select("doc_id", "text", "positions").mapInPandas(run, ASKED + ", body binary")
+
+
+def spans_of(least: int):
+    def finish(body: bytes, figures: np.ndarray, totals: np.ndarray) -> pd.DataFrame:
+        """Runs of windows that occur elsewhere too, and the smallest document that holds one of them."""
+        ids, counts, at, number = (unpack(x, t) for x, t in zip(pickle.loads(body), (np.int64, np.uint32, np.uint32, np.uint32), strict=True))
+        row, at = np.repeat(np.arange(len(ids)), counts), at.astype(np.int64)
+        first, n_first, second, n_others = figures[:, number]
+        hit = n_first + n_others > 1
+        other = np.where((ids[row] != first) | (n_first > 1), first, second)[hit]
+        row, at = row[hit], at[hit]
+        new = np.ones(len(at), bool)
+        new[1:] = (row[1:] != row[:-1]) | (at[1:] > at[:-1] + least)
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(at))[: len(begin)] - 1
+        smallest = np.minimum.reduceat(other, begin) if len(begin) else other
+        return pd.DataFrame({"doc_id": ids[row[begin]], "first": at[begin].astype(np.int32), "last": (at[end] + least).astype(np.int32), "other_id": smallest})
+
+    return finish
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, chunk_words: int = CHUNK_WORDS // 4, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, first_word, end_word, n_words, other_id: maximal spans of words that occur elsewhere too.
 
-    Overlapping spans of a document are merged. other_id is the smallest document seen to share part
-    of the span; it is the document itself where it repeats its own passage.
+    Overlapping spans of a document are merged. other_id is the smallest document that shares at least
+    `least` words of the span; it is the document itself where it repeats its own passage.
     """
-    spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).where("doc_id is not null")
     kept = materialize(anchors(own), "anchors")
     again = kept.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     wanted = kept.join(again, "anchor").groupBy("doc_id").agg(F.collect_set("position").alias("positions"))
-    found = materialize(suffixes(own.join(wanted, "doc_id")), "suffixes")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["ahead", "behind", "doc_id", "position"]
-    array = found.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    compared = materialize(neighbours(array, least), "spans")
-
-    # Two suffixes a range: the last of one and the first of the next that holds any.
-    edges = compared.where("edge is not null").select("part", "edge", "doc_id", "position", "ahead", "behind")
-    ordered = Window.orderBy("part", "edge")
-    seam = edges.withColumn("other", F.lead(F.struct("doc_id", "position", "ahead", "behind")).over(ordered)).where("edge = 1 and other is not null")
-
-    def at_seams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for d, p, a, b, d2, p2, a2, b2 in batch.itertuples(index=False, name=None):
-                out += match((d, p, bytes(a), bytes(b)), (d2, p2, bytes(a2), bytes(b2)), least)
-            yield pd.DataFrame(out, columns=["doc_id", "first", "last", "other_id"])
-
-    seams = seam.select("doc_id", "position", "ahead", "behind", "other.*").toDF("d", "p", "a", "b", "d2", "p2", "a2", "b2").mapInPandas(at_seams, "doc_id long, first int, last int, other_id long")
-    spans = compared.where("edge is null").select("doc_id", "first", "last", "other_id").unionByName(seams)
+    slices = 1 + text_bytes(own) // slice_bytes
+    chunks = materialize(chunked(own.join(wanted, "doc_id"), slices, least, chunk_words), "windows")
+    asked = chunks.where("slice >= 0").select("chunk", "slice", "keys", "figures")
+    spans = meet(answer(asked, 4, all_holders), chunks.where("slice < 0").select("chunk", "body"), 4, slices, spans_of(least), "doc_id long, first int, last int, other_id long")
     # Merge overlapping spans of a document.
     before = Window.partitionBy("doc_id").orderBy("first", "last", "other_id").rowsBetween(Window.unboundedPreceding, -1)
     running = Window.partitionBy("doc_id").orderBy("first", "last", "other_id")
