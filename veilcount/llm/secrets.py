@@ -6,9 +6,9 @@ trigrams that the rules mention; intersecting them by alternative gives each rul
 documents, and only those are verified with the expression itself. Rules without mandatory
 trigrams scan all documents.
 
-A null text is empty and gives no spans. Rows with equal ids share postings but are verified each
-on its own text; rows with a null id likewise. An empty table gives no rows. Positions count code
-points. Columns other than the two named are ignored.
+Postings name a document by its id and the hash of its text, so rows with equal ids keep apart and
+rows with null ids spread. A null text is empty and gives no spans. An empty table gives no rows.
+Positions count code points. Columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +40,12 @@ BASE = (
     Rule("hex", r"[0-9a-f]{16,}"),
 )
 ADDED = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # To the END line; a key that is cut off before it, to its last whole line.
+    Rule(
+        "private_key",
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+        r"(?:[A-Za-z0-9+/=:,\s-]{0,20000}?-----END [A-Z ]*PRIVATE KEY-----|(?:\s+[A-Za-z0-9+/=]{40,80}){0,400})",
+    ),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
@@ -113,22 +118,33 @@ def _walk(items) -> tuple[frozenset[str], Query]:
 
 
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """(gram, doc_id): the inverted index, for these trigrams of the lower-case texts."""
+    """(gram, doc_id, text_key): the inverted index, for these trigrams of the lower-case texts."""
     low = F.lower("text")
     held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
-    return docs.select("doc_id", F.explode(held).alias("gram"))
+    return docs.select("doc_id", "text_key", F.explode(held).alias("gram"))
 
 
 def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
-    """doc_id and the numbers of the rules whose trigram queries its postings satisfy."""
+    """doc_id, text_key and the numbers of the rules whose trigram queries its postings satisfy."""
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) != ANYTHING}
     grams = sorted({g for q in queries.values() for alt in q for g in alt})
     number = {g: i for i, g in enumerate(grams)}
-    asked = [(i, k, number[g], len(alt)) for i, q in queries.items() for k, alt in enumerate(sorted(q, key=sorted)) for g in alt]
+    asked = [
+        (i, k, number[g], len(alt)) for i, q in queries.items() for k, alt in enumerate(sorted(q, key=sorted)) for g in alt
+    ]
     spark = docs.sparkSession
-    query = F.broadcast(spark.createDataFrame(asked, "rule int, alternative int, gram int, needed int"))  # as large as the rules
-    met = postings(docs, grams).join(query, "gram").groupBy("doc_id", "rule", "alternative", "needed").agg(F.count_distinct("gram").alias("held")).where("held = needed")
-    return met.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))  # no more than there are rules
+    query = F.broadcast(  # as large as the rules
+        spark.createDataFrame(asked, "rule int, alternative int, gram int, needed int")
+    )
+    met = (
+        postings(docs, grams)
+        .join(query, "gram")
+        .groupBy("doc_id", "text_key", "rule", "alternative", "needed")
+        .agg(F.count_distinct("gram").alias("held"))
+        .where("held = needed")
+    )
+    # no more rules than there are
+    return met.groupBy("doc_id", "text_key").agg(F.collect_set("rule").alias("rules"))
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
@@ -136,56 +152,101 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
     gaps = F.split(text, rule.pattern, -1)
-    steps = F.arrays_zip(F.transform(F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), F.length).alias("gap"), F.transform(found, F.length).alias("long"), F.transform(tested, F.length).alias("tested"))
-    span = lambda start, end: F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-    empty = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
+    before = F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0)))
+    steps = F.arrays_zip(
+        F.transform(before, F.length).alias("gap"),
+        F.transform(found, F.length).alias("long"),
+        F.transform(tested, F.length).alias("tested"),
+    )
+
+    def span(start: Column, end: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
 
     def step(done: Column, s: Column) -> Column:
         start = done["at"] + s["gap"]
         end = start + s["long"]
-        return F.struct(end.alias("at"), F.when(s["tested"] >= rule.least, F.concat(done["spans"], F.array(span(start, end)))).otherwise(done["spans"]).alias("spans"))
+        more = F.concat(done["spans"], F.array(span(start, end)))
+        return F.struct(end.alias("at"), F.when(s["tested"] >= rule.least, more).otherwise(done["spans"]).alias("spans"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda done: done["spans"])
+    first = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
+    return F.aggregate(steps, first, step, lambda done: done["spans"])
 
 
-def scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and found: its spans by start, then by the rules' order."""
-    own = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    named = candidates(own, rules).select(F.col("doc_id").alias("candidate_id"), "rules")
-    joined = own.join(named, F.col("doc_id").eqNullSafe(F.col("candidate_id")), "left")
-    none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
+def no_spans() -> Column:
+    return F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
+
+
+def all_spans(text: Column, held: Column, rules=RULES) -> Column:
+    """Spans of all rules, by start, then by the rules' order. held: the rules that the index leaves."""
     parts = []
     for i, rule in enumerate(rules):
-        spans = spans_of(F.col("text"), rule, i)
         full = trigram_query(rule.pattern) == ANYTHING
-        parts.append(F.when(F.rlike("text", F.lit(rule.pattern)), spans).otherwise(none) if full else F.when(F.array_contains("rules", F.lit(i)), spans).otherwise(none))
-    return joined.select("doc_id", "text", F.array_sort(F.concat(*parts)).alias("found"))
+        wanted = F.rlike(text, F.lit(rule.pattern)) if full else F.array_contains(held, F.lit(i))
+        parts.append(F.when(wanted, spans_of(text, rule, i)).otherwise(no_spans()))
+    return F.array_sort(F.concat(*parts))
 
 
-def redact(docs: DataFrame, rules=RULES, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with their secret spans replaced by the mask; all columns and rows stay.
+def with_candidates(rows: DataFrame, doc_id: Column, text: Column, rules) -> DataFrame:
+    """rows with _held: the rules that the index leaves for each."""
+    keyed = rows.withColumn("_id", doc_id).withColumn("_key", F.xxhash64(text))
+    own = keyed.select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), text.alias("text"))
+    named = candidates(own, rules).select(F.col("doc_id").alias("_own"), "text_key", F.col("rules").alias("_held"))
+    met = F.col("_id").eqNullSafe(F.col("_own")) & (F.col("_key") == F.col("text_key"))
+    return keyed.join(named, met, "left").drop("_id", "_key", "_own", "text_key")
+
+
+def scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and found: its spans by start, then by the rules' order."""
+    own = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    joined = with_candidates(own, F.col("doc_id"), F.col("text"), rules)
+    return joined.select("doc_id", "text", all_spans(F.col("text"), F.col("_held"), rules).alias("found"))
 
-    Spans that overlap are masked as one. n_chars, where there is such a column, follows the text.
+
+def masked(text: Column, found: Column, mask: str) -> Column:
+    """The text with its spans, those that overlap as one, replaced by the mask. found: ordered by start."""
+
+    def step(done: Column, s: Column) -> Column:
+        piece = F.concat(text.substr(done["at"] + 1, s["start"] - done["at"]), F.lit(mask))
+        parts = F.when(s["start"] >= done["at"], F.concat(done["parts"], F.array(piece))).otherwise(done["parts"])
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), parts.alias("parts"))
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    rest = lambda done: text.substr(done["at"] + 1, F.length(text))
+    return F.aggregate(found, first, step, lambda done: F.concat(F.array_join(done["parts"], ""), rest(done)))
+
+
+def redact(
+    docs: DataFrame, rules=RULES, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents with the spans that scan() finds replaced by the mask; all columns and rows stay.
+
+    The original text is cut once, so no rule sees what another has changed. n_chars, where there is
+    such a column, follows the text.
     """
-    own = docs.withColumn("_rest", F.struct(*[F.col(c) for c in docs.columns]))
-    named = candidates(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), rules).select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules"))
-    joined = own.select("_rest").join(named, F.col(f"_rest.{id_col}").eqNullSafe(F.col("_id")), "left")
-    text = F.col(f"_rest.{text_col}")
-    for i, rule in enumerate(rules):
-        tested = rule.pattern
-        if rule.group:  # the shorter matches stay, and what follows them is matched as before
-            last = r"[A-Za-z0-9+/_.=-]"
-            tested = tested.replace(f"({last}+)", f"{last}{{{rule.least},}}")
-        masked = F.regexp_replace(text, tested, mask)
-        text = masked if trigram_query(rule.pattern) == ANYTHING else F.when(F.array_contains("_rules", F.lit(i)), masked).otherwise(text)
-    out = [text.alias(c) if c == text_col else F.col(f"_rest.{c}").alias(c) for c in docs.columns]
-    cleaned = joined.select(*out)
-    return cleaned.withColumn("n_chars", F.when(F.col(text_col).isNotNull(), F.length(text_col)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
+    whole = docs.select(F.struct(*docs.columns).alias("_row"))
+    text = F.col(f"_row.{text_col}")
+    joined = with_candidates(whole, F.col(f"_row.{id_col}"), text_of(text), rules)
+    found = joined.withColumn("_found", all_spans(text_of(text), F.col("_held"), rules))
+    clean = F.when(F.size("_found") > 0, masked(text, F.col("_found"), mask)).otherwise(text)
+    out = [F.col("_text" if c == text_col else f"_row.{c}").alias(c) for c in docs.columns]
+    cleaned = found.withColumn("_text", clean).select(*out)
+    if "n_chars" not in docs.columns:
+        return cleaned
+    n_chars = F.when(F.col(text_col).isNotNull(), F.length(text_col)).cast(docs.schema["n_chars"].dataType)
+    return cleaned.withColumn("n_chars", n_chars)
 
 
 def op5_secrets(spark, sf_dir):
     found = scan(table(spark, sf_dir, "documents"))
-    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
     base = F.filter("found", lambda s: s["order"] < len(BASE))
-    count = lambda k: F.size(F.filter("found", lambda s: s["order"] == k)).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE)], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+    counts = [
+        F.size(F.filter("found", lambda s, k=k: s["order"] == k)).cast("long").alias(f"n_{r.kind}")
+        for k, r in enumerate(BASE)
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans")
+    )
