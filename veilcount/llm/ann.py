@@ -1,11 +1,16 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-Vectors are dealt to lists around centroids that a balanced k-means fits on a bounded sample. A
-vector near a boundary goes to every list whose centroid is about as near as the nearest one. The
-centroids are searched through an in-memory neighbour graph, and a query reads the lists whose
-distance is within a ratio of the nearest list's. Lists and queries meet in blocks of bounded size,
+Vectors are dealt to lists around centroids that a balanced two-level k-means fits on a bounded
+sample. A vector near a boundary goes to every list within a ratio of its nearest one's distance. The
+centroids are searched through an in-memory neighbour graph, and a query reads the lists within a
+ratio of the distance at which its nearest lists hold some candidates. No number of lists is fixed: a
+beam that lies within the ratio to its end widens. Lists and queries meet in blocks of bounded size,
 however large a list is; scores are inner products of the original vectors in double precision.
 
+The read ratio is calibrated in every run: a bounded number of queries, chosen by hash, meets all
+vectors outright, and the ratio is the one at which their lists hold the wanted share of their true
+neighbours. So recall is measured against brute force on the table itself.
+
 Nearness is the largest inner product: vectors get one more component that makes all lengths equal,
 so the nearest in the routing space is the largest product. Equal vectors count as one class whose
 smallest ids stand for it, so copies cost no comparisons.
@@ -18,6 +23,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +33,25 @@ from pyspark.sql import functions as F
 
 from veilcount.llm._shared import materialize, table
 
-#: Vectors a list holds about, the most centroids (they go to every task), and the fitted sample's bound.
-LIST_SIZE, MOST_LISTS, SAMPLE = 128, 8192, 40_000
-#: A vector is copied to lists within this ratio of its nearest distance; a query reads lists within the other.
-COPY_RATIO, MOST_COPIES = 1.15, 6
-READ_RATIO, MOST_READ = 1.6, 48
+#: Lists are this many times the square root of the vectors, so that their number and size grow alike.
+LISTS_PER_ROOT = 1.75
+#: Centroids go to every task, and the sample (so many vectors a list, or the least) to the driver:
+#: beyond 87 million vectors lists grow in proportion to the table.
+MOST_LISTS, SAMPLED, LEAST_SAMPLE = 16_384, 16, 20_000
+#: A vector is copied to lists within this ratio of its nearest distance.
+COPY_RATIO = 1.02
+#: A query's ratio refers to the distance at which its nearest lists hold so many times k vectors.
+FLOOR = 32
+#: Queries that calibrate the read ratio, and the share of their true neighbours that their lists hold.
+CALIBRATING, WANTED_RECALL = 128, 0.97
 #: Rows of a list, and of its queries, that meet in one task's matrix product.
 BLOCK_ROWS = 2048
 NEIGHBOURS, BEAM = 24, 64
 
 
+Lists = Iterator[tuple[int, list[int]]]
+
+
 class CentroidGraph:
     """Centroids with a neighbour graph; searched best-first from spread entry points, many vectors at once."""
 
@@ -57,10 +72,15 @@ class CentroidGraph:
             self.links[:, -1] = np.roll(np.arange(k), max(1, k // 2))
         self.entries = np.unique(np.linspace(0, k - 1, min(k, self.beam)).astype(np.int32))
 
-    def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(centroids, squared distances) of the beam of each row of x, nearest first."""
+        beam = beam or self.beam
         x = x.astype(np.float32)
         own = (x**2).sum(axis=1)[:, None]
+        if beam >= len(self.at):  # as wide as the graph: outright
+            dist = own + self.norm[None, :] - 2 * x @ self.at.T
+            order = np.argsort(dist, axis=1, kind="stable")
+            return order.astype(np.int32), np.maximum(np.take_along_axis(dist, order, 1), 0)
         n, w = len(x), len(self.entries)
         ids = np.broadcast_to(self.entries, (n, w)).copy()
         dist = own + self.norm[ids] - 2 * x @ self.at[self.entries].T
@@ -74,125 +94,277 @@ class CentroidGraph:
             done[rows, best] = True
             new = self.links[ids[rows, best]].reshape(n, -1)
             new_dist = own + self.norm[new] - 2 * np.einsum("nd,nrd->nr", x, self.at[new])
-            ids, dist, done = np.hstack([ids, new]), np.hstack([dist, new_dist]), np.hstack([done, np.zeros(new.shape, bool)])
+            ids, dist = np.hstack([ids, new]), np.hstack([dist, new_dist])
+            done = np.hstack([done, np.zeros(new.shape, bool)])
             order = np.lexsort((~done, ids), axis=1)  # copies of an id next to each other, a searched one first
             ids, dist, done = ids[rows, order], dist[rows, order], done[rows, order]
             again = np.zeros(ids.shape, bool)
             again[:, 1:] = ids[:, 1:] == ids[:, :-1]
             dist[again] = np.inf
             done[again] = True
-            keep = np.argpartition(dist, self.beam - 1, axis=1)[:, : self.beam] if dist.shape[1] > self.beam else np.arange(dist.shape[1])[None, :].repeat(n, 0)
-            ids, dist, done = ids[rows, keep], dist[rows, keep], done[rows, keep]
+            if dist.shape[1] > beam:
+                keep = np.argpartition(dist, beam - 1, axis=1)[:, :beam]
+                ids, dist, done = ids[rows, keep], dist[rows, keep], done[rows, keep]
             w = ids.shape[1]
         order = np.argsort(dist, axis=1, kind="stable")
         return ids[rows, order], np.maximum(dist[rows, order], 0)
 
+    def within(self, x: np.ndarray, ratio: float, sizes: np.ndarray | None = None, floor: int = 0) -> Lists:
+        """(row, its lists within the ratio), nearest first. The ratio is to the nearest list's distance or,
+        with sizes, to that of the list at which the nearest lists hold `floor` vectors."""
+        waiting, beam = np.arange(len(x)), self.beam
+        while len(waiting):
+            lists, far = self.search(x[waiting], beam)
+            base, reached = self.base(lists, far, sizes, floor)
+            line = ratio**2 * base[:, None] + 1e-9
+            # A beam that is within to its end may have left out others: it widens.
+            wider = ((far[:, -1:] <= line)[:, 0] | ~reached) & (lists.shape[1] < len(self.at))
+            for i in np.flatnonzero(~wider).tolist():
+                yield int(waiting[i]), lists[i, : int((far[i] <= line[i]).sum())].tolist()
+            waiting, beam = waiting[wider], 2 * beam
 
-def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
-    """Balanced k-means: a list's distance grows with what it holds already, so hot regions get more lists."""
-    rng = np.random.default_rng(seed)
+    @staticmethod
+    def base(lists: np.ndarray, far: np.ndarray, sizes: np.ndarray | None, floor: int) -> tuple[np.ndarray, np.ndarray]:
+        """The squared distance that ratios refer to, by row, and whether the lists reach the floor."""
+        if sizes is None:
+            return far[:, 0], np.ones(len(far), bool)
+        held = np.cumsum(sizes[lists], axis=1) >= floor
+        reached = held[:, -1]
+        at = np.where(reached, held.argmax(axis=1), far.shape[1] - 1)
+        return far[np.arange(len(far)), at], reached
+
+
+def _k_means(sample: np.ndarray, lists: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """Balanced: a list's distance grows with what it holds already, so hot regions get more lists."""
     lists = max(1, min(lists, len(sample)))
     at = sample[rng.choice(len(sample), lists, replace=False)].copy()
-    size = np.full(lists, len(sample) / lists)
+    fair = len(sample) / lists
+    size = np.full(lists, fair)
     for _ in range(rounds):
         own, scale = np.empty(len(sample), np.int64), 0.0
-        fair = len(sample) / lists
         for s in range(0, len(sample), 4096):
             d = (at**2).sum(axis=1)[None, :] - 2 * sample[s : s + 4096] @ at.T
             scale = scale or float(d.std())
             own[s : s + 4096] = np.argmin(d + 0.1 * scale * (size / fair - 1), axis=1)
         size = np.bincount(own, minlength=lists).astype(float)
-        sums = np.zeros_like(at)
-        np.add.at(sums, own, sample)
-        full = size > 0
-        at[full] = sums[full] / size[full, None]
-        at[~full] = sample[rng.choice(len(sample), int((~full).sum()))]
+        order = np.argsort(own, kind="stable")
+        full = np.flatnonzero(size > 0)
+        starts = (np.cumsum(size) - size).astype(np.int64)[full]
+        at[full] = np.add.reduceat(sample[order], starts, axis=0) / size[full, None]
+        empty = np.flatnonzero(size == 0)
+        at[empty] = sample[rng.choice(len(sample), len(empty))]
     return at
 
 
+def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
+    """Two levels beyond 512 lists: regions first, then the lists of each in proportion to what it holds."""
+    rng = np.random.default_rng(seed)
+    if lists <= 512:
+        return _k_means(sample, lists, rounds, rng)
+    top = _k_means(sample, round(math.sqrt(lists)), rounds, rng)
+    own = np.concatenate(
+        [np.argmin((top**2).sum(axis=1)[None, :] - 2 * sample[s : s + 4096] @ top.T, axis=1) for s in range(0, len(sample), 4096)]
+    )
+    each = np.bincount(own, minlength=len(top))
+    parts = [_k_means(sample[own == i], max(1, round(lists * n / len(sample))), rounds, rng) for i, n in enumerate(each) if n]
+    return np.concatenate(parts)
+
+
 def _matrix(column: pd.Series, kind=np.float64) -> np.ndarray:
     return np.vstack(column.to_numpy()).astype(kind)
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row for which is_query holds, against all rows."""
-    spark = vectors.sparkSession
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
+def best_products(x: np.ndarray, queries: np.ndarray, y: np.ndarray, names: np.ndarray, keep: int) -> pd.DataFrame:
+    """Each query's best candidates, by exact products; equal scores by the smaller name. names: ascending."""
+    rough = x @ y.T
+    keep = min(keep, len(y))
+    line = np.partition(rough, len(y) - keep, axis=1)[:, len(y) - keep][:, None]
+    row, col = np.nonzero(rough >= line - 1e-12 * np.abs(line))
+    exact = (x[row] * y[col]).sum(axis=1)
+    order = np.lexsort((names[col], -exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    top = np.arange(len(row)) - np.searchsorted(row, row) < keep
+    return pd.DataFrame({"query": queries[row[top]], "class": names[col[top]], "score": exact[top]})
+
+
+class Router:
+    """The graph with the space that it works in: all stored vectors get the length of the longest."""
+
+    def __init__(self, centroids: np.ndarray, longest: float):
+        self.graph, self.longest, self.sizes, self.floor = CentroidGraph(centroids), longest, None, 0
+
+    @staticmethod
+    def routed(x: np.ndarray, longest: float) -> np.ndarray:
+        return np.hstack([x, np.sqrt(np.maximum(longest - (x**2).sum(axis=1, keepdims=True), 0))])
+
+    def homes(self, x: np.ndarray, ratio: float) -> Lists:
+        return self.graph.within(self.routed(x, self.longest), ratio)
+
+    def asked(self, x: np.ndarray) -> np.ndarray:
+        unit = x * (np.sqrt(self.longest) / np.sqrt((x**2).sum(axis=1, keepdims=True)))
+        return np.hstack([unit, np.zeros((len(x), 1))])
+
+    def reads(self, x: np.ndarray, ratio: float) -> Lists:
+        return self.graph.within(self.asked(x), ratio, self.sizes, self.floor)
+
+    def needed(self, x: np.ndarray, neighbours: np.ndarray, owner: np.ndarray, copy_ratio: float) -> np.ndarray:
+        """For each neighbour of x[owner]: the ratio at which the query reads one of its lists."""
+        lists, far = self.graph.search(self.asked(x), len(self.graph.at))
+        base, _ = self.graph.base(lists, far, self.sizes, self.floor)
+        ratios = np.empty_like(far)
+        np.put_along_axis(ratios, lists.astype(np.int64), np.sqrt((far + 1e-12) / (base[:, None] + 1e-12)), 1)
+        out = np.empty(len(neighbours))
+        for row, homes in self.homes(neighbours, copy_ratio):
+            out[row] = ratios[owner[row], homes].min()
+        return out
+
+
+def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame | None:
+    """vec_id, v: rows that take part; None where there are none."""
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    v = v.where("vec_id is not null and v is not null")
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.where(~F.coalesce(odd, F.lit(True)) & F.exists("v", lambda x: x != 0))
     length = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not length:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    v = v.where(F.size("v") == length[0]["d"]).dropDuplicates(["vec_id", "v"])
+    return v.where(F.size("v") == length[0]["d"]).dropDuplicates(["vec_id", "v"]) if length else None
 
-    # Classes of equal vectors, each with its k + 1 smallest ids (a query's own may be among them).
+
+def classes_of(v: DataFrame, k: int) -> DataFrame:
+    """Classes of equal vectors, each with its k + 1 smallest ids (a query's own may be among them)."""
     salted = Window.partitionBy("v", F.pmod("vec_id", F.lit(64))).orderBy("vec_id")
     whole = Window.partitionBy("v").orderBy("vec_id")
-    few = v.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1).withColumn("n", F.row_number().over(whole)).where(F.col("n") <= k + 1)
-    classes = materialize(few.groupBy("v").agg(F.min("vec_id").alias("class"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "classes")
+    few = v.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
+    few = few.withColumn("n", F.row_number().over(whole)).where(F.col("n") <= k + 1)
+    ids = F.array_sort(F.collect_list("vec_id")).alias("ids")
+    return materialize(few.groupBy("v").agg(F.min("vec_id").alias("class"), ids), "classes")
+
+
+def true_neighbours(classes: DataFrame, asking: pd.DataFrame, k: int) -> pd.DataFrame:
+    """query, class, v: the k best classes of a few queries (class, v), which meet all classes outright."""
+    x, names = _matrix(asking["v"]), asking["class"].to_numpy()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = pd.DataFrame({"query": [], "class": [], "score": []}).astype({"query": "int64", "class": "int64"})
+        held = {}
+        for batch in batches:
+            if len(batch):
+                batch = batch.sort_values("class", kind="stable")
+                found = best_products(x, names, _matrix(batch["v"]), batch["class"].to_numpy(), k + 1)
+                found = found[found["query"] != found["class"]]
+                best = pd.concat([best, found]).sort_values(["query", "score", "class"], ascending=[True, False, True])
+                best = best.groupby("query").head(k)
+                held |= dict(zip(batch["class"].to_list(), batch["v"].to_list(), strict=True))
+                held = {c: held[c] for c in best["class"].unique().tolist()}
+        yield best.assign(v=best["class"].map(held))
+
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "class")
+    found = classes.select("class", "v").mapInPandas(run, "query long, class long, score double, v array<double>")
+    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
+    return found.select("query", "class", "v").toPandas()  # k rows a query
+
+
+def calibrated_ratio(router: Router, classes: DataFrame, asking: DataFrame, k: int, calibrating: int, wanted: float) -> float:
+    """The read ratio at which some queries' lists hold the wanted share of their true neighbours."""
+    chosen = asking.orderBy(F.xxhash64("class"), "class").limit(calibrating).toPandas()  # a fixed number of rows
+    if not len(chosen):
+        return 1.0
+    true = true_neighbours(classes, chosen, k)
+    if not len(true):
+        return 1.0
+    # Names are unique, so each neighbour finds its query's row.
+    owner = pd.Index(chosen["class"]).get_indexer(true["query"])
+    ratios = router.needed(_matrix(chosen["v"]), _matrix(true["v"]), owner, COPY_RATIO)
+    return max(1.0, float(np.quantile(ratios, wanted, method="higher")) * (1 + 1e-6))
+
+
+def search(
+    vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
+    read_ratio: float | None = None, wanted_recall: float = WANTED_RECALL, figures: dict | None = None,
+) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row for which is_query holds, against all rows.
+
+    read_ratio: calibrated if None. figures, if given, gets the numbers of lists, copies and reads.
+    """
+    spark = vectors.sparkSession
+    v = valid_vectors(vectors, id_col, vector_col)
+    if v is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    classes = classes_of(v, k)
     norms = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     n, longest = classes.agg(F.count("*"), F.max(norms)).first()
 
     # Fit on a bounded sample, spread by hash; all of it if there is no more.
-    sample = _matrix(classes.orderBy(F.xxhash64("class")).limit(SAMPLE).select("v").toPandas()["v"])
-    routed = lambda x: np.hstack([x, np.sqrt(np.maximum(longest - (x**2).sum(axis=1, keepdims=True), 0))])
-    graph = spark.sparkContext.broadcast(CentroidGraph(fit_centroids(routed(sample), min(MOST_LISTS, -(-n // LIST_SIZE)))))
+    n_lists = min(MOST_LISTS, math.ceil(LISTS_PER_ROOT * math.sqrt(n)))
+    few = classes.orderBy(F.xxhash64("class")).limit(max(LEAST_SAMPLE, SAMPLED * n_lists))
+    sample = Router.routed(_matrix(few.select("v").toPandas()["v"]), longest).astype(np.float32)
+    router = Router(fit_centroids(sample, n_lists), longest)
+
+    asked = v.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
+    queries = materialize(asked.join(classes.select("v", "class"), "v").select("query_id", "class"), "queries")
+    asking = classes.join(queries.select("class").distinct(), "class", "left_semi").select("class", "v")
 
-    def deal(ratio: float, most: int, query: bool):
-        """Rows (list, class, v) of the lists within the ratio of the nearest one's distance."""
+    def deal(rows: DataFrame, ratio: float, query: bool) -> DataFrame:
+        """Rows (list, class, v) of the lists that hold a vector, or that a query reads."""
+        sent = spark.sparkContext.broadcast(router)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            route = sent.value.reads if query else sent.value.homes
             for batch in batches:
                 for s in range(0, len(batch), 512):
                     part = batch.iloc[s : s + 512]
-                    x = _matrix(part["v"])
-                    unit = x * (np.sqrt(longest) / np.sqrt((x**2).sum(axis=1, keepdims=True)))
-                    lists, far = graph.value.search(np.hstack([unit, np.zeros((len(x), 1))]) if query else routed(x))
-                    take = far[:, :most] <= ratio**2 * far[:, :1] + 1e-9
-                    row, col = np.nonzero(take)
-                    yield pd.DataFrame({"list": lists[row, col].astype(np.int32), "class": part["class"].to_numpy()[row], "v": [part["v"].iat[i] for i in row]})
+                    names, rows, lists = part["class"].to_numpy(), [], []
+                    for row, found in route(_matrix(part["v"]), ratio):
+                        rows += [row] * len(found)
+                        lists += found
+                    yield pd.DataFrame(
+                        {"list": np.array(lists, np.int32), "class": names[rows], "v": [part["v"].iat[i] for i in rows]}
+                    )
 
-        return run
+        return rows.select("class", "v").mapInPandas(run, "list int, class long, v array<double>")
 
-    asked = v.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
-    queries = asked.join(classes.select("v", "class"), "v").select("query_id", "class")
-    queries = materialize(queries, "queries")
-    asking = classes.join(queries.select("class").distinct(), "class", "left_semi").select("class", "v")
-    held = materialize(classes.select("class", "v").mapInPandas(deal(COPY_RATIO, MOST_COPIES, False), "list int, class long, v array<double>"), "postings")
-    reads = materialize(asking.mapInPandas(deal(READ_RATIO, MOST_READ, True), "list int, class long, v array<double>"), "reads")
+    held = materialize(deal(classes, COPY_RATIO, False), "postings")
+    router.sizes, router.floor = np.zeros(len(router.graph.at), np.int64), FLOOR * k
+    for r in held.groupBy("list").count().collect():  # as many rows as lists
+        router.sizes[r["list"]] = r["count"]
+    if read_ratio is None:
+        read_ratio = calibrated_ratio(router, classes, asking, k, CALIBRATING, wanted_recall)
+    reads = materialize(deal(asking, read_ratio, True), "reads")
+    if figures is not None:
+        figures |= {"classes": n, "lists": len(router.graph.at), "read_ratio": read_ratio}
+        figures |= {"postings": held.count(), "queries": asking.count(), "reads": reads.count()}
 
     # A list's blocks and its queries' blocks; the counts are as many as lists.
-    parts = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias(name))
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias(name))
+
     blocks = F.broadcast(parts(held, "held_blocks").join(parts(reads, "read_blocks"), "list"))
-    spread = lambda df, own, other, seed: df.join(blocks, "list").withColumn(own, F.pmod(F.xxhash64(F.lit(seed), "class"), F.col(own + "s")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other + "s").cast("int") - 1))).select("list", "held_block", "read_block", "class", "v")
+
+    def spread(df: DataFrame, own: str, other: str, seed: int) -> DataFrame:
+        placed = F.pmod(F.xxhash64(F.lit(seed), "class"), F.col(own + "s")).cast("int")
+        met = F.explode(F.sequence(F.lit(0), F.col(other + "s").cast("int") - 1))
+        joined = df.join(blocks, "list").withColumn(own, placed).withColumn(other, met)
+        return joined.select("list", "held_block", "read_block", "class", "v")
+
     left, right = spread(reads, "read_block", "held_block", 1), spread(held, "held_block", "read_block", 2)
 
     def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        """Each query's best candidates of one block; equal scores by the smaller class."""
+        """Each query's best candidates of one block."""
         if not len(q) or not len(c):
-            return pd.DataFrame({"query": [], "class": [], "score": []}).astype({"query": "int64", "class": "int64", "score": "float64"})
+            return pd.DataFrame({"query": [], "class": [], "score": []}).astype({"query": "int64", "class": "int64"})
         c = c.sort_values("class", kind="stable")
-        x, y, names = _matrix(q["v"]), _matrix(c["v"]), c["class"].to_numpy()
-        rough = x @ y.T
-        keep = min(k + 1, len(y))
-        line = np.partition(rough, len(y) - keep, axis=1)[:, len(y) - keep][:, None]
-        row, col = np.nonzero(rough >= line - 1e-12 * np.abs(line))
-        exact = (x[row] * y[col]).sum(axis=1)
-        order = np.lexsort((names[col], -exact, row))
-        row, col, exact = row[order], col[order], exact[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        top = place < k + 1
-        return pd.DataFrame({"query": q["class"].to_numpy()[row[top]], "class": names[col[top]], "score": exact[top]})
+        return best_products(_matrix(q["v"]), q["class"].to_numpy(), _matrix(c["v"]), c["class"].to_numpy(), k + 1)
 
     keys = ["list", "held_block", "read_block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "query long, class long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "class")
-    near = found.groupBy("query", "class").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
+    near = found.groupBy("query", "class").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best))
+    near = near.where(F.col("n") <= k + 1).drop("n")
     expanded = near.join(classes.select("class", "ids"), "class").select("query", "score", F.explode("ids").alias("vec_id"))
     by_id = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = expanded.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1).drop("n")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = queries.join(ranked, F.col("class") == F.col("query")).where("vec_id <> query_id").withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
+    out = queries.join(ranked, F.col("class") == F.col("query")).where("vec_id <> query_id")
+    out = out.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
