@@ -13,7 +13,11 @@ from veilcount.llm.secrets import op5_secrets
 from veilcount.llm.suffixes import op9_suffixes
 from veilcount.llm.warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_quality, op3_mixing, op4_lm_score, op5_secrets, op6_flac, op7_near_duplicates, op8_packing, op9_suffixes, op10_warc)}
+OPERATORS = (
+    op1_ann, op2_quality, op3_mixing, op4_lm_score, op5_secrets,
+    op6_flac, op7_near_duplicates, op8_packing, op9_suffixes, op10_warc,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 
 NEAR_DUPLICATES = r"""
 WITH RECURSIVE words AS (
@@ -36,15 +40,24 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM component LEFT JOIN sizes USING (doc_id)
 """
 
-ARCHIVED_PAGES = """
+ARCHIVED_PAGES = r"""
 WITH own AS (
-  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+    lower(trim(coalesce(url, ''))) AS u FROM pages
+), parts AS (
+  SELECT *, regexp_replace(regexp_extract(u, '^https?://([^/?#]*)', 1), '^www\.', '') AS host,
+    regexp_extract(u, '^https?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '^[^#?]*\?([^#]*)', 1) AS query FROM own
 ), marked AS (
-  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS original FROM own
+  SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS original,
+    array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END
+      || CASE WHEN query = '' THEN '' ELSE '?' || query END AS url_key,
+    strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM parts
 )
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN original <> page_id THEN original END AS refers_to
+  CASE WHEN original <> page_id THEN original END AS refers_to,
+  url_key, captured, row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS capture_no
 FROM marked
 """
 

@@ -1,10 +1,11 @@
 """WARC archives, revisit records, and a globally ordered capture index.
 
 Every task writes one archive: gzip members, one a record, as rows of a table in the shared folder
-(archive, offset, length, member), so that any store that Spark writes to will do. Reading an
-archive back yields its captures, sorted locally by URL key and timestamp: a run. Runs are merged
-externally: a range partitioner cuts the key space, and each task merges the parts of the runs that
-fall in its range with a loser tree.
+(archive, offset, length, member), so that any store that Spark writes to will do. The tasks that
+read archives back sort what they read by URL key and timestamp and write it: a run each. Runs are
+merged externally: a range partitioner cuts the key space into ranges of a bounded number of
+captures, and each task merges the parts of the runs that fall in its range with a loser tree. A
+capture's number in the global order is its range's first number and its place there.
 
 A null page body is the empty payload, a null URL the empty key. A null page id is written and read
 back as such and never becomes the original of a revisit. Of repeated rows with one id and body,
@@ -22,17 +23,22 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilcount.llm._shared import materialize, table, text_of
 
 #: Smaller payloads aren't worth a revisit record.
 LEAST_BYTES = 1000
+#: Captures that one task merges, about.
+RANGE_CAPTURES = 200_000
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 
 ARCHIVES = "archive int, offset long, length int, member binary"
-CAPTURES = "archive int, offset long, url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+CAPTURES = (
+    "archive int, offset long, url_key string, captured string, page_id long, "
+    "payload_bytes long, payload_digest string, record_type string, refers_to long"
+)
 
 
 def url_key(url: str) -> str:
@@ -70,7 +76,10 @@ def write_record(page_id: int | None, url: str, payload: bytes, digest: str, ref
         f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_uri(refers_to)}"]
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {record_uri(refers_to)}",
+        ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -91,15 +100,31 @@ def read_record(member: bytes) -> dict:
         if digest != stated or size != len(payload):
             raise ValueError("a payload doesn't match its record")
     number = lambda uri: int(x) if (x := uri.strip("<>").rpartition(":")[2]) else None
-    return {"url_key": url_key(fields["warc-target-uri"]), "captured": fields["warc-date"], "page_id": number(fields["warc-record-id"]), "payload_bytes": size, "payload_digest": stated, "record_type": fields["warc-type"], "refers_to": number(fields["warc-refers-to"]) if "warc-refers-to" in fields else None}
-
-
-def write_archives(pages: DataFrame, least_bytes: int = LEAST_BYTES, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
+    return {
+        "url_key": url_key(fields["warc-target-uri"]),
+        "captured": fields["warc-date"],
+        "page_id": number(fields["warc-record-id"]),
+        "payload_bytes": size,
+        "payload_digest": stated,
+        "record_type": fields["warc-type"],
+        "refers_to": number(fields["warc-refers-to"]) if "warc-refers-to" in fields else None,
+    }
+
+
+def write_archives(
+    pages: DataFrame, least_bytes: int = LEAST_BYTES, id_col: str = "page_id", url_col: str = "url", body_col: str = "html"
+) -> DataFrame:
     """Archives of all pages; equal payloads are stored once, with the largest page id."""
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), text_of(url_col).alias("url"), text_of(body_col).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("large", F.octet_length("html") >= least_bytes)
-    originals = own.where("large and page_id is not null").groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("repeated"), "original")
+    own = pages.select(
+        F.col(id_col).cast("long").alias("page_id"), text_of(url_col).alias("url"), text_of(body_col).alias("html")
+    )
+    own = own.withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    own = own.withColumn("large", F.octet_length("html") >= least_bytes)
+    originals = own.where("large").groupBy(F.col("digest").alias("repeated"))
+    originals = originals.agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1")
     dealt = own.join(originals, (F.col("digest") == F.col("repeated")) & F.col("large"), "left")
-    dealt = dealt.select("page_id", "url", "html", "digest", F.when(F.coalesce(F.col("original") != F.col("page_id"), F.col("original").isNotNull()), F.col("original")).alias("refers_to"))
+    other = F.coalesce(F.col("original") != F.col("page_id"), F.col("original").isNotNull())
+    dealt = dealt.select("page_id", "url", "html", "digest", F.when(other, F.col("original")).alias("refers_to"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         archive, at = TaskContext.get().partitionId(), 0
@@ -107,8 +132,10 @@ def write_archives(pages: DataFrame, least_bytes: int = LEAST_BYTES, id_col: str
             for k in range(0, len(batch), 128):
                 out = []
                 part = batch.iloc[k : k + 128]
-                for page_id, url, html, digest, original in zip(*(part[c].array for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
-                    record = write_record(None if pd.isna(page_id) else int(page_id), url, html.encode("utf-8", "surrogatepass"), digest, None if pd.isna(original) else int(original))
+                columns = (part[c].array for c in ("page_id", "url", "html", "digest", "refers_to"))
+                for page_id, url, html, digest, original in zip(*columns, strict=True):
+                    page_id, original = (None if pd.isna(x) else int(x) for x in (page_id, original))
+                    record = write_record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, original)
                     squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
                     member = squeeze.compress(record) + squeeze.flush()
                     out.append((archive, at, len(member), member))
@@ -119,15 +146,21 @@ def write_archives(pages: DataFrame, least_bytes: int = LEAST_BYTES, id_col: str
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """One row for each record."""
+    """One row for each record, with the number of the run that it lies in: runs are sorted and written."""
+    names = [c.split()[0] for c in CAPTURES.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [{"archive": a, "offset": o} | read_record(bytes(m)) for a, o, m in zip(batch["archive"].array, batch["offset"].array, batch["member"].array, strict=True)]
-            names = [c.split()[0] for c in CAPTURES.split(", ")]
+            places = zip(batch["archive"].array, batch["offset"].array, batch["member"].array, strict=True)
+            found = [{"archive": a, "offset": o} | read_record(bytes(m)) for a, o, m in places]
             yield pd.DataFrame(found, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return archives.select("archive", "offset", "member").mapInPandas(run, CAPTURES)
+    read = archives.select("archive", "offset", "member").mapInPandas(run, CAPTURES)
+    return materialize(read.withColumn("run", F.spark_partition_id()).sortWithinPartitions("run", *ORDER), "runs")
+
+
+#: What captures are ordered by: key and time, then what tells any two apart. Nulls come first.
+ORDER = ("url_key", "captured", "page_id", "archive", "offset")
 
 
 def loser_tree_merge(runs: list[Iterable], key: Callable) -> Iterator:
@@ -163,29 +196,33 @@ def loser_tree_merge(runs: list[Iterable], key: Callable) -> Iterator:
         replay(i)
 
 
-def ordered_captures(captures: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Captures in global order: by range (order_part), then by place in it (order_place).
+def ordered_captures(captures: DataFrame, range_captures: int = RANGE_CAPTURES) -> DataFrame:
+    """Runs to captures in global order: capture_no counts from 0 by key, time, id and place.
 
-    Ranges are cut by key, time and id, so a site with very many captures spreads over ranges. A
-    task holds the captures of its range, which the number of partitions bounds, not their bodies.
+    No two captures are equal in that order, so a site with very many captures, or one page repeated,
+    spreads over ranges. A task holds columns of the captures of its range, not their bodies.
     """
-    n = partitions or int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["url_key", "captured", "page_id"]
-    ranged = captures.repartitionByRange(n, *keys).sortWithinPartitions("archive", *keys, "offset")
+    ranges = 1 + captures.count() // range_captures
+    ranged = captures.repartitionByRange(ranges, *ORDER).sortWithinPartitions("run", *ORDER)
     names = captures.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs: list[list[tuple]] = []
-        last = None
+    def key(row: tuple) -> tuple:
+        page_id = row[names.index("page_id")]
+        known = (-1, 0) if pd.isna(page_id) else (0, page_id)
+        url_key, captured, archive, offset = (row[names.index(c)] for c in ("url_key", "captured", "archive", "offset"))
+        return url_key.encode("utf-8", "surrogatepass"), captured, known, archive, offset
+
+    def one_run(parts: list[pd.DataFrame]) -> Iterator[tuple]:
+        for part in parts:
+            yield from part.itertuples(index=False, name=None)
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        runs: dict[int, list[pd.DataFrame]] = {}
         for batch in batches:
-            for row in batch.itertuples(index=False, name=None):
-                if row[0] != last:
-                    runs.append([])
-                    last = row[0]
-                runs[-1].append(row)
-        sort_key = lambda r: (r[2], r[3], -1 if pd.isna(r[4]) else r[4])
+            for number, part in batch.groupby("run", sort=False):
+                runs.setdefault(number, []).append(part)
         part, out, place = TaskContext.get().partitionId(), [], 0
-        for row in loser_tree_merge(runs, sort_key):
+        for row in loser_tree_merge([one_run(r) for r in runs.values()], key):
             out.append((*row, part, place))
             place += 1
             if len(out) == 10_000:
@@ -194,11 +231,19 @@ def ordered_captures(captures: DataFrame, partitions: int | None = None) -> Data
         yield frame(out)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[*names, "order_part", "order_place"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+        found = pd.DataFrame(rows, columns=[*names, "order_part", "order_place"])
+        return found.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return ranged.mapInPandas(run, f"{CAPTURES}, order_part int, order_place long")
+    merged = materialize(ranged.mapInPandas(merge, f"{CAPTURES}, run int, order_part int, order_place long"), "merged")
+    sizes = merged.groupBy("order_part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("order_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    bases = sizes.select(F.col("order_part").alias("part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    numbered = merged.join(F.broadcast(bases), F.col("order_part") == F.col("part"))
+    return numbered.withColumn("capture_no", F.col("base") + F.col("order_place")).drop("part", "base", "run")
 
 
 def op10_warc(spark, sf_dir):
     captures = ordered_captures(read_archives(write_archives(table(spark, sf_dir, "pages"))))
-    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return captures.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "capture_no"
+    )
