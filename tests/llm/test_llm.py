@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from veilcount.llm import ann, flac, lm_score, mixing, neardup, packing, quality, secrets, suffixes, warc
+from veilcount.llm import ann, lm_score, mixing, neardup, packing, quality, secrets, suffixes, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, component_id int"
@@ -136,38 +136,6 @@ def test_mixing(docs, spark):
     assert len(rows_of(mixing.mix(docs))) == docs.count()
 
 
-def test_flac_round_trips_and_finds_damage():
-    rng = np.random.default_rng(0)
-    for payload in (b"", bytes(64), b"abc" * 3000, rng.integers(0, 256, 9000, dtype=np.uint8).tobytes(), "héllo ".encode() * 2000):
-        media = flac.encode(payload)
-        assert (np.frombuffer(b"".join(b[3] for b in flac.decode(media)), np.uint8) ^ 0x80).tobytes() == payload
-    broken = bytearray(flac.encode(b"some text " * 500))
-    broken[-40] ^= 1
-    with pytest.raises(flac.BadStream):
-        list(flac.decode(bytes(broken)))
-
-
-def test_flac_linear_predictor():
-    """A hand-made subframe: order 1, factor 1, shift 0, so residuals are differences."""
-    samples = np.array([3, 5, 4, 4, 9, 2, 2, 1] * 2)
-    bits = [0, *flac._to_bits(32, 6), 0, *flac._to_bits(3, 8), *flac._to_bits(1, 4), *flac._to_bits(0, 5), 0, 1, 0, 0, *flac._to_bits(0, 4), *flac._to_bits(2, 4)]
-    for d in np.diff(samples).tolist():
-        z = 2 * d if d >= 0 else -2 * d - 1
-        bits += [0] * (z >> 2) + [1] + flac._to_bits(z & 3, 2)
-    data = np.packbits(np.array([*bits, *[0] * 64], np.uint8))
-    assert flac._channel(flac._Bits(data), 16, 8).tolist() == samples.tolist()
-
-
-def test_flac_blocks(docs):
-    media = flac.encode_texts(docs)
-    blocks = rows_of(flac.decode_blocks(media))
-    assert all(b["error"] is None for b in blocks)
-    for r in rows_of(flac.digests(media)):
-        assert r["payload_bytes"] % 64 == 0 and r["payload_bytes"] >= max(64, r["n_bytes"])
-    bad = docs.sparkSession.createDataFrame([(1, b"nothing"), (2, None)], "id long, media binary")
-    assert [(b["id"], b["error"]) for b in rows_of(flac.decode_blocks(bad))] == [(1, "no stream marker")]
-
-
 def test_archives(spark):
     body = "p" * 2000
     rows = [(1, "http://a.org/x", body), (2, "http://a.org/y", body), (3, None, None), (4, "http://b.org", "small"), (5, "http://b.org", "small"), (None, "http://c.org", body)]

@@ -1,23 +1,26 @@
 """Media columns: FLAC streams in binary columns, encoded and decoded inside tasks.
 
-The decoder reads any mono or independent multi-channel stream of up to 16 bits: constant,
-verbatim, fixed and linear-predictor subframes, Rice partitions with 4- or 5-bit parameters and
-escapes. It verifies the CRC-8 of each header, the CRC-16 of each frame and the MD5 of all samples,
-and yields PCM blocks with their sample offsets, so a reader can seek to a sample by its block.
-The encoder writes 8-bit mono streams with fixed predictors, partitioned Rice residuals and a seek
-table.
-
-Null media give no blocks; media that can't be read give one row with an error and no samples, so
-one bad value doesn't end a job. A null text is the empty payload, which pads to 64 zero bytes.
-Rows with equal or null ids are each handled by themselves. An empty table gives no rows. Columns
-other than those named are ignored.
+The decoder reads streams of up to 8 channels and 32 bits: constant, verbatim, fixed and
+linear-predictor subframes, joint stereo, Rice partitions with 4- or 5-bit parameters and escapes. It
+verifies the CRC-8 of each header, the CRC-16 of each frame and the MD5 of all samples, and yields PCM
+blocks with their sample offsets, so a reader can seek to a sample by its block. Residuals are decoded
+frame by frame, predictions sample by sample for many frames at once.
+
+The encoder writes fixed and linear predictors (Levinson-Durbin on the block's autocorrelation),
+whichever is shorter, partitioned Rice residuals and a seek table.
+
+Null media give no blocks; media that can't be read give one row with an error and no samples, so one
+bad value doesn't end a job. A null text is the empty payload, which pads to 64 zero bytes. Rows with
+equal or null ids are each handled by themselves. An empty table gives no rows. Columns other than
+those named are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -26,14 +29,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilcount.llm._shared import table, text_of
+from veilcount.llm._shared import materialize, table, text_of
 
 BLOCK = 4096
 #: Samples that a Rice partition holds at least, in blocks with so many.
 PARTITION = 1024
+#: Order of the encoder's linear predictor, bits of its factors, and the least samples that it is fitted on.
+ORDER, PRECISION, LEAST_FITTED = 4, 10, 64
 RATE = 8000
 PADDED_TO = 64
-
+#: Frames whose predictions are undone together, and the bytes of streams that wait for it at most, but for one.
+FRAMES, WAITING_BYTES = 256, 8 << 20
 
 class BadStream(ValueError):
     """The bytes aren't a FLAC stream that this reader knows, or a checksum fails."""
@@ -42,7 +48,8 @@ class BadStream(ValueError):
 def _crc_bytes(poly: int, bits: int) -> np.ndarray:
     crc = np.arange(256, dtype=np.uint32) << np.uint32(bits - 8)
     for _ in range(8):
-        crc = np.where(crc >> np.uint32(bits - 1) & 1, crc << np.uint32(1) ^ np.uint32(poly), crc << np.uint32(1)) & np.uint32((1 << bits) - 1)
+        shifted = crc << np.uint32(1)
+        crc = np.where(crc >> np.uint32(bits - 1) & 1, shifted ^ np.uint32(poly), shifted) & np.uint32((1 << bits) - 1)
     return crc
 
 
@@ -87,25 +94,85 @@ def _number(n: int) -> bytes:
         room >>= 1
 
 
-def _frame(samples: np.ndarray, number: int) -> bytes:
-    """One frame of signed 8-bit mono samples."""
-    n = len(samples)
-    head = b"\xff\xf8\x70\x02" + _number(number) + (n - 1).to_bytes(2, "big")
-    body = np.frombuffer(head + bytes([crc8(head)]) + _subframe(samples), np.uint8)
+_DEPTHS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24}
+#: Channel codes of joint stereo.
+LEFT_SIDE, SIDE_RIGHT, MID_SIDE = 8, 9, 10
+
+
+def _frame(samples: np.ndarray, number: int, depth: int, joint: int | None = None) -> bytes:
+    """One frame of samples (channels, n)."""
+    n = samples.shape[1]
+    code = joint or len(samples) - 1
+    depths = [depth] * len(samples)
+    if joint:
+        left, right = samples
+        side = left - right
+        middle = left + right >> 1
+        samples = {LEFT_SIDE: (left, side), SIDE_RIGHT: (side, right), MID_SIDE: (middle, side)}[joint]
+        depths[0 if joint == SIDE_RIGHT else 1] += 1
+    known = next((k for k, d in _DEPTHS.items() if d == depth), 0)
+    head = b"\xff\xf8\x70" + bytes([code << 4 | known << 1]) + _number(number) + (n - 1).to_bytes(2, "big")
+    bits = [_subframe(one, d) for one, d in zip(samples, depths, strict=True)]
+    packed = np.packbits(bits[0] if len(bits) == 1 else np.concatenate(bits))
+    body = np.concatenate([np.frombuffer(head + bytes([crc8(head)]), np.uint8), packed])
     return body.tobytes() + crc16(body).to_bytes(2, "big")
 
 
-def _subframe(samples: np.ndarray) -> bytes:
+def linear_factors(samples: np.ndarray) -> tuple[np.ndarray, int] | None:
+    """(factors, shift) of the linear predictor, in whole numbers of PRECISION bits; None where there is none."""
+    x = samples.astype(np.float64)
+    n = len(x)
+    auto = np.array([x[: n - i] @ x[i:] for i in range(ORDER + 1)])
+    if auto[0] <= 0:
+        return None
+    factors, error = np.zeros(ORDER), auto[0]
+    for i in range(ORDER):  # Levinson-Durbin
+        step = (auto[i + 1] - factors[:i] @ auto[i:0:-1]) / error
+        factors[:i], factors[i] = factors[:i] - step * factors[:i][::-1], step
+        error *= 1 - step * step
+        if error <= 0:
+            return None
+    largest = np.abs(factors).max()
+    if not largest:
+        return None
+    shift = min(15, PRECISION - 1 - max(0, math.floor(math.log2(largest)) + 1))
+    limit = 1 << PRECISION - 1
+    return np.clip(np.rint(factors * 2**shift), -limit, limit - 1).astype(np.int64), shift
+
+
+def _rice_bits(total: int, n: int) -> float:
+    """About how many bits n residuals take whose absolute values sum to total."""
+    return n * (1.5 + math.log2(max(1.0, 2 * total / max(n, 1))))
+
+
+def _subframe(samples: np.ndarray, depth: int) -> np.ndarray:
+    """The bits of one channel."""
     n = len(samples)
-    wide = samples.astype(np.int32)
     if (samples == samples[0]).all():
-        return bytes([0, int(wide[0]) & 0xFF])
-    diffs = [wide]
-    for _ in range(2):
-        diffs.append(np.diff(diffs[-1]))
-    costs = [int(np.abs(d).sum()) if n > 4 else i for i, d in enumerate(diffs)]
-    order = int(np.argmin(costs))
-    residual = diffs[order]
+        return np.array([0] * 8 + _to_bits(int(samples[0]), depth), np.uint8)
+    wide = samples.astype(np.int32 if depth <= 16 else np.int64)
+    kind, order, extra, residual = 1, 0, [], None
+    choices = [(8 + i, i, [], np.diff(wide, i)) for i in range(3)] if n > 4 else []
+    if n >= LEAST_FITTED and (fitted := linear_factors(wide)):
+        factors, shift = fitted
+        ahead = sum(int(f) * wide[ORDER - 1 - i : n - 1 - i] for i, f in enumerate(factors))
+        fields = _to_bits(PRECISION - 1, 4) + _to_bits(shift, 5)
+        fields += [b for f in factors for b in _to_bits(int(f), PRECISION)]
+        choices.append((31 + ORDER, ORDER, fields, wide[ORDER:] - (ahead >> shift)))
+    if choices:
+        cost = [_rice_bits(int(np.abs(r).sum()), len(r)) + o * depth + len(e) for _, o, e, r in choices]
+        kind, order, extra, residual = choices[int(np.argmin(cost))]
+        head = [0, *_to_bits(kind, 6), 0]
+        warm = [b for x in wide[:order].tolist() for b in _to_bits(x, depth)]
+        coded = _coded(residual, n, order, [*head, *warm, *extra], depth)
+        if coded is not None:
+            return coded
+    shown = (samples.astype(np.int64)[:, None] >> np.arange(depth - 1, -1, -1)) & 1
+    return np.concatenate([np.array([0, 0, 0, 0, 0, 0, 1, 0], np.uint8), shown.ravel().astype(np.uint8)])
+
+
+def _coded(residual: np.ndarray, n: int, order: int, lead: list[int], depth: int) -> np.ndarray | None:
+    """The bits of a predicted channel: what leads, then Rice partitions. None if samples are shorter."""
     zigzag = np.where(residual < 0, -2 * residual - 1, 2 * residual)
     split = next(p for p in (3, 2, 1, 0) if n % (1 << p) == 0 and n >> p >= PARTITION or not p)
     parts = 1 << split
@@ -113,46 +180,67 @@ def _subframe(samples: np.ndarray) -> bytes:
     held[0] -= order
     starts = np.cumsum(held) - held
     sums = np.add.reduceat(zigzag, starts)
-    k = np.clip(np.floor(np.log2(np.maximum(sums / held, 1) * 0.75 + 0.25)), 0, 14).astype(np.int32)
+    method, width, most = (0, 4, 14) if depth <= 16 else (1, 5, 30)
+    k = np.clip(np.floor(np.log2(np.maximum(sums / held, 1) * 0.75 + 0.25)), 0, most).astype(zigzag.dtype)
     each = np.repeat(k, held)
     size = (zigzag >> each) + 1 + each
-    size[starts] += 4  # each partition begins with its parameter
-    lead = 8 * (1 + order) + 6
-    ends = np.cumsum(size) + lead
+    size[starts] += width  # each partition begins with its parameter
+    begin = len(lead) + 6
+    ends = np.cumsum(size, dtype=np.int64) + begin
     total = int(ends[-1])
-    if total >= 8 * (n + 1):
-        return b"\x02" + samples.tobytes()
+    if total >= depth * n + 8:
+        return None
     bits = np.zeros(total, np.uint8)
-    bits[1:7] = _to_bits(8 | order, 6)
-    for i in range(order):
-        bits[8 + 8 * i : 16 + 8 * i] = _to_bits(int(wide[i]) & 0xFF, 8)
-    bits[lead - 4 : lead] = _to_bits(split, 4)
-    for b in range(4):
-        bits[ends[starts] - size[starts] + b] = k >> (3 - b) & 1
+    bits[: begin - 6] = lead
+    bits[begin - 6 : begin] = _to_bits(method, 2) + _to_bits(split, 4)
+    for b in range(width):
+        bits[ends[starts] - size[starts] + b] = k >> (width - 1 - b) & 1
     low = zigzag & (1 << each) - 1
     bits[ends - 1 - each] = 1
     for b in range(int(k.max())):
         on = (low >> b & 1).astype(bool)
         bits[ends[on] - 1 - b] = 1
-    return np.packbits(bits).tobytes()
+    return bits
 
 
 def _to_bits(value: int, width: int) -> list[int]:
     return [value >> (width - 1 - i) & 1 for i in range(width)]
 
 
-def encode(payload: bytes, block: int = BLOCK) -> bytes:
-    """The payload's bytes as 8-bit mono samples (byte - 128), losslessly."""
-    data = (np.frombuffer(payload, np.uint8) ^ 0x80).view(np.int8)
+def pcm_bytes(samples: np.ndarray, bits: int) -> bytes:
+    """Interleaved little-endian PCM of samples (channels, n), in as many bytes as the bits need."""
+    width = -(-bits // 8)
+    flat = np.ascontiguousarray(samples.T)
+    if width in (1, 2):
+        return flat.astype(f"<i{width}").tobytes()
+    return flat.astype("<i4").reshape(-1, 1).view(np.uint8)[:, :width].tobytes()
+
+
+def encode_samples(
+    samples: np.ndarray, bits: int, rate: int = RATE, block: int = BLOCK, joint: int | None = None
+) -> bytes:
+    """Samples (channels, n) of so many bits, losslessly; joint: a joint stereo code for two channels."""
     frames, points, at = [], [], 0
-    for i, start in enumerate(range(0, len(data), block)):
-        frames.append(_frame(data[start : start + block], i))
-        points.append(start.to_bytes(8, "big") + at.to_bytes(8, "big") + len(data[start : start + block]).to_bytes(2, "big"))
+    total = samples.shape[1]
+    for i, start in enumerate(range(0, total, block)):
+        part = samples[:, start : start + block]
+        frames.append(_frame(part, i, bits, joint))
+        points.append(start.to_bytes(8, "big") + at.to_bytes(8, "big") + part.shape[1].to_bytes(2, "big"))
         at += len(frames[-1])
     sizes = [len(f) for f in frames] or [0]
-    info = block.to_bytes(2, "big") * 2 + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big") + (RATE << 44 | 0 << 41 | 7 << 36 | len(data)).to_bytes(8, "big") + hashlib.md5(data.tobytes()).digest()
+    facts = rate << 44 | len(samples) - 1 << 41 | bits - 1 << 36 | total
+    info = block.to_bytes(2, "big") * 2 + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
+    info += facts.to_bytes(8, "big") + hashlib.md5(pcm_bytes(samples, bits)).digest()
     seek = b"".join(points)
-    return b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + b"".join(frames)
+    blocks = b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek
+    if len(seek) >= 1 << 24:  # a table too long for its length field: readers seek without
+        blocks = b"\x80" + len(info).to_bytes(3, "big") + info
+    return b"fLaC" + blocks + b"".join(frames)
+
+
+def encode(payload: bytes, block: int = BLOCK) -> bytes:
+    """The payload's bytes as 8-bit mono samples (byte - 128), losslessly."""
+    return encode_samples((np.frombuffer(payload, np.uint8) ^ 0x80).view(np.int8)[None, :], 8, RATE, block)
 
 
 @dataclass
@@ -178,12 +266,16 @@ def open_stream(media: bytes) -> Stream:
             raise BadStream("the metadata end early")
         last, kind, size = bool(media[at] & 0x80), media[at] & 0x7F, int.from_bytes(media[at + 1 : at + 4], "big")
         body = media[at + 4 : at + 4 + size]
+        if len(body) < size:
+            raise BadStream("the metadata end early")
         at += 4 + size
+        number = lambda i, n: int.from_bytes(body[i : i + n], "big")  # noqa: B023, E731  used at once
         if kind == 0 and size == 34:
-            x = int.from_bytes(body[10:18], "big")
-            out = Stream(int.from_bytes(body[2:4], "big"), x >> 44, (x >> 41 & 7) + 1, (x >> 36 & 31) + 1, x & (1 << 36) - 1, body[18:34], 0)
+            x = number(10, 8)
+            channels, bits = (x >> 41 & 7) + 1, (x >> 36 & 31) + 1
+            out = Stream(number(2, 2), x >> 44, channels, bits, x & (1 << 36) - 1, body[18:34], 0)
         elif kind == 3:
-            seek = [(int.from_bytes(body[i : i + 8], "big"), int.from_bytes(body[i + 8 : i + 16], "big"), int.from_bytes(body[i + 16 : i + 18], "big")) for i in range(0, size - 17, 18)]
+            seek = [(number(i, 8), number(i + 8, 8), number(i + 16, 2)) for i in range(0, size - 17, 18)]
     if out is None:
         raise BadStream("no stream information")
     out.frames_at, out.seek = at, seek
@@ -191,7 +283,6 @@ def open_stream(media: bytes) -> Stream:
 
 
 _SIZES = {1: 192} | {i: 576 << i - 2 for i in range(2, 6)} | {i: 256 << i - 8 for i in range(8, 16)}
-_DEPTHS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24}
 
 
 class _Bits:
@@ -218,7 +309,8 @@ class _Bits:
             raise BadStream("a frame ends early")
         if not width:
             return np.zeros(n, np.int64)
-        x = self.bits[self.at : self.at + n * width].reshape(n, width).astype(np.int64) @ (1 << np.arange(width - 1, -1, -1, dtype=np.int64))
+        places = 1 << np.arange(width - 1, -1, -1, dtype=np.int64)
+        x = self.bits[self.at : self.at + n * width].reshape(n, width).astype(np.int64) @ places
         self.at += n * width
         return np.where(x >> width - 1, x - (1 << width), x)
 
@@ -255,50 +347,108 @@ def _residuals(bits: _Bits, n: int, order: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _channel(bits: _Bits, n: int, depth: int) -> np.ndarray:
-    bits.number(1)
+@dataclass
+class Channel:
+    """One channel of a frame: its samples, or what a linear predictor makes them from."""
+
+    wasted: int
+    samples: np.ndarray | None = None
+    factors: np.ndarray | None = None
+    shift: int = 0
+    warm: np.ndarray | None = None
+    residual: np.ndarray | None = None
+
+
+def _channel(bits: _Bits, n: int, depth: int) -> Channel:
+    if bits.number(1):
+        raise BadStream("unknown subframe")
     kind, wasted = bits.number(6), bits.number(1)
     if wasted:
         while not bits.number(1):
             wasted += 1
         depth -= wasted
+        if depth < 1:
+            raise BadStream("more bits wasted than there are")
     if kind == 0:
-        out = np.full(n, bits.number(depth, True), np.int64)
-    elif kind == 1:
-        out = bits.numbers(n, depth)
-    elif 8 <= kind <= 12:
+        return Channel(wasted, np.full(n, bits.number(depth, True), np.int64))
+    if kind == 1:
+        return Channel(wasted, bits.numbers(n, depth))
+    if 8 <= kind <= 12:
         order = kind - 8
         warm = bits.numbers(order, depth)
         out = _residuals(bits, n, order)
         for d in range(order - 1, -1, -1):  # undo the differences, innermost first
-            first = np.diff(warm, d)[:1]
-            out = np.cumsum(np.concatenate([first, out]))
-    elif kind >= 32:
+            out = np.cumsum(np.concatenate([np.diff(warm, d)[:1], out]))
+        return Channel(wasted, out)
+    if kind >= 32:
         order = kind - 31
-        warm = bits.numbers(order, depth).tolist()
+        warm = bits.numbers(order, depth)
         precision, shift = bits.number(4) + 1, bits.number(5, True)
-        factors = bits.numbers(order, precision).tolist()
-        done = warm
-        for r in _residuals(bits, n, order).tolist():
-            done.append(r + (sum(c * done[-1 - i] for i, c in enumerate(factors)) >> shift))
-        out = np.array(done, np.int64)
-    else:
-        raise BadStream("unknown subframe")
-    return out << wasted
+        if precision == 16 or shift < 0:
+            raise BadStream("unknown predictor")
+        factors = bits.numbers(order, precision)
+        return Channel(wasted, None, factors, shift, warm, _residuals(bits, n, order))
+    raise BadStream("unknown subframe")
+
+
+def undo_predictions(channels: list[Channel]) -> None:
+    """Samples of all channels: those of one order step through time together, each a column."""
+    waiting = sorted((c for c in channels if c.samples is None), key=lambda c: (len(c.factors), len(c.residual)))
+    while waiting:
+        order = len(waiting[0].factors)
+        group = [c for c in waiting[:FRAMES] if len(c.factors) == order]
+        waiting = waiting[len(group) :]
+        steps = len(group[-1].residual)
+        out = np.zeros((order + steps, len(group)), np.int64)
+        for i, c in enumerate(group):
+            out[:order, i] = c.warm
+            out[order : order + len(c.residual), i] = c.residual
+        factors = np.column_stack([c.factors[::-1] for c in group])
+        shifts = np.array([c.shift for c in group])
+        for t in range(order, order + steps):
+            out[t] += (factors * out[t - order : t]).sum(axis=0) >> shifts
+        for i, c in enumerate(group):
+            c.samples = out[: order + len(c.residual), i]
 
 
-def frames(media: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(sample offset, byte offset of the frame, samples by channel) of each frame, checked."""
-    stream = open_stream(media)
+@dataclass
+class Frame:
+    offset: int
+    at: int
+    code: int
+    channels: list[Channel]
+
+    def samples(self) -> np.ndarray:
+        """(channels, n), once predictions are undone."""
+        out = [c.samples << c.wasted for c in self.channels]
+        if self.code == LEFT_SIDE:
+            out = [out[0], out[0] - out[1]]
+        elif self.code == SIDE_RIGHT:
+            out = [out[0] + out[1], out[1]]
+        elif self.code == MID_SIDE:
+            double = out[0] << 1 | out[1] & 1
+            out = [double + out[1] >> 1, double - out[1] >> 1]
+        return np.stack(out)
+
+
+def frames(media: bytes, stream: Stream) -> Iterator[Frame]:
+    """Frames with their checksums verified. Whatever can't be read is a BadStream."""
+    try:
+        yield from _frames(media, stream)
+    except (IndexError, ValueError, OverflowError) as e:
+        raise e if isinstance(e, BadStream) else BadStream(f"damaged: {e}") from None
+
+
+def _frames(media: bytes, stream: Stream) -> Iterator[Frame]:
     data = np.frombuffer(media, np.uint8)
     # A frame ends where its last bit is read, so a window of bits is guessed and doubled if too small.
     at, offset = stream.frames_at, 0
     while at < len(media):
         start = at
-        if media[at : at + 1] != b"\xff" or media[at + 1] & 0xFC != 0xF8:
+        if media[at] != 0xFF or media[at + 1] & 0xFC != 0xF8:
             raise BadStream("no frame begins here")
-        size_code, channel_code, depth_code = media[at + 2] >> 4, media[at + 3] >> 4, media[at + 3] >> 1 & 7
-        rate_code = media[at + 2] & 15
+        size_code, rate_code = media[at + 2] >> 4, media[at + 2] & 15
+        code, depth_code = media[at + 3] >> 4, media[at + 3] >> 1 & 7
         lead = media[at + 4]
         at += 5 + (0 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length() - 1)
         extra = {6: 1, 7: 2}.get(size_code, 0)
@@ -308,13 +458,16 @@ def frames(media: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
             raise BadStream("a frame header's checksum fails")
         at += 1
         depth = _DEPTHS.get(depth_code, stream.bits)
-        if channel_code > 7:
-            raise BadStream("joint channels")
-        most = (channel_code + 1) * (n * (depth + 1) // 8 + 64)
+        if not n or code > MID_SIDE or depth != stream.bits or (2 if code > 7 else code + 1) != stream.channels:
+            raise BadStream("a frame that doesn't fit its stream")
+        depths = [depth] * stream.channels
+        if code > 7:
+            depths[0 if code == SIDE_RIGHT else 1] += 1
+        most = len(depths) * (n * (depth + 1) // 8 + 64)
         while True:
             bits = _Bits(data[at : at + most])
             try:
-                samples = [_channel(bits, n, depth) for _ in range(channel_code + 1)]
+                channels = [_channel(bits, n, d) for d in depths]
                 break
             except BadStream:
                 if at + most >= len(media):
@@ -324,46 +477,99 @@ def frames(media: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
         if at + 2 > len(media) or crc16(data[start:at]) != int.from_bytes(media[at : at + 2], "big"):
             raise BadStream("a frame's checksum fails")
         at += 2
-        yield offset, start, np.stack(samples)
+        yield Frame(offset, start, code, channels)
         offset += n
 
 
-def decode(media: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    """(sample offset, byte offset, samples, PCM): little-endian PCM of each block, interleaved.
+class Decoded:
+    """A stream's PCM blocks (sample offset, byte offset, samples, PCM), or why there are none."""
 
-    After the last block, the total and the MD5 of all samples are verified.
-    """
-    stream, md5, total = open_stream(media), hashlib.md5(), 0
-    kind = np.int8 if stream.bits <= 8 else np.dtype("<i2")
-    if stream.bits > 16:
-        raise BadStream("more than 16 bits a sample")
-    for offset, at, samples in frames(media):
-        pcm = samples.T.astype(kind).tobytes()
-        md5.update(pcm)
-        total += samples.shape[1]
-        yield offset, at, samples.shape[1], pcm
-    if stream.total and stream.total != total or any(stream.md5) and stream.md5 != md5.digest():
-        raise BadStream("the stream's samples don't match its checksum")
+    def __init__(self, key: Hashable, media: bytes):
+        self.key, self.media, self.blocks, self.error = key, media, [], None
+        self.stream, self.md5, self.total = None, hashlib.md5(), 0
+
+    def add(self, frame: Frame) -> None:
+        samples = frame.samples()
+        pcm = pcm_bytes(samples, self.stream.bits)
+        self.md5.update(pcm)
+        self.total += samples.shape[1]
+        self.blocks.append((frame.offset, frame.at, samples.shape[1], pcm))
+
+    def verify(self) -> None:
+        """The total and the MD5 of all samples."""
+        s = self.stream
+        if not self.error and (s.total and s.total != self.total or any(s.md5) and s.md5 != self.md5.digest()):
+            self.error = "the stream's samples don't match its checksum"
+        if self.error:
+            self.blocks = []
+
+
+def decode_streams(media: Iterable[tuple[Hashable, bytes]]) -> Iterator[Decoded]:
+    """Decodes streams in their order; the predictions of many frames, of one stream or several, at once."""
+    waiting: list[tuple[Decoded, Frame]] = []
+    ended: list[Decoded] = []
+
+    def settle() -> None:
+        undo_predictions([c for _, frame in waiting for c in frame.channels])
+        for one, frame in waiting:
+            one.add(frame)
+        waiting.clear()
+
+    held = 0
+    for key, data in media:
+        one = Decoded(key, data)
+        try:
+            one.stream = open_stream(data)
+            for frame in frames(data, one.stream):
+                waiting.append((one, frame))
+                if len(waiting) >= FRAMES:
+                    settle()
+        except BadStream as e:
+            one.error = str(e)
+        ended.append(one)
+        held += len(data)
+        if held >= WAITING_BYTES:
+            settle()
+            for x in ended:
+                x.verify()
+            yield from ended
+            ended, held = [], 0
+    settle()
+    for x in ended:
+        x.verify()
+    yield from ended
+
+
+def decode(media: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """(sample offset, byte offset, samples, PCM) of one stream's blocks, once all of it is verified."""
+    (one,) = decode_streams([(None, media)])
+    if one.error:
+        raise BadStream(one.error)
+    yield from one.blocks
 
 
 BLOCKS = "id long, block int, sample_offset long, byte_offset long, n_samples int, pcm binary, error string"
 
 
+def _streams(batch: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
+    return ((i, bytes(one)) for i, one in enumerate(batch["media"].array))
+
+
 def decode_blocks(media: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
     """PCM blocks of a column of FLAC streams, one row a frame; seek by id and sample_offset."""
+    names = [c.split()[0] for c in BLOCKS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, one in zip(batch["id"].array, batch["media"].array, strict=True):
-                out = []
-                try:
-                    for i, (offset, at, n, pcm) in enumerate(decode(bytes(one))):
-                        out.append((key, i, offset, at, n, pcm, None))
-                except BadStream as e:
-                    out = [(key, 0, 0, 0, 0, None, str(e))]
-                yield pd.DataFrame(out, columns=["id", "block", "sample_offset", "byte_offset", "n_samples", "pcm", "error"]).astype({"id": "Int64"})
+            ids = batch["id"].array
+            for one in decode_streams(_streams(batch)):
+                key = ids[one.key]
+                rows = [(key, i, *b, None) for i, b in enumerate(one.blocks)] or [(key, 0, 0, 0, 0, None, one.error)]
+                if one.blocks or one.error:
+                    yield pd.DataFrame(rows, columns=names).astype({"id": "Int64"})
 
-    return media.where(F.col(media_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInPandas(run, BLOCKS)
+    own = media.where(F.col(media_col).isNotNull())
+    return own.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInPandas(run, BLOCKS)
 
 
 def payload_of(text: str) -> tuple[bytes, int]:
@@ -379,32 +585,86 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for k in range(0, len(batch), 256):
                 out = []
-                for key, text in zip(batch["id"].array[k : k + 256], batch["text"].array[k : k + 256], strict=True):
+                part = batch.iloc[k : k + 256]
+                for key, text in zip(part["id"].array, part["text"].array, strict=True):
                     payload, n = payload_of(text)
                     out.append((key, n, encode(payload)))
                 yield pd.DataFrame(out, columns=["id", "n_bytes", "media"]).astype({"id": "Int64"})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInPandas(run, "id long, n_bytes long, media binary")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    return own.mapInPandas(run, "id long, n_bytes long, media binary")
+
+
+STORED = (
+    "id long, n_bytes long, media_bytes long, media_sha256 string, "
+    "sample_offset array<long>, byte_offset array<long>, pcm array<binary>"
+)
 
 
-def digests(media: DataFrame) -> DataFrame:
-    """Digest columns of streams (id, n_bytes, media), from the samples read back."""
+def stored_blocks(media: DataFrame) -> DataFrame:
+    """Streams (id, n_bytes, media) to their PCM blocks, one row a stream, blocks by their sample offsets.
+
+    A stream that can't be read ends the job: these are our own.
+    """
+    names = [c.split()[0] for c in STORED.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, n_bytes, out, held = batch["id"].array, batch["n_bytes"].array, [], 0
+            for one in decode_streams(_streams(batch)):
+                if one.error:
+                    raise BadStream(f"{ids[one.key]}: {one.error}")
+                places = [[b[i] for b in one.blocks] for i in (0, 1, 3)]
+                facts = len(one.media), hashlib.sha256(one.media).hexdigest()
+                out.append((ids[one.key], n_bytes[one.key], *facts, *places))
+                held += len(one.media)
+                if held >= WAITING_BYTES:
+                    yield pd.DataFrame(out, columns=names).astype({"id": "Int64"})
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=names).astype({"id": "Int64"})
+
+    return media.select("id", "n_bytes", "media").mapInPandas(run, STORED)
+
+
+DIGESTS = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, "
+    "tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+)
+
+
+def features(data: np.ndarray, blocks: int) -> str:
+    """Of signed 8-bit samples."""
+    wide = data.astype(np.int64)
+    facts = {
+        "blocks": blocks,
+        "sum": wide.sum(),
+        "energy": (wide * wide).sum(),
+        "peak": np.abs(wide).max(initial=0),
+        "crossings": np.count_nonzero(np.diff(np.signbit(data))),
+    }
+    return ";".join(f"{k}={int(v)}" for k, v in facts.items())
+
+
+def digests(stored: DataFrame) -> DataFrame:
+    """Digest columns of stored PCM blocks: the payload is what they hold."""
+    names = [c.split()[0] for c in DIGESTS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, n, one in zip(batch["id"].array, batch["n_bytes"].array, batch["media"].array, strict=True):
-                one = bytes(one)
-                blocks = [b[3] for b in decode(one)]
-                data = np.frombuffer(b"".join(blocks), np.int8)
+            columns = (batch[c].array for c in ("id", "n_bytes", "media_bytes", "media_sha256", "pcm"))
+            for key, n, size, digest, pcm in zip(*columns, strict=True):
+                data = np.frombuffer(b"".join(map(bytes, pcm)), np.int8)
                 payload = (data.view(np.uint8) ^ 0x80).tobytes()
-                wide = data.astype(np.int64)
-                feature = f"blocks={len(blocks)};sum={int(wide.sum())};energy={int((wide * wide).sum())};peak={int(np.abs(wide).max(initial=0))};crossings={int(np.count_nonzero(np.diff(np.signbit(data))))}"
-                out.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PADDED_TO:]), len(one), hashlib.sha256(one).hexdigest(), feature))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype({"doc_id": "Int64"})
+                tail = zlib.crc32(payload[-PADDED_TO:])
+                sha = hashlib.sha256(payload).hexdigest()
+                out.append((key, n, len(payload), sha, tail, size, digest, features(data, len(pcm))))
+            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    return media.mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("id", "n_bytes", "media_bytes", "media_sha256", "pcm").mapInPandas(run, DIGESTS)
 
 
 def op6_flac(spark, sf_dir):
-    return digests(encode_texts(table(spark, sf_dir, "documents")))
+    """Streams and their PCM blocks are both stored and read back."""
+    media = materialize(encode_texts(table(spark, sf_dir, "documents")), "media", "uncompressed")
+    return digests(materialize(stored_blocks(media), "pcm"))
