@@ -192,10 +192,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(sketched.where("doc_id is not null and n_shingles > 0").groupBy("copy_key").agg(F.min("doc_id").alias("class"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")), "classes")
 
     dealt = classes.select("class", "n_shingles", F.explode(F.array_distinct("bands")).alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # Aggregates are written before they are joined with what they count, so that Spark can split hot buckets:
+    # a join that shares its side's shuffle isn't split.
+    shared = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     members = materialize(dealt.join(shared, "bucket"), "members")
     central = members.groupBy("class").agg(F.sum("n").alias("met"))
-    centre = members.join(central, "class").groupBy("bucket").agg(F.max(F.struct("met", F.xxhash64("class"), "class"))["class"].alias("centre"))
+    largest = F.max(F.struct("met", F.xxhash64("class"), "class"))["class"].alias("centre")
+    centre = materialize(members.join(central, "class").groupBy("bucket").agg(largest), "centre")
     members = materialize(members.join(centre, "bucket"), "members")
     texts = materialize(own.join(members.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 

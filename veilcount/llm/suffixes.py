@@ -160,16 +160,28 @@ def spans_of(least: int):
     return finish
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, chunk_words: int = CHUNK_WORDS // 4, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def repeated_anchors(kept: DataFrame) -> DataFrame:
+    """Rows of kept (anchor, doc_id, position) whose anchor occurs again.
+
+    The repeated anchors are written first: Spark splits a hot anchor in a join of two tables, not in
+    a join of a table and its own aggregate, which share a shuffle.
+    """
+    again = kept.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    return kept.join(materialize(again, "again"), "anchor")
+
+
+def repeated_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST,
+    chunk_words: int = CHUNK_WORDS // 4, slice_bytes: int = SLICE_BYTES,
+) -> DataFrame:
     """doc_id, first_word, end_word, n_words, other_id: maximal spans of words that occur elsewhere too.
 
     Overlapping spans of a document are merged. other_id is the smallest document that shares at least
     `least` words of the span; it is the document itself where it repeats its own passage.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).where("doc_id is not null")
-    kept = materialize(anchors(own), "anchors")
-    again = kept.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = kept.join(again, "anchor").groupBy("doc_id").agg(F.collect_set("position").alias("positions"))
+    wanted = repeated_anchors(materialize(anchors(own), "anchors"))
+    wanted = wanted.groupBy("doc_id").agg(F.collect_set("position").alias("positions"))
     slices = 1 + text_bytes(own) // slice_bytes
     chunks = materialize(chunked(own.join(wanted, "doc_id"), slices, least, chunk_words), "windows")
     asked = chunks.where("slice >= 0").select("chunk", "slice", "keys", "figures")
