@@ -36,7 +36,14 @@ def count_words(text: Column) -> Column:
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), count_words(text_of(text_col)).alias("size"))
+    """doc_id, source, size and text_key, a hash of the text."""
+    text = text_of(text_col)
+    return docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        count_words(text).alias("size"),
+        F.xxhash64(text).alias("text_key"),
+    )
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most_copies: float = MOST_COPIES) -> DataFrame:
@@ -84,7 +91,7 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most_copies: int = MOST_COPIES, seed: int = SEED, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc_id, size, source_size, target, taken and block (the source's block size), one row a document."""
+    """doc_id, size, source_size, target, taken, block (the source's block size), source and text_key, one row each."""
     sizes = materialize(sized(docs, id_col, text_col, source_col), "sizes")
     targets = source_targets(sizes, weights, share, most_copies)
     everything = Window.partitionBy()
@@ -94,7 +101,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = apportion(sources, ["world"], ["source"], "target", "seats").withColumn("shards", F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / shard_words)).select("source", "source_size", "target", "block", "shards", F.col("quota").alias("source_seats"))
 
     place = F.xxhash64(F.lit(seed), "doc_id", "size")
-    dealt = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.size", "s.*").withColumn("place", place).withColumn("shard", F.pmod(F.col("place"), F.col("shards")))
+    dealt = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.size", "d.text_key", "s.*").withColumn("place", place).withColumn("shard", F.pmod(F.col("place"), F.col("shards")))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_seats").alias("source_seats"), F.first("block").alias("block"))
     shards = apportion(shards, ["source"], ["shard"], "shard_size", "source_seats")
     blocks = F.greatest(F.ceil(F.col("shard_size") / F.col("block")), F.lit(1))
@@ -109,21 +116,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     start = F.col("end") - F.col("size")
     overlap = lambda lo, hi: F.greatest(F.least(F.col("end"), hi) - F.greatest(start, lo), F.lit(0))
     taken = F.col("passes") * F.col("size") + overlap(F.col("from"), F.col("to")) + overlap(F.lit(0), F.col("wrapped"))
-    return laid.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "block")
+    return laid.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "block", "source", "text_key")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
+) -> DataFrame:
     """The documents, each as often as the mix takes it (rounded), with all their columns.
 
     A run of blocks cuts two documents a shard at most, so rounding hardly moves a source's total.
-    Documents without words stay once.
+    Documents without words stay once. Rows that repeat id, source and text share what the mix takes of them.
     """
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    taken = mix(docs, id_col, text_col, source_col, **options).groupBy("doc_id").agg(F.max(times).alias("_times")).where("_times > 0").withColumnRenamed("doc_id", "_id")
-    whole = docs.select(F.struct(*docs.columns).alias("_row"))
+    keys = ["doc_id", "source", "text_key"]
+    taken = mix(docs, id_col, text_col, source_col, **options)
+    times = F.when(F.sum("size") > 0, F.round(F.sum("taken") / F.sum("size"))).otherwise(1).cast("int")
+    taken = taken.groupBy(*keys).agg(times.alias("times")).where("times > 0")
+    row = docs.select(F.struct(*docs.columns).alias("_row"))
+    text, source = text_of(F.col(f"_row.{text_col}")), F.col(f"_row.{source_col}").cast("string")
+    same = F.col(f"_row.{id_col}").eqNullSafe(F.col("doc_id")) & source.eqNullSafe(F.col("source"))
     # The hint makes small and large corpora join alike: the ids grow with the corpus.
-    return whole.join(taken.hint("merge"), F.col(f"_row.{id_col}").eqNullSafe(F.col("_id"))).select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_copy")).select("_row.*")
+    met = row.join(taken.hint("merge"), same & (F.xxhash64(text) == F.col("text_key")))
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("times")))
+    return met.select("_row", copies.alias("_copy")).select("_row.*")
 
 
 def op3_mixing(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("source", "text_key")
