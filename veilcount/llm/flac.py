@@ -602,7 +602,7 @@ STORED = (
 
 
 def stored_blocks(media: DataFrame) -> DataFrame:
-    """Streams (id, n_bytes, media) to their PCM blocks, one row a stream, blocks by their sample offsets.
+    """Streams (id, n_bytes, media) to their PCM blocks to be stored, one row a stream, by their sample offsets.
 
     A stream that can't be read ends the job: these are our own.
     """
@@ -665,6 +665,9 @@ def digests(stored: DataFrame) -> DataFrame:
 
 
 def op6_flac(spark, sf_dir):
-    """Streams and their PCM blocks are both stored and read back."""
-    media = materialize(encode_texts(table(spark, sf_dir, "documents")), "media", "uncompressed")
-    return digests(materialize(stored_blocks(media), "pcm"))
+    """Streams are stored and read back; the digests come from their PCM blocks.
+
+    The blocks aren't stored as well: text takes 0.93 of its bytes as FLAC (0.83 in the table) and 0.37 as blocks.
+    """
+    media = materialize(encode_texts(table(spark, sf_dir, "documents")), "media")
+    return digests(stored_blocks(media))
