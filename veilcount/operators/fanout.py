@@ -1,20 +1,76 @@
 """Events to named counters.
 
-Counters are conjunctions of a few classes, so events are first summed by class and bin, map side,
-and only these cells fan out to counter names: no row of input is multiplied.
+Counters are conjunctions of a few classes, so events are summed once by class, map side, each
+histogram by its own bins, as sums under conditions; names join only the few rows that are left. No row of
+input is multiplied, and the number of rows that move doesn't grow with the bins' product.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilcount.functions.scalars import encode_ratio, is_active, port_class
-from veilcount.operators.binning import INF, Bins, bin_of, modular_sum
+from veilcount.functions.scalars import encode_ratio, is_active, port_class, web_class
+from veilcount.operators.binning import INF, Bins, in_bin, list_bins, modular_sum
 
 BYTE_BINS: Bins = ((-INF, -10.0), (0.0, 512.0), (512.0, 1024.0), (1024.0, 2048.0), (2048.0, 4096.0), (4096.0, INF))
 RATIO_BINS: Bins = ((-INF, -1.0), (-1.0, 0.0), (0.0, 1.0), (1.0, INF))
 TIME_BINS: Bins = ((0.0, 60.0), (60.0, 3600.0), (3600.0, 86400.0), (86400.0, INF))
+COUNT_BINS: Bins = ((0.0, 1.0), (1.0, 2.0), (2.0, 4.0), (4.0, 8.0), (8.0, INF))
+
+#: Bins where the caller gives none, by what a counter's name ends with.
+DEFAULT_BINS: dict[str, Bins] = {
+    "ByteHistogram": BYTE_BINS,
+    "CellHistogram": BYTE_BINS,
+    "CircuitHistogram": COUNT_BINS,
+    "StreamHistogram": COUNT_BINS,
+    "OverlapHistogram": COUNT_BINS,
+    "IntroPointHistogram": COUNT_BINS,
+    "RevisionHistogram": COUNT_BINS,
+    "Ratio": RATIO_BINS,
+    "LifeTime": TIME_BINS,
+    "DelayTime": ((-INF, INF),),
+    "CreationTime": TIME_BINS,
+}
+BinsBySuffix = Mapping[str, Bins]
+
+
+def bins_for(suffix: str, given: BinsBySuffix | None) -> Bins:
+    """The bins of a measure: given by its suffix, else by the longest of what it ends with."""
+    if given and suffix in given:
+        return given[suffix]
+    ends = [e for e in (*(given or ()), *DEFAULT_BINS) if suffix.endswith(e)]
+    best = max(ends, key=len)
+    return (given or {}).get(best) or DEFAULT_BINS[best]
+
+
+@dataclass(frozen=True)
+class Measure:
+    """What a counter's name ends with, its increment, and the value that its bins cut; no value: one bin.
+
+    A null increment (None counts 1) or value leaves the event out.
+    """
+
+    suffix: str
+    inc: Column | None = None
+    value: Column | None = None
+    bins: Bins | None = None
+
+
+def counts_of(parts: Mapping[str, Column], suffix: str = "Count") -> list[Measure]:
+    return [Measure(f"{lead}{suffix}", c) for lead, c in parts.items()]
+
+
+def histograms_of(parts: Mapping[str, Column], suffix: str = "Histogram") -> list[Measure]:
+    return [Measure(f"{lead}{suffix}", None, c) for lead, c in parts.items()]
+
+
+def lists_of(index: Column, lists: int, parts: Mapping[str, Column | None], suffix: str = "CountList") -> list[Measure]:
+    """One bin for each list and one for what is in none; index: a list's number, infinity for none."""
+    return [Measure(f"{lead}{suffix}", c, index, list_bins(lists)) for lead, c in parts.items()]
 
 
 def variants(*parts: Column | list[Column]) -> Column:
@@ -29,125 +85,390 @@ def _suffixed(names: Column, part: Column) -> Column:
     return F.transform(names, lambda x: F.concat(x, part))
 
 
-def counted(cells: DataFrame, measures: list[tuple[str, Column, Column]], names: Column, wanted: list[str] | None = None) -> DataFrame:
-    """Cells with counts, fanned out to (name + measure, bin_idx) and summed.
+def joined(*parts: Column) -> Column:
+    """All concatenations of one element of each array."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = _crossed(out, part)
+    return out
+
 
-    measures: (suffix, bin, increment); a null bin is a gap. wanted: the counters that are asked
-    for; others leave before the rows are made.
+def _crossed(heads: Column, tails: Column) -> Column:
+    return F.flatten(F.transform(heads, lambda x: F.transform(tails, lambda y: F.concat(x, y))))
+
+
+def class_cells(
+    events: DataFrame, classes: Mapping[str, Column], measures: list[Measure], bins: BinsBySuffix | None = None
+) -> DataFrame:
+    """The classes' columns and `cells`: (suffix, bin_idx, count) of each class; bins without events are left out."""
+    sums, facts = [], []
+    for m in measures:
+        inc = F.lit(1) if m.inc is None else m.inc
+        total = (lambda c: F.count(c).cast("decimal(38,0)")) if m.inc is None else modular_sum
+        if m.value is None:
+            sums.append(F.when(F.count(inc) > 0, total(inc)))
+            facts.append((m.suffix, 0))
+            continue
+        value = m.value.cast("double")
+        for i, (low, high) in enumerate(m.bins or bins_for(m.suffix, bins)):
+            hit = F.when(in_bin(value, F.lit(float(low)), F.lit(float(high))), inc)
+            sums.append(F.when(F.count(hit) > 0, total(hit)))
+            facts.append((m.suffix, i))
+    named = [c.alias(k) for k, c in classes.items()]
+    summed = events.groupBy(*named).agg(*[s.alias(f"_{i}") for i, s in enumerate(sums)])
+    cells = [
+        F.struct(F.lit(s).alias("suffix"), F.lit(i).alias("bin_idx"), F.col(f"_{k}").alias("count"))
+        for k, (s, i) in enumerate(facts)
+    ]
+    return summed.select(*classes, F.filter(F.array(*cells), lambda c: c["count"].isNotNull()).alias("cells"))
+
+
+def named(cells: DataFrame, names: Column, wanted: list[str] | None = None) -> DataFrame:
+    """Cells of classes to (counter, bin_idx, count), a counter being a name and a cell's suffix.
+
+    wanted: the counters that are asked for; others leave here.
     """
-    rows = F.filter(F.flatten(F.transform(names, lambda n: F.array(*[F.struct(F.format_string(suffix, n).alias("counter"), b.cast("int").alias("bin_idx"), inc.cast("decimal(22,0)").alias("inc")) for suffix, b, inc in measures]))), lambda r: r["bin_idx"].isNotNull() & r["inc"].isNotNull())
+    rows = cells.select(F.explode(names).alias("name"), "cells").select("name", F.explode("cells").alias("c"))
+    rows = rows.select(F.concat("name", "c.suffix").alias("counter"), F.col("c.bin_idx").alias("bin_idx"), "c.count")
     if wanted is not None:
-        rows = F.filter(rows, lambda r: r["counter"].isin(*wanted))
-    return cells.select(F.explode(rows).alias("r")).groupBy("r.counter", "r.bin_idx").agg(modular_sum(F.col("r.inc")).alias("count"))
+        rows = rows.where(F.col("counter").isin(*wanted))
+    return rows.groupBy("counter", "bin_idx").agg(modular_sum(F.col("count")).alias("count"))
+
+
+STREAM_SIDES = ("", "Outbound", "Inbound")
+
+
+def _stream_facts(streams: DataFrame) -> tuple[DataFrame, dict[str, Column], list[Measure]]:
+    """V9's streams, their bytes by side, and the measures of bytes, ratio and lifetime."""
+    total = F.col("read_bytes") + F.col("write_bytes")
+    valid = streams.where((F.col("read_bytes") >= 0) & (F.col("write_bytes") >= 0) & (total > 0))
+    sides = dict(zip(STREAM_SIDES, (total, F.col("write_bytes"), F.col("read_bytes")), strict=True))
+    ratio = encode_ratio(F.col("read_bytes"), F.col("write_bytes"))
+    binned = histograms_of(sides, "ByteHistogram")
+    return valid, sides, [*binned, Measure("ByteRatio", None, ratio), Measure("LifeTime", None, F.col("lifetime"))]
+
 
+def _place() -> Column:
+    return F.when(F.col("stream_number") == 1, "Initial").otherwise("Subsequent")
 
-def stream_counters(streams: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+
+def stream_counters(
+    streams: DataFrame, wanted: list[str] | None = None, bins: BinsBySuffix | None = None
+) -> DataFrame:
     """Streams (port, ip_version, host_class, stream_number, read_bytes, write_bytes, lifetime).
 
     Streams with negative counts or no bytes at all aren't counted (V9).
     """
-    total = F.col("read_bytes") + F.col("write_bytes")
-    valid = streams.where((F.col("read_bytes") >= 0) & (F.col("write_bytes") >= 0) & (total > 0))
-    classes = [port_class(F.col("port")).alias("port_class"), F.concat(F.lit("IPv"), "ip_version").alias("ip"), F.col("host_class").alias("host"), F.when(F.col("stream_number") == 1, "Initial").otherwise("Subsequent").alias("place")]
-    bins = [bin_of(total, BYTE_BINS).alias("b_all"), bin_of(F.col("write_bytes"), BYTE_BINS).alias("b_out"), bin_of(F.col("read_bytes"), BYTE_BINS).alias("b_in"), bin_of(encode_ratio(F.col("read_bytes"), F.col("write_bytes")), RATIO_BINS).alias("b_ratio"), bin_of(F.col("lifetime"), TIME_BINS).alias("b_life")]
-    cells = valid.groupBy(*classes, *bins).agg(F.count("*").alias("n"), F.sum("read_bytes").alias("read"), F.sum("write_bytes").alias("write"))
-    web = F.when(F.col("port_class") == "Web", "Web").otherwise("NonWeb")
-    of_host = F.when(F.col("host") == "Hostname", F.concat("host", web))
-    subs = F.array_compact(F.array(F.lit(""), F.col("port_class"), F.when(web == "NonWeb", web), F.col("ip"), F.concat("ip", "place"), F.col("host"), F.concat("host", "place"), F.col("place"), of_host, F.concat(of_host, F.col("place"))))
-    one, n = F.lit(0), F.col("n")
-    measures = [("Exit%sStreamCount", one, n), ("Exit%sStreamByteCount", one, F.col("read") + F.col("write")), ("Exit%sStreamOutboundByteCount", one, F.col("write")), ("Exit%sStreamInboundByteCount", one, F.col("read")), ("Exit%sStreamByteHistogram", F.col("b_all"), n), ("Exit%sStreamOutboundByteHistogram", F.col("b_out"), n), ("Exit%sStreamInboundByteHistogram", F.col("b_in"), n), ("Exit%sStreamByteRatio", F.col("b_ratio"), n), ("Exit%sStreamLifeTime", F.col("b_life"), n)]
-    return counted(cells, measures, subs, wanted)
-
-
-def circuit_counters(circuits: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    valid, sides, binned = _stream_facts(streams)
+    classes = {
+        "port_class": port_class(F.col("port")),
+        "web": web_class(F.col("port")),
+        "ip": F.concat(F.lit("IPv"), "ip_version"),
+        "host": F.col("host_class"),
+        "place": _place(),
+    }
+    cells = class_cells(valid, classes, [Measure("Count"), *counts_of(sides, "ByteCount"), *binned], bins)
+    of_host = F.when(F.col("host") == "Hostname", F.concat("host", "web"))
+    placed = [F.concat(x, "place") for x in (F.col("ip"), F.col("host"), of_host)]
+    alone = F.when(F.col("web") == "NonWeb", F.col("web"))
+    subs = F.array_compact(F.array(F.lit(""), "port_class", alone, "ip", "host", "place", of_host, *placed))
+    return named(cells, F.transform(subs, lambda s: F.concat(F.lit("Exit"), s, F.lit("Stream"))), wanted)
+
+
+def domain_counters(
+    streams: DataFrame, lists: int, wanted: list[str] | None = None, bins: BinsBySuffix | None = None
+) -> DataFrame:
+    """Initial web streams to host names, by the lists that match the name.
+
+    streams as above with exact_list and suffix_list: the number of the first list that matches, infinity for none
+    (exact_match() and suffix_match() give them). The suffix is tried whenever the exact match misses. Histograms
+    tell the first list from all else; the lists' counters have a bin for each of `lists` lists and one for none.
+    """
+    to_web = (F.col("host_class") == "Hostname") & (web_class(F.col("port")) == "Web")
+    first = streams.where(to_web & (_place() == "Initial"))
+    valid, sides, binned = _stream_facts(first)
+    suffix = F.when(F.col("exact_list") < INF, F.col("exact_list")).otherwise(F.col("suffix_list"))
+    found = []
+    for kind, index in (("Exact", F.col("exact_list")), ("Suffix", suffix)):
+        cells = class_cells(valid, {"hit": index == 0}, binned, bins)
+        name = F.when(F.col("hit"), F.lit(f"ExitDomain{kind}MatchWebInitialStream"))
+        found.append(named(cells, F.array(name.otherwise(F.lit(f"ExitDomainNo{kind}MatchWebInitialStream"))), wanted))
+        listed = lists_of(index, lists, {"": None}) + lists_of(index, lists, sides, "ByteCountList")
+        of_list = class_cells(valid, {"one": F.lit(1)}, listed)
+        found.append(named(of_list, F.array(F.lit(f"ExitDomain{kind}MatchWebInitialStream")), wanted))
+    return _union(found)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _circuit_measures(active: Column, reasons: int) -> list[Measure]:
+    """The ratio counts active circuits only, reasons failed ones only."""
+    cells = {"Inbound": F.col("inbound_cells"), "Outbound": F.col("outbound_cells")}
+    ratio = F.when(active, encode_ratio(*cells.values()))
+    return [
+        Measure("Count"),
+        *counts_of(cells, "CellCount"),
+        *histograms_of(cells, "CellHistogram"),
+        Measure("CellRatio", None, ratio),
+        Measure("LifeTime", None, F.col("lifetime")),
+        *lists_of(F.when(F.col("failed"), F.col("reason_list")), reasons, {"": None}, "ReasonCountList"),
+    ]
+
+
+NO_ACTIVITY = ("Exit", "Dir", "HSDir")
+
+
+def _activity() -> Column:
+    return F.when(~F.col("position").isin(*NO_ACTIVITY), F.when(F.col("active"), "Active").otherwise("Inactive"))
+
+
+def _status() -> Column:
+    return F.when(F.col("failed"), "Failure").otherwise("Success")
+
+
+def circuit_counters(
+    circuits: DataFrame, wanted: list[str] | None = None, bins: BinsBySuffix | None = None, reasons: int = 6
+) -> DataFrame:
     """Circuits (position, role, failed, inbound_cells, outbound_cells, lifetime, reason_list).
 
-    Names are position + role + activity + status; exits have no activity. The ratio counts active
-    circuits only, reasons failed ones only.
+    Names are position + role + activity + status; exits have no activity. reason_list: the number of the list of
+    failure reasons, of so many.
     """
     active = is_active(F.col("inbound_cells"), F.col("outbound_cells"))
-    cells = circuits.groupBy("position", "role", "failed", active.alias("active"), bin_of(F.col("inbound_cells"), BYTE_BINS).alias("b_in"), bin_of(F.col("outbound_cells"), BYTE_BINS).alias("b_out"), bin_of(encode_ratio(F.col("inbound_cells"), F.col("outbound_cells")), RATIO_BINS).alias("b_ratio"), bin_of(F.col("lifetime"), TIME_BINS).alias("b_life"), "reason_list").agg(F.count("*").alias("n"), F.sum("inbound_cells").alias("i"), F.sum("outbound_cells").alias("o"))
-    activity = F.when(~F.col("position").isin("Exit", "Dir", "HSDir"), F.when(F.col("active"), "Active").otherwise("Inactive"))
-    names = F.transform(variants(F.col("role"), activity, F.when(F.col("failed"), "Failure").otherwise("Success")), lambda v: F.concat("position", v))
-    one, n = F.lit(0), F.col("n")
-    measures = [("%sCircuitCount", one, n), ("%sCircuitInboundCellCount", one, F.col("i")), ("%sCircuitOutboundCellCount", one, F.col("o")), ("%sCircuitInboundCellHistogram", F.col("b_in"), n), ("%sCircuitOutboundCellHistogram", F.col("b_out"), n), ("%sCircuitCellRatio", F.when(F.col("active"), F.col("b_ratio")), n), ("%sCircuitLifeTime", F.col("b_life"), n), ("%sCircuitReasonCountList", F.when(F.col("failed"), F.col("reason_list")), n)]
-    return counted(cells, measures, names, wanted)
+    classes = {c: F.col(c) for c in ("position", "role", "failed")} | {"active": active}
+    cells = class_cells(circuits, classes, _circuit_measures(active, reasons), bins)
+    names = joined(F.array("position"), variants(F.col("role"), _activity(), _status()), F.array(F.lit("Circuit")))
+    return named(cells, names, wanted)
 
 
-def connection_counters(connections: DataFrame, wanted: list[str] | None = None) -> DataFrame:
-    """Connections (is_client, relays, bytes, lifetime, country_list)."""
-    cells = connections.groupBy("is_client", (F.col("relays") > 0).alias("relay"), bin_of(F.col("bytes"), BYTE_BINS).alias("b_all"), bin_of(F.col("lifetime"), TIME_BINS).alias("b_life"), "country_list").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    side = F.when(F.col("is_client"), "Entry").otherwise("NonEntry")
-    on = F.when(F.col("relay"), "RelayOnAddress").otherwise("NoRelayOnAddress")
-    match = F.when(F.col("country_list") == 0, "CountryMatch").otherwise("CountryNoMatch")
-    names = F.transform(variants(on), lambda v: F.concat(side, v, F.lit("Connection")))
-    one, n = F.lit(0), F.col("n")
-    plain = [("%sCount", one, n), ("%sByteCount", one, F.col("bytes")), ("%sCountryCountList", F.col("country_list"), n)]
-    both = [("%sByteHistogram", F.col("b_all"), n), ("%sLifeTime", F.col("b_life"), n)]
-    matched = F.transform(names, lambda v: F.concat(v, match))
-    return counted(cells, plain, names, wanted).unionByName(counted(cells, both, F.concat(names, matched), wanted))
+CONNECTION_PARTS = ("", "Inbound", "Outbound")
 
 
-def cache_counters(entries: DataFrame, kind: str = "Store", wanted: list[str] | None = None) -> DataFrame:
-    """Cache events (version, added, cached, auth, bytes); fetches have no added.
+def connection_counters(
+    connections: DataFrame, wanted: list[str] | None = None, bins: BinsBySuffix | None = None, lists: int = 3
+) -> DataFrame:
+    """Connections (is_client, relays, in_bytes, out_bytes, in_circuits, out_circuits, lifetime, overlap,
+    country_list, as_list).
 
-    Names without a version never tell client authorisation apart; version 2 does where it's known.
+    overlap: connections from the address at once. The lists are numbers of the first list that holds the country
+    or the AS of the remote address, infinity for none; each kind has so many. Histograms are kept for all
+    connections and for those in the first list and outside it; the lists' counters have a bin a list.
     """
-    cells = entries.groupBy("version", "added", F.coalesce("cached", F.lit(False)).alias("cached"), "auth", bin_of(F.col("bytes"), BYTE_BINS).alias("b")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    added = F.when(F.col("added"), "Add").when(~F.col("added"), "Reject")
+    sides, parts = {}, {"Byte": ("in_bytes", "out_bytes"), "Circuit": ("in_circuits", "out_circuits")}
+    for what, (a, b) in parts.items():
+        each = (F.col(a) + F.col(b), F.col(a), F.col(b))
+        sides |= {f"{lead}{what}": c for lead, c in zip(CONNECTION_PARTS, each, strict=True)}
+    binned = [
+        *histograms_of(sides),
+        Measure("LifeTime", None, F.col("lifetime")),
+        Measure("OverlapHistogram", None, F.col("overlap")),
+    ]
+    both = {"is_client": F.col("is_client"), "relay": F.col("relays") > 0}
+    side = F.when(F.col("is_client"), "Entry").otherwise("NonEntry")
+    on = F.when(F.col("relay"), "RelayOnAddress").otherwise("NoRelayOnAddress")
+    heads = joined(F.array(side), variants(on), F.array(F.lit("Connection")))
+    plain = [Measure("Count"), *counts_of(sides), *binned]
+    found = [named(class_cells(connections, both, plain, bins), heads, wanted)]
+    for kind in ("Country", "AS"):
+        index = F.col(f"{kind.lower()}_list")
+        cells = class_cells(connections, both | {"hit": index == 0}, binned, bins)
+        tail = F.when(F.col("hit"), f"{kind}Match").otherwise(f"{kind}NoMatch")
+        found.append(named(cells, _suffixed(heads, tail), wanted))
+        of_list = class_cells(connections, both, lists_of(index, lists, {"": None} | sides))
+        found.append(named(of_list, _suffixed(heads, F.lit(f"{kind}Match")), wanted))
+    return _union(found)
+
+
+def cache_counters(
+    entries: DataFrame,
+    kind: str = "Store",
+    wanted: list[str] | None = None,
+    bins: BinsBySuffix | None = None,
+    reasons: int = 3,
+    onions: int = 3,
+) -> DataFrame:
+    """Cache events (version, added, cached, auth, intro_bytes, desc_bytes, reason_list, onion_list,
+    intro_points, upload_delay, revision); fetches have no added and no upload_delay.
+
+    Names without a version never tell client authorisation apart; version 2 does where it's known. A missing
+    entry counts as uncached. reason_list and onion_list are numbers of lists, infinity for none; a null onion_list,
+    count, delay or revision leaves its counter alone.
+    """
+    sizes = {"Intro": F.col("intro_bytes"), "Descriptor": F.col("desc_bytes")}
+    common = [
+        Measure("Count"),
+        *counts_of(sizes, "ByteCount"),
+        *histograms_of(sizes, "ByteHistogram"),
+        *lists_of(F.col("reason_list"), reasons, {"": None}, "ReasonCountList"),
+    ]
+    second = [
+        *lists_of(F.col("onion_list"), onions, {"": None}, "OnionAddressCountList"),
+        Measure("IntroPointHistogram", None, F.col("intro_points")),
+    ]
+    store = kind == "Store"
+    if store:
+        second.append(Measure("UploadDelayTime", None, F.col("upload_delay")))
+    third = [Measure("RevisionHistogram", None, F.col("revision"))]
+    added = {"added": F.col("added")} if store else {}
+    classes = {"version": F.col("version")} | added
+    classes |= {"cached": F.coalesce("cached", F.lit(False)), "auth": F.col("auth")}
+    first = (F.when(F.col("added"), "Add").when(~F.col("added"), "Reject"),) if store else ()
     cached = F.when(F.col("cached"), "Cached").otherwise("Uncached")
     auth = F.when(F.col("version") == 2, F.when(F.col("auth"), "ClientAuth").when(~F.col("auth"), "NoClientAuth"))
-    named = lambda lead, v: F.transform(v, lambda x: F.concat(lead, x))
-    names = F.concat(named(F.lit(f"HSDir{kind}"), variants(added, cached)), named(F.concat(F.lit("HSDir"), F.col("version"), F.lit(kind)), variants(added, cached, auth)))
-    one, n = F.lit(0), F.col("n")
-    return counted(cells, [("%sCount", one, n), ("%sDescriptorByteCount", one, F.col("bytes")), ("%sDescriptorByteHistogram", F.col("b"), n)], names, wanted)
+    cells = class_cells(entries, classes, [*common, *second, *third], bins)
+    heads = joined(F.array(F.lit(f"HSDir{kind}")), variants(*first, cached))
+    own = F.concat(F.lit("HSDir"), F.col("version").cast("string"), F.lit(kind))
+    versioned = joined(F.array(own), variants(*first, cached, auth))
+    shared = {m.suffix for m in common}
+    own_of = {2: shared | {m.suffix for m in second}, 3: shared | {m.suffix for m in third}}
+    of_all = F.filter("cells", lambda c: c["suffix"].isin(*shared))
+    of_version = F.filter(
+        "cells",
+        lambda c: F.when(F.col("version") == 2, c["suffix"].isin(*own_of[2])).otherwise(c["suffix"].isin(*own_of[3])),
+    )
+    found = [
+        named(cells.withColumn("cells", of_all), heads, wanted),
+        named(cells.withColumn("cells", of_version), versioned, wanted),
+    ]
+    return _union(found)
 
 
 #: Positions of onion services; the first that holds counts.
 ONION_POSITIONS = (("is_hsdir", "HSDir"), ("is_intro", "Intro"), ("is_rend", "Rend"))
+FLAGS = ("is_origin", "is_entry", "is_mid", "is_end", "is_exit", "is_dir", "is_hsdir", "is_intro", "is_rend")
 
 
 def circuit_positions(circuits: DataFrame) -> DataFrame:
-    """One row for each position of a circuit: position, version, role, hop and active join its columns.
+    """One row for each position of a circuit (or class of circuits): position, version, role, hop and active.
 
-    circuits: is_origin, is_entry, is_mid, is_end, is_exit, is_dir, is_hsdir, is_intro, is_rend,
-    is_client, hs_version, inbound_cells, outbound_cells; null flags are unset. A single hop is entry
-    and end at once. Exits, directories and service directories are always active; introductions and
+    circuits: the flags, is_client, hs_version and busy (whether it had enough cells; where there is no such column,
+    inbound_cells and outbound_cells tell); null flags are unset. A single hop is entry and end at once. Exits, directories and service directories are always active; introductions and
     rendezvous whose version nobody knows ("U") never.
     """
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     single = flag("is_entry") & flag("is_end")
-    active = F.when((flag("is_intro") | flag("is_rend")) & F.col("hs_version").isNull(), False).when(flag("is_exit") | flag("is_dir") | flag("is_hsdir"), True).otherwise(is_active(F.col("inbound_cells"), F.col("outbound_cells")))
-    plain = [F.when(flag(f"is_{p.lower()}"), p) for p in ("Origin", "Entry", "Mid", "End")] + [F.when(single, "SingleHop"), F.when(flag("is_exit"), "Exit"), F.when(flag("is_dir"), "Dir")]
+    unknown = (flag("is_intro") | flag("is_rend")) & F.col("hs_version").isNull()
+    always = flag("is_exit") | flag("is_dir") | flag("is_hsdir")
+    cells = ("inbound_cells", "outbound_cells")
+    busy = F.col("busy") if "busy" in circuits.columns else is_active(*map(F.col, cells))
+    active = F.when(unknown, False).when(always, True).otherwise(busy)
+    plain = [F.when(flag(f"is_{p.lower()}"), p) for p in ("Origin", "Entry", "Mid", "End")]
+    plain += [F.when(single, "SingleHop"), F.when(flag("is_exit"), "Exit"), F.when(flag("is_dir"), "Dir")]
     onion = F.coalesce(*[F.when(flag(c), p) for c, p in ONION_POSITIONS])
     role = F.when(F.col("is_client"), "Client").when(~F.col("is_client"), "Service")
-    hop = F.when(~single, F.concat(F.lit("MultiHop"), role)).when(F.col("is_client"), "Tor2WebClient").when(~F.col("is_client"), "SingleOnionService")
+    one_hop = F.when(F.col("is_client"), "Tor2WebClient").when(~F.col("is_client"), "SingleOnionService")
+    hop = F.when(~single, F.concat(F.lit("MultiHop"), role)).otherwise(one_hop)
     version = F.coalesce(F.col("hs_version").cast("string"), F.lit("U"))
-    rows = circuits.withColumns({"active": active, "_version": version, "_role": role, "_hop": hop}).withColumn("position", F.explode(F.array_compact(F.array(*plain, onion))))
+    rows = circuits.withColumns({"active": active, "_version": version, "_role": role, "_hop": hop})
+    rows = rows.withColumn("position", F.explode(F.array_compact(F.array(*plain, onion))))
     of_onion = lambda c: F.when(F.col("position").isin(*[p for _, p in ONION_POSITIONS]), F.col(c))
-    return rows.withColumns({"version": of_onion("_version"), "role": of_onion("_role"), "hop": of_onion("_hop")}).drop("_version", "_role", "_hop")
+    own = {"version": of_onion("_version"), "role": of_onion("_role"), "hop": of_onion("_hop")}
+    return rows.withColumns(own).drop("_version", "_role", "_hop")
 
 
-def versioned_circuit_counters(positions: DataFrame, wanted: list[str] | None = None) -> DataFrame:
-    """Rows of circuit_positions with failed, lifetime and reason_list.
+def versioned_circuit_counters(
+    circuits: DataFrame, wanted: list[str] | None = None, bins: BinsBySuffix | None = None, reasons: int = 6
+) -> DataFrame:
+    """Circuits with their flags, is_client, hs_version, failed, inbound_cells, outbound_cells, lifetime and
+    reason_list. Circuits are summed by their flags first; positions are spread over these sums. Rows of
+    circuit_positions are taken as well.
 
-    Names are position + version + role + activity + status, each part optional; the role comes alone
-    or with its hop. HSDir has no unknown version.
+    Names are position + version + role + activity + status, each part optional; the role comes alone or with its
+    hop. HSDir has no unknown version.
     """
-    cells = positions.groupBy("position", "version", "role", "hop", "failed", "active", bin_of(F.col("inbound_cells"), BYTE_BINS).alias("b_in"), bin_of(F.col("outbound_cells"), BYTE_BINS).alias("b_out"), bin_of(encode_ratio(F.col("inbound_cells"), F.col("outbound_cells")), RATIO_BINS).alias("b_ratio"), bin_of(F.col("lifetime"), TIME_BINS).alias("b_life"), "reason_list").agg(F.count("*").alias("n"), F.sum("inbound_cells").alias("i"), F.sum("outbound_cells").alias("o"))
+    measures = _circuit_measures(F.lit(True), reasons)
+    busy = is_active(F.col("inbound_cells"), F.col("outbound_cells"))
+    plain = {c: F.coalesce(F.col(c), F.lit(False)) for c in FLAGS}
+    classes = plain | {c: F.col(c) for c in ("is_client", "hs_version", "failed")} | {"busy": busy}
+    # Activity depends on the position's class only, so the ratio is kept and dropped with the name.
+    if "position" in circuits.columns:
+        of_position = ("position", "version", "role", "hop", "failed", "active")
+        cells = class_cells(circuits, {c: F.col(c) for c in of_position}, measures, bins)
+    else:
+        cells = circuit_positions(class_cells(circuits, classes, measures, bins))
+    kept = F.filter("cells", lambda c: F.col("active") | (c["suffix"] != "CellRatio"))
     version = F.when(~((F.col("position") == "HSDir") & (F.col("version") == "U")), F.col("version"))
     roles = F.array_compact(F.array(F.lit(""), F.col("role"), F.col("hop")))
-    status = F.when(F.col("failed"), "Failure").otherwise("Success")
-    activity = F.when(~F.col("position").isin("Exit", "Dir", "HSDir"), F.when(F.col("active"), "Active").otherwise("Inactive"))
-    tails = F.flatten(F.transform(variants(version), lambda v: F.transform(roles, lambda r: F.concat("position", v, r))))
-    names = F.flatten(F.transform(variants(activity, status), lambda x: F.transform(tails, lambda t: F.concat(t, x))))
-    one, n = F.lit(0), F.col("n")
-    measures = [("%sCircuitCount", one, n), ("%sCircuitInboundCellCount", one, F.col("i")), ("%sCircuitOutboundCellCount", one, F.col("o")), ("%sCircuitInboundCellHistogram", F.col("b_in"), n), ("%sCircuitOutboundCellHistogram", F.col("b_out"), n), ("%sCircuitCellRatio", F.when(F.col("active"), F.col("b_ratio")), n), ("%sCircuitLifeTime", F.col("b_life"), n), ("%sCircuitReasonCountList", F.when(F.col("failed"), F.col("reason_list")), n)]
-    return counted(cells, measures, names, wanted)
+    tails = variants(_activity(), _status())
+    names = joined(F.array("position"), variants(version), roles, tails, F.array(F.lit("Circuit")))
+    return named(cells.withColumn("cells", kept), names, wanted)
 
 
 def exit_and_rend_counters(circuits: DataFrame) -> DataFrame:
     """Exits count for both sides, version 2 rendezvous for their own; columns as circuit_positions reads them."""
-    rend = F.col("is_rend") & (F.col("hs_version") == 2)
-    sides = F.filter(F.flatten(F.array(*[F.array(F.when(F.col("is_exit"), side), F.when(rend & held, side)) for side, held in (("Client", F.col("is_client")), ("Service", ~F.col("is_client")))])), lambda x: x.isNotNull())
-    return circuits.select(F.explode(sides).alias("side")).groupBy(F.concat(F.lit("ExitAndRend2"), "side", F.lit("CircuitCount")).alias("counter"), F.lit(0).alias("bin_idx")).agg(modular_sum(F.lit(1)).alias("count"))
+    rend = F.coalesce(F.col("is_rend") & (F.col("hs_version") == 2), F.lit(False))
+    held = {"Client": F.col("is_client"), "Service": ~F.col("is_client")}
+    exits = F.when(F.col("is_exit"), 1).otherwise(0)
+    measures = [
+        Measure(f"ExitAndRend2{side}CircuitCount", exits + F.when(rend & own, 1).otherwise(0)) for side, own in held.items()
+    ]
+    hit = F.coalesce(F.col("is_exit"), F.lit(False)) | (rend & F.col("is_client").isNotNull())
+    cells = class_cells(circuits.where(hit), {"one": F.lit(1)}, measures)
+    return named(cells, F.array(F.lit(""))).where("count > 0")
+
+
+STREAM_CLASSES = ("Web", "Interactive", "P2P", "OtherPort")
+
+
+def exit_circuit_counters(
+    streams: DataFrame,
+    closes: DataFrame,
+    keys: list[str],
+    wanted: list[str] | None = None,
+    bins: BinsBySuffix | None = None,
+) -> DataFrame:
+    """Streams (keys, port, start) of closed exit circuits (keys), those that ended before the close.
+
+    Streams by circuit, of all and of each port class, the times between the starts of one circuit's streams, and
+    circuits by class. Circuits without streams aren't counted.
+    """
+    held = streams.join(closes.select(*keys).distinct(), keys, "left_semi")
+    start = F.col("start").cast("double").alias("start")
+    held = held.select(*keys, port_class(F.col("port")).alias("port_class"), start)
+    each = [F.count(F.when(F.col("port_class") == c, 1)).alias(f"n{i}") for i, c in enumerate(STREAM_CLASSES, 1)]
+    per = held.groupBy(*keys).agg(F.count("*").alias("n0"), *each)
+    labels = ("", *STREAM_CLASSES)
+    sizes = [F.when(F.col(f"n{i}") > 0, F.col(f"n{i}")) for i in range(len(labels))]
+    measures = [Measure(f"ExitCircuit{c}StreamHistogram", None, n) for c, n in zip(labels, sizes, strict=True)]
+    for c, n in zip(labels[1:], sizes[1:], strict=True):
+        measures.append(Measure(f"Exit{c}CircuitCount", F.when(n.isNotNull(), 1)))
+    found = [named(class_cells(per, {"one": F.lit(1)}, measures, bins), F.array(F.lit("")), wanted)]
+    # Windows sort and spill; no circuit's streams are gathered.
+    for name, more in ((F.lit("ExitCircuit"), []), (F.concat(F.lit("ExitCircuit"), "port_class"), ["port_class"])):
+        before = F.lag("start").over(Window.partitionBy(*keys, *more).orderBy("start"))
+        gaps = held.withColumn("gap", F.col("start") - before).where("gap is not null")
+        classes = {c: F.col(c) for c in more} or {"one": F.lit(1)}
+        cells = class_cells(gaps, classes, [Measure("InterStreamCreationTime", None, F.col("gap"))], bins)
+        found.append(named(cells, F.array(name), wanted))
+    return _union(found)
+
+
+def client_counters(clients: DataFrame, wanted: list[str] | None = None, bins: BinsBySuffix | None = None) -> DataFrame:
+    """ST2's counters: clients (w, ip, active, active_completed, inactive_completed), one row a client and window."""
+    done = {n: F.coalesce(F.col(f"{n.lower()}_completed"), F.lit(0)) for n in ("Active", "Inactive")}
+    measures = [Measure(f"EntryClientIP{n}CircuitHistogram", None, c) for n, c in done.items()]
+    measures += [
+        Measure("EntryClientIPCount"),
+        Measure("EntryActiveClientIPCount", F.col("active")),
+        Measure("EntryInactiveClientIPCount", 1 - F.col("active")),
+    ]
+    return named(class_cells(clients, {"one": F.lit(1)}, measures, bins), F.array(F.lit("")), wanted)
+
+
+#: The counters that each event of a traffic model increments, whatever its path holds.
+MODEL_COUNTERS = {
+    "VITERBI_PACKETS": "ExitStreamTrafficModelStreamCount",
+    "VITERBI_STREAMS": "ExitCircuitTrafficModelCircuitCount",
+}
+
+
+def model_event_counters(events: DataFrame) -> DataFrame:
+    """One for each event (code) of a traffic model."""
+    counter = F.element_at(F.create_map(*[F.lit(x) for pair in MODEL_COUNTERS.items() for x in pair]), F.col("code"))
+    known = events.where(F.col("code").isin(*MODEL_COUNTERS))
+    return named(class_cells(known, {"code": F.col("code")}, [Measure("")]), F.array(counter))

@@ -17,24 +17,29 @@ def rotation_rows(closes: DataFrame, period: int, ts: str = "ts", created: str =
     return closes.select("ip", "active", F.explode(F.array_compact(F.array(own, earlier))).alias("r")).select("ip", "active", "r.*")
 
 
+def client_windows(closes: DataFrame, period: int = 600) -> DataFrame:
+    """ST2: w, ip, active and completions of each client in each window."""
+    completed = lambda c: F.sum(F.when(c, F.col("completed")))
+    return rotation_rows(closes, period).groupBy("w", "ip").agg(
+        F.max(F.col("active").cast("int")).alias("active"),
+        completed(F.col("active")).alias("active_completed"),
+        completed(~F.col("active")).alias("inactive_completed"),
+    )
+
+
 def rotation(closes: DataFrame, period: int = 600) -> DataFrame:
     """A6, ST2: distinct clients by window, all and active, and completions. Two levels, so it is exact
     and no window's clients meet in one task."""
-    rows = rotation_rows(closes, period)
-    clients = rows.groupBy("w", "ip").agg(F.max(F.col("active").cast("int")).alias("active"), F.sum(F.when(F.col("active"), F.col("completed"))).alias("active_completed"), F.sum(F.when(~F.col("active"), F.col("completed"))).alias("inactive_completed"))
-    return clients.groupBy("w").agg(F.count("*").alias("clients"), F.sum("active").alias("active_clients"), (F.count("*") - F.sum("active")).alias("inactive_clients"), F.coalesce(F.sum("active_completed"), F.lit(0)).alias("active_completed"), F.coalesce(F.sum("inactive_completed"), F.lit(0)).alias("inactive_completed"))
+    done = lambda c: F.coalesce(F.sum(f"{c}_completed"), F.lit(0)).alias(f"{c}_completed")
+    return client_windows(closes, period).groupBy("w").agg(
+        F.count("*").alias("clients"),
+        F.sum("active").alias("active_clients"),
+        (F.count("*") - F.sum("active")).alias("inactive_clients"),
+        done("active"),
+        done("inactive"),
+    )
 
 
 def gaps_between(events: DataFrame, keys: list[str], at: Column, out: str = "gap") -> DataFrame:
     """time since the event before of the same key, null for the first."""
     return events.withColumn("_at", at).withColumn(out, F.col("_at") - F.lag("_at").over(Window.partitionBy(*keys).orderBy("_at"))).drop("_at")
-
-
-def circuit_streams(streams: DataFrame, circuits: DataFrame, keys: list[str]) -> DataFrame:
-    """Ended streams of each closed circuit: their number by class, and the mean gap between starts.
-
-    streams: keys, port_class, start. Circuits without streams aren't counted.
-    """
-    spaced = gaps_between(streams, keys, F.col("start"))
-    per = spaced.groupBy(*keys).agg(F.count("*").alias("streams"), *[F.sum((F.col("port_class") == c).cast("int")).alias(c.lower()) for c in ("Web", "Interactive", "P2P", "OtherPort")], F.sum("gap").alias("gap_sum"), F.count("gap").alias("gaps"))
-    return circuits.join(per, keys)

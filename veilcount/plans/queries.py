@@ -2,69 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilcount.functions import scalars
-from veilcount.operators import analysis, binning, fanout, hmm, matching, privacy, rounds, state, weights
+from veilcount.operators import analysis, binning, hmm, matching, privacy, rounds, state, weights
+from veilcount.plans import counter_queries  # noqa: F401  its queries are registered too
+from veilcount.plans.registry import ORACLE_SQL, QUERIES, query, seconds, table  # noqa: F401
+from veilcount.plans.samples import BYTES, S_CIRCUITS, S_STREAMS, circuits, s_bin, streams  # noqa: F401
 from veilcount.sources import events as ev
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def seconds(c: str | Column) -> Column:
-    return F.unix_micros(F.col(c).cast("timestamp") if isinstance(c, str) else c) / 1e6
-
-
-def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as ended streams."""
-    li = table(spark, sf_dir, "lineitem")
-    host = F.when(F.col("l_returnflag") == "A", "IPv4Literal").when(F.col("l_returnflag") == "N", "IPv6Literal").otherwise("Hostname")
-    return li.select("l_orderkey", "l_linenumber", F.pmod("l_partkey", F.lit(7000)).cast("int").alias("port"), F.when(F.col("l_linestatus") == "O", "4").otherwise("6").alias("ip_version"), host.alias("host_class"), F.col("l_linenumber").cast("int").alias("stream_number"), F.col("l_quantity").cast("long").alias("read_bytes"), F.floor("l_extendedprice").cast("long").alias("write_bytes"), (F.pmod("l_suppkey", F.lit(977)) * 120.0).alias("lifetime"))
-
-
-S_STREAMS = """streams AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 7000 AS INTEGER) AS port, CASE l_linestatus WHEN 'O' THEN '4' ELSE '6' END AS ip_version,
-  CASE l_returnflag WHEN 'A' THEN 'IPv4Literal' WHEN 'N' THEN 'IPv6Literal' ELSE 'Hostname' END AS host_class, l_linenumber AS stream_number,
-  CAST(trunc(l_quantity) AS BIGINT) AS read_bytes, CAST(floor(l_extendedprice) AS BIGINT) AS write_bytes, (l_suppkey % 977) * 120.0 AS lifetime FROM lineitem)"""
-S_PORT = """CASE WHEN port IN (80, 443) THEN 'Web' WHEN port IN (22, 194, 994, 6679, 6697, 7000) OR port BETWEEN 6660 AND 6670 THEN 'Interactive'
-  WHEN port IN (1214, 6699, 45682, 51413) OR port BETWEEN 4661 AND 4666 OR port BETWEEN 6346 AND 6429 OR port BETWEEN 6881 AND 6999 THEN 'P2P' ELSE 'OtherPort' END"""
-S_RATIO = "CASE WHEN {i} = 0 AND {o} = 0 THEN 0.0 WHEN {i} = 0 THEN 1024.0 WHEN {o} = 0 THEN -1021.0 ELSE log2(CAST({o} AS DOUBLE) / {i}) END"
-
-
-def s_bin(v: str, bins) -> str:
-    show = lambda x: f"CAST('{x}' AS DOUBLE)"
-    return "CASE " + " ".join(f"WHEN {v} >= {show(lo)} AND {v} < {show(hi)} THEN {i}" if hi != float("inf") else f"WHEN {v} >= {show(lo)} THEN {i}" for i, (lo, hi) in enumerate(bins)) + " END"
-
-
-BYTES, RATIOS, TIMES = fanout.BYTE_BINS, fanout.RATIO_BINS, fanout.TIME_BINS
-
-
-@query(f"""WITH {S_STREAMS}, e AS (SELECT *, {S_PORT} AS pc, CASE WHEN port IN (80, 443) THEN 'Web' ELSE 'NonWeb' END AS web, CASE stream_number WHEN 1 THEN 'Initial' ELSE 'Subsequent' END AS pos, {S_RATIO.format(i='read_bytes', o='write_bytes')} AS ratio FROM streams WHERE read_bytes >= 0 AND write_bytes >= 0 AND read_bytes + write_bytes > 0),
- subs AS (SELECT *, unnest(['', pc, CASE WHEN web = 'NonWeb' THEN web END, 'IPv' || ip_version, 'IPv' || ip_version || pos, host_class, host_class || pos, pos, CASE WHEN host_class = 'Hostname' THEN 'Hostname' || web END, CASE WHEN host_class = 'Hostname' THEN 'Hostname' || web || pos END]) AS sub FROM e),
- fan AS (SELECT 'Exit' || sub || 'Stream' AS head, unnest([{{'m': 'Count', 'b': 0, 'n': 1}}, {{'m': 'ByteCount', 'b': 0, 'n': read_bytes + write_bytes}}, {{'m': 'OutboundByteCount', 'b': 0, 'n': write_bytes}}, {{'m': 'InboundByteCount', 'b': 0, 'n': read_bytes}},
-  {{'m': 'ByteHistogram', 'b': {s_bin('(read_bytes + write_bytes)', BYTES)}, 'n': 1}}, {{'m': 'OutboundByteHistogram', 'b': {s_bin('write_bytes', BYTES)}, 'n': 1}}, {{'m': 'InboundByteHistogram', 'b': {s_bin('read_bytes', BYTES)}, 'n': 1}}, {{'m': 'ByteRatio', 'b': {s_bin('ratio', RATIOS)}, 'n': 1}}, {{'m': 'LifeTime', 'b': {s_bin('lifetime', TIMES)}, 'n': 1}}]) AS r FROM subs WHERE sub IS NOT NULL)
- SELECT head || r.m AS counter, CAST(r.b AS INTEGER) AS bin_idx, CAST(sum(r.n) AS DECIMAL(38,0)) AS count FROM fan WHERE r.b IS NOT NULL GROUP BY 1, 2""")
-def x1_x2_stream_counters(spark, sf_dir):
-    return fanout.stream_counters(streams(spark, sf_dir))
-
-
 @query(f"WITH {S_STREAMS} SELECT 'ExitStreamByteHistogram' AS counter, CAST({s_bin('(read_bytes + write_bytes)', BYTES)} AS INTEGER) AS bin_idx, CAST(count(*) AS DECIMAL(38,0)) AS count FROM streams GROUP BY 2")
 def a1_a2_histogram(spark, sf_dir):
     bins = spark.createDataFrame([("ExitStreamByteHistogram", i, lo, hi) for i, (lo, hi) in enumerate(BYTES)], "counter string, bin_idx int, lo double, hi double")
@@ -72,50 +18,9 @@ def a1_a2_histogram(spark, sf_dir):
     return binning.bin_join(facts, bins)
 
 
-def circuits(spark, sf_dir):
-    """orders as closed circuits."""
-    o = table(spark, sf_dir, "orders")
-    position = F.element_at(F.array(*[F.lit(p) for p in ("Entry", "Mid", "End", "Exit", "HSDir2", "Intro3", "Rend2")]), (F.pmod("o_orderkey", F.lit(7)) + 1).cast("int"))
-    return o.select("o_orderkey", F.regexp_replace(position, r"\d", "").alias("position"), F.when(F.pmod("o_custkey", F.lit(3)) == 0, "Client").when(F.pmod("o_custkey", F.lit(3)) == 1, "Service").alias("role"), (F.col("o_orderstatus") == "F").alias("failed"), F.pmod("o_orderkey", F.lit(13)).cast("long").alias("inbound_cells"), F.pmod(F.floor("o_totalprice"), F.lit(5000)).cast("long").alias("outbound_cells"), (F.pmod("o_custkey", F.lit(997)) * 100.0).alias("lifetime"), F.substring("o_orderpriority", 1, 1).cast("int").alias("reason_list"))
-
-
-S_CIRCUITS = """circuits AS (SELECT o_orderkey, ['Entry', 'Mid', 'End', 'Exit', 'HSDir', 'Intro', 'Rend'][o_orderkey % 7 + 1] AS position, CASE o_custkey % 3 WHEN 0 THEN 'Client' WHEN 1 THEN 'Service' END AS role, o_orderstatus = 'F' AS failed,
- o_orderkey % 13 AS inbound_cells, CAST(floor(o_totalprice) AS BIGINT) % 5000 AS outbound_cells, (o_custkey % 997) * 100.0 AS lifetime, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS reason_list FROM orders)"""
-
-
-@query(f"""WITH {S_CIRCUITS}, e AS (SELECT *, inbound_cells + outbound_cells >= 8 AS active, {S_RATIO.format(i='inbound_cells', o='outbound_cells')} AS ratio FROM circuits),
- v AS (SELECT *, unnest(['', CASE WHEN failed THEN 'Failure' ELSE 'Success' END]) AS s FROM e), w AS (SELECT *, unnest(CASE WHEN position IN ('Exit', 'Dir', 'HSDir') THEN [''] ELSE ['', CASE WHEN active THEN 'Active' ELSE 'Inactive' END] END) AS a FROM v),
- x AS (SELECT *, unnest(CASE WHEN role IS NULL THEN [''] ELSE ['', role] END) AS r FROM w),
- fan AS (SELECT position || r || a || s || 'Circuit' AS head, unnest([{{'m': 'Count', 'b': 0, 'n': 1}}, {{'m': 'InboundCellCount', 'b': 0, 'n': inbound_cells}}, {{'m': 'OutboundCellCount', 'b': 0, 'n': outbound_cells}}, {{'m': 'InboundCellHistogram', 'b': {s_bin('inbound_cells', BYTES)}, 'n': 1}}, {{'m': 'OutboundCellHistogram', 'b': {s_bin('outbound_cells', BYTES)}, 'n': 1}},
-  {{'m': 'CellRatio', 'b': CASE WHEN active THEN {s_bin('ratio', RATIOS)} END, 'n': 1}}, {{'m': 'LifeTime', 'b': {s_bin('lifetime', TIMES)}, 'n': 1}}, {{'m': 'ReasonCountList', 'b': CASE WHEN failed THEN reason_list END, 'n': 1}}]) AS q FROM x)
- SELECT head || q.m AS counter, CAST(q.b AS INTEGER) AS bin_idx, CAST(sum(q.n) AS DECIMAL(38,0)) AS count FROM fan WHERE q.b IS NOT NULL GROUP BY 1, 2""")
-def x5_x8_circuit_counters(spark, sf_dir):
-    return fanout.circuit_counters(circuits(spark, sf_dir))
-
-
 LISTS = [(0, "click"), (1, "view"), (1, "click"), (2, "Purchase")]
 
 
-@query(f"""WITH m AS (SELECT user_id % 2 = 0 AS c, user_id % 3 > 0 AS r, CAST(floor(value) AS BIGINT) AS bytes, (event_id % 997) * 100.0 AS life, coalesce(CASE lower(event_type) WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 END, 3) AS l FROM events),
- n AS (SELECT *, CASE WHEN c THEN 'Entry' ELSE 'NonEntry' END || unnest(['', CASE WHEN r THEN 'RelayOnAddress' ELSE 'NoRelayOnAddress' END]) || 'Connection' AS h, CASE WHEN l = 0 THEN 'CountryMatch' ELSE 'CountryNoMatch' END AS k FROM m),
- fan AS (SELECT unnest([{{'c': h || 'Count', 'b': 0, 'n': 1}}, {{'c': h || 'ByteCount', 'b': 0, 'n': bytes}}, {{'c': h || 'CountryCountList', 'b': l, 'n': 1}}, {{'c': h || 'ByteHistogram', 'b': {s_bin('bytes', BYTES)}, 'n': 1}}, {{'c': h || k || 'ByteHistogram', 'b': {s_bin('bytes', BYTES)}, 'n': 1}}, {{'c': h || 'LifeTime', 'b': {s_bin('life', TIMES)}, 'n': 1}}, {{'c': h || k || 'LifeTime', 'b': {s_bin('life', TIMES)}, 'n': 1}}]) AS q FROM n)
- SELECT q.c AS counter, CAST(q.b AS INTEGER) AS bin_idx, CAST(sum(q.n) AS DECIMAL(38,0)) AS count FROM fan WHERE q.b IS NOT NULL GROUP BY 1, 2""")
-def x9_x11_connection_counters(spark, sf_dir):
-    lists = spark.createDataFrame(LISTS, "list_idx int, item string")
-    e = table(spark, sf_dir, "events").select((F.pmod("user_id", F.lit(2)) == 0).alias("is_client"), F.pmod("user_id", F.lit(3)).alias("relays"), F.floor("value").cast("long").alias("bytes"), (F.pmod("event_id", F.lit(997)) * 100.0).alias("lifetime"), "event_type")
-    return fanout.connection_counters(matching.exact_match(e, lists, "event_type", "country_list").withColumn("country_list", F.least("country_list", F.lit(3.0)).cast("int")))
-
-
-@query(f"""WITH e AS (SELECT CASE WHEN p_size % 2 = 0 THEN 2 ELSE 3 END AS v, p_partkey % 3 > 0 AS a, coalesce(p_partkey % 5 > 1, false) AS c, CASE WHEN p_partkey % 4 < 3 THEN p_partkey % 4 = 0 END AS au, CAST(floor(p_retailprice) AS BIGINT) AS bytes FROM part),
- f AS (SELECT *, unnest([NULL, v]) AS vv FROM e), g AS (SELECT *, unnest(['', CASE WHEN a THEN 'Add' ELSE 'Reject' END]) AS x FROM f), h AS (SELECT *, unnest(['', CASE WHEN c THEN 'Cached' ELSE 'Uncached' END]) AS y FROM g),
- i AS (SELECT *, unnest(CASE WHEN vv = 2 AND au IS NOT NULL THEN ['', CASE WHEN au THEN 'ClientAuth' ELSE 'NoClientAuth' END] ELSE [''] END) AS z FROM h),
- fan AS (SELECT 'HSDir' || coalesce(CAST(vv AS VARCHAR), '') || 'Store' || x || y || z AS n, unnest([{{'m': 'Count', 'b': 0, 'n': 1}}, {{'m': 'DescriptorByteCount', 'b': 0, 'n': bytes}}, {{'m': 'DescriptorByteHistogram', 'b': {s_bin('bytes', BYTES)}, 'n': 1}}]) AS q FROM i)
- SELECT n || q.m AS counter, CAST(q.b AS INTEGER) AS bin_idx, CAST(sum(q.n) AS DECIMAL(38,0)) AS count FROM fan WHERE q.b IS NOT NULL GROUP BY 1, 2""")
-def x12_x14_cache_counters(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.when(F.col("p_size") % 2 == 0, 2).otherwise(3).alias("version"), (F.col("p_partkey") % 3 > 0).alias("added"), (F.col("p_partkey") % 5 > 1).alias("cached"), F.when(F.col("p_partkey") % 4 < 3, F.col("p_partkey") % 4 == 0).alias("auth"), F.floor("p_retailprice").cast("long").alias("bytes"))
-    return fanout.cache_counters(p)
-
-
 @query("""SELECT o_orderkey, CASE WHEN p IN (80, 443) THEN 'Web' WHEN p IN (22, 194, 994, 6679, 6697, 7000) OR p BETWEEN 6660 AND 6670 THEN 'Interactive' WHEN p IN (1214, 6699, 45682, 51413) OR p BETWEEN 4661 AND 4666 OR p BETWEEN 6346 AND 6429 OR p BETWEEN 6881 AND 6999 THEN 'P2P' ELSE 'OtherPort' END AS port_class,
  i + o >= 8 AS active, CASE WHEN i = 0 AND o = 0 THEN 0.0 WHEN i = 0 THEN 1024.0 WHEN o = 0 THEN -1021.0 ELSE log2(CAST(o AS DOUBLE) / i) END AS ratio, CASE WHEN o = 0 THEN 0.0 ELSE CAST(i AS DOUBLE) / o END AS divided, i - 5 AS adjusted
  FROM (SELECT o_orderkey, o_orderkey % 7003 AS p, o_orderkey % 13 AS i, o_custkey % 11 AS o FROM orders)""")
@@ -345,35 +250,6 @@ def h3_model_counters(spark, sf_dir):
     return hmm.model_counters(spark, "M", moves, sent).select("counter", "template")
 
 
-def flagged_circuits(spark, sf_dir):
-    """orders as closed circuits with the flags of all their positions."""
-    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    hit = lambda m, r: F.pmod(k, F.lit(m)) == r
-    return o.select(hit(11, 0).alias("is_origin"), hit(2, 0).alias("is_entry"), hit(5, 1).alias("is_mid"), hit(3, 0).alias("is_end"), hit(7, 3).alias("is_exit"), hit(9, 4).alias("is_dir"), hit(7, 4).alias("is_hsdir"), hit(7, 5).alias("is_intro"), hit(5, 2).alias("is_rend"), F.when(F.pmod("o_custkey", F.lit(3)) < 2, F.pmod("o_custkey", F.lit(3)) == 0).alias("is_client"), F.when(F.pmod("o_custkey", F.lit(4)) < 2, F.pmod("o_custkey", F.lit(4)) + 2).cast("int").alias("hs_version"), (F.col("o_orderstatus") == "F").alias("failed"), F.pmod(k, F.lit(13)).cast("long").alias("inbound_cells"), F.pmod(F.floor("o_totalprice"), F.lit(5000)).cast("long").alias("outbound_cells"), (F.pmod("o_custkey", F.lit(997)) * 100.0).alias("lifetime"), F.substring("o_orderpriority", 1, 1).cast("int").alias("reason_list"))
-
-
-S_FLAGGED = """flagged AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 3 < 2 THEN o_custkey % 3 = 0 END AS client, CASE WHEN o_custkey % 4 < 2 THEN o_custkey % 4 + 2 END AS version, o_orderstatus = 'F' AS failed,
- o_orderkey % 13 AS i, CAST(floor(o_totalprice) AS BIGINT) % 5000 AS o FROM orders)"""
-
-
-@query(f"""WITH {S_FLAGGED}, p AS (SELECT *, k % 2 = 0 AND k % 3 = 0 AS single, CASE WHEN (k % 7 = 5 OR k % 5 = 2) AND version IS NULL THEN false WHEN k % 7 IN (3, 4) OR k % 9 = 4 THEN true ELSE i + o >= 8 END AS active,
-  unnest(list_filter([CASE WHEN k % 11 = 0 THEN 'Origin' END, CASE WHEN k % 2 = 0 THEN 'Entry' END, CASE WHEN k % 5 = 1 THEN 'Mid' END, CASE WHEN k % 3 = 0 THEN 'End' END, CASE WHEN k % 6 = 0 THEN 'SingleHop' END, CASE WHEN k % 7 = 3 THEN 'Exit' END, CASE WHEN k % 9 = 4 THEN 'Dir' END, CASE WHEN k % 7 = 4 THEN 'HSDir' WHEN k % 7 = 5 THEN 'Intro' WHEN k % 5 = 2 THEN 'Rend' END], lambda x: x IS NOT NULL)) AS pos FROM flagged),
- v AS (SELECT *, unnest(CASE WHEN pos NOT IN ('HSDir', 'Intro', 'Rend') OR (pos = 'HSDir' AND version IS NULL) THEN [''] ELSE ['', coalesce(CAST(version AS VARCHAR), 'U')] END) AS v FROM p),
- r AS (SELECT *, unnest(CASE WHEN pos NOT IN ('HSDir', 'Intro', 'Rend') OR client IS NULL THEN [''] WHEN client THEN ['', 'Client', CASE WHEN single THEN 'Tor2WebClient' ELSE 'MultiHopClient' END] ELSE ['', 'Service', CASE WHEN single THEN 'SingleOnionService' ELSE 'MultiHopService' END] END) AS r FROM v),
- a AS (SELECT *, unnest(CASE WHEN pos IN ('Exit', 'Dir', 'HSDir') THEN [''] ELSE ['', CASE WHEN active THEN 'Active' ELSE 'Inactive' END] END) AS a FROM r),
- s AS (SELECT *, unnest(['', CASE WHEN failed THEN 'Failure' ELSE 'Success' END]) AS s FROM a)
- SELECT pos || v || r || a || s || 'Circuit' || unnest(['Count', 'InboundCellCount', 'OutboundCellCount']) AS counter, 0 AS bin_idx, CAST(unnest([count(*), sum(i), sum(o)]) AS DECIMAL(38,0)) AS count FROM s GROUP BY pos, v, r, a, s""")
-def x6_x7_versioned_circuits(spark, sf_dir):
-    found = fanout.versioned_circuit_counters(fanout.circuit_positions(flagged_circuits(spark, sf_dir)))
-    return found.where(F.col("counter").rlike("Circuit(InboundCell|OutboundCell|)Count$"))
-
-
-@query(f"""WITH {S_FLAGGED}, s AS (SELECT unnest([CASE WHEN k % 7 = 3 THEN 'Client' END, CASE WHEN k % 7 = 3 THEN 'Service' END, CASE WHEN k % 5 = 2 AND version = 2 THEN CASE WHEN client THEN 'Client' WHEN NOT client THEN 'Service' END END]) AS side FROM flagged)
- SELECT 'ExitAndRend2' || side || 'CircuitCount' AS counter, 0 AS bin_idx, CAST(count(*) AS DECIMAL(38,0)) AS count FROM s WHERE side IS NOT NULL GROUP BY side""")
-def x7_exit_and_rend(spark, sf_dir):
-    return fanout.exit_and_rend_counters(flagged_circuits(spark, sf_dir))
-
-
 @query("""WITH f AS (SELECT CAST(floor((epoch(ts) - 1704067200) / 86400) AS BIGINT) AS round, user_id % 5 AS party, event_type AS counter, CAST(floor(value) AS BIGINT) - 50 AS n FROM events WHERE epoch(ts) >= 1704067200),
  held AS (SELECT round, count(DISTINCT party) AS parties FROM f GROUP BY 1 HAVING count(DISTINCT CASE WHEN party < 3 THEN party END) >= 2 AND count(DISTINCT CASE WHEN party >= 3 THEN party END) >= 1)
  SELECT round, counter, 0 AS bin_idx, CAST(sum(n) AS DECIMAL(38,0)) AS count FROM f JOIN held USING (round) WHERE round < 20 GROUP BY round, counter, parties HAVING count(DISTINCT party) = parties""")
