@@ -8,6 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def checkpointed(spark: SparkSession) -> None:
-    """The cluster's shared folder; where spark.checkpoint.dir is unset (tests), one of our own."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    """The cluster's shared folder; where spark.checkpoint.dir is unset, one of our own, on one machine only."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spark-"))

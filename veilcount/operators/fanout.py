@@ -3,6 +3,8 @@
 Counters are conjunctions of a few classes, so events are summed once by class, map side, each
 histogram by its own bins, as sums under conditions; names join only the few rows that are left. No row of
 input is multiplied, and the number of rows that move doesn't grow with the bins' product.
+
+Events with a column `party` (who saw them) are counted by party.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ DEFAULT_BINS: dict[str, Bins] = {
     "CreationTime": TIME_BINS,
 }
 BinsBySuffix = Mapping[str, Bins]
+PARTY = "party"
 
 
 def bins_for(suffix: str, given: BinsBySuffix | None) -> Bins:
@@ -114,6 +117,8 @@ def class_cells(
             hit = F.when(in_bin(value, F.lit(float(low)), F.lit(float(high))), inc)
             sums.append(F.when(F.count(hit) > 0, total(hit)))
             facts.append((m.suffix, i))
+    if PARTY in events.columns:
+        classes = {PARTY: F.col(PARTY)} | dict(classes)
     named = [c.alias(k) for k, c in classes.items()]
     summed = events.groupBy(*named).agg(*[s.alias(f"_{i}") for i, s in enumerate(sums)])
     cells = [
@@ -128,11 +133,13 @@ def named(cells: DataFrame, names: Column, wanted: list[str] | None = None) -> D
 
     wanted: the counters that are asked for; others leave here.
     """
-    rows = cells.select(F.explode(names).alias("name"), "cells").select("name", F.explode("cells").alias("c"))
-    rows = rows.select(F.concat("name", "c.suffix").alias("counter"), F.col("c.bin_idx").alias("bin_idx"), "c.count")
+    by = [PARTY] if PARTY in cells.columns else []
+    rows = cells.select(*by, F.explode(names).alias("name"), "cells").select(*by, "name", F.explode("cells").alias("c"))
+    counter = F.concat("name", "c.suffix").alias("counter")
+    rows = rows.select(*by, counter, F.col("c.bin_idx").alias("bin_idx"), "c.count")
     if wanted is not None:
         rows = rows.where(F.col("counter").isin(*wanted))
-    return rows.groupBy("counter", "bin_idx").agg(modular_sum(F.col("count")).alias("count"))
+    return rows.groupBy(*by, "counter", "bin_idx").agg(modular_sum(F.col("count")).alias("count"))
 
 
 STREAM_SIDES = ("", "Outbound", "Inbound")
@@ -231,6 +238,15 @@ def _status() -> Column:
     return F.when(F.col("failed"), "Failure").otherwise("Success")
 
 
+def _with_names_that_exist(counters: DataFrame) -> DataFrame:
+    """Ratios are counted under names that tell activity, where the position has any; reasons under Failure."""
+    name = F.col("counter")
+    ratio = name.rlike(f"^({'|'.join(NO_ACTIVITY)})") | name.rlike("Active")
+    reason = F.contains(name, F.lit("Failure"))
+    is_ratio, is_reason = (F.endswith(name, F.lit(x)) for x in ("CellRatio", "ReasonCountList"))
+    return counters.where((~is_ratio | ratio) & (~is_reason | reason))
+
+
 def circuit_counters(
     circuits: DataFrame, wanted: list[str] | None = None, bins: BinsBySuffix | None = None, reasons: int = 6
 ) -> DataFrame:
@@ -243,7 +259,7 @@ def circuit_counters(
     classes = {c: F.col(c) for c in ("position", "role", "failed")} | {"active": active}
     cells = class_cells(circuits, classes, _circuit_measures(active, reasons), bins)
     names = joined(F.array("position"), variants(F.col("role"), _activity(), _status()), F.array(F.lit("Circuit")))
-    return named(cells, names, wanted)
+    return _with_names_that_exist(named(cells, names, wanted))
 
 
 CONNECTION_PARTS = ("", "Inbound", "Outbound")
@@ -396,7 +412,7 @@ def versioned_circuit_counters(
     roles = F.array_compact(F.array(F.lit(""), F.col("role"), F.col("hop")))
     tails = variants(_activity(), _status())
     names = joined(F.array("position"), variants(version), roles, tails, F.array(F.lit("Circuit")))
-    return named(cells.withColumn("cells", kept), names, wanted)
+    return _with_names_that_exist(named(cells.withColumn("cells", kept), names, wanted))
 
 
 def exit_and_rend_counters(circuits: DataFrame) -> DataFrame:

@@ -5,12 +5,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilcount.functions import scalars
+
 INF = float("inf")
 
 
-def load_list(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Items of a list file, without blank lines and comments, trimmed and in lower case."""
-    return lines.select(F.lower(F.trim(value)).alias("item")).where(~F.col("item").rlike(r"^(#|//|;)") & (F.col("item") != ""))
+#: What the items of each kind of list must look like.
+KINDS = {
+    "domain": scalars.is_domain,
+    "country": scalars.is_country,
+    "as": scalars.is_as_number,
+    "reason": lambda c: F.length(c).between(1, 50),
+    "onion": scalars.is_onion,
+    "any": lambda c: c.isNotNull(),
+}
+
+
+def load_list(lines: DataFrame, value: str = "value", kind: str = "any") -> DataFrame:
+    """Items of a list file, without blank lines and comments, trimmed and in lower case.
+
+    A line that isn't of its kind ends the job. Onion addresses may be URLs.
+    """
+    text = F.trim(value)
+    item = scalars.onion_name(text) if kind == "onion" else F.lower(text)
+    items = lines.where(~text.rlike(r"^(#|//|;)") & (text != "")).select(item.alias("item"), text.alias("line"))
+    said = F.concat(F.lit(f"not a {kind}: "), F.col("line"))
+    sound = F.coalesce(KINDS[kind](F.col("item")), F.lit(False))
+    return items.select(F.when(sound, F.col("item")).otherwise(F.raise_error(said)).alias("item"))
+
+
+def load_prefixes(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Lines "prefix/length system" (or with a blank or tab for the slash) as ipver, net, bits, prefix_len, asn.
+
+    net is the number of an IPv4 network; bits are an address as a text of bits, for either version.
+    """
+    text = F.trim(value)
+    parts = F.split(F.regexp_replace(text, "/", " "), r"\s+")
+    rows = lines.where(~text.rlike(r"^(#|//|;)") & (text != "")).select(parts.alias("p"))
+    part = lambda i: F.get("p", F.lit(i))
+    version = scalars.ip_version(part(0))
+    rows = rows.select(
+        version.alias("ipver"),
+        scalars.ipv4_number(part(0)).alias("net"),
+        F.when(version == 6, scalars.ipv6_bits(part(0))).alias("bits"),
+        part(1).try_cast("int").alias("prefix_len"),
+        part(2).try_cast("long").alias("asn"),
+    )
+    most = F.when(F.col("ipver") == 4, 32).otherwise(128)
+    sound = F.coalesce(F.col("prefix_len").between(0, most) & F.col("asn").isNotNull(), F.lit(False))
+    sound = sound & F.col("ipver").isNotNull()
+    return rows.withColumn("asn", F.when(sound, F.col("asn")).otherwise(F.raise_error(F.lit("not a prefix and its system"))))
+
+
+def list_problems(lists: DataFrame, suffix: bool = False, reject_overlapping: bool = True) -> DataFrame:
+    """M7: list_idx, item: items that another list takes, so that they never match their own.
+
+    Without reject_overlapping, only those of the first list.
+    """
+    own = lists.select("list_idx", F.lower("item").alias("item"))
+    if suffix:
+        names = own.select("item").distinct()
+        found = suffix_match(names, lists, "item", "item", "_found")
+    else:
+        found = exact_match(own.select("item").distinct(), lists, "item", "_found")
+    wrong = own.join(found, "item").where(F.col("_found") != F.col("list_idx"))
+    wrong = wrong if reject_overlapping else wrong.where("list_idx = 0")
+    return wrong.select("list_idx", "item").distinct()
 
 
 def disjoint(lists: DataFrame) -> DataFrame:
@@ -31,6 +91,11 @@ def any_match(events: DataFrame, lists: DataFrame, id_cols: list[str], keys: lis
     return tried.join(named, F.col("_key") == F.col("_item"), "left").groupBy(*id_cols).agg(F.coalesce(F.min(out), F.lit(INF)).alias(out))
 
 
+def onion_match(events: DataFrame, lists: DataFrame, id_cols: list[str], key: str, out: str = "list_idx") -> DataFrame:
+    """M3: the first list that holds an onion name, or its MD5."""
+    return any_match(events, lists, id_cols, [F.col(key), scalars.onion_md5(F.col(key))], out)
+
+
 def suffixes_of(name: Column, proper: bool = False) -> Column:
     """Label-aligned suffixes, shortest first."""
     labels = F.split(F.lower(F.regexp_replace(name, r"^\.+|\.+$", "")), r"\.")

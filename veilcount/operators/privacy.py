@@ -11,10 +11,10 @@ import random
 import secrets as csprng
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilcount.checkpoints import checkpointed
 from veilcount.functions.scalars import MODULUS, unblind, whole
 
 Counters = dict[str, tuple[float, float]]  # sensitivity, estimated value
@@ -96,39 +96,55 @@ def allocate(counters: DataFrame, epsilon: float, delta: float, excess: float, s
     return counters.sparkSession.createDataFrame(rows, "counter string, sensitivity double, estimated_value double, sigma double, epsilon double, expected_noise_ratio double")
 
 
-def noised(facts: DataFrame, sigmas: DataFrame, weights: DataFrame | None = None, seed: int | None = None) -> DataFrame:
+def noised(
+    facts: DataFrame, sigmas: DataFrame, weights: DataFrame | None = None, seed: int | None = None
+) -> DataFrame:
     """Rounded Gaussian noise on facts (party, counter, bin_idx, count), by sigma and party weight.
 
-    Noise comes from the system's generator; with a seed (tests only) from randn. The weight of party
-    '*' stands for parties without their own.
+    Noise comes from the system's generator and is written once (a checkpoint): drawn again, it would be other
+    noise. With a seed (tests only) it comes from randn. The weight of party '*' stands for parties without their
+    own; parties with neither leave the round. B3: counters without a sigma leave, so no count goes without noise.
     """
     q = whole(MODULUS)
-
-    @F.pandas_udf("double")
-    def draw(sigma: pd.Series) -> pd.Series:
-        system = random.SystemRandom()
-        return sigma.map(lambda s: system.gauss(0.0, s) if s else 0.0)
-
-    out = facts.join(sigmas.select("counter", "sigma"), "counter")
-    weight = F.lit(1.0)
+    gauss = lambda s: s.map(lambda x: random.SystemRandom().gauss(0.0, x) if x else 0.0)
+    draw = F.pandas_udf(gauss, "double").asNondeterministic()
+    out = facts.join(sigmas.where("sigma is not null").select("counter", "sigma"), "counter")
+    out = out.withColumn("_weight", F.lit(1.0))
     if weights is not None:
-        default = weights.where("party = '*'").select(F.col("weight").alias("_default"))
-        out = out.join(weights.select("party", "weight"), "party", "left").join(F.broadcast(default), how="left")  # one row
-        weight = F.coalesce("weight", "_default")
-    noise = F.col("sigma") * weight * F.randn(seed) if seed is not None else draw(F.col("sigma") * weight)
-    return out.withColumn("count", F.pmod(F.col("count") + F.round(noise).cast("decimal(22,0)"), q)).select("party", "counter", "bin_idx", "count")
+        found = [r["weight"] for r in weights.where("party = '*'").select("weight").take(2)]
+        if len(found) > 1:
+            raise ValueError("two default weights")
+        named = weights.where("party <> '*'").select("party", F.col("weight").alias("_own"))
+        weight = F.coalesce("_own", F.lit(found[0] if found else None).cast("double"))
+        out = out.join(named, "party", "left").withColumn("_weight", weight).where("_weight is not null")
+    sigma = F.col("sigma") * F.col("_weight")
+    checkpointed(facts.sparkSession)
+    noise = sigma * F.randn(seed) if seed is not None else draw(sigma)
+    noisy = F.pmod(F.col("count") + F.round(noise).cast("decimal(22,0)"), q)
+    return out.withColumn("count", noisy).select("party", "counter", "bin_idx", "count").checkpoint()
+
+
+def weight_total(weights: DataFrame, parties: int) -> float:
+    """The sum of the weights, with the default for the parties beyond one that a threshold asks for."""
+    r = weights.agg(
+        F.sum(F.when(F.col("party") != "*", F.col("weight"))).alias("named"),
+        F.max(F.when(F.col("party") == "*", F.col("weight"))).alias("default"),
+    ).first()
+    named, default = r["named"] or 0.0, r["default"]
+    return named + (parties - 1) * default if default is not None else named
 
 
 def blinded(facts: DataFrame, keepers: list[str]) -> DataFrame:
     """B1, B2: facts of collectors plus those of keepers; each keeper adds what cancels its shares.
 
-    Shares are written once by the caller's checkpoint or table: drawn again, they wouldn't cancel.
+    Shares are written once (a checkpoint): drawn again, they wouldn't cancel.
     """
     draw = F.pandas_udf(lambda s: s.map(lambda _: str(csprng.randbelow(MODULUS))), "string").asNondeterministic()
     q = whole(MODULUS)
     shares = facts
     for i, _ in enumerate(keepers):
         shares = shares.withColumn(f"_share{i}", draw(F.col("counter")).cast("decimal(38,0)"))
+    checkpointed(facts.sparkSession)
     shares = shares.checkpoint()
     total = sum((F.col(f"_share{i}") for i in range(len(keepers))), F.col("count").cast("decimal(38,0)"))
     out = shares.select("party", "counter", "bin_idx", F.pmod(total, q).alias("count"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilcount.functions.scalars import needs_delay, signed, tolerance_floor
-from veilcount.operators.binning import modular_sum
+from veilcount.operators.binning import modular_sum, tally
+from veilcount.operators.privacy import blinded, noised
 
 
 def changes(before: DataFrame, proposed: DataFrame, tolerance: float | None = None) -> DataFrame:
@@ -73,3 +74,29 @@ def round_tallies(facts: DataFrame, collectors: int, keepers: int, period: float
     whole = bins.groupBy("round", "counter").agg(F.count("*").alias("seen"), F.min("bins").alias("least"), F.max("bins").alias("most")).where("least = most").join(held, "round").where("seen = parties").select("round", "counter", "early")
     sums = facts.groupBy("round", "counter", "bin_idx").agg(modular_sum(F.col("count")).alias("count"))
     return sums.join(whole, ["round", "counter"]).select("round", "counter", "bin_idx", signed(F.col("count")).alias("count"), "early")
+
+
+def facts_of_round(counted: DataFrame, bins: DataFrame, parties: list[str]) -> DataFrame:
+    """party, counter, bin_idx, count: every configured bin of every party, 0 where it counted nothing."""
+    every = bins.select("counter", "bin_idx", F.explode(F.array(*[F.lit(p) for p in parties])).alias("party"))
+    met = every.join(counted.select("party", "counter", "bin_idx", "count"), ["party", "counter", "bin_idx"], "left")
+    return met.withColumn("count", F.coalesce("count", F.lit(0).cast("decimal(38,0)")))
+
+
+def round_totals(
+    counted: DataFrame,
+    bins: DataFrame,
+    sigmas: DataFrame,
+    parties: list[str],
+    keepers: list[str],
+    weights: DataFrame | None = None,
+    seed: int | None = None,
+) -> DataFrame:
+    """A round from counts by party to signed noisy totals: counter, bin_idx, lo, hi, count.
+
+    counted: party, counter, bin_idx, count, by the bins (counter, bin_idx, lo, hi). Each party's bins get their noise
+    and each keeper's shares; the total is of collectors and keepers. Parties without a weight leave the round; a
+    counter that a party lacks ends it.
+    """
+    noisy = noised(facts_of_round(counted, bins, parties), sigmas, weights, seed)
+    return tally(blinded(noisy, keepers), strict=True).join(bins.select("counter", "bin_idx", "lo", "hi"), ["counter", "bin_idx"])

@@ -23,14 +23,36 @@ def position_fractions(relays: DataFrame, mine: Column, w: dict[str, float], pos
     return relays.select(mine.alias("mine"), weighted.alias("x")).groupBy("x.position").agg(F.sum("x.w").alias("total"), F.sum(F.when(F.col("mine"), F.col("x.w")).otherwise(0.0)).alias("own")).withColumn("fraction", F.coalesce(F.try_divide("own", "total"), F.lit(0.0)))
 
 
+#: Hexadecimal digits that one exact long holds.
+LIMB = 15
+
+
 def ring_spread(relays: DataFrame, fingerprint: str = "fp", back: int = 3) -> DataFrame:
     """The part of the ring between each fingerprint and the one `back` places before it.
 
-    Positions are the first 52 bits of the hash, exact in a double. The first places wrap around by
-    reading the last ones. A consensus has some thousand relays, so one ordered window is enough.
+    Fingerprints are hexadecimal numbers; differences are taken limb by limb, so near neighbours keep theirs.
+    Places are counted by range of the first digits: each range ranks by itself and adds what lies before it, so no
+    task holds the ring. The first places wrap around by reading the last ones.
     """
-    at = F.conv(F.substring(fingerprint, 1, 13), 16, 10).cast("double") / 16.0**13
-    order = Window.orderBy("at", fingerprint)
-    ring = relays.withColumn("at", at).withColumn("k", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy()))
-    before = ring.select((F.pmod(F.col("k") - 1 + back, F.col("n")) + 1).alias("k"), F.col("at").alias("before"))
-    return ring.join(before, "k").withColumn("spread", F.when(F.pmod(F.lit(back), F.col("n")) == 0, 1.0).otherwise((F.col("at") - F.col("before") + 1) % 1)).drop("before", "k", "n", "at")
+    n_digits = F.length(fingerprint)
+    limbs = [F.coalesce(F.conv(F.rpad(F.substring(fingerprint, 1 + LIMB * i, LIMB), LIMB, "0"), 16, 10).cast("long"), F.lit(0)) for i in range(3)]
+    ring = relays.withColumn("limbs", F.when(n_digits > 0, F.array(*limbs))).withColumn("range", F.lower(F.substring(fingerprint, 1, 3)))
+    sizes = ring.groupBy("range").agg(F.count("*").alias("held"))  # 4,096 rows at most
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy()
+    bases = sizes.select("range", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"), F.sum("held").over(everything).alias("n"))
+    within = Window.partitionBy("range").orderBy(F.lower(fingerprint))
+    ring = ring.withColumn("k", F.row_number().over(within)).join(F.broadcast(bases), "range").withColumn("k", F.col("k") + F.col("base"))
+    behind = ring.select((F.pmod(F.col("k") - 1 + back, F.col("n")) + 1).alias("k"), F.col("limbs").alias("other"))
+    met = ring.join(behind, "k")
+    scale = [16.0 ** -(LIMB * (i + 1)) for i in range(3)]
+    gap = sum((F.get("limbs", F.lit(i)) - F.get("other", F.lit(i))).cast("double") * scale[i] for i in (2, 1, 0))
+    less = F.array_sort(F.array("limbs", "other"))
+    wrapped = F.when((F.get(less, F.lit(0)) == F.col("limbs")) & (F.col("limbs") != F.col("other")), gap + 1).otherwise(gap)
+    spread = F.when(F.pmod(F.lit(back), F.col("n")) == 0, 1.0).otherwise(wrapped)
+    return met.withColumn("spread", spread).drop("limbs", "other", "range", "k", "base", "n")
+
+
+def mean_fractions(fractions: DataFrame) -> DataFrame:
+    """The mean over consensuses of each position's fraction; fractions: consensus, position, fraction."""
+    return fractions.groupBy("position").agg(F.avg("fraction").alias("fraction"), F.count_distinct("consensus").alias("consensuses"))

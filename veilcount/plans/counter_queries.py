@@ -82,20 +82,21 @@ def x3_x4_domain_counters(spark, sf_dir):
     return fanout.domain_counters(named.join(exact, "host"), 2)
 
 
-def s_circuit(i: str, o: str, life: str, reason: str) -> list[tuple[str, str, str]]:
+def s_circuit(i: str, o: str, life: str, reason: str, position: str) -> list[tuple[str, str, str]]:
+    shown = f"'Active', CASE WHEN {position} IN ('Exit', 'Dir', 'HSDir') THEN '' END"
     return [
         ("Count", "0", "1"),
         ("InboundCellCount", "0", i),
         ("OutboundCellCount", "0", o),
         ("InboundCellHistogram", s_bin(i, BYTES), "1"),
         ("OutboundCellHistogram", s_bin(o, BYTES), "1"),
-        ("CellRatio", f"CASE WHEN active THEN {s_bin('ratio', RATIOS)} END", "1"),
+        ("CellRatio", f"CASE WHEN active AND a IN ({shown}) THEN {s_bin('ratio', RATIOS)} END", "1"),
         ("LifeTime", s_bin(life, TIMES), "1"),
-        ("ReasonCountList", f"CASE WHEN failed THEN {reason} END", "1"),
+        ("ReasonCountList", f"CASE WHEN s = 'Failure' THEN {reason} END", "1"),
     ]
 
 
-S_OF_CIRCUIT = s_circuit("inbound_cells", "outbound_cells", "lifetime", "reason_list")
+S_OF_CIRCUIT = s_circuit("inbound_cells", "outbound_cells", "lifetime", "reason_list", "position")
 
 
 @query(
@@ -245,7 +246,7 @@ ONE_OF = "pos NOT IN ('HSDir', 'Intro', 'Rend')"
  a AS (SELECT *, unnest(CASE WHEN pos IN ('Exit', 'Dir', 'HSDir') THEN ['']
   ELSE ['', CASE WHEN active THEN 'Active' ELSE 'Inactive' END] END) AS a FROM r),
  s AS (SELECT *, unnest(['', CASE WHEN failed THEN 'Failure' ELSE 'Success' END]) AS s FROM a)
- {s_fan("s", "pos || v || r || a || s || 'Circuit'", s_circuit("i", "o", "life", "reason"))}"""
+ {s_fan("s", "pos || v || r || a || s || 'Circuit'", s_circuit("i", "o", "life", "reason", "pos"))}"""
 )
 def x6_x7_versioned_circuits(spark, sf_dir):
     return fanout.versioned_circuit_counters(flagged_circuits(spark, sf_dir))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilcount.functions import scalars
 from veilcount.operators import analysis, binning, hmm, matching, privacy, rounds, state, weights
-from veilcount.plans import counter_queries  # noqa: F401  its queries are registered too
+from veilcount.plans import counter_queries, round_queries  # noqa: F401  their queries are registered too
 from veilcount.plans.registry import ORACLE_SQL, QUERIES, query, seconds, table  # noqa: F401
 from veilcount.plans.samples import BYTES, S_CIRCUITS, S_STREAMS, circuits, s_bin, streams  # noqa: F401
 from veilcount.sources import events as ev
@@ -136,8 +136,16 @@ def p8_p10_names(spark, sf_dir):
     return matching.common_counters(matching.name_filter(n.where("n_regionkey < 3"), ""), n.where("n_nationkey % 2 = 0"))
 
 
-@query("""SELECT s_suppkey, ((h - lag_h) % 1 + 1) % 1 AS spread FROM (SELECT *, CASE WHEN k > 3 THEN lag(h, 3) OVER (ORDER BY h, s_suppkey) ELSE last3 END AS lag_h FROM (SELECT *, row_number() OVER (ORDER BY h, s_suppkey) AS k FROM (SELECT s_suppkey, CAST(CAST('0x' || substr(md5(CAST(s_suppkey AS VARCHAR)), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496.0 AS h FROM supplier)) r
- LEFT JOIN (SELECT h AS last3, row_number() OVER (ORDER BY h DESC, s_suppkey DESC) AS j FROM (SELECT s_suppkey, CAST(CAST('0x' || substr(md5(CAST(s_suppkey AS VARCHAR)), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496.0 AS h FROM supplier)) t ON t.j = 4 - r.k AND r.k <= 3)""")
+S_LIMBS = ", ".join(f"CAST(CAST('0x' || rpad(substr(fp, {1 + 15 * i}, 15), 15, '0') AS UBIGINT) AS BIGINT) AS a{i}" for i in range(3))
+
+
+@query(
+    f"""WITH f AS (SELECT s_suppkey, md5(CAST(s_suppkey AS VARCHAR)) AS fp FROM supplier),
+ h AS (SELECT s_suppkey, fp, {S_LIMBS}, row_number() OVER (ORDER BY fp) - 1 AS k, count(*) OVER () AS n FROM f),
+ p AS (SELECT h.*, o.fp AS other, CAST(h.a2 - o.a2 AS DOUBLE) * pow(16.0, -45) + CAST(h.a1 - o.a1 AS DOUBLE) * pow(16.0, -30)
+  + CAST(h.a0 - o.a0 AS DOUBLE) * pow(16.0, -15) AS gap FROM h JOIN h o ON o.k = (h.k - 3 + h.n) % h.n)
+ SELECT s_suppkey, CASE WHEN fp < other THEN gap + 1 ELSE gap END AS spread FROM p"""
+)
 def m10_ring_spread(spark, sf_dir):
     relays = table(spark, sf_dir, "supplier").select("s_suppkey", F.md5(F.col("s_suppkey").cast("string").cast("binary")).alias("fp"))
     return weights.ring_spread(relays).select("s_suppkey", "spread")

@@ -37,10 +37,10 @@ def circuits(spark, sf_dir):
     """orders as closed circuits."""
     o = table(spark, sf_dir, "orders")
     position = F.element_at(F.array(*[F.lit(p) for p in ("Entry", "Mid", "End", "Exit", "HSDir2", "Intro3", "Rend2")]), (F.pmod("o_orderkey", F.lit(7)) + 1).cast("int"))
-    return o.select("o_orderkey", F.regexp_replace(position, r"\d", "").alias("position"), F.when(F.pmod("o_custkey", F.lit(3)) == 0, "Client").when(F.pmod("o_custkey", F.lit(3)) == 1, "Service").alias("role"), (F.col("o_orderstatus") == "F").alias("failed"), F.pmod("o_orderkey", F.lit(13)).cast("long").alias("inbound_cells"), F.pmod(F.floor("o_totalprice"), F.lit(5000)).cast("long").alias("outbound_cells"), (F.pmod("o_custkey", F.lit(997)) * 100.0).alias("lifetime"), F.substring("o_orderpriority", 1, 1).cast("int").alias("reason_list"))
+    return o.select("o_orderkey", F.regexp_replace(position, r"\d", "").alias("position"), F.when(F.pmod("o_orderkey", F.lit(7)) > 3, F.when(F.pmod("o_custkey", F.lit(3)) == 0, "Client").when(F.pmod("o_custkey", F.lit(3)) == 1, "Service")).alias("role"), (F.col("o_orderstatus") == "F").alias("failed"), F.pmod("o_orderkey", F.lit(13)).cast("long").alias("inbound_cells"), F.pmod(F.floor("o_totalprice"), F.lit(5000)).cast("long").alias("outbound_cells"), (F.pmod("o_custkey", F.lit(997)) * 100.0).alias("lifetime"), F.substring("o_orderpriority", 1, 1).cast("int").alias("reason_list"))
 
 
-S_CIRCUITS = """circuits AS (SELECT o_orderkey, ['Entry', 'Mid', 'End', 'Exit', 'HSDir', 'Intro', 'Rend'][o_orderkey % 7 + 1] AS position, CASE o_custkey % 3 WHEN 0 THEN 'Client' WHEN 1 THEN 'Service' END AS role, o_orderstatus = 'F' AS failed,
+S_CIRCUITS = """circuits AS (SELECT o_orderkey, ['Entry', 'Mid', 'End', 'Exit', 'HSDir', 'Intro', 'Rend'][o_orderkey % 7 + 1] AS position, CASE WHEN o_orderkey % 7 > 3 THEN CASE o_custkey % 3 WHEN 0 THEN 'Client' WHEN 1 THEN 'Service' END END AS role, o_orderstatus = 'F' AS failed,
  o_orderkey % 13 AS inbound_cells, CAST(floor(o_totalprice) AS BIGINT) % 5000 AS outbound_cells, (o_custkey % 997) * 100.0 AS lifetime, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS reason_list FROM orders)"""
 
 
