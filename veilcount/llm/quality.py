@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from veilcount.llm._shared import materialize, table, text_of
 
@@ -31,10 +32,19 @@ TO_POOLED, TO_IDENTITY = 0.1, 0.02
 #: Log-density differences are divided by this: statistics of one text aren't independent.
 TEMPERATURE = 3.0
 
-STATISTICS = ("log_words", "word_chars", "word_spread", "upper", "digit", "symbol", "bang", "bar", "stop", "quote", "other_mark", "non_ascii", "marked_words", "distinct", "top_word", "short_words", "line_words", "repeated_lines", "entropy", "blank")
-
+STATISTICS = (
+    "log_words", "word_chars", "word_spread", "upper", "digit", "symbol", "bang", "bar", "stop", "quote",
+    "other_mark", "non_ascii", "marked_words", "distinct", "top_word", "short_words", "line_words",
+    "repeated_lines", "entropy", "blank",
+)
+
+#: Bytes by class; those of no class are marks of other kinds.
+_CLASSES = (
+    b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"#$%&*@^~+=<>_\\",
+    b"!?", b"|", b".,;:", b"\"'()[]{}-/", b" \t\n\v\f\r",
+)
 _CLASS = np.zeros(256, np.int64)
-for _bytes, _k in ((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), (b"abcdefghijklmnopqrstuvwxyz", 2), (b"0123456789", 3), (b"#$%&*@^~+=<>_\\", 4), (b"!?", 5), (b"|", 6), (b".,;:", 7), (b"\"'()[]{}-/", 8), (b" \t\n\v\f\r", 9)):
+for _k, _bytes in enumerate(_CLASSES, 1):
     _CLASS[list(_bytes)] = _k
 _CLASS[128:] = 10
 
@@ -54,18 +64,23 @@ def statistics(text: str) -> list[float]:
     p = bytes_of[bytes_of > 0] / size
     root = lambda x: math.sqrt(max(0.0, x))  # noqa: E731  shares near 0 are spread out
     marked = sum(1 for w in words if not w[-1].isalnum())
+    share = lambda k: root(by_class[k] / size)
     return [
-        math.log1p(len(words)), math.log1p(lengths.mean()), math.log1p(lengths.std()), root(by_class[1] / size), root(by_class[3] / size), root(by_class[4] / size), root(by_class[5] / size), root(by_class[6] / size), root(by_class[7] / size), root(by_class[8] / size), root(by_class[0] / size), root(by_class[10] / size),
-        root(marked / n), math.log((len(counts) + 1) / (n + 1)) / math.log(n + 2), root(max(counts.values(), default=0) / n), root((lengths <= 3).mean()), math.log1p(n / max(1, len(lines))), root(1 - len(set(lines)) / max(1, len(lines))), float(-(p * np.log2(p)).sum()), root(by_class[9] / size),
+        math.log1p(len(words)), math.log1p(lengths.mean()), math.log1p(lengths.std()),
+        share(1), share(3), share(4), share(5), share(6), share(7), share(8), share(0), share(10),
+        root(marked / n), math.log((len(counts) + 1) / (n + 1)) / math.log(n + 2),
+        root(max(counts.values(), default=0) / n), root((lengths <= 3).mean()), math.log1p(n / max(1, len(lines))),
+        root(1 - len(set(lines)) / max(1, len(lines))), float(-(p * np.log2(p)).sum()), share(9),
     ]
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "x": [statistics(t) for t in batch["text"].array]})
+@F.pandas_udf(ArrayType(DoubleType()))
+def measures(texts: pd.Series) -> pd.Series:
+    return pd.Series([statistics(t) for t in texts.array], dtype=object)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInPandas(run, "doc_id long, x array<double>")
+
+def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), measures(text_of(text_col)).alias("x"))
 
 
 @dataclass
@@ -87,7 +102,9 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
-def fit(labelled: DataFrame, to_pooled: float = TO_POOLED, to_identity: float = TO_IDENTITY, temperature: float = TEMPERATURE) -> Discriminant:
+def fit(
+    labelled: DataFrame, to_pooled: float = TO_POOLED, to_identity: float = TO_IDENTITY, temperature: float = TEMPERATURE
+) -> Discriminant:
     """From rows (x, label): every task sends one count, sum and outer product a class."""
     d = len(STATISTICS)
 
@@ -99,9 +116,11 @@ def fit(labelled: DataFrame, to_pooled: float = TO_POOLED, to_identity: float =
                 for k in sums:
                     own = x[batch["label"].to_numpy() == k]
                     sums[k] += own.T @ own
-        yield pd.DataFrame([(k, i, v) for k, m in sums.items() for i, v in enumerate(m.ravel().tolist())], columns=["label", "cell", "value"])
+        cells = [(k, i, v) for k, m in sums.items() for i, v in enumerate(m.ravel().tolist())]
+        yield pd.DataFrame(cells, columns=["label", "cell", "value"])
 
-    total = labelled.mapInPandas(moments, "label int, cell int, value double").groupBy("label", "cell").agg(F.sum("value").alias("value"))
+    found = labelled.mapInPandas(moments, "label int, cell int, value double")
+    total = found.groupBy("label", "cell").agg(F.sum("value").alias("value"))
     m = np.zeros((2, (d + 1) ** 2))
     for r in total.collect():  # 2 x (d + 1)^2 cells
         m[r["label"], r["cell"]] = r["value"]
@@ -129,12 +148,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").distinct()
+def training_rows(
+    measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality"
+) -> DataFrame:
+    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    marks = marks.where("label in (0, 1)").distinct()
     return measured.where(~held_out(F.col("doc_id"))).join(marks, "doc_id").select("x", "label")
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each document."""
     measured = materialize(with_statistics(docs, id_col, text_col), "statistics")
     model = fit(training_rows(measured, labels, id_col, label_col))
@@ -142,22 +167,31 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.vstack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, len(STATISTICS)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": model.scores(x)})
+            facts = {"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"]}
+            yield pd.DataFrame(facts | {"score": model.scores(x)})
 
-    scored = measured.withColumn("held_out", held_out(F.col("doc_id"))).mapInPandas(run, "doc_id long, held_out boolean, score double")
+    marked = measured.withColumn("held_out", held_out(F.col("doc_id")))
+    scored = marked.mapInPandas(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that classify() predicts as 1, with all their columns; scored in place, so no text moves."""
-    measured = materialize(with_statistics(docs, id_col, text_col), "statistics")
-    model = fit(training_rows(measured, labels, id_col))
+def keep_good(
+    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents that classify() predicts as 1, with all their columns.
+
+    They are written with their statistics, so that each text is measured once and none is shuffled.
+    """
+    whole = docs.select(F.struct(*docs.columns).alias("row"), measures(text_of(text_col)).alias("x"))
+    measured = materialize(whole, "measured")
+    rows = measured.select(F.col(f"row.{id_col}").cast("long").alias("doc_id"), "x")
+    model = fit(training_rows(rows, labels, id_col))
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(np.array([statistics(t) for t in texts.array]).reshape(-1, len(STATISTICS))))
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.array(x.to_list()).reshape(-1, len(STATISTICS))))
 
-    return docs.where(score(text_of(text_col)) >= threshold)
+    return measured.where(score("x") >= threshold).select("row.*")
 
 
 def op2_quality(spark, sf_dir):
