@@ -288,18 +288,26 @@ def connection_counters(
     side = F.when(F.col("is_client"), "Entry").otherwise("NonEntry")
     on = F.when(F.col("relay"), "RelayOnAddress").otherwise("NoRelayOnAddress")
     heads = joined(F.array(side), variants(on), F.array(F.lit("Connection")))
-    plain = [Measure("Count"), *counts_of(sides), *binned]
-    found = [named(class_cells(connections, both, plain, bins), heads, wanted)]
+    # One pass by all classes; what is counted by country or system is a selection or renaming of its cells.
+    by_list = {c: F.least(F.col(c), F.lit(float(lists))).cast("int") for c in ("country_list", "as_list")}
+    cells = class_cells(connections, both | by_list, [Measure("Count"), *counts_of(sides), *binned], bins)
+    of_bins = lambda c: c["suffix"].isin(*[m.suffix for m in binned])
+    histograms, counts = F.filter("cells", of_bins), F.filter("cells", lambda c: ~of_bins(c))
+    found = [named(cells, heads, wanted)]
     for kind in ("Country", "AS"):
         index = F.col(f"{kind.lower()}_list")
-        cells = class_cells(connections, both | {"hit": index == 0}, binned, bins)
-        tail = F.when(F.col("hit"), f"{kind}Match").otherwise(f"{kind}NoMatch")
-        found.append(named(cells, _suffixed(heads, tail), wanted))
-        of_list = class_cells(connections, both, lists_of(index, lists, {"": None} | sides))
-        found.append(named(of_list, _suffixed(heads, F.lit(f"{kind}Match")), wanted))
+        tail = F.when(index == 0, f"{kind}Match").otherwise(f"{kind}NoMatch")
+        found.append(named(cells.withColumn("cells", histograms), _suffixed(heads, tail), wanted))
+        found.append(named(cells.withColumn("cells", _listed(counts, index)), _suffixed(heads, F.lit(f"{kind}Match")), wanted))
     return _union(found)
 
 
+def _listed(counts: Column, index: Column) -> Column:
+    """Counts of a class as counts of the list that it is in."""
+    suffix = lambda c: F.concat(c["suffix"], F.lit("List")).alias("suffix")
+    return F.transform(counts, lambda c: F.struct(suffix(c), index.alias("bin_idx"), c["count"].alias("count")))
+
+
 def cache_counters(
     entries: DataFrame,
     kind: str = "Store",
