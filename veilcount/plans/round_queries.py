@@ -71,7 +71,8 @@ def connections_of(events):
 
 def counted_round(spark, sf_dir):
     """Counts by party and configured bin."""
-    events = ev.accepted(ev.enabled(ev.fields_of(connection_lines(spark, sf_dir), "PRIVCOUNT_"), ["CONNECTION_CLOSE"]))
+    lines = ev.enabled(ev.fields_of(connection_lines(spark, sf_dir), "PRIVCOUNT_"), ["CONNECTION_CLOSE"])
+    events = ev.accepted(lines, {"CONNECTION_CLOSE": ev.CONNECTION_CLOSE})
     lists = spark.createDataFrame([(0, "aa"), (1, "BB")], "list_idx int, item string")
     known = matching.exact_match(connections_of(events), lists, "country", "country_list").withColumn("as_list", F.lit(INF))
     fine = binning.elementary_bins(round_bins(spark), fanout.DEFAULT_BINS)

@@ -232,7 +232,8 @@ def accepted(events: DataFrame, rules: dict[str, tuple] | None = None, model: bo
     Unknown codes, malformed fields and, without a traffic model, its events are rejected; no row is lost.
     """
     known = TAGGED if rules is None else rules
-    parsed = events.withColumn("tags", tagged(F.col("fields")))
+    # Exploding one value keeps filters above from taking the whole expression in for every field that they name.
+    parsed = events.withColumn("tags", F.explode(F.array(tagged(F.col("fields")))))
     reason = F.when(~F.col("code").isin(*known), "unknown code")
     if not model:
         reason = reason.when(F.col("code").startswith("VITERBI_"), "no traffic model")
@@ -240,7 +241,8 @@ def accepted(events: DataFrame, rules: dict[str, tuple] | None = None, model: bo
     for code, own in known.items():
         first = F.coalesce(*[F.when(~r.holds(F.col("tags")), r.field) for r in own])
         reason = reason.when(F.col("code") == code, first)
-    return parsed.withColumn("reject_reason", reason).withColumn("valid", F.col("reject_reason").isNull())
+    judged = parsed.withColumn("reject_reason", F.explode(F.array(reason)))
+    return judged.withColumn("valid", F.col("reject_reason").isNull())
 
 
 def with_arity(events: DataFrame, arity: dict[str, int]) -> DataFrame:
