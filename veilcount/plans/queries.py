@@ -213,7 +213,7 @@ def c1_bin_checks(spark, sf_dir):
 
 @query()
 def n8_allocation(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 5").select(F.col("n_name").alias("counter"), (F.col("n_nationkey") + 1.0).alias("sensitivity"), (F.col("n_nationkey") * 1000 + 500.0).alias("estimated_value"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("counter"), (F.col("n_nationkey") + 1.0).alias("sensitivity"), (F.col("n_nationkey") * 1000 + 500.0).alias("estimated_value"))
     return privacy.allocate(n, 0.3, 1e-3, len(LISTS))
 
 
