@@ -110,6 +110,11 @@ def is_as_number(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^\s*\+?0*[1-9]\d*\s*$"), F.lit(False))
 
 
+def is_reason(text: Column) -> Column:
+    """letters and digits, as reasons of failures and of cache events are written."""
+    return F.coalesce(text.rlike(r"(?i)^[a-z0-9]+\z"), F.lit(False))
+
+
 def onion_name(text: Column) -> Column:
     """the name in an onion address or URL: its host's last label but 'onion', in lower case."""
     after = F.when(F.instr(text, ":") > 0, F.regexp_replace(text, r"^[^:]*:", "")).otherwise(text)
@@ -170,9 +175,40 @@ def size_text(n: Column) -> Column:
     return out.otherwise(F.concat(F.format_string("%.1f", n.cast("double") / 1024**3), F.lit(" GB")))
 
 
-def shortened(text: Column, most: int) -> Column:
-    """F20."""
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most // 2), F.lit("..."), F.right(text, F.lit(most // 2)), F.lit(" ("), F.length(text), F.lit(")")))
+def shortened(text: Column, most: int = 100, ellipsis: str = "...") -> Column:
+    """at most so many characters, with the ellipsis in the middle; an odd one goes to the start."""
+    left = most - len(ellipsis)
+    start, end = F.substring(text, 1, max(left + 1, 0) // 2), F.right(text, F.lit(max(left, 0) // 2))
+    cut = F.concat(start, F.lit(ellipsis), end) if left > 0 else F.lit(ellipsis[:most])
+    return F.when(F.length(text) <= most, text).otherwise(cut)
+
+
+def list_summary(first: Column, last: Column, n: Column, most: int = 50, ellipsis: str = "....") -> Column:
+    """a list by its first and last item, at most so long each, and its length; null items are of no list."""
+    one = shortened(first.cast("string"), most, ellipsis)
+    both = F.concat(first.cast("string"), F.lit(ellipsis), last.cast("string"))
+    shown = F.when(n > 1, shortened(both, 2 * most + len(ellipsis), ellipsis)).when(n == 1, one).otherwise("")
+    return F.concat(F.lit("'"), shown, F.lit("' ("), n.cast("string"), F.lit(")"))
+
+
+def listed(items: Column, most: int = 50, ellipsis: str = "....") -> Column:
+    """an aggregate, the summary of a group's items in order; no list of them is gathered."""
+    return list_summary(F.min(items), F.max(items), F.count(items), most, ellipsis)
+
+
+def json_text(data: Column) -> Column:
+    """compact JSON; nulls are kept."""
+    return F.to_json(data, {"ignoreNullFields": "false"})
+
+
+def encoded(data: Column) -> Column:
+    """the compact JSON in base64."""
+    return F.base64(json_text(data).cast("binary"))
+
+
+def decoded(text: Column, schema: str) -> Column:
+    """what encoded() has encoded; null where it isn't that."""
+    return F.from_json(F.try_to_binary(text, F.lit("base64")).cast("string"), schema)
 
 
 def safe_divide(a: Column, b: Column) -> Column:

@@ -44,11 +44,6 @@ def totals(results: DataFrame) -> DataFrame:
     return variance.groupBy("counter", "bin_idx").agg(F.sum("value").alias("value"), known("variance").alias("variance"), known("excess").alias("excess"))
 
 
-def text_lines(results: DataFrame) -> DataFrame:
-    """K2: one line a bin."""
-    return results.select(F.format_string("%s bin %d: %.0f +- %.0f (%s)", "counter", F.col("bin_idx").cast("int"), F.col("value").cast("double"), "error", F.when(F.col("is_noisy"), "obscured").otherwise("visible")).alias("value"))
-
-
 def plotted(results: DataFrame, labels: list[str]) -> DataFrame:
     """K3: counter, bin_idx and, for each labelled experiment, its value and the errors below and above it.
 

@@ -40,6 +40,9 @@ def rotation(closes: DataFrame, period: int = 600) -> DataFrame:
     )
 
 
-def gaps_between(events: DataFrame, keys: list[str], at: Column, out: str = "gap") -> DataFrame:
-    """time since the event before of the same key, null for the first."""
-    return events.withColumn("_at", at).withColumn(out, F.col("_at") - F.lag("_at").over(Window.partitionBy(*keys).orderBy("_at"))).drop("_at")
+def gaps_between(
+    events: DataFrame, keys: list[str], at: Column, out: str = "gap", ties: tuple[str, ...] = ()
+) -> DataFrame:
+    """time since the event before of the same key, null for the first; events of one time by the ties' order."""
+    own = Window.partitionBy(*keys).orderBy("_at", *ties)
+    return events.withColumn("_at", at).withColumn(out, F.col("_at") - F.lag("_at").over(own)).drop("_at")

@@ -23,6 +23,62 @@ def position_fractions(relays: DataFrame, mine: Column, w: dict[str, float], pos
     return relays.select(mine.alias("mine"), weighted.alias("x")).groupBy("x.position").agg(F.sum("x.w").alias("total"), F.sum(F.when(F.col("mine"), F.col("x.w")).otherwise(0.0)).alias("own")).withColumn("fraction", F.coalesce(F.try_divide("own", "total"), F.lit(0.0)))
 
 
+#: The version from which relays are directories of the third kind, the versions of protocols that
+#: directories and rendezvous points of that kind speak, and how far stored descriptors of two periods overlap.
+LEAST_VERSION, DIRECTORY, RENDEZVOUS = (0, 3, 0, 8), 2, 2
+OVERLAP = {"h2": 1 + 1 / 24, "h3": 2.0}
+POSITIONS = ("g", "m", "e", "h2", "h3", "i", "r2", "r3")
+
+
+def supports(protocols: Column, name: str, version: int) -> Column:
+    """Whether a map of protocols to versions ('1-2,4') holds this one."""
+    end = lambda part, i: F.substring_index(part, "-", i).try_cast("int")
+    found = F.exists(F.split(protocols[name], ","), lambda p: F.lit(version).between(end(p, 1), end(p, -1)))
+    return F.coalesce(found, F.lit(False))
+
+
+def at_least(version: Column, least: tuple[int, ...]) -> Column:
+    """Whether the leading numbers of a version are at least these; false without any."""
+    numbers = F.transform(F.split(F.regexp_extract(version, r"^(\d+(\.\d+)*)", 1), r"\."), lambda x: x.try_cast("int"))
+    return F.coalesce((numbers >= F.array(*[F.lit(n) for n in least])) & version.rlike(r"^\d"), F.lit(False))
+
+
+def position_amount(position: str, w: dict[str, float]) -> Column:
+    """What a relay brings to a position, 0 where it can't serve there.
+
+    Of relays: flags, bandwidth, exits (whether its policy allows any), version, protocols, spread. Directories count
+    by their part of the ring (h2) or each as one (h3), all others by weighted bandwidth.
+    """
+    flags = F.col("flags")
+    has = lambda f: F.array_contains(flags, f)
+    if position == "h2":
+        serves, amount = has("HSDir"), F.col("spread")
+    elif position == "h3":
+        serves = has("HSDir") & at_least(F.col("version"), LEAST_VERSION) & supports(F.col("protocols"), "HSDir", DIRECTORY)
+        amount = F.lit(1.0)
+    else:
+        amount = F.col("bandwidth") * position_weight(flags, position, w)
+        serves = {
+            "g": has("Guard") & has("Fast") & has("Stable"),
+            "e": ~has("BadExit") & F.col("exits"),
+            "r3": supports(F.col("protocols"), "HSRend", RENDEZVOUS),
+        }.get(position, F.lit(True))
+    return F.coalesce(F.when(serves, amount).cast("double"), F.lit(0.0))
+
+
+def network_fractions(relays: DataFrame, mine: Column, w: dict[str, float]) -> DataFrame:
+    """For all eight positions total, own and fraction; served_fraction adds what directories hold of the
+    period before. Relays as position_amount takes them; w as shares of 1."""
+    amounts = F.array(*[F.struct(F.lit(p).alias("position"), position_amount(p, w).alias("w")) for p in POSITIONS])
+    held = relays.select(mine.alias("mine"), F.explode(amounts).alias("x")).groupBy("x.position")
+    sums = held.agg(F.sum("x.w").alias("total"), F.sum(F.when(F.col("mine"), F.col("x.w")).otherwise(0.0)).alias("own"))
+    overlap = F.when(F.col("position") == "h2", OVERLAP["h2"]).when(F.col("position") == "h3", OVERLAP["h3"])
+    share = lambda own: F.coalesce(F.try_divide(own, F.col("total")), F.lit(0.0))
+    return sums.withColumn("fraction", share(F.col("own"))).withColumn(
+        "served_fraction", share(F.col("own") * F.coalesce(overlap, F.lit(1.0)))
+    )
+
+
 #: Hexadecimal digits that one exact long holds.
 LIMB = 15
 

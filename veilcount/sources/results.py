@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,14 +34,48 @@ def results_name(kind: str, begin: float, end: float) -> str:
     return f"{kind}.{round(begin)}-{round(end)}.json"
 
 
-def write_results(results: DataFrame, folder: str, begin: float, end: float) -> str:
-    """K1: results (counter, bin_idx, lo, hi, value) as one object, counters and bins in order.
+def tallied(results: DataFrame) -> DataFrame:
+    """K1: results (counter, bin_idx, lo, hi, value) as one row with one JSON object, counters and bins in order.
 
     The object has one entry for each configured counter, whatever the number of events.
     """
-    bins = F.transform(F.array_sort(F.collect_list(F.struct("bin_idx", F.array(F.col("lo").cast("string"), F.col("hi").cast("string"), F.col("value").cast("string")).alias("bin")))), lambda x: x["bin"])
-    tallied = results.groupBy("counter").agg(F.struct(bins.alias("bins")).alias("tally"))
-    whole = tallied.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("counter", "tally"))))).alias("value"))
+    parts = F.array(*[F.col(c).cast("string") for c in ("lo", "hi", "value")])
+    bins = F.array_sort(F.collect_list(F.struct("bin_idx", parts.alias("bin"))))
+    each = results.groupBy("counter").agg(F.struct(F.transform(bins, lambda x: x["bin"]).alias("bins")).alias("tally"))
+    entries = F.array_sort(F.collect_list(F.struct("counter", "tally")))
+    return each.agg(F.to_json(F.map_from_entries(entries)).alias("value"))
+
+
+def write_results(results: DataFrame, folder: str, begin: float, end: float) -> str:
+    """K1: the tallies alone."""
     path = f"{folder}/{results_name('tallies', begin, end)}"
-    whole.coalesce(1).write.text(path)
+    tallied(results).coalesce(1).write.text(path)
+    return path
+
+
+def context_of(noise: DataFrame, privacy: dict, start: float, stopping: float, end: float, padding: float = 0.0, **more):
+    """K1: the context of a round: its times, its noise (counter, sigma, configuration) and what the caller adds.
+
+    more: parts beside these, such as DataCollector or ShareKeeper; those of TallyServer are merged.
+    """
+    sigmas = {r["counter"]: {"sigma": r["sigma"]} for r in noise.select("counter", "sigma").collect()}
+    server = dict(more.pop("TallyServer", {}))
+    server["Config"] = server.get("Config", {}) | {"noise": {"privacy": privacy, "counters": sigmas}}
+    times = {
+        "Start": start,
+        "Stopping": stopping,
+        "End": end,
+        "CollectStopping": stopping - start,
+        "CollectEnd": end - start,
+        "StoppingDelay": end - stopping,
+        "ClockPadding": padding,
+    }
+    return more | {"Time": times, "TallyServer": server}
+
+
+def write_outcome(results: DataFrame, context: dict, folder: str, begin: float, end: float) -> str:
+    """K1: tallies with the context of their round; read_results reads both."""
+    told = F.lit('{"Context":' + json.dumps(context, sort_keys=True) + ',"Tally":')
+    path = f"{folder}/{results_name('outcome', begin, end)}"
+    tallied(results).select(F.concat(told, "value", F.lit("}")).alias("value")).coalesce(1).write.text(path)
     return path

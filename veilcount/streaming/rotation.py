@@ -21,11 +21,61 @@ def distinct_clients(closes: DataFrame, period: str = "10 minutes", lateness: st
     return first.groupBy(F.window(F.window_time("w"), period).alias("w")).agg(F.count("*").alias("clients"), F.sum("n").alias("closes")).select(F.col("w.start").alias("start"), "clients", "closes")
 
 
+def client_windows(closes: DataFrame, period: int = 600, lateness: int = 600) -> DataFrame:
+    """ST2: closes (ip, active, ts, created; times as timestamps) to the batch form's columns, with each window's start.
+
+    A close counts in its window and, without a completion, in the one before if it began there. Such a row is a
+    period older than its close, so the watermark waits for a period more. Append mode; the last windows stay open.
+    """
+    at = F.unix_micros("ts") / 1e6
+    w = F.floor(at / period)
+    row = lambda k, done: F.struct(F.timestamp_seconds(k * period).alias("at"), F.lit(done).alias("done"))
+    began = F.unix_micros("created") / 1e6
+    rows = F.array_compact(F.array(row(w, 1), F.when(began < w * period, row(w - 1, 0))))
+    each = closes.select("ip", "active", F.explode(rows).alias("r")).select("ip", "active", "r.*")
+    span = f"{period} seconds"
+    done = lambda c: F.sum(F.when(c, F.col("done")).otherwise(0))
+    clients = (
+        each.withWatermark("at", f"{lateness + period} seconds")
+        .groupBy(F.window("at", span).alias("w"), "ip")
+        .agg(
+            F.max(F.col("active").cast("int")).alias("is_active"),
+            done(F.col("active")).alias("active_done"),
+            done(~F.col("active")).alias("inactive_done"),
+        )
+    )
+    return (
+        clients.groupBy(F.window(F.window_time("w"), span).alias("w"))
+        .agg(
+            F.count("*").alias("clients"),
+            F.sum("is_active").alias("active_clients"),
+            (F.count("*") - F.sum("is_active")).alias("inactive_clients"),
+            F.sum("active_done").alias("active_completed"),
+            F.sum("inactive_done").alias("inactive_completed"),
+        )
+        .select(
+            F.col("w.start").alias("start"),
+            "clients",
+            "active_clients",
+            "inactive_clients",
+            "active_completed",
+            "inactive_completed",
+        )
+    )
+
+
 class CircuitState(StatefulProcessor):
-    """ST1: streams gather by circuit; a close emits their number once and evicts them."""
+    """ST1: streams gather by circuit; a close emits their number once and evicts them.
+
+    A circuit that never closes leaves when nothing was added to it for ttl_ms milliseconds; without, it stays.
+    """
+
+    def __init__(self, ttl_ms: int | None = None) -> None:
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.streams = handle.getValueState("streams", StructType([StructField("n", LongType()), StructField("bytes", LongType())]), ttlDurationMs=None)
+        kept = StructType([StructField("n", LongType()), StructField("bytes", LongType())])
+        self.streams = handle.getValueState("streams", kept, ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         n, size = self.streams.get() if self.streams.exists() else (0, 0)
@@ -47,6 +97,11 @@ class CircuitState(StatefulProcessor):
         pass
 
 
-def circuits(events: DataFrame) -> DataFrame:
-    """ST1: events (circuit, kind 0 stream or 1 close, ts, bytes) to closed circuits with their streams."""
-    return events.groupBy("circuit").transformWithStateInPandas(CircuitState(), "circuit long, streams long, bytes long", "append", "none")
+def circuits(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """ST1: events (circuit, kind 0 stream or 1 close, ts, bytes) to closed circuits with their streams.
+
+    ttl_ms, in processing time, bounds the state by what arrives within it.
+    """
+    mode = "none" if ttl_ms is None else "processingtime"
+    out = "circuit long, streams long, bytes long"
+    return events.groupBy("circuit").transformWithStateInPandas(CircuitState(ttl_ms), out, "append", mode)
