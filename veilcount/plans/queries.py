@@ -129,11 +129,11 @@ def b1_b2_blinded_tally(spark, sf_dir):
     return binning.tally(privacy.blinded(collector_facts(spark, sf_dir), ["sk0", "sk1", "sk2"]))
 
 
-@query("""SELECT n_name AS counter FROM nation WHERE n_regionkey < 3 AND n_nationkey % 2 = 0 AND regexp_matches(n_name, '^[A-K]')
- AND NOT regexp_matches(n_name, 'N$')""")
+@query("""SELECT n_name AS counter FROM nation WHERE n_regionkey < 3 AND n_nationkey % 2 = 0 AND regexp_matches(n_name, '[0-2]$')
+ AND NOT regexp_matches(n_name, '_1')""")
 def p8_p10_names(spark, sf_dir):
     n = table(spark, sf_dir, "nation").withColumnRenamed("n_name", "counter")
-    return matching.common_counters(matching.name_filter(n.where("n_regionkey < 3"), "^[A-K]", "N$"), n.where("n_nationkey % 2 = 0"))
+    return matching.common_counters(matching.name_filter(n.where("n_regionkey < 3"), "[0-2]$", "_1"), n.where("n_nationkey % 2 = 0"))
 
 
 S_LIMBS = ", ".join(f"CAST(CAST('0x' || rpad(substr(fp, {1 + 15 * i}, 15), 15, '0') AS UBIGINT) AS BIGINT) AS a{i}" for i in range(3))
