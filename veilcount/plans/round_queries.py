@@ -46,7 +46,7 @@ def connection_lines(spark, sf_dir):
     shown = [F.concat(F.lit(f"{n}="), v) for n, v in fields.items()]
     country = F.when(mod(3) == 0, "RemoteCountryCode=AA").when(mod(3) == 2, "RemoteCountryCode=bb")
     twice = F.when(mod(13) == 0, "ChannelId=1")
-    line = F.concat_ws(" ", F.lit("650 PRIVCOUNT_CONNECTION_CLOSE"), *shown, country, twice)
+    line = F.concat_ws(" ", F.lit("650 COUNTED_CONNECTION_CLOSE"), *shown, country, twice)
     party = F.concat(F.lit("dc"), F.pmod("o_custkey", F.lit(4)))
     return table(spark, sf_dir, "orders").select(party.alias("party"), line.alias("value"))
 
@@ -71,7 +71,7 @@ def connections_of(events):
 
 def counted_round(spark, sf_dir):
     """Counts by party and configured bin."""
-    lines = ev.enabled(ev.fields_of(connection_lines(spark, sf_dir), "PRIVCOUNT_"), ["CONNECTION_CLOSE"])
+    lines = ev.enabled(ev.fields_of(connection_lines(spark, sf_dir), "COUNTED_"), ["CONNECTION_CLOSE"])
     events = ev.accepted(lines, {"CONNECTION_CLOSE": ev.CONNECTION_CLOSE})
     lists = spark.createDataFrame([(0, "aa"), (1, "BB")], "list_idx int, item string")
     known = matching.exact_match(connections_of(events), lists, "country", "country_list").withColumn("as_list", F.lit(INF))
