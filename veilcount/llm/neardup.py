@@ -229,9 +229,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents of which near_duplicates keeps one a group, with all their columns; repeated rows stay once."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col, text_col])
+    """The documents of which near_duplicates keeps one a group, with all their columns.
+
+    Of rows with one id and one text, one stays: that with the smallest hash of its columns (maps aside), so reruns agree.
+    """
+    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    plain = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    # Rows travel as one struct, so that no column's name clashes.
+    rows = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text"), F.xxhash64(*plain).alias("place"), F.struct(*docs.columns).alias("row"))
+    rows = rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return rows.groupBy("own_id", "own_text").agg(F.min_by("row", "place").alias("row")).select("row.*")
 
 
 def op7_near_duplicates(spark, sf_dir):

@@ -40,11 +40,13 @@ BASE = (
     Rule("hex", r"[0-9a-f]{16,}"),
 )
 ADDED = (
-    # To the END line; a key that is cut off before it, to its last whole line.
+    # To the END line, however far, unless another key begins first; a key that is cut off before it, to its last
+    # whole line. Single characters repeat, so Java's matcher loops over a body of any length and doesn't recurse.
     Rule(
         "private_key",
         r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-        r"(?:[A-Za-z0-9+/=:,\s-]{0,20000}?-----END [A-Z ]*PRIVATE KEY-----|(?:\s+[A-Za-z0-9+/=]{40,80}){0,400})",
+        r"(?:(?:(?!-----BEGIN)[A-Za-z0-9+/=:,\s-])*?-----END [A-Z ]*PRIVATE KEY-----"
+        r"|(?:\s[A-Za-z0-9+/=\s]*(?<=[A-Za-z0-9+/=]{40})(?![A-Za-z0-9+/=]))?)",
     ),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -165,15 +167,42 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     def step(done: Column, s: Column) -> Column:
         start = done["at"] + s["gap"]
         end = start + s["long"]
-        more = F.concat(done["spans"], F.array(span(start, end)))
-        return F.struct(end.alias("at"), F.when(s["tested"] >= rule.least, more).otherwise(done["spans"]).alias("spans"))
+        more = F.concat(done["out"], F.array(span(start, end)))
+        return F.struct(end.alias("at"), F.when(s["tested"] >= rule.least, more).otherwise(done["out"]).alias("out"))
 
-    first = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
-    return F.aggregate(steps, first, step, lambda done: done["spans"])
+    return folded(steps, SPANS, step)["out"]
+
+
+#: Items of a fold in a row. Each step copies what its array holds, so a text with k spans costs k * FOLD + (k / FOLD) ** 2.
+FOLD = 1024
+SPANS = "array<struct<start:int,order:int,end:int,kind:string>>"
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def folded(items: Column, kind: str, step) -> Column:
+    """(at, out) after step(state, item) for each item, from 0 and an empty array of this kind: run by run."""
+
+    def start(at: Column) -> Column:
+        return F.struct(at.alias("at"), F.array().cast(kind).alias("out"))
+
+    def run(done: Column, items: Column) -> Column:
+        whole = lambda own: F.struct(own["at"].alias("at"), F.concat(done["out"], F.array(own["out"])).alias("out"))
+        return _let(F.aggregate(items, start(done["at"]), step), whole)
+
+    def runs(found: Column) -> Column:
+        last = F.floor((F.greatest(F.size(found), F.lit(1)) - 1) / FOLD).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(found, i * FOLD + 1, FOLD))
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.aggregate(_let(items, runs), first, run, lambda d: F.struct(d["at"].alias("at"), F.flatten(d["out"]).alias("out")))
 
 
 def no_spans() -> Column:
-    return F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
+    return F.array().cast(SPANS)
 
 
 def all_spans(text: Column, held: Column, rules=RULES) -> Column:
@@ -207,12 +236,11 @@ def masked(text: Column, found: Column, mask: str) -> Column:
 
     def step(done: Column, s: Column) -> Column:
         piece = F.concat(text.substr(done["at"] + 1, s["start"] - done["at"]), F.lit(mask))
-        parts = F.when(s["start"] >= done["at"], F.concat(done["parts"], F.array(piece))).otherwise(done["parts"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), parts.alias("parts"))
+        parts = F.when(s["start"] >= done["at"], F.concat(done["out"], F.array(piece))).otherwise(done["out"])
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), parts.alias("out"))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     rest = lambda done: text.substr(done["at"] + 1, F.length(text))
-    return F.aggregate(found, first, step, lambda done: F.concat(F.array_join(done["parts"], ""), rest(done)))
+    return _let(folded(found, "array<string>", step), lambda done: F.concat(F.array_join(done["out"], ""), rest(done)))
 
 
 def redact(
