@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from veilcount.llm.ann import op1_ann
+from veilcount.llm.balls import CLUSTERS, COMPONENTS, ROUNDS, SEED, op13_balls
+from veilcount.llm.decontamination import op11_decontamination
 from veilcount.llm.flac import op6_flac
 from veilcount.llm.lm_score import op4_lm_score
 from veilcount.llm.mixing import op3_mixing
 from veilcount.llm.neardup import op7_near_duplicates
+from veilcount.llm.negatives import op12_negatives
 from veilcount.llm.packing import op8_packing
 from veilcount.llm.quality import op2_quality
 from veilcount.llm.secrets import op5_secrets
@@ -16,6 +19,7 @@ from veilcount.llm.warc import op10_warc
 OPERATORS = (
     op1_ann, op2_quality, op3_mixing, op4_lm_score, op5_secrets,
     op6_flac, op7_near_duplicates, op8_packing, op9_suffixes, op10_warc,
+    op11_decontamination, op12_negatives, op13_balls,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 
@@ -61,4 +65,69 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM marked
 """
 
-ORACLE_SQL = {"op7_near_duplicates": NEAR_DUPLICATES, "op10_warc": ARCHIVED_PAGES}
+LEAKS = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
+), bw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS x FROM b WHERE len(w) > 0
+), spots AS (
+  SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw)
+), hits AS (
+  SELECT r, i, spots.n, item_id FROM spots JOIN bw ON bw.n = spots.n AND bw.x = array_to_string(w[i:i + spots.n - 1], ' ')
+), words AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+#: Integer vectors; n: a filter on their number of components.
+WHOLE = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+NEGATIVES = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {WHOLE} AS e FROM embeddings WHERE label IS NOT NULL AND {SOUND}
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    CAST(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 10
+"""
+
+
+def clusters_sql(k: int = CLUSTERS, rounds: int = ROUNDS, components: int = COMPONENTS, seed: str = SEED) -> str:
+    """Lloyd's rounds, one after the other."""
+    steps = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, {WHOLE} AS e FROM embeddings WHERE len(embedding) = {components} AND {SOUND})""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, e AS c FROM (SELECT sha256('{seed}:' || vec_id) AS h, e FROM v ORDER BY h LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        gap = f"CAST(list_sum(list_transform(range(1, {components + 1}), lambda i: (e[i] - c[i]) * (e[i] - c[i]))) AS BIGINT)"
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, vec_id, e, min(struct_pack(distance := d, cluster := cluster)) AS m FROM (SELECT r, vec_id, e, cluster, {gap} AS d FROM v, c{i}) GROUP BY ALL)""")
+        if i < rounds:
+            mean = "CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+            steps.append(f"""u{i} AS (SELECT cluster, list(x ORDER BY place) AS c FROM (SELECT cluster, place, {mean} AS x FROM (SELECT m.cluster AS cluster, unnest(e) AS x, generate_subscripts(e, 1) AS place FROM a{i}) GROUP BY 1, 2) GROUP BY 1)""")
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(u.c, o.c) AS c FROM c{i} o LEFT JOIN u{i} u USING (cluster))""")
+    return f"""WITH {", ".join(steps)}, f AS (SELECT vec_id, m.cluster AS cluster, m.distance AS distance FROM a{rounds})
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM f JOIN c{rounds} USING (cluster)"""
+
+
+ORACLE_SQL = {
+    "op7_near_duplicates": NEAR_DUPLICATES,
+    "op10_warc": ARCHIVED_PAGES,
+    "op11_decontamination": LEAKS,
+    "op12_negatives": NEGATIVES,
+    "op13_balls": clusters_sql(),
+}
