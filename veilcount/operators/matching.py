@@ -176,5 +176,6 @@ def next_close(streams: DataFrame, circuits: DataFrame, keys: list[str], ended:
     A union and one window a key: sorted once, no product of streams and closes.
     """
     marks = streams.select(*keys, F.col(ended).alias("_at"), F.lit(0).alias("_kind"), F.struct(*streams.columns).alias("_stream"), F.lit(None).cast(circuits.schema[closed].dataType).alias("_closed")).unionByName(circuits.select(*keys, F.col(closed).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(streams.select(F.struct(*streams.columns).alias("s")).schema["s"].dataType).alias("_stream"), F.col(closed).alias("_closed")))
-    onward = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return marks.withColumn("closed_at", F.first("_closed", ignorenulls=True).over(onward)).where("_kind = 0").select("_stream.*", "closed_at")
+    # From the last to the first, so that the frame only grows and is never worked out anew.
+    onward = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return marks.withColumn("closed_at", F.last("_closed", ignorenulls=True).over(onward)).where("_kind = 0").select("_stream.*", "closed_at")
