@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(spark: SparkSession) -> None:
@@ -15,3 +16,16 @@ def checkpointed(spark: SparkSession) -> None:
     if not folder and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spark-"))
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of checkpoints, which all executors share."""
+    checkpointed(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/veilcount-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: worked out once, whatever reads it, and kept if executors go."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -58,12 +58,20 @@ def gaps(times: Column) -> Column:
 
 
 IPV4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
-IPV6 = r"(?i)^(?=.*:)(([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?=(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}$)(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?::(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?)$"
+IPV6 = r"(?i)^(?=.*:)(([0-9a-f]{1,4}:){7}([0-9a-f]{1,4}|:)|:(:[0-9a-f]{1,4}){7}|(?=(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}$)(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?::(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?)$"
+
+
+def plain_ipv6(address: Column) -> Column:
+    """An IPv6 address whose last 32 bits are written as IPv4 (RFC 4291, 2.2.3), in groups of hex digits alone."""
+    tail = F.regexp_extract(address, r"^[0-9A-Fa-f:]*:([0-9.]+)$", 1)
+    number = F.lpad(F.hex(ipv4_number(tail)), 8, "0")
+    groups = F.concat(F.substring(number, 1, 4), F.lit(":"), F.substring(number, 5, 4))
+    return F.when(tail.rlike(IPV4), F.concat(F.regexp_replace(address, r"[0-9.]+$", ""), groups)).otherwise(address)
 
 
 def ip_version(address: Column) -> Column:
     """4, 6 or null."""
-    return F.when(address.rlike(IPV4), 4).when(address.rlike(IPV6), 6)
+    return F.when(address.rlike(IPV4), 4).when(address.rlike(IPV6), 6).when(F.contains(address, F.lit(":")) & plain_ipv6(address).rlike(IPV6), 6)
 
 
 def ipv4_number(address: Column) -> Column:
@@ -72,23 +80,49 @@ def ipv4_number(address: Column) -> Column:
     return F.when(address.rlike(IPV4), sum(F.get(part, F.lit(i)).cast("long") * 256 ** (3 - i) for i in range(4)))
 
 
-def ipv6_bits(address: Column) -> Column:
-    """The 128 bits of an IPv6 address as a text of 0 and 1, null where it isn't one."""
+def ipv4_digits(number: Column) -> Column:
+    """An IPv4 address, given as an integer, in hex digits."""
+    return F.lower(F.lpad(F.hex(number.cast("long")), 8, "0"))
+
+
+def _ipv6_digits(address: Column) -> Column:
+    """An IPv6 address of groups of hex digits alone, without its gap."""
     halves = F.split(F.lower(address), "::")
     groups = lambda i: F.coalesce(F.filter(F.split(F.get(halves, F.lit(i)), ":"), lambda x: x != ""), F.array().cast("array<string>"))
-    zeros = F.array_repeat(F.lit("0"), 8 - F.size(groups(0)) - F.size(groups(1)))
-    bits = F.transform(F.concat(groups(0), zeros, groups(1)), lambda g: F.lpad(F.conv(g, 16, 2), 16, "0"))
-    return F.when(address.rlike(IPV6), F.array_join(bits, ""))
+    digits = lambda i: F.array_join(F.transform(groups(i), lambda g: F.lpad(g, 4, "0")), "")
+    low = digits(1)
+    return F.concat(F.rpad(digits(0), 32 - F.length(low), F.lit("0")), low)
+
+
+def address_digits(address: Column) -> Column:
+    """the address as 8 (IPv4) or 32 (IPv6) hex digits in lower case, null where it is neither.
+
+    Texts of one length sort as the numbers do, beyond 64 bits too; unhex() makes 16 bytes of them.
+    """
+    dotted = F.contains(address, F.lit("."))
+    plain = F.when(dotted & F.contains(address, F.lit(":")), plain_ipv6(address)).otherwise(address)
+    # Bound once: a lambda's variable isn't worked out anew wherever it is named.
+    long = F.get(F.transform(F.array(plain), lambda a: F.when(a.rlike(IPV6), _ipv6_digits(a))), F.lit(0))
+    return F.when(address.rlike(IPV4), ipv4_digits(ipv4_number(address))).when(F.contains(address, F.lit(":")), long)
+
+
+def network_digits(digits: Column, prefix: Column, last: bool = False) -> Column:
+    """The first (or last) address of the network of so many bits that the address lies in, as hex digits."""
+    whole, rest = F.floor(prefix / 4).cast("int"), F.pmod(prefix, F.lit(4)).cast("int")
+    host = F.element_at(F.array(*[F.lit(2 ** (4 - i) - 1) for i in range(4)]), rest + 1)  # bits of the digit that is cut
+    digit = F.conv(F.substr(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    cut = F.lower(F.hex((digit.bitwiseOR(host) if last else digit - digit.bitwiseAND(host)).cast("long")))
+    head = F.concat(F.substr(digits, F.lit(1), whole), F.when(rest > 0, cut).otherwise(""))
+    return F.rpad(head, F.length(digits), F.lit("f" if last else "0"))
 
 
 def is_network(address: Column, prefix: Column, strict: bool = True) -> Column:
     """whether address/prefix is a network; a strict one has no bits set beyond the prefix."""
-    v4, v6 = ipv4_number(address), ipv6_bits(address)
-    ok4, ok6 = prefix.between(0, 32), prefix.between(0, 128)
+    digits = address_digits(address)
+    ok = prefix.between(0, F.length(digits) * 4)
     if strict:
-        ok4 = ok4 & (F.pmod(v4.cast("double"), F.pow(F.lit(2.0), 32 - prefix)) == 0)
-        ok6 = ok6 & ~F.contains(F.substring(v6, prefix.cast("int") + 1, F.lit(128)), F.lit("1"))
-    return F.coalesce(F.when(v4.isNotNull(), ok4).when(v6.isNotNull(), ok6), F.lit(False))
+        ok = ok & (network_digits(digits, prefix) == digits)
+    return F.coalesce(ok, F.lit(False))
 
 
 def host_class(requested: Column) -> Column:

@@ -120,26 +120,35 @@ def class_cells(
     if PARTY in events.columns:
         classes = {PARTY: F.col(PARTY)} | dict(classes)
     named = [c.alias(k) for k, c in classes.items()]
-    summed = events.groupBy(*named).agg(*[s.alias(f"_{i}") for i, s in enumerate(sums)])
+    # Nothing to count leaves the classes alone.
+    summed = events.groupBy(*named).agg(*[s.alias(f"_{i}") for i, s in enumerate(sums)] or [F.lit(None).alias("_")])
     cells = [
         F.struct(F.lit(s).alias("suffix"), F.lit(i).alias("bin_idx"), F.col(f"_{k}").alias("count"))
         for k, (s, i) in enumerate(facts)
     ]
-    return summed.select(*classes, F.filter(F.array(*cells), lambda c: c["count"].isNotNull()).alias("cells"))
+    held = F.array(*cells).cast("array<struct<suffix:string,bin_idx:int,count:decimal(38,0)>>")
+    return summed.select(*classes, F.filter(held, lambda c: c["count"].isNotNull()).alias("cells"))
 
 
-def named(cells: DataFrame, names: Column, wanted: list[str] | None = None) -> DataFrame:
-    """Cells of classes to (counter, bin_idx, count), a counter being a name and a cell's suffix.
+def pruned(measures: list[Measure], wanted: list[str] | None) -> list[Measure]:
+    """The measures that a wanted counter's name can end with (or a list of them, of `Count`); all, if nothing is said."""
+    if wanted is None:
+        return measures
+    return [m for m in measures if any(w.endswith((m.suffix, f"{m.suffix}List")) for w in wanted)]
 
-    wanted: the counters that are asked for; others leave here.
+
+def named(*parts: tuple[DataFrame, Column], wanted: list[str] | None = None) -> DataFrame:
+    """Cells of classes, each with its names, to (counter, bin_idx, count); a counter is a name and a cell's suffix.
+
+    Parts are summed together, in one shuffle. wanted: the counters that are asked for; others leave here.
     """
-    by = [PARTY] if PARTY in cells.columns else []
-    rows = cells.select(*by, F.explode(names).alias("name"), "cells").select(*by, "name", F.explode("cells").alias("c"))
-    counter = F.concat("name", "c.suffix").alias("counter")
-    rows = rows.select(*by, counter, F.col("c.bin_idx").alias("bin_idx"), "c.count")
-    if wanted is not None:
-        rows = rows.where(F.col("counter").isin(*wanted))
-    return rows.groupBy(*by, "counter", "bin_idx").agg(modular_sum(F.col("count")).alias("count"))
+    found = []
+    for cells, names in parts:
+        by = [PARTY] if PARTY in cells.columns else []
+        rows = cells.select(*by, F.explode(names).alias("name"), "cells").select(*by, "name", F.explode("cells").alias("c"))
+        rows = rows.select(*by, F.concat("name", "c.suffix").alias("counter"), F.col("c.bin_idx").alias("bin_idx"), "c.count")
+        found.append(rows if wanted is None else rows.where(F.col("counter").isin(*wanted)))
+    return _union(found).groupBy(*by, "counter", "bin_idx").agg(modular_sum(F.col("count")).alias("count"))
 
 
 STREAM_SIDES = ("", "Outbound", "Inbound")
@@ -174,12 +183,12 @@ def stream_counters(
         "host": F.col("host_class"),
         "place": _place(),
     }
-    cells = class_cells(valid, classes, [Measure("Count"), *counts_of(sides, "ByteCount"), *binned], bins)
+    cells = class_cells(valid, classes, pruned([Measure("Count"), *counts_of(sides, "ByteCount"), *binned], wanted), bins)
     of_host = F.when(F.col("host") == "Hostname", F.concat("host", "web"))
     placed = [F.concat(x, "place") for x in (F.col("ip"), F.col("host"), of_host)]
     alone = F.when(F.col("web") == "NonWeb", F.col("web"))
     subs = F.array_compact(F.array(F.lit(""), "port_class", alone, "ip", "host", "place", of_host, *placed))
-    return named(cells, F.transform(subs, lambda s: F.concat(F.lit("Exit"), s, F.lit("Stream"))), wanted)
+    return named((cells, F.transform(subs, lambda s: F.concat(F.lit("Exit"), s, F.lit("Stream")))), wanted=wanted)
 
 
 def domain_counters(
@@ -197,13 +206,13 @@ def domain_counters(
     suffix = F.when(F.col("exact_list") < INF, F.col("exact_list")).otherwise(F.col("suffix_list"))
     found = []
     for kind, index in (("Exact", F.col("exact_list")), ("Suffix", suffix)):
-        cells = class_cells(valid, {"hit": index == 0}, binned, bins)
+        cells = class_cells(valid, {"hit": index == 0}, pruned(binned, wanted), bins)
         name = F.when(F.col("hit"), F.lit(f"ExitDomain{kind}MatchWebInitialStream"))
-        found.append(named(cells, F.array(name.otherwise(F.lit(f"ExitDomainNo{kind}MatchWebInitialStream"))), wanted))
+        found.append((cells, F.array(name.otherwise(F.lit(f"ExitDomainNo{kind}MatchWebInitialStream")))))
         listed = lists_of(index, lists, {"": None}) + lists_of(index, lists, sides, "ByteCountList")
-        of_list = class_cells(valid, {"one": F.lit(1)}, listed)
-        found.append(named(of_list, F.array(F.lit(f"ExitDomain{kind}MatchWebInitialStream")), wanted))
-    return _union(found)
+        of_list = class_cells(valid, {"one": F.lit(1)}, pruned(listed, wanted))
+        found.append((of_list, F.array(F.lit(f"ExitDomain{kind}MatchWebInitialStream"))))
+    return named(*found, wanted=wanted)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -257,9 +266,9 @@ def circuit_counters(
     """
     active = is_active(F.col("inbound_cells"), F.col("outbound_cells"))
     classes = {c: F.col(c) for c in ("position", "role", "failed")} | {"active": active}
-    cells = class_cells(circuits, classes, _circuit_measures(active, reasons), bins)
+    cells = class_cells(circuits, classes, pruned(_circuit_measures(active, reasons), wanted), bins)
     names = joined(F.array("position"), variants(F.col("role"), _activity(), _status()), F.array(F.lit("Circuit")))
-    return _with_names_that_exist(named(cells, names, wanted))
+    return _with_names_that_exist(named((cells, names), wanted=wanted))
 
 
 CONNECTION_PARTS = ("", "Inbound", "Outbound")
@@ -290,16 +299,16 @@ def connection_counters(
     heads = joined(F.array(side), variants(on), F.array(F.lit("Connection")))
     # One pass by all classes; what is counted by country or system is a selection or renaming of its cells.
     by_list = {c: F.least(F.col(c), F.lit(float(lists))).cast("int") for c in ("country_list", "as_list")}
-    cells = class_cells(connections, both | by_list, [Measure("Count"), *counts_of(sides), *binned], bins)
+    cells = class_cells(connections, both | by_list, pruned([Measure("Count"), *counts_of(sides), *binned], wanted), bins)
     of_bins = lambda c: c["suffix"].isin(*[m.suffix for m in binned])
     histograms, counts = F.filter("cells", of_bins), F.filter("cells", lambda c: ~of_bins(c))
-    found = [named(cells, heads, wanted)]
+    found = [(cells, heads)]
     for kind in ("Country", "AS"):
         index = F.col(f"{kind.lower()}_list")
         tail = F.when(index == 0, f"{kind}Match").otherwise(f"{kind}NoMatch")
-        found.append(named(cells.withColumn("cells", histograms), _suffixed(heads, tail), wanted))
-        found.append(named(cells.withColumn("cells", _listed(counts, index)), _suffixed(heads, F.lit(f"{kind}Match")), wanted))
-    return _union(found)
+        found.append((cells.withColumn("cells", histograms), _suffixed(heads, tail)))
+        found.append((cells.withColumn("cells", _listed(counts, index)), _suffixed(heads, F.lit(f"{kind}Match"))))
+    return named(*found, wanted=wanted)
 
 
 def _listed(counts: Column, index: Column) -> Column:
@@ -344,7 +353,7 @@ def cache_counters(
     first = (F.when(F.col("added"), "Add").when(~F.col("added"), "Reject"),) if store else ()
     cached = F.when(F.col("cached"), "Cached").otherwise("Uncached")
     auth = F.when(F.col("version") == 2, F.when(F.col("auth"), "ClientAuth").when(~F.col("auth"), "NoClientAuth"))
-    cells = class_cells(entries, classes, [*common, *second, *third], bins)
+    cells = class_cells(entries, classes, pruned([*common, *second, *third], wanted), bins)
     heads = joined(F.array(F.lit(f"HSDir{kind}")), variants(*first, cached))
     own = F.concat(F.lit("HSDir"), F.col("version").cast("string"), F.lit(kind))
     versioned = joined(F.array(own), variants(*first, cached, auth))
@@ -355,11 +364,7 @@ def cache_counters(
         "cells",
         lambda c: F.when(F.col("version") == 2, c["suffix"].isin(*own_of[2])).otherwise(c["suffix"].isin(*own_of[3])),
     )
-    found = [
-        named(cells.withColumn("cells", of_all), heads, wanted),
-        named(cells.withColumn("cells", of_version), versioned, wanted),
-    ]
-    return _union(found)
+    return named((cells.withColumn("cells", of_all), heads), (cells.withColumn("cells", of_version), versioned), wanted=wanted)
 
 
 #: Positions of onion services; the first that holds counts.
@@ -405,7 +410,7 @@ def versioned_circuit_counters(
     Names are position + version + role + activity + status, each part optional; the role comes alone or with its
     hop. HSDir has no unknown version.
     """
-    measures = _circuit_measures(F.lit(True), reasons)
+    measures = pruned(_circuit_measures(F.lit(True), reasons), wanted)
     busy = is_active(F.col("inbound_cells"), F.col("outbound_cells"))
     plain = {c: F.coalesce(F.col(c), F.lit(False)) for c in FLAGS}
     classes = plain | {c: F.col(c) for c in ("is_client", "hs_version", "failed")} | {"busy": busy}
@@ -420,7 +425,7 @@ def versioned_circuit_counters(
     roles = F.array_compact(F.array(F.lit(""), F.col("role"), F.col("hop")))
     tails = variants(_activity(), _status())
     names = joined(F.array("position"), variants(version), roles, tails, F.array(F.lit("Circuit")))
-    return _with_names_that_exist(named(cells.withColumn("cells", kept), names, wanted))
+    return _with_names_that_exist(named((cells.withColumn("cells", kept), names), wanted=wanted))
 
 
 def exit_and_rend_counters(circuits: DataFrame) -> DataFrame:
@@ -433,7 +438,7 @@ def exit_and_rend_counters(circuits: DataFrame) -> DataFrame:
     ]
     hit = F.coalesce(F.col("is_exit"), F.lit(False)) | (rend & F.col("is_client").isNotNull())
     cells = class_cells(circuits.where(hit), {"one": F.lit(1)}, measures)
-    return named(cells, F.array(F.lit(""))).where("count > 0")
+    return named((cells, F.array(F.lit("")))).where("count > 0")
 
 
 STREAM_CLASSES = ("Web", "Interactive", "P2P", "OtherPort")
@@ -461,15 +466,15 @@ def exit_circuit_counters(
     measures = [Measure(f"ExitCircuit{c}StreamHistogram", None, n) for c, n in zip(labels, sizes, strict=True)]
     for c, n in zip(labels[1:], sizes[1:], strict=True):
         measures.append(Measure(f"Exit{c}CircuitCount", F.when(n.isNotNull(), 1)))
-    found = [named(class_cells(per, {"one": F.lit(1)}, measures, bins), F.array(F.lit("")), wanted)]
+    found = [(class_cells(per, {"one": F.lit(1)}, pruned(measures, wanted), bins), F.array(F.lit("")))]
     # Windows sort and spill; no circuit's streams are gathered.
     for name, more in ((F.lit("ExitCircuit"), []), (F.concat(F.lit("ExitCircuit"), "port_class"), ["port_class"])):
         before = F.lag("start").over(Window.partitionBy(*keys, *more).orderBy("start"))
         gaps = held.withColumn("gap", F.col("start") - before).where("gap is not null")
         classes = {c: F.col(c) for c in more} or {"one": F.lit(1)}
         cells = class_cells(gaps, classes, [Measure("InterStreamCreationTime", None, F.col("gap"))], bins)
-        found.append(named(cells, F.array(name), wanted))
-    return _union(found)
+        found.append((cells, F.array(name)))
+    return named(*found, wanted=wanted)
 
 
 def client_counters(clients: DataFrame, wanted: list[str] | None = None, bins: BinsBySuffix | None = None) -> DataFrame:
@@ -481,7 +486,7 @@ def client_counters(clients: DataFrame, wanted: list[str] | None = None, bins: B
         Measure("EntryActiveClientIPCount", F.col("active")),
         Measure("EntryInactiveClientIPCount", 1 - F.col("active")),
     ]
-    return named(class_cells(clients, {"one": F.lit(1)}, measures, bins), F.array(F.lit("")), wanted)
+    return named((class_cells(clients, {"one": F.lit(1)}, pruned(measures, wanted), bins), F.array(F.lit(""))), wanted=wanted)
 
 
 #: The counters that each event of a traffic model increments, whatever its path holds.
@@ -495,4 +500,4 @@ def model_event_counters(events: DataFrame) -> DataFrame:
     """One for each event (code) of a traffic model."""
     counter = F.element_at(F.create_map(*[F.lit(x) for pair in MODEL_COUNTERS.items() for x in pair]), F.col("code"))
     known = events.where(F.col("code").isin(*MODEL_COUNTERS))
-    return named(class_cells(known, {"code": F.col("code")}, [Measure("")]), F.array(counter))
+    return named((class_cells(known, {"code": F.col("code")}, [Measure("")]), F.array(counter)))

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def path_items(events: DataFrame, id_col: str, path_col: str) -> DataFrame:
-    """Paths (JSON with ';' for ',') as rows: id, pos, state, obs, delay, following. Short items are skipped
-    but still stand between their neighbours."""
+def path_items(events: DataFrame, path_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Paths (JSON with ';' for ',') as rows: columns to keep, pos, state, obs, delay, following. Short items are
+    skipped but still stand between their neighbours. A successor is taken by its place, before the items part."""
     items = F.from_json(F.translate(path_col, ";", ","), "array<array<string>>")
-    rows = events.select(id_col, F.posexplode(items).alias("pos", "item"))
-    sound = F.size("item") >= 3
-    rows = rows.withColumn("state", F.when(sound, F.get("item", F.lit(0)))).withColumn("obs", F.when(sound, F.get("item", F.lit(1)))).withColumn("delay", F.when(sound, F.get("item", F.lit(2)).cast("long")))
-    return rows.withColumn("following", F.lead("state").over(Window.partitionBy(id_col).orderBy("pos"))).where("state is not null").drop("item")
+    sound = lambda x: F.size(x) >= 3
+    part = lambda x, i: F.when(sound(x), F.get(x, F.lit(i)))
+
+    def item(x: Column, i: Column) -> Column:
+        after = F.get("_items", i + 1)
+        return F.struct(i.alias("pos"), part(x, 0).alias("state"), part(x, 1).alias("obs"), part(x, 2).cast("long").alias("delay"), part(after, 0).alias("following"))
+
+    rows = events.select(*keep, F.explode(F.array(items)).alias("_items")).select(*keep, F.explode(F.transform("_items", item)).alias("_item"))
+    return rows.select(*keep, "_item.*").where("state is not null")
 
 
 def log_delay(delay: Column) -> Column:
@@ -21,11 +28,11 @@ def log_delay(delay: Column) -> Column:
     return F.when(delay < 1, 0).otherwise(F.round(F.log(delay.cast("double")))).cast("long")
 
 
-def path_counters(events: DataFrame, id_col: str, path_col: str, prefix: str) -> DataFrame:
-    """Counter, count. Items are summed by state, observation and successor before they fan out."""
-    items = path_items(events, id_col, path_col)
+def path_counters(events: DataFrame, path_col: str, prefix: str, by: Sequence[str] = ()) -> DataFrame:
+    """Counter, count (by more columns). Items are summed by state, observation and successor before they fan out."""
+    items = path_items(events, path_col, by)
     ld = log_delay(F.col("delay"))
-    cells = items.groupBy("state", "obs", "following", (F.col("pos") == 0).alias("first")).agg(F.count("*").alias("n"), F.sum(ld).alias("ld"), F.sum(ld * ld).alias("sq"), F.sum("delay").alias("d"))
+    cells = items.groupBy(*by, "state", "obs", "following", (F.col("pos") == 0).alias("first")).agg(F.count("*").alias("n"), F.sum(ld).alias("ld"), F.sum(ld * ld).alias("sq"), F.sum("delay").alias("d"))
     logged = F.col("obs").isin("+", "-") | ((F.col("obs") == "$") & F.contains("state", F.lit("Dwell")))
     plain = ~logged & (F.col("obs") == "$") & F.contains("state", F.lit("Active"))
     tail = F.concat_ws("_", F.lit(""), "state", "obs")
@@ -38,7 +45,7 @@ def path_counters(events: DataFrame, id_col: str, path_col: str, prefix: str) ->
     wanted += [one(F.concat(lit("TransitionCount_START_"), "state"), F.col("n"), F.col("first"))]
     moved = F.col("following").isNotNull()
     wanted += [one(lit("TransitionCount"), F.col("n"), moved), one(F.concat(lit("TransitionCount_"), F.col("state"), lit("_"), F.col("following")), F.col("n"), moved)]
-    return cells.select(F.explode(F.array_compact(F.array(*wanted))).alias("r")).groupBy("r.counter").agg(F.sum("r.inc").alias("count"))
+    return cells.select(*by, F.explode(F.array_compact(F.array(*wanted))).alias("r")).groupBy(*by, "r.counter").agg(F.sum("r.inc").alias("count"))
 
 
 def shares(tallies: DataFrame, groups: list[str], value: str, out: str = "share") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilcount.functions import scalars
+from veilcount.operators import ordered
 
 INF = float("inf")
 
@@ -35,9 +36,9 @@ def load_list(lines: DataFrame, value: str = "value", kind: str = "any") -> Data
 
 
 def load_prefixes(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Lines "prefix/length system" (or with a blank or tab for the slash) as ipver, net, bits, prefix_len, asn.
+    """Lines "prefix/length system" (or with a blank or tab for the slash) as net, ipver, digits, prefix_len, asn.
 
-    net is the number of an IPv4 network; bits are an address as a text of bits, for either version.
+    digits are the network's address in hex: 8 of them for IPv4, 32 for IPv6.
     """
     text = F.trim(value)
     parts = F.split(F.regexp_replace(text, "/", " "), r"\s+")
@@ -45,9 +46,9 @@ def load_prefixes(lines: DataFrame, value: str = "value") -> DataFrame:
     part = lambda i: F.get("p", F.lit(i))
     version = scalars.ip_version(part(0))
     rows = rows.select(
+        part(0).alias("net"),
         version.alias("ipver"),
-        scalars.ipv4_number(part(0)).alias("net"),
-        F.when(version == 6, scalars.ipv6_bits(part(0))).alias("bits"),
+        scalars.address_digits(part(0)).alias("digits"),
         part(1).try_cast("int").alias("prefix_len"),
         part(2).try_cast("long").alias("asn"),
     )
@@ -65,7 +66,7 @@ def list_problems(lists: DataFrame, suffix: bool = False, reject_overlapping: bo
     own = lists.select("list_idx", F.lower("item").alias("item"))
     if suffix:
         names = own.select("item").distinct()
-        found = suffix_match(names, lists, "item", "item", "_found")
+        found = suffix_match(names, lists, "item", "_found")
     else:
         found = exact_match(own.select("item").distinct(), lists, "item", "_found")
     wrong = own.join(found, "item").where(F.col("_found") != F.col("list_idx"))
@@ -96,57 +97,114 @@ def onion_match(events: DataFrame, lists: DataFrame, id_cols: list[str], key: st
     return any_match(events, lists, id_cols, [F.col(key), scalars.onion_md5(F.col(key))], out)
 
 
-def suffixes_of(name: Column, proper: bool = False) -> Column:
-    """Label-aligned suffixes, shortest first."""
-    labels = F.split(F.lower(F.regexp_replace(name, r"^\.+|\.+$", "")), r"\.")
-    n = F.size(labels)
-    least = 1 if not proper else 2
-    return F.when(n >= least, F.transform(F.sequence(F.lit(1), F.greatest(n - (1 if proper else 0), F.lit(1))), lambda k: F.concat_ws(".", F.slice(labels, n - k + 1, k)))).otherwise(F.array().cast("array<string>"))
+#: Stands for the separator in reversed names: before all that names hold, so what a suffix covers follows it at once.
+_SPLIT = "\x01"
 
 
-def pruned_suffixes(lists: DataFrame) -> DataFrame:
-    """M4: suffixes without those that a shorter one of any list covers."""
-    items = disjoint(lists.select("list_idx", F.lower(F.regexp_replace("item", r"^\.+|\.+$", "")).alias("item")))
-    covered = items.select("item", F.explode(suffixes_of(F.col("item"), proper=True)).alias("shorter")).join(items.select(F.col("item").alias("shorter")), "shorter", "left_semi").select("item").distinct()
-    return items.join(covered, "item", "left_anti")
+def suffix_key(name: Column, separator: str = ".") -> Column:
+    """A name's labels (without a separator, its characters) in lower case, last first.
+
+    Separators at the ends don't count.
+    """
+    low = F.lower(name)
+    if not separator:
+        return F.reverse(low)
+    ends = rf"^(\Q{separator}\E)+|(\Q{separator}\E)+$"
+    return F.array_join(F.reverse(F.split(F.regexp_replace(low, ends, ""), rf"\Q{separator}\E")), _SPLIT)
 
 
-def suffix_match(events: DataFrame, lists: DataFrame, id_col: str, key: str, out: str = "list_idx") -> DataFrame:
-    """M4: the list of the shortest matching suffix, infinity where there is none; one row an id.
+def top_suffixes(lists: DataFrame, separator: str = ".") -> DataFrame:
+    """M4: (suffix_key, list_idx) of the lists' suffixes that no shorter one covers; of equals, the first list's.
 
-    Suffixes explode to as many rows as the name has labels; after pruning at most one joins.
+    Suffixes sorted by their reversed labels follow the one that covers them, up to its last possible name.
     """
-    dim = pruned_suffixes(lists).select(F.col("item").alias("_suffix"), F.col("list_idx").cast("double").alias(out))
-    tried = events.select(id_col, F.explode(suffixes_of(F.col(key))).alias("_suffix"))
-    hit = tried.join(dim, "_suffix").select(F.col(id_col).alias("_id"), out)
-    return events.join(hit, F.col(id_col) == F.col("_id"), "left").drop("_id").withColumn(out, F.coalesce(out, F.lit(INF)))
+    key = suffix_key(F.col("item"), separator).alias("suffix_key")
+    items = lists.select(key, "list_idx").where("suffix_key is not null").groupBy("suffix_key").agg(F.min("list_idx").alias("list_idx"))
+    end = F.concat("suffix_key", F.lit("\x02" if separator else "\U0010FFFF"))
+    marked = ordered.carried(items.withColumn("_end", end), "suffix_key", "_end", "_covered", greatest=True)
+    return marked.where(F.coalesce(F.col("_covered") < F.col("suffix_key"), F.lit(True))).select("suffix_key", "list_idx")
 
 
-def has_listed_suffix(names: DataFrame, lists: DataFrame, key: str) -> DataFrame:
-    """M6: names with a proper suffix in the lists."""
-    tried = names.select(key, F.explode(suffixes_of(F.col(key), proper=True)).alias("item"))
-    return tried.join(lists.select(F.lower("item").alias("item")).distinct(), "item", "left_semi").select(key).distinct()
+def _under_suffix(names: DataFrame, lists: DataFrame, separator: str) -> DataFrame:
+    """names (suffix_key, distinct) with hit: the struct (suffix_key, list_idx) of the one suffix that can cover each."""
+    top = top_suffixes(lists, separator).select("suffix_key", F.struct("suffix_key", "list_idx").alias("hit"))
+    return ordered.last_at(names, top, "suffix_key", "hit")
 
 
-def longest_prefix(addresses: DataFrame, prefixes: DataFrame, id_col: str, number: str, width: int = 32) -> DataFrame:
-    """M5: prefixes (net, prefix_len, asn) of integer addresses; id and the longest match's asn, null on a miss.
+def suffix_match(events: DataFrame, lists: DataFrame, key: str, out: str = "list_idx", separator: str = ".") -> DataFrame:
+    """M4: the list of the shortest matching suffix, infinity where there is none. Without a separator any ending
+    of the name is a suffix (M4b).
 
-    Only prefix lengths that occur are tried: at most width + 1 of them, whatever the map's size.
+    Distinct names meet the suffixes in one sorted sweep, one row a name; events then join their names.
     """
-    lengths = [r[0] for r in prefixes.select("prefix_len").distinct().orderBy("prefix_len").collect()]
-    masked = F.array(*[F.struct(F.lit(n).alias("prefix_len"), (F.floor(F.col(number) / 2 ** (width - n)) * 2 ** (width - n)).cast("long").alias("net")) for n in lengths])
-    tried = addresses.select(id_col, F.explode(masked).alias("p")).select(id_col, "p.*")
-    best = tried.join(prefixes, ["prefix_len", "net"]).groupBy(id_col).agg(F.max_by("asn", "prefix_len").alias("asn"))
-    return addresses.select(id_col).join(best, id_col, "left")
+    lead = F.lit(_SPLIT if separator else "")
+    named = events.withColumn("_name", suffix_key(F.col(key), separator))
+    found = _under_suffix(named.select(F.col("_name").alias("suffix_key")).where("suffix_key is not null").distinct(), lists, separator)
+    own = F.col("hit.suffix_key")
+    is_hit = (F.col("suffix_key") == own) | F.startswith("suffix_key", F.concat(own, lead))
+    hits = found.where(is_hit).select(F.col("suffix_key").alias("_key"), F.col("hit.list_idx").cast("double").alias(out))
+    met = named.join(hits, F.col("_name") == F.col("_key"), "left").drop("_name", "_key")
+    return met.withColumn(out, F.coalesce(out, F.lit(INF)))
+
+
+def has_listed_suffix(names: DataFrame, lists: DataFrame, key: str, separator: str = ".") -> DataFrame:
+    """M6: names with a proper suffix in the lists."""
+    lead = F.lit(_SPLIT if separator else "")
+    named = names.select(key).distinct().withColumn("suffix_key", suffix_key(F.col(key), separator))
+    found = _under_suffix(named.select("suffix_key").where("suffix_key is not null").distinct(), lists.select("item", F.lit(0).alias("list_idx")), separator)
+    longer = F.startswith("suffix_key", F.concat("hit.suffix_key", lead)) & (F.col("suffix_key") != F.col("hit.suffix_key"))
+    return named.join(found.where(longer).select("suffix_key"), "suffix_key", "left_semi").select(key)
+
 
+def prefix_marks(prefixes: DataFrame) -> DataFrame:
+    """M5: nested prefixes (digits, prefix_len, asn) as the disjoint ranges that they cut addresses into.
 
-def longest_prefix_bits(addresses: DataFrame, prefixes: DataFrame, id_col: str, bits: str) -> DataFrame:
-    """M5 for IPv6: prefixes (bits, prefix_len, asn) of addresses as texts of bits. Only lengths that occur are tried."""
+    key: an address, then 0 (the range begins there) or 2 (after it); value: the struct of the range's asn, null
+    outside all prefixes. At a prefix's end its nearest enclosing one goes on.
+    """
+    first = scalars.network_digits(F.col("digits"), F.col("prefix_len"))
+    own = prefixes.select(first.alias("first"), "prefix_len", "asn").groupBy("first", "prefix_len").agg(F.max("asn").alias("asn"))
     lengths = [r[0] for r in prefixes.select("prefix_len").distinct().orderBy("prefix_len").collect()]  # 129 at most
-    tried = addresses.select(id_col, F.explode(F.array(*[F.substring(bits, 1, n) for n in lengths])).alias("_net"))
-    nets = prefixes.select(F.expr("substring(bits, 1, prefix_len)").alias("_net"), "prefix_len", "asn")
-    best = tried.join(nets, "_net").groupBy(id_col).agg(F.max_by("asn", "prefix_len").alias("asn"))
-    return addresses.select(id_col).join(best, id_col, "left")
+    shorter = [F.when(F.col("prefix_len") > n, F.struct(scalars.network_digits(F.col("first"), F.lit(n)).alias("first"), F.lit(n).alias("prefix_len"))) for n in lengths[:-1]]
+    if shorter:
+        tried = own.select(F.col("first").alias("inner_first"), F.col("prefix_len").alias("inner_len"), F.explode(F.array_compact(F.array(*shorter))).alias("p")).select("inner_first", "inner_len", "p.*")
+        parents = tried.join(own, ["first", "prefix_len"]).groupBy("inner_first", "inner_len").agg(F.max_by("asn", "prefix_len").alias("outer"))
+        named = parents.select(F.col("inner_first").alias("first"), F.col("inner_len").alias("prefix_len"), "outer")
+        own = own.join(named, ["first", "prefix_len"], "left")
+    else:
+        own = own.withColumn("outer", F.lit(None).cast(own.schema["asn"].dataType))
+    last = scalars.network_digits(F.col("first"), F.col("prefix_len"), last=True)
+    begin = F.struct(F.concat("first", F.lit("0")).alias("key"), F.col("prefix_len").alias("rank"), F.struct("asn").alias("value"))
+    end = F.struct(F.concat(last, F.lit("2")).alias("key"), (-F.col("prefix_len")).alias("rank"), F.struct(F.col("outer").alias("asn")).alias("value"))
+    marks = own.select(F.explode(F.array(begin, end)).alias("m")).select("m.*")
+    # Of prefixes that begin at one address the longest holds; of those that end there, the shortest tells what goes on.
+    return marks.groupBy("key").agg(F.max_by("value", "rank").alias("value"))
+
+
+def with_longest_prefix(events: DataFrame, prefixes: DataFrame, digits: Column, out: str = "asn") -> DataFrame:
+    """M5: events with the system of their address's longest prefix, null on a miss.
+
+    digits: the address in hex digits (address_digits(), ipv4_digits()); prefixes: (digits, prefix_len, asn), of either
+    version. Bits set beyond a prefix's length don't count. Distinct addresses meet the prefixes in one sorted
+    sweep a version, one row an address; events then join their addresses.
+    """
+    named = events.withColumn("_digits", digits)
+    points = named.select(F.col("_digits").alias("digits")).where("digits is not null").distinct()
+    found = None
+    for n in (r[0] for r in prefixes.select(F.length("digits")).distinct().collect()):  # two versions
+        marks = prefix_marks(prefixes.where(F.length("digits") == n).select("digits", "prefix_len", "asn"))
+        keys = points.where(F.length("digits") == n).select(F.concat("digits", F.lit("1")).alias("key"))
+        own = ordered.last_at(keys, marks, "key", "value").select(F.substring("key", 1, n).alias("_key"), F.col("value.asn").alias(out))
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        return named.drop("_digits").withColumn(out, F.lit(None).cast(prefixes.schema["asn"].dataType))
+    return named.join(found, F.col("_digits") == F.col("_key"), "left").drop("_digits", "_key")
+
+
+def longest_prefix(addresses: DataFrame, prefixes: DataFrame, id_col: str, number: str) -> DataFrame:
+    """M5: prefixes (net, prefix_len, asn) of IPv4 addresses, both as integers; id and the longest match's asn, null on a miss."""
+    nets = prefixes.select(scalars.ipv4_digits(F.col("net")).alias("digits"), "prefix_len", "asn")
+    return with_longest_prefix(addresses.select(id_col, number), nets, scalars.ipv4_digits(F.col(number))).select(id_col, "asn")
 
 
 def common_counters(a: DataFrame, b: DataFrame) -> DataFrame:

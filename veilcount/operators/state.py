@@ -14,13 +14,15 @@ def rotation_rows(closes: DataFrame, period: int, ts: str = "ts", created: str =
     w = F.floor(F.col(ts) / period)
     own = F.struct(w.alias("w"), F.lit(1).alias("completed"))
     earlier = F.when(F.col(created) < w * period, F.struct((w - 1).alias("w"), F.lit(0).alias("completed")))
-    return closes.select("ip", "active", F.explode(F.array_compact(F.array(own, earlier))).alias("r")).select("ip", "active", "r.*")
+    by = [c for c in ("party",) if c in closes.columns]
+    return closes.select(*by, "ip", "active", F.explode(F.array_compact(F.array(own, earlier))).alias("r")).select(*by, "ip", "active", "r.*")
 
 
 def client_windows(closes: DataFrame, period: int = 600) -> DataFrame:
-    """ST2: w, ip, active and completions of each client in each window."""
+    """ST2: w, ip, active and completions of each client in each window, as each party saw them where closes tell it."""
+    by = [c for c in ("party",) if c in closes.columns]
     completed = lambda c: F.sum(F.when(c, F.col("completed")))
-    return rotation_rows(closes, period).groupBy("w", "ip").agg(
+    return rotation_rows(closes, period).groupBy(*by, "w", "ip").agg(
         F.max(F.col("active").cast("int")).alias("active"),
         completed(F.col("active")).alias("active_completed"),
         completed(~F.col("active")).alias("inactive_completed"),

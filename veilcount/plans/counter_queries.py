@@ -77,7 +77,7 @@ def x3_x4_domain_counters(spark, sf_dir):
     parts = F.lit("h"), F.pmod("l_partkey", F.lit(50)), F.lit(".example"), F.pmod("l_suppkey", F.lit(5)), F.lit(".org")
     named = named.withColumns({"port": port, "host": F.concat(*parts)})
     lists = spark.createDataFrame(SUFFIXES, "list_idx int, item string")
-    hosts = matching.suffix_match(named.select("host").distinct(), lists, "host", "host", "suffix_list")
+    hosts = matching.suffix_match(named.select("host").distinct(), lists, "host", "suffix_list")
     exact = matching.exact_match(hosts, spark.createDataFrame(EXACT, "list_idx int, item string"), "host", "exact_list")
     return fanout.domain_counters(named.join(exact, "host"), 2)
 
@@ -153,9 +153,8 @@ def x9_x11_connection_counters(spark, sf_dir):
         F.pmod(F.col("event_id") * 2654435, F.lit(2**32)).alias("address"),
         "event_type",
     )
-    prefixes = spark.createDataFrame(PREFIXES, "net long, prefix_len int, asn long")
-    found = matching.longest_prefix(e, prefixes, "event_id", "address").withColumnRenamed("event_id", "id")
-    e = e.join(found, F.col("event_id") == F.col("id")).withColumn("asn", F.col("asn").cast("string"))
+    prefixes = spark.createDataFrame(PREFIXES, "net long, prefix_len int, asn long").withColumn("digits", scalars.ipv4_digits(F.col("net")))
+    e = matching.with_longest_prefix(e, prefixes, scalars.ipv4_digits(F.col("address"))).withColumn("asn", F.col("asn").cast("string"))
     lists, systems = (spark.createDataFrame(x, "list_idx int, item string") for x in (LISTS, SYSTEMS))
     e = matching.exact_match(matching.exact_match(e, lists, "event_type", "country_list"), systems, "asn", "as_list")
     return fanout.connection_counters(e)

@@ -63,7 +63,7 @@ S_HOSTS = "hosts AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#
 
 @query(f"""WITH {S_HOSTS} SELECT page_id, CASE WHEN host = 'example.com' OR host LIKE '%.example.com' THEN 1.0 WHEN host = 'org' OR host LIKE '%.org' THEN 1.0 WHEN host = 'net' OR host LIKE '%.net' THEN 2.0 ELSE CAST('inf' AS DOUBLE) END AS list_idx FROM hosts""")
 def m4_suffix_match(spark, sf_dir):
-    return matching.suffix_match(hosts(spark, sf_dir), spark.createDataFrame(SUFFIXES, "list_idx int, item string"), "page_id", "host").select("page_id", "list_idx")
+    return matching.suffix_match(hosts(spark, sf_dir), spark.createDataFrame(SUFFIXES, "list_idx int, item string"), "host").select("page_id", "list_idx")
 
 
 @query(f"""WITH {S_HOSTS} SELECT DISTINCT host FROM hosts WHERE host LIKE '%.example.com' OR host LIKE '%.m.example.org'""")
@@ -176,7 +176,7 @@ def x16_path_counters(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     item = F.concat(F.lit('["'), F.when(F.col("event_type") == "click", "sActive").otherwise("sDwell"), F.lit('";"'), F.element_at(F.array(*[F.lit(x) for x in "+-$F"]), (F.pmod("event_id", F.lit(4)) + 1).cast("int")), F.lit('";"'), F.pmod("event_id", F.lit(5000)), F.lit('"]'))
     paths = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", item.alias("item")))).alias("items")).select("user_id", F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["item"]), ";"), F.lit("]")).alias("path"))
-    return hmm.path_counters(paths, "user_id", "path", "P").select("counter", F.col("count").cast("long").alias("count"))
+    return hmm.path_counters(paths, "path", "P").select("counter", F.col("count").cast("long").alias("count"))
 
 
 @query("""SELECT event_type AS src, user_id % 4 AS dst, CASE WHEN sum(greatest(s, 0)) OVER (PARTITION BY event_type) > 0 THEN greatest(s, 0) / sum(greatest(s, 0)) OVER (PARTITION BY event_type) ELSE 0 END AS share FROM (SELECT event_type, user_id % 4 AS user_id, CAST(sum(CAST(floor(value) AS BIGINT) - 100) + 5000 AS DOUBLE) AS s FROM events GROUP BY 1, 2)""")
@@ -229,8 +229,9 @@ def m5_longest_prefix_ipv6(spark, sf_dir):
     hexed = lambda c: F.lower(F.hex(c))
     nets = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("2001:db8:"), hexed("n_nationkey"), F.lit("::")).alias("net"), F.lit(48).alias("prefix_len"), F.col("n_nationkey").cast("long").alias("asn"))
     nets = nets.unionByName(spark.createDataFrame([("2001:DB8::", 32, 999)], "net string, prefix_len int, asn long"))
-    addresses = table(spark, sf_dir, "customer").select("c_custkey", scalars.ipv6_bits(F.concat(F.lit("2001:db8:"), hexed("c_nationkey"), F.lit("::"), hexed("c_custkey"))).alias("bits"))
-    return matching.longest_prefix_bits(addresses, nets.select(scalars.ipv6_bits(F.col("net")).alias("bits"), "prefix_len", "asn"), "c_custkey", "bits")
+    addresses = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("2001:db8:"), hexed("c_nationkey"), F.lit("::"), hexed("c_custkey")).alias("address"))
+    nets = nets.select(scalars.address_digits(F.col("net")).alias("digits"), "prefix_len", "asn")
+    return matching.with_longest_prefix(addresses, nets, scalars.address_digits(F.col("address"))).select("c_custkey", "asn")
 
 
 @query("""SELECT o_orderkey, strftime(make_timestamp(t * 1000000), '%Y-%m-%d %H:%M:%S UTC') AS moment, CASE WHEN t >= 604800 THEN t // 604800 || 'w ' ELSE '' END || CASE WHEN t >= 86400 THEN t // 86400 % 7 || 'd ' ELSE '' END || CASE WHEN t >= 3600 THEN t // 3600 % 24 || 'h ' ELSE '' END || CASE WHEN t >= 60 THEN t // 60 % 60 || 'm ' ELSE '' END || t % 60 || 's' AS period FROM (SELECT o_orderkey, o_custkey * 977 AS t FROM orders)""")
@@ -265,3 +266,6 @@ def st4_round_tallies(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(rounds.round_of(seconds("ts"), 1704067200.0, 86400.0, 20).alias("round"), F.pmod("user_id", F.lit(5)).alias("party"), F.col("event_type").alias("counter"), (F.floor("value").cast("long") - 50).alias("n")).where("round is not null")
     facts = e.groupBy("round", "party", (F.col("party") >= 3).alias("is_keeper"), "counter", F.lit(0).alias("bin_idx")).agg(binning.modular_sum(F.col("n")).alias("count"))
     return rounds.round_tallies(facts, 2, 1).drop("early")
+
+
+from veilcount.plans import log_queries  # noqa: E402, F401  its SQL builds on that of the queries above
