@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,59 @@ def baseline(before: DataFrame | None, used: DataFrame, succeeded: bool = True,
     return before
 
 
+HISTORY = "deployment string, round long, next_start double, permitted boolean, baseline long"
+
+
+def history(
+    rounds: DataFrame, sigmas: DataFrame, delay: float, round_trip: float = 0.0, always: bool = False, tolerance: float | None = None
+) -> DataFrame:
+    """ST5 over rounds in order: when each might have started, whether it did not before, and the round whose allocation
+    the next one is held against (null before the first success).
+
+    rounds: deployment, round (their order), start, end, succeeded. sigmas: deployment, round, counter, sigma; of a counter
+    that recurs in a round the smallest counts, and one without a sigma is missing. The first of equivalent
+    allocations stays the baseline. One pass over sorted rows: a task holds a deployment's baseline and one
+    round's counters, however long the history.
+    """
+    least = tolerance_floor() if tolerance is None else tolerance
+    known = sigmas.where("sigma is not null").groupBy("deployment", "round", "counter").agg(F.min("sigma").alias("sigma"))
+    rows = rounds.select("deployment", "round", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "succeeded").join(known, ["deployment", "round"], "left")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: tuple | None = None  # the round whose counters are being read: deployment, round, start, end, succeeded
+        own: dict[str, float] = {}
+        deployment, base, base_round, last_end = None, None, None, None
+
+        def done() -> tuple:
+            nonlocal deployment, base, base_round, last_end
+            if at[0] != deployment:
+                deployment, base, base_round, last_end = at[0], None, None, None
+            changed = base is not None and (base.keys() != own.keys() or any(s < base[c] - least for c, s in own.items()))
+            wait = delay + round_trip if always or changed else 0.0
+            start = 0.0 if last_end is None else last_end + wait
+            if at[4]:
+                last_end = at[3]
+                if base is None or always or changed:
+                    base, base_round = own, at[1]
+            return at[0], at[1], start, bool(at[2] >= start), base_round
+
+        for batch in batches:
+            out = []
+            for *key, counter, sigma in batch[["deployment", "round", "start", "end", "succeeded", "counter", "sigma"]].itertuples(index=False, name=None):
+                if at is None or (key[0], key[1]) != at[:2]:
+                    if at is not None:
+                        out.append(done())
+                    at, own = tuple(key), {}
+                if counter is not None:
+                    own[counter] = sigma
+            yield pd.DataFrame(out, columns=["deployment", "round", "next_start", "permitted", "baseline"]).astype({"baseline": "Int64"})
+        if at is not None:
+            yield pd.DataFrame([done()], columns=["deployment", "round", "next_start", "permitted", "baseline"]).astype({"baseline": "Int64"})
+
+    named = rows.withColumn("deployment", F.col("deployment").cast("string")).withColumn("round", F.col("round").cast("long"))
+    return named.repartition("deployment").sortWithinPartitions("deployment", "round", "counter").mapInPandas(fold, HISTORY)
+
+
 def prefix_map_problems(prefixes: DataFrame, lists: DataFrame) -> DataFrame:
     """M9: prefixes (ipver, ...) must hold both versions or none, and come with lists of systems or not at all."""
     seen = prefixes.select("ipver", F.lit(False).alias("listed")).unionByName(lists.select(F.lit(None).cast(prefixes.schema["ipver"].dataType).alias("ipver"), F.lit(True).alias("listed")))

@@ -48,3 +48,27 @@ def gaps_between(
     """time since the event before of the same key, null for the first; events of one time by the ties' order."""
     own = Window.partitionBy(*keys).orderBy("_at", *ties)
     return events.withColumn("_at", at).withColumn(out, F.col("_at") - F.lag("_at").over(own)).drop("_at")
+
+
+#: Bits of a sketch's table: 2 ** bits buckets, and a relative error of about 1.04 / 2 ** (bits / 2), one deviation.
+SKETCH_BITS = 12
+
+
+def client_sketches(closes: DataFrame, period: int = 600, bits: int = SKETCH_BITS) -> DataFrame:
+    """What each party saw of clients by window (party, w, seen, active), as sketches of a few KB that can be united
+    over parties, windows and rounds; no client leaves its party. closes as rotation_rows() takes them, with party."""
+    rows = rotation_rows(closes, period)
+    sketch = lambda c: F.hll_sketch_agg(c, F.lit(bits))
+    return rows.groupBy("party", "w").agg(sketch(F.col("ip")).alias("seen"), sketch(F.when(F.col("active"), F.col("ip"))).alias("active"))
+
+
+def united(sketches: DataFrame, *by: str) -> DataFrame:
+    """Sketches of each of `by`, whatever they were split by before; they can be united again."""
+    return sketches.groupBy(*by).agg(*[F.hll_union_agg(c, F.lit(True)).alias(c) for c in ("seen", "active")])
+
+
+def estimated_clients(sketches: DataFrame, *by: str, deviations: float = 3.0, bits: int = SKETCH_BITS) -> DataFrame:
+    """By, clients and active_clients as united sketches tell them, and error: how far off they may be, as a share."""
+    told = lambda c: F.hll_sketch_estimate(c)
+    error = deviations * 1.04 / 2 ** (bits / 2)
+    return united(sketches, *by).select(*by, told("seen").alias("clients"), told("active").alias("active_clients"), F.lit(error).alias("error"))
