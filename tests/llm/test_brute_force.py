@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from veilcount.llm import lookup
 from veilcount.llm import mixing, neardup, packing, quality, secrets, suffixes
 from veilcount.llm._shared import materialize
 
@@ -222,3 +223,14 @@ def test_stages_of_nothing(spark, documents):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, SF), "nothing")
         assert docs.count() == 0
+
+
+def test_asked_rows_grow_with_keys_not_with_their_square():
+    """A chunk asks only slices that hold its keys, however many there are; twice the corpus asks about twice."""
+    rng = np.random.default_rng(1)
+    keys = [np.unique(rng.integers(0, 2**64 - 1, 500, dtype=np.uint64)) for _ in range(8)]
+    asked = lambda n, slices: sum(len(lookup.ask(i, k, np.ones((2, len(k)), np.int64), slices)) for i, k in enumerate(keys[:n]))
+    assert asked(8, 1_000_000) <= 8 * 500 and asked(4, 1_000_000) <= 4 * 500 and asked(8, 4) == 8 * 4
+    rows = lookup.ask(0, keys[0], np.vstack([np.arange(len(keys[0]))] * 2), 1000)
+    back = np.concatenate([np.cumsum(lookup.unpack(k, np.uint64), dtype=np.uint64) for k in rows["keys"]])
+    assert (back == keys[0]).all() and (np.diff(rows["slice"]) > 0).all()

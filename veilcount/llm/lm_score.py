@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilcount.llm._shared import table, text_of
-from veilcount.llm.lookup import ASKED, CHUNK_WORDS, PART_BYTES, SLICE_BYTES, answer, ask, meet, named, pack, text_bytes, unpack
+from veilcount.llm.lookup import ASKED, CHUNK_WORDS, PART_BYTES, SLICE_BYTES, answer, ask, meet, named, pack, text_bytes, totals, unpack
 from veilcount.llm.neardup import mix
 
 #: The weight of the bigram in each model, and what is added to each word's count.
 BIGRAM = 0.7
 ADDED = 0.5
+TOTALS = ["words", "tokens", "target_tokens"]
 
 _PHI, _OWN, _ONE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 1))
 
@@ -114,21 +115,28 @@ def chunked(docs: DataFrame, slices: int | None, chunk_words: int = CHUNK_WORDS)
     return docs.mapInPandas(run, ASKED if slices else "chunk long, body binary")
 
 
-def sums(keys: np.ndarray, number: np.ndarray, figures: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """Counts over all chunks; totals: words (and what precedes the first), tokens and target tokens."""
-    counts = np.vstack([np.bincount(number, weights=f, minlength=len(keys)).astype(np.int64) for f in figures])
+def sums(keys: np.ndarray, number: np.ndarray, figures: np.ndarray) -> np.ndarray:
+    """Counts over all chunks."""
+    return np.vstack([np.bincount(number, weights=f, minlength=len(keys)).astype(np.int64) for f in figures])
+
+
+def sizes(keys: np.ndarray, number: np.ndarray, figures: np.ndarray) -> tuple[int, int, int]:
+    """Words (and what precedes the first), tokens and target tokens."""
     own = keys & _ONE == _ONE
-    return counts, [int(own.sum()), *counts[::2, own].sum(axis=1).tolist()]
+    held = own[number]
+    return int(own.sum()), int(figures[0, held].sum()), int(figures[2, held].sum())
 
 
-def scores(body: bytes, figures: np.ndarray, totals: np.ndarray) -> pd.DataFrame:
+def scores(body: bytes, figures: np.ndarray, totals: dict) -> pd.DataFrame:
     """A chunk's documents, by the counts of its keys in the whole corpus."""
     ids, has, lengths, words, tokens = (unpack(x, t) for x, t in zip(pickle.loads(body), (np.int64, np.uint8, np.uint32, np.uint64, np.uint32), strict=True))
     lengths = lengths.astype(np.int64)
     grams = Grams(words, tokens, lengths)
+    if figures.shape[1] != len(grams.keys):
+        raise RuntimeError("a chunk was cut otherwise when its task ran again")
     counts = np.empty_like(figures)
     counts[:, grams.order] = figures
-    width, *n = totals.tolist()
+    width, *n = (int(totals[k]) for k in TOTALS)
     background, target = (np.zeros(len(ids)) for _ in range(2))
     for loss, c, of in zip((background, target), np.split(counts, 2), n, strict=True):
         if len(grams.starts):
@@ -148,8 +156,9 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     # Documents are dealt to a fixed number of tasks, so that both passes cut the same chunks.
     marked = own.repartition(1 + size // PART_BYTES, "doc_id").join(wanted.hint("merge"), F.col("doc_id") == F.col("target_id"), "left").sortWithinPartitions("doc_id", "text")
     facts = marked.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"), "text", F.col("target_id").isNotNull().alias("is_target"))
-    answered = answer(chunked(facts, slices, chunk_words), 4, sums)
-    return meet(answered, chunked(facts, None, chunk_words), 4, slices, scores, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    asked = chunked(facts, slices, chunk_words)
+    known = totals(asked, 4, sizes, TOTALS)
+    return meet(answer(asked, 4, sums), chunked(facts, None, chunk_words), 4, scores, extra=known, schema="doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op4_lm_score(spark, sf_dir):

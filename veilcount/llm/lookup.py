@@ -1,7 +1,7 @@
 """Figures of the whole corpus for the keys that each chunk of it holds.
 
 A chunk of documents sends each of its distinct keys (64-bit hashes) once, with its own figures, in
-sorted slices of the key space. Each slice combines the figures of all chunks and answers every
+sorted slices of the key space, those that hold any of its keys. Each slice combines the figures of all chunks and answers every
 chunk, whose documents (its body, cut once more from the same shuffle, as that is less to store than
 to carry) meet the answers. So a key travels once a chunk, however often it occurs, nothing is
 gathered on the driver, and what a task holds is bounded by the chunk's and the slice's size: there
@@ -16,14 +16,14 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text for one slice of the key space and for a partition of documents, and the most words in a chunk.
 SLICE_BYTES, PART_BYTES, CHUNK_WORDS = 8 << 20, 14 << 20, 4_000_000
 
 ASKED = "chunk long, slice int, keys binary, figures binary"
-ANSWERED = "chunk long, slice int, figures binary, totals array<long>, body binary"
+ANSWERED = "chunk long, slice int, figures binary, body binary"
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -47,37 +47,64 @@ def named(seed: int, body: bytes) -> int:
 
 
 def ask(chunk: int, keys: np.ndarray, figures: np.ndarray, slices: int) -> pd.DataFrame:
-    """A chunk's sorted keys with a column of figures each, by slice."""
+    """A chunk's sorted keys with a column of figures each, by slice: a row for each slice that holds any."""
     of = (keys >> np.uint64(40)) * np.uint64(slices) >> np.uint64(24)
-    ends = np.searchsorted(of, np.arange(slices + 1, dtype=np.uint64))
+    held, starts = np.unique(of, return_index=True)
+    ends = np.append(starts[1:], len(keys))
     steps = lambda k: np.diff(k, prepend=np.uint64(0))
-    return pd.DataFrame([(chunk, s, pack(steps(keys[a:b])), pack(figures[:, a:b].ravel())) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))], columns=["chunk", "slice", "keys", "figures"])
+    return pd.DataFrame([(chunk, s, pack(steps(keys[a:b])), pack(figures[:, a:b].ravel())) for s, a, b in zip(held.astype(np.int64).tolist(), starts, ends, strict=True)], columns=["chunk", "slice", "keys", "figures"])
+
+
+def _distinct(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a slice's distinct keys, each figure's key number, figures, where each row's figures end)."""
+    keys = [np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in rows["keys"]]
+    distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
+    figures = np.hstack([unpack(f).reshape(width, -1) for f in rows["figures"]])
+    return distinct, number, figures, np.cumsum([0, *map(len, keys)])
 
 
 def answer(asked: DataFrame, width: int, combine: Callable) -> DataFrame:
-    """combine(distinct keys, each figure's key number, figures) gives figures for the distinct keys, and the slice's totals."""
+    """combine(distinct keys, each figure's key number, figures) gives figures for the distinct keys."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in rows["keys"]]
-        ends = np.cumsum([0, *map(len, keys)])
-        distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
-        figures, totals = combine(distinct, number, np.hstack([unpack(f).reshape(width, -1) for f in rows["figures"]]))
-        out = [pack(figures[:, number[a:b]].ravel()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pd.DataFrame({"chunk": rows["chunk"].to_numpy(), "slice": rows["slice"].to_numpy(), "figures": out, "totals": [totals] * len(out), "body": None})
+        distinct, number, figures, ends = _distinct(rows, width)
+        found = combine(distinct, number, figures)
+        out = [pack(found[:, number[a:b]].ravel()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pd.DataFrame({"chunk": rows["chunk"].to_numpy(), "slice": rows["slice"].to_numpy(), "figures": out, "body": None})
 
     return asked.groupBy("slice").applyInPandas(run, ANSWERED)
 
 
-def meet(answered: DataFrame, bodies: DataFrame, width: int, slices: int, finish: Callable, schema: str) -> DataFrame:
-    """finish(body, figures of the chunk's sorted keys, totals over all slices) for each chunk. bodies: chunk, body."""
+def totals(asked: DataFrame, width: int, count: Callable, names: list[str]) -> Column:
+    """The sums over all slices of count(distinct keys, each figure's key number, figures), as a struct of longs.
+
+    It reads the same shuffle as answer() does within one query.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        distinct, number, figures, _ = _distinct(rows, width)
+        return pd.DataFrame([count(distinct, number, figures)], columns=names)
+
+    each = asked.groupBy("slice").applyInPandas(run, ", ".join(f"{n} long" for n in names))
+    return each.agg(F.struct(*[F.sum(n).alias(n) for n in names]).alias("totals")).scalar()
+
+
+def meet(answered: DataFrame, bodies: DataFrame, width: int, finish: Callable, schema: str, extra: Column | None = None) -> DataFrame:
+    """finish(body, figures of the chunk's sorted keys, totals) for each chunk. bodies: chunk, body; extra: totals.
+
+    A chunk's body knows how many keys it has; finish must refuse other than as many figures: the chunk was cut
+    otherwise when its task ran again.
+    """
+    kept = F.lit(None).cast("struct<none:long>") if extra is None else extra
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("slice")
-        if len(rows) != slices + 1 or rows["slice"].iat[0] >= 0:
+        if rows["slice"].iat[0] >= 0 or (rows["slice"].iloc[1:] < 0).any():
             raise RuntimeError("a chunk was cut otherwise when its task ran again")
-        replies = rows.iloc[1:]
-        figures = np.hstack([unpack(f).reshape(width, -1) for f in replies["figures"]])
-        return finish(rows["body"].iat[0], figures, np.sum(np.vstack(replies["totals"].to_list()), axis=0))
+        replies = rows["figures"].iloc[1:]
+        figures = np.hstack([unpack(f).reshape(width, -1) for f in replies]) if len(replies) else np.zeros((width, 0), np.int64)
+        return finish(rows["body"].iat[0], figures, rows["totals"].iat[0])
 
-    waiting = bodies.select("chunk", F.lit(-1).alias("slice"), F.lit(None).cast("binary").alias("figures"), F.lit(None).cast("array<long>").alias("totals"), "body")
-    return answered.union(waiting).groupBy("chunk").applyInPandas(run, schema)
+    waiting = bodies.select("chunk", F.lit(-1).alias("slice"), F.lit(None).cast("binary").alias("figures"), "body", kept.alias("totals"))
+    told = answered.withColumn("totals", F.lit(None).cast(waiting.schema["totals"].dataType))
+    return told.unionByName(waiting).groupBy("chunk").applyInPandas(run, schema)

@@ -104,11 +104,11 @@ def holders(number: np.ndarray, doc_ids: np.ndarray, times: np.ndarray, n: int)
     return np.vstack([first, count(is_first), second, count(~is_first)])
 
 
-def all_holders(keys: np.ndarray, number: np.ndarray, figures: np.ndarray) -> tuple[np.ndarray, list[int]]:
+def all_holders(keys: np.ndarray, number: np.ndarray, figures: np.ndarray) -> np.ndarray:
     first, n_first, second, n_others = figures
     more = n_others > 0
     joined = (np.concatenate(x) for x in ((number, number[more]), (first, second[more]), (n_first, n_others[more])))
-    return holders(*joined, len(keys)), [0]
+    return holders(*joined, len(keys))
 
 
 def chunked(docs: DataFrame, slices: int, least: int, chunk_words: int) -> DataFrame:
@@ -142,9 +142,11 @@ def chunked(docs: DataFrame, slices: int, least: int, chunk_words: int) -> DataF
 
 
 def spans_of(least: int):
-    def finish(body: bytes, figures: np.ndarray, totals: np.ndarray) -> pd.DataFrame:
+    def finish(body: bytes, figures: np.ndarray, _: object) -> pd.DataFrame:
         """Runs of windows that occur elsewhere too, and the smallest document that holds one of them."""
         ids, counts, at, number = (unpack(x, t) for x, t in zip(pickle.loads(body), (np.int64, np.uint32, np.uint32, np.uint32), strict=True))
+        if figures.shape[1] != number.max() + 1:
+            raise RuntimeError("a chunk was cut otherwise when its task ran again")
         row, at = np.repeat(np.arange(len(ids)), counts), at.astype(np.int64)
         first, n_first, second, n_others = figures[:, number]
         hit = n_first + n_others > 1
@@ -185,7 +187,7 @@ def repeated_passages(
     slices = 1 + text_bytes(own) // slice_bytes
     chunks = materialize(chunked(own.join(wanted, "doc_id"), slices, least, chunk_words), "windows")
     asked = chunks.where("slice >= 0").select("chunk", "slice", "keys", "figures")
-    spans = meet(answer(asked, 4, all_holders), chunks.where("slice < 0").select("chunk", "body"), 4, slices, spans_of(least), "doc_id long, first int, last int, other_id long")
+    spans = meet(answer(asked, 4, all_holders), chunks.where("slice < 0").select("chunk", "body"), 4, spans_of(least), "doc_id long, first int, last int, other_id long")
     # Merge overlapping spans of a document.
     before = Window.partitionBy("doc_id").orderBy("first", "last", "other_id").rowsBetween(Window.unboundedPreceding, -1)
     running = Window.partitionBy("doc_id").orderBy("first", "last", "other_id")
