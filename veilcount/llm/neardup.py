@@ -235,10 +235,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     plain = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    # Rows travel as one struct, so that no column's name clashes.
-    rows = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text"), F.xxhash64(*plain).alias("place"), F.struct(*docs.columns).alias("row"))
+    # The other columns travel by number in one struct, so that no column's name clashes.
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    rest = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
+    rows = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text"), F.xxhash64(*plain).alias("place"), rest.alias("rest"))
     rows = rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.groupBy("own_id", "own_text").agg(F.min_by("row", "place").alias("row")).select("row.*")
+    once = rows.groupBy("own_id", "own_text").agg(F.min_by("rest", "place").alias("rest"))
+    back = {id_col: F.col("own_id"), text_col: F.col("own_text")} | {c: F.col(f"rest.c{i}") for i, c in enumerate(others)}
+    return once.select(*[back[c].alias(c) for c in docs.columns])
 
 
 def op7_near_duplicates(spark, sf_dir):
