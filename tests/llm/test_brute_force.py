@@ -9,8 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from veilcount.llm import lookup
-from veilcount.llm import mixing, neardup, packing, quality, secrets, suffixes
+from veilcount.llm import lookup, mixing, neardup, packing, quality, secrets, suffixes
 from veilcount.llm._shared import materialize
 
 SF = "/root/testdata/sf0.001"
