@@ -19,6 +19,16 @@ def duck():
     return con
 
 
+#: At this size noise hides all bins, in SQL as well.
+EMPTY = {"a9_totals"}
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
+
+
 def shown(v):
     if isinstance(v, (float, Decimal)):
         return f"{float(v):.9g}"
@@ -30,7 +40,7 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     names = sorted(df.columns)
     rows = sorted(tuple(shown(r[c]) for c in names) for r in df.collect())
-    assert rows or name in ORACLE_SQL  # at this size noise hides all bins of one query, in SQL as well
+    assert rows or name in EMPTY
     if name in ORACLE_SQL:
         found = duck.sql(ORACLE_SQL[name])
         at = [found.columns.index(c) for c in names]

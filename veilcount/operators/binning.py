@@ -55,20 +55,19 @@ def bins_in_error(bins: DataFrame) -> DataFrame:
     return checked.withColumn("problem", F.when(F.col("lo") >= F.col("hi"), "empty").when(F.col("before") > F.col("lo"), "overlap").when(single != (F.col("n") == 1), "bin count")).where("problem is not null").select("counter", "lo", "hi", "problem")
 
 
-def tally(facts: DataFrame, modulus: int = MODULUS, strict: bool = False) -> DataFrame:
+def tally(facts: DataFrame, modulus: int = MODULUS, strict: bool = False, parties: int | None = None) -> DataFrame:
     """A3: facts (party, counter, bin_idx, count) of collectors and keepers to signed totals.
 
     Each counter must come with the same bins from every party: others are left out or, where strict, end the job;
-    incomplete() names them.
+    incomplete() names them. parties: how many there are, where the caller knows; else all that the facts hold.
     """
     held = facts.groupBy("counter", "bin_idx").agg(
         modular_sum(F.col("count"), modulus).alias("count"), F.count_distinct("party").alias("held")
     )
-    # A total must have every party. Parties and counters are configuration, whatever the events.
-    expected = F.broadcast(facts.agg(F.count_distinct("party").alias("parties")))
-    known = held.join(expected, F.col("parties").isNotNull())
+    # A total must have every party.
+    expected = facts.agg(F.count_distinct("party")).scalar() if parties is None else F.lit(parties)
     whole = F.min(F.col("held") == F.col("parties")).over(Window.partitionBy("counter"))
-    checked = known.withColumn("whole", whole)
+    checked = held.withColumn("parties", expected).withColumn("whole", whole)
     if strict:
         said = F.concat(F.lit("not tallied by every party: "), F.col("counter"))
         kept = checked.withColumn("count", F.when(F.col("whole"), F.col("count")).otherwise(F.raise_error(said)))
@@ -80,9 +79,8 @@ def tally(facts: DataFrame, modulus: int = MODULUS, strict: bool = False) -> Dat
 def incomplete(facts: DataFrame) -> DataFrame:
     """Counters that a party lacks, or has with other bins."""
     held = facts.groupBy("counter", "bin_idx").agg(F.count_distinct("party").alias("held"))
-    parties = F.broadcast(facts.agg(F.count_distinct("party").alias("parties")))
-    short = held.join(parties, F.col("held") < F.col("parties"))
-    return short.select("counter").distinct()
+    parties = facts.agg(F.count_distinct("party")).scalar()
+    return held.withColumn("parties", parties).where("held < parties").select("counter").distinct()
 
 
 def list_counter_bins(counters: DataFrame, lists: DataFrame) -> DataFrame:

@@ -43,6 +43,11 @@ def tagged(fields: Column) -> Column:
     return F.when(sound & unique, F.map_from_arrays(keys, values)).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
 
 
+def integer(v: Column) -> Column:
+    """An integer's text as a number, null for any other text: 12.7 and 1e3 aren't integers."""
+    return F.when(v.rlike(r"^\s*[+-]?\d+\s*$"), v.try_cast("decimal(38,0)"))
+
+
 @dataclass(frozen=True)
 class Rule:
     """One field's rule. kind: string, list, int, flag, float or ip; bounds are inclusive."""
@@ -61,7 +66,7 @@ class Rule:
         elif self.kind == "list":
             ok = self._within(F.size(F.filter(F.split(v, ","), lambda x: x != "")))
         elif self.kind == "int":
-            ok = v.rlike(r"^\s*[+-]?\d+\s*$") & self._within(v.try_cast("decimal(38,0)"))
+            ok = self._within(integer(v))
         elif self.kind == "flag":
             ok = v.isin("0", "1")
         elif self.kind == "float":
@@ -99,13 +104,13 @@ class Given:
     most_by_version: tuple[tuple[int, int], ...] = ()
 
     def holds(self, tags: Column) -> Column:
-        v, number = tags[self.field], tags[self.field].try_cast("decimal(38,0)")
-        version = tags["HiddenServiceVersionNumber"].try_cast("int")
+        v, number = tags[self.field], integer(tags[self.field])
+        version = integer(tags["HiddenServiceVersionNumber"])
         ok = F.lit(True)
         if self.version is not None:
             ok = ok & (version == self.version)
         if self.most_field is not None:
-            ok = ok & F.coalesce(number <= tags[self.most_field].try_cast("decimal(38,0)"), F.lit(True))
+            ok = ok & F.coalesce(number <= integer(tags[self.most_field]), F.lit(True))
         for at, most in self.most_by_version:
             ok = ok & ((version != at) | (number <= most))
         return v.isNull() | F.coalesce(ok, F.lit(False))
@@ -262,7 +267,7 @@ def typed(tags: Column, field: str, kind: str, default=None) -> Column:
     value = {
         "string": v,
         "ip": v,
-        "int": v.try_cast("decimal(38,0)"),
+        "int": integer(v),
         "float": v.try_cast("double"),
         "flag": F.when(v.isin("0", "1"), v == "1"),
     }[kind]
