@@ -29,3 +29,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def is_stored(df: DataFrame) -> bool:
+    """Whether df is read from files as it is, but for a choice of columns and rows."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.child()
+    return plan.nodeName().startswith(("Relation", "LogicalRelation"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilcount.checkpoints import stored
 from veilcount.functions import scalars
 from veilcount.operators import ordered
 
@@ -121,13 +122,19 @@ def top_suffixes(lists: DataFrame, separator: str = ".") -> DataFrame:
     key = suffix_key(F.col("item"), separator).alias("suffix_key")
     items = lists.select(key, "list_idx").where("suffix_key is not null").groupBy("suffix_key").agg(F.min("list_idx").alias("list_idx"))
     end = F.concat("suffix_key", F.lit("\x02" if separator else "\U0010FFFF"))
-    marked = ordered.carried(items.withColumn("_end", end), "suffix_key", "_end", "_covered", greatest=True)
+    marked = ordered.carried(stored(items.withColumn("_end", end), "items"), "suffix_key", "_end", "_covered", greatest=True)
     return marked.where(F.coalesce(F.col("_covered") < F.col("suffix_key"), F.lit(True))).select("suffix_key", "list_idx")
 
 
+def prepared_suffixes(lists: DataFrame, separator: str = ".") -> DataFrame:
+    """M4: lists made ready once for many matches, as a table in the shared folder; suffix_match() takes it for the lists."""
+    top = top_suffixes(lists, separator)
+    return stored(top.select("suffix_key", F.struct("suffix_key", "list_idx").alias("hit")), "suffixes")
+
+
 def _under_suffix(names: DataFrame, lists: DataFrame, separator: str) -> DataFrame:
     """names (suffix_key, distinct) with hit: the struct (suffix_key, list_idx) of the one suffix that can cover each."""
-    top = top_suffixes(lists, separator).select("suffix_key", F.struct("suffix_key", "list_idx").alias("hit"))
+    top = lists if "hit" in lists.columns else prepared_suffixes(lists, separator)
     return ordered.last_at(names, top, "suffix_key", "hit")
 
 
@@ -181,6 +188,13 @@ def prefix_marks(prefixes: DataFrame) -> DataFrame:
     return marks.groupBy("key").agg(F.max_by("value", "rank").alias("value"))
 
 
+def prepared_prefixes(prefixes: DataFrame) -> DataFrame:
+    """M5: prefixes made ready once for many matches, as a table in the shared folder; with_longest_prefix() takes it for them."""
+    lengths = F.length("digits")
+    marks = [prefix_marks(prefixes.where(lengths == n).select("digits", "prefix_len", "asn")).withColumn("width", F.lit(n)) for n in (8, 32)]
+    return stored(marks[0].unionByName(marks[1]), "prefixes")
+
+
 def with_longest_prefix(events: DataFrame, prefixes: DataFrame, digits: Column, out: str = "asn") -> DataFrame:
     """M5: events with the system of their address's longest prefix, null on a miss.
 
@@ -190,14 +204,15 @@ def with_longest_prefix(events: DataFrame, prefixes: DataFrame, digits: Column,
     """
     named = events.withColumn("_digits", digits)
     points = named.select(F.col("_digits").alias("digits")).where("digits is not null").distinct()
+    ready = prefixes if "width" in prefixes.columns else prepared_prefixes(prefixes)
     found = None
-    for n in (r[0] for r in prefixes.select(F.length("digits")).distinct().collect()):  # two versions
-        marks = prefix_marks(prefixes.where(F.length("digits") == n).select("digits", "prefix_len", "asn"))
+    for n in sorted(r[0] for r in ready.select("width").distinct().collect()):  # two versions
+        marks = ready.where(F.col("width") == n).select("key", "value")
         keys = points.where(F.length("digits") == n).select(F.concat("digits", F.lit("1")).alias("key"))
         own = ordered.last_at(keys, marks, "key", "value").select(F.substring("key", 1, n).alias("_key"), F.col("value.asn").alias(out))
         found = own if found is None else found.unionByName(own)
     if found is None:
-        return named.drop("_digits").withColumn(out, F.lit(None).cast(prefixes.schema["asn"].dataType))
+        return named.drop("_digits").withColumn(out, F.lit(None).cast(ready.schema["value"].dataType["asn"].dataType))
     return named.join(found, F.col("_digits") == F.col("_key"), "left").drop("_digits", "_key")
 
 

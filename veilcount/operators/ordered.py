@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilcount.checkpoints import stored
+from veilcount.checkpoints import is_stored, stored
 
 #: Keys that tell where ranges are cut, and the most ranges.
 SAMPLED, RANGES = 4096, 512
@@ -35,10 +35,10 @@ def carried(rows: DataFrame, key: str, value: str, out: str, greatest: bool = Fa
     """rows with `out`: the last value that isn't null of the rows before (or the greatest), null where there is none.
 
     Keys are texts, in the order of their bytes. Of rows with one key none is before another. Repeated keys of rows
-    without values should be few: they stay in one range.
+    without values should be few: they stay in one range. rows are read for the cuts, for what each range leaves, and to
+    be swept, so they should be a stored table.
     """
     spark = rows.sparkSession
-    rows = stored(rows, "ordered")  # read for the cuts, for what each range leaves, and to be swept
     n = ranges or min(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.withColumn("_range", range_of(F.col(key), cuts(rows, key, n)))
     known = dealt.where(F.col(value).isNotNull())
@@ -62,6 +62,7 @@ def last_at(points: DataFrame, marks: DataFrame, key: str, value: str, ranges: i
     A mark's value must not be null; make it a struct to hold one.
     """
     kind = marks.schema[value].dataType
+    points, marks = (df if is_stored(df) else stored(df, "ordered") for df in (points.select(key), marks.select(key, value)))
     rows = points.select(key, F.lit(None).cast(kind).alias(value), F.lit(True).alias("_point"))
     rows = rows.unionByName(marks.select(key, value, F.lit(False).alias("_point")))
     return carried(rows, key, value, "_found", ranges=ranges).where("_point").select(key, F.col("_found").alias(value))
