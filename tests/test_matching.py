@@ -33,6 +33,12 @@ def test_sweeps_multiply_no_rows(spark):
     assert "Explode" not in plan and "Generate" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@pytest.fixture(params=[0, 128], ids=["swept", "compared"], autouse=True)
+def few(request, monkeypatch):
+    """Both ways: by sorted sweeps, whatever the size, and by comparisons in place where marks are few."""
+    monkeypatch.setattr(ordered, "FEW", request.param)
+
+
 def listed(name, lists, sep="."):
     """The list of the shortest suffix that ends the name at a label; of equals the first list's."""
     clean = lambda x: x.lower().strip(sep) if sep else x.lower()

@@ -37,9 +37,9 @@ def load_list(lines: DataFrame, value: str = "value", kind: str = "any") -> Data
 
 
 def load_prefixes(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Lines "prefix/length system" (or with a blank or tab for the slash) as net, ipver, digits, prefix_len, asn.
+    """Lines "prefix/length system" (or with a blank or tab for the slash) as ipver, net, digits, prefix_len, asn.
 
-    digits are the network's address in hex: 8 of them for IPv4, 32 for IPv6.
+    net is the number of an IPv4 network; digits are the address in hex: 8 of them for IPv4, 32 for IPv6.
     """
     text = F.trim(value)
     parts = F.split(F.regexp_replace(text, "/", " "), r"\s+")
@@ -47,8 +47,8 @@ def load_prefixes(lines: DataFrame, value: str = "value") -> DataFrame:
     part = lambda i: F.get("p", F.lit(i))
     version = scalars.ip_version(part(0))
     rows = rows.select(
-        part(0).alias("net"),
         version.alias("ipver"),
+        scalars.ipv4_number(part(0)).alias("net"),
         scalars.address_digits(part(0)).alias("digits"),
         part(1).try_cast("int").alias("prefix_len"),
         part(2).try_cast("long").alias("asn"),
@@ -142,11 +142,25 @@ def suffix_match(events: DataFrame, lists: DataFrame, key: str, out: str = "list
     """M4: the list of the shortest matching suffix, infinity where there is none. Without a separator any ending
     of the name is a suffix (M4b).
 
-    Distinct names meet the suffixes in one sorted sweep, one row a name; events then join their names.
+    Few suffixes (ordered.FEW) are compared in place. Else distinct names meet the suffixes in one sorted sweep, one row
+    a name; events then join their names.
     """
     lead = F.lit(_SPLIT if separator else "")
     named = events.withColumn("_name", suffix_key(F.col(key), separator))
-    found = _under_suffix(named.select(F.col("_name").alias("suffix_key")).where("suffix_key is not null").distinct(), lists, separator)
+    few = None if "hit" in lists.columns else ordered.few(lists.select(suffix_key(F.col("item"), separator).alias("key"), "list_idx").where("key is not null"))
+    if few is not None:  # known to be few, so every name is matched where it is
+        tops: dict[str, float] = {}
+        for k, i in sorted((r["key"], r["list_idx"]) for r in few):
+            if k not in tops and not any(k.startswith(t + (_SPLIT if separator else "")) for t in tops):
+                tops[k] = float(i)
+        one = [(k, F.struct(F.lit(k).alias("suffix_key"), F.lit(i).alias("list_idx"))) for k, i in ordered.in_order(tops)]
+        none = F.lit(None).cast("struct<suffix_key:string,list_idx:double>")
+        near = named.withColumn("_hit", F.when(F.col("_name").isNotNull(), ordered.last_of(F.col("_name"), one, none)))
+        item = F.col("_hit.suffix_key")
+        under = (F.col("_name") == item) | F.startswith("_name", F.concat(item, lead))
+        return near.withColumn(out, F.when(under, F.col("_hit.list_idx")).otherwise(INF)).drop("_name", "_hit")
+    top = lists if "hit" in lists.columns else prepared_suffixes(lists, separator)
+    found = _under_suffix(named.select(F.col("_name").alias("suffix_key")).where("suffix_key is not null").distinct(), top, separator)
     own = F.col("hit.suffix_key")
     is_hit = (F.col("suffix_key") == own) | F.startswith("suffix_key", F.concat(own, lead))
     hits = found.where(is_hit).select(F.col("suffix_key").alias("_key"), F.col("hit.list_idx").cast("double").alias(out))
@@ -163,15 +177,14 @@ def has_listed_suffix(names: DataFrame, lists: DataFrame, key: str, separator: s
     return named.join(found.where(longer).select("suffix_key"), "suffix_key", "left_semi").select(key)
 
 
-def prefix_marks(prefixes: DataFrame) -> DataFrame:
+def prefix_marks(prefixes: DataFrame, lengths: list[int]) -> DataFrame:
     """M5: nested prefixes (digits, prefix_len, asn) as the disjoint ranges that they cut addresses into.
 
     key: an address, then 0 (the range begins there) or 2 (after it); value: the struct of the range's asn, null
-    outside all prefixes. At a prefix's end its nearest enclosing one goes on.
+    outside all prefixes. At a prefix's end its nearest enclosing one goes on. lengths: those that occur, in order.
     """
     first = scalars.network_digits(F.col("digits"), F.col("prefix_len"))
     own = prefixes.select(first.alias("first"), "prefix_len", "asn").groupBy("first", "prefix_len").agg(F.max("asn").alias("asn"))
-    lengths = [r[0] for r in prefixes.select("prefix_len").distinct().orderBy("prefix_len").collect()]  # 129 at most
     shorter = [F.when(F.col("prefix_len") > n, F.struct(scalars.network_digits(F.col("first"), F.lit(n)).alias("first"), F.lit(n).alias("prefix_len"))) for n in lengths[:-1]]
     if shorter:
         tried = own.select(F.col("first").alias("inner_first"), F.col("prefix_len").alias("inner_len"), F.explode(F.array_compact(F.array(*shorter))).alias("p")).select("inner_first", "inner_len", "p.*")
@@ -188,23 +201,59 @@ def prefix_marks(prefixes: DataFrame) -> DataFrame:
     return marks.groupBy("key").agg(F.max_by("value", "rank").alias("value"))
 
 
+def few_ranges(prefixes: list) -> dict[str, int | None]:
+    """prefix_marks() of a few prefixes of one version."""
+    n = len(prefixes[0]["digits"])
+    nets: dict[tuple[int, int], int] = {}
+    for r in prefixes:
+        host = 4 * n - r["prefix_len"]
+        net = int(r["digits"], 16) >> host << host, r["prefix_len"]
+        nets[net] = max(nets.get(net, r["asn"]), r["asn"])
+
+    def longest(at: int) -> int | None:
+        held = [(length, asn) for (first, length), asn in nets.items() if at >> (4 * n - length) == first >> (4 * n - length)]
+        return max(held)[1] if held else None
+
+    out: dict[str, int | None] = {}
+    for first, length in nets:
+        last = first | ((1 << (4 * n - length)) - 1)
+        out[f"{first:0{n}x}0"] = longest(first)
+        out[f"{last:0{n}x}2"] = longest(last + 1) if last + 1 < 1 << (4 * n) else None
+    return out
+
+
 def prepared_prefixes(prefixes: DataFrame) -> DataFrame:
     """M5: prefixes made ready once for many matches, as a table in the shared folder; with_longest_prefix() takes it for them."""
-    lengths = F.length("digits")
-    marks = [prefix_marks(prefixes.where(lengths == n).select("digits", "prefix_len", "asn")).withColumn("width", F.lit(n)) for n in (8, 32)]
-    return stored(marks[0].unionByName(marks[1]), "prefixes")
+    width = F.length("digits")
+    seen = prefixes.select(width.alias("width"), "prefix_len").distinct().collect()  # 33 and 129 lengths at most
+    kind = prefixes.schema["asn"].dataType.simpleString()
+    out = prefixes.sparkSession.createDataFrame([], f"key string, value struct<asn: {kind}>, width int")
+    for n in (8, 32):
+        lengths = sorted(r["prefix_len"] for r in seen if r["width"] == n)
+        if lengths:
+            out = out.unionByName(prefix_marks(prefixes.where(width == n).select("digits", "prefix_len", "asn"), lengths).withColumn("width", F.lit(n)))
+    return stored(out, "prefixes")
 
 
 def with_longest_prefix(events: DataFrame, prefixes: DataFrame, digits: Column, out: str = "asn") -> DataFrame:
     """M5: events with the system of their address's longest prefix, null on a miss.
 
     digits: the address in hex digits (address_digits(), ipv4_digits()); prefixes: (digits, prefix_len, asn), of either
-    version. Bits set beyond a prefix's length don't count. Distinct addresses meet the prefixes in one sorted
-    sweep a version, one row an address; events then join their addresses.
+    version. Bits set beyond a prefix's length don't count. Few ranges (ordered.FEW) are compared in place. Else distinct
+    addresses meet the prefixes in one sorted sweep a version, one row an address; events then join their addresses.
     """
+    few = None if "width" in prefixes.columns else ordered.few(prefixes.select("digits", "prefix_len", "asn"))
+    if few is not None:  # known to be few, so every address is matched where it is
+        kind = prefixes.schema["asn"].dataType
+        none = F.lit(None).cast(kind)
+        near, told = events.withColumn("_digits", F.concat(digits, F.lit("1"))), none
+        for n in sorted({len(r["digits"]) for r in few}):
+            own = [(k, F.lit(v).cast(kind)) for k, v in ordered.in_order(few_ranges([r for r in few if len(r["digits"]) == n]))]
+            told = F.when(F.length("_digits") == n + 1, ordered.last_of(F.col("_digits"), own, none)).otherwise(told)
+        return near.withColumn(out, told).drop("_digits")
+    ready = prefixes if "width" in prefixes.columns else prepared_prefixes(prefixes)
     named = events.withColumn("_digits", digits)
     points = named.select(F.col("_digits").alias("digits")).where("digits is not null").distinct()
-    ready = prefixes if "width" in prefixes.columns else prepared_prefixes(prefixes)
     found = None
     for n in sorted(r[0] for r in ready.select("width").distinct().collect()):  # two versions
         marks = ready.where(F.col("width") == n).select("key", "value")

@@ -31,6 +31,30 @@ def range_of(key: Column, bounds: list[str], low: int = 0) -> Column:
     return F.when(key < bounds[mid], range_of(key, bounds[:mid], low)).otherwise(range_of(key, bounds[mid + 1 :], low + mid + 1))
 
 
+#: So many marks, at most, are looked up by comparisons in place.
+FEW = 128
+
+
+def few(rows: DataFrame) -> list | None:
+    """The rows, if they are few; else none, and last_at() is the way."""
+    found = rows.limit(FEW + 1).collect()
+    return found if len(found) <= FEW else None
+
+
+def in_order(marks: dict[str, object]) -> list[tuple[str, object]]:
+    """Marks by the bytes of their keys."""
+    return sorted(marks.items(), key=lambda m: m[0].encode("utf-8", "surrogatepass"))
+
+
+def last_of(key: Column, marks: list[tuple[str, Column]], before: Column) -> Column:
+    """The value of the last of these marks at or before the key, by a tree of comparisons; `before` where there is none."""
+    if not marks:
+        return before
+    mid = len(marks) // 2
+    at, value = marks[mid]
+    return F.when(key < at, last_of(key, marks[:mid], before)).otherwise(last_of(key, marks[mid + 1 :], value))
+
+
 def carried(rows: DataFrame, key: str, value: str, out: str, greatest: bool = False, ranges: int | None = None) -> DataFrame:
     """rows with `out`: the last value that isn't null of the rows before (or the greatest), null where there is none.
 

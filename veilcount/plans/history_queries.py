@@ -206,7 +206,7 @@ def s5_st6_times(spark, sf_dir):
 
 
 @query(
-    """WITH n AS (SELECT n_nationkey AS k FROM nation) SELECT k, 'item' || k AS item, '10.' || k || '.0.0' AS net, 4 AS ipver, lower(printf('0a%02x0000', k)) AS digits, 16 AS prefix_len, 64500 + k AS asn FROM n WHERE k % 5 > 0"""
+    """WITH n AS (SELECT n_nationkey AS k FROM nation) SELECT k, 'item' || k AS item, CAST(167772160 + k * 65536 AS BIGINT) AS net, 4 AS ipver, lower(printf('0a%02x0000', k)) AS digits, 16 AS prefix_len, 64500 + k AS asn FROM n WHERE k % 5 > 0"""
 )
 def s6_s7_lists(spark, sf_dir):
     """Lists and prefix maps with comments and blank lines, written as text and read back."""
