@@ -119,12 +119,16 @@ def write_archives(
         F.col(id_col).cast("long").alias("page_id"), text_of(url_col).alias("url"), text_of(body_col).alias("html")
     )
     own = own.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    own = own.withColumn("large", F.octet_length("html") >= least_bytes)
-    originals = own.where("large").groupBy(F.col("digest").alias("repeated"))
-    originals = originals.agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1")
-    dealt = own.join(originals, (F.col("digest") == F.col("repeated")) & F.col("large"), "left")
+    large = F.octet_length("html") >= least_bytes
+    repeated = own.where(large).groupBy(F.col("digest").alias("repeated"))
+    repeated = repeated.agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1")
+    # Written first, so that Spark splits a hot digest; small pages have nothing to meet and move nowhere.
+    met = own.where(large).join(materialize(repeated, "originals"), F.col("digest") == F.col("repeated"), "left")
     other = F.coalesce(F.col("original") != F.col("page_id"), F.col("original").isNotNull())
-    dealt = dealt.select("page_id", "url", "html", "digest", F.when(other, F.col("original")).alias("refers_to"))
+    met = met.withColumn("refers_to", F.when(other, F.col("original")))
+    small = own.where(~large).withColumn("refers_to", F.lit(None).cast("long"))
+    columns = ["page_id", "url", "html", "digest", "refers_to"]
+    dealt = met.select(columns).unionByName(small.select(columns))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         archive, at = TaskContext.get().partitionId(), 0
