@@ -99,9 +99,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     block = F.greatest(F.least(F.floor(least / LEAST_BLOCKS), F.lit(block_words)), F.lit(1)).cast("long")
     sources = targets.withColumn("block", F.coalesce(block, F.lit(block_words))).withColumn("seats", F.round(F.sum("target").over(everything) / F.col("block")).cast("long")).withColumn("world", F.lit(0))
     sources = apportion(sources, ["world"], ["source"], "target", "seats").withColumn("shards", F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / shard_words)).select("source", "source_size", "target", "block", "shards", F.col("quota").alias("source_seats"))
-
-    place = F.xxhash64(F.lit(seed), "doc_id", "size")
-    dealt = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.size", "d.text_key", "s.*").withColumn("place", place).withColumn("shard", F.pmod(F.col("place"), F.col("shards")))
+    # Written, as three joins read it: a row a source.
+    sources = materialize(sources, "sources")
+
+    place = F.xxhash64(F.lit(seed), "doc_id", "size", "text_key")
+    held = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.size", "d.text_key", "s.*")
+    # A mix takes nothing of documents without words, so they lie in no shard: any number of them stays where it is.
+    wordless = held.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    dealt = held.where("size > 0").withColumn("place", place).withColumn("shard", F.pmod(F.col("place"), F.col("shards")))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_seats").alias("source_seats"), F.first("block").alias("block"))
     shards = apportion(shards, ["source"], ["shard"], "shard_size", "source_seats")
     blocks = F.greatest(F.ceil(F.col("shard_size") / F.col("block")), F.lit(1))
@@ -110,13 +115,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     edge = lambda b: F.floor(b * F.col("shard_size") / F.col("blocks"))  # noqa: E731  where block b of a shard begins
     shards = shards.select(F.col("source").alias("shard_source"), F.col("shard").alias("shard_no"), "shard_size", "passes", edge(F.col("first")).alias("from"), edge(F.least(F.col("first") + F.col("run"), F.col("blocks"))).alias("to"), edge(F.greatest(F.col("first") + F.col("run") - F.col("blocks"), F.lit(0))).alias("wrapped"))
 
-    lying = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    lying = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0)
     laid = dealt.withColumn("end", F.sum("size").over(lying))
     laid = laid.join(shards, F.col("source").eqNullSafe(F.col("shard_source")) & (F.col("shard") == F.col("shard_no")))
     start = F.col("end") - F.col("size")
     overlap = lambda lo, hi: F.greatest(F.least(F.col("end"), hi) - F.greatest(start, lo), F.lit(0))
     taken = F.col("passes") * F.col("size") + overlap(F.col("from"), F.col("to")) + overlap(F.lit(0), F.col("wrapped"))
-    return laid.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "block", "source", "text_key")
+    columns = ["doc_id", "size", "source_size", "target", "taken", "block", "source", "text_key"]
+    return laid.withColumn("taken", taken.cast("long")).select(columns).unionByName(wordless.select(columns))
 
 
 def mixed(
