@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Fixed value: how far probabilities' sum may be from 1, as a part of the larger of both.
+SUM_TOLERANCE = 1e-9
+
 
 def path_items(events: DataFrame, path_col: str, keep: Sequence[str] = ()) -> DataFrame:
     """Paths (JSON with ';' for ',') as rows: columns to keep, pos, state, obs, delay, following. Short items are
@@ -83,7 +86,7 @@ def model_errors(start: DataFrame, transitions: DataFrame) -> DataFrame:
     """H1: probabilities that don't sum to 1; states whose name holds End need no transitions."""
     s = start.agg(F.sum("p").alias("p")).select(F.lit("START").alias("src"), "p")
     t = transitions.where(~F.contains("src", F.lit("End"))).groupBy("src").agg(F.sum("p").alias("p"))
-    return s.unionByName(t).where(F.abs(F.col("p") - 1) > 1e-9)
+    return s.unionByName(t).where(F.abs(F.col("p") - 1) > SUM_TOLERANCE * F.greatest("p", F.lit(1.0)))
 
 
 #: What is summed over a whole model.
@@ -108,6 +111,23 @@ def model_counters(spark: SparkSession, prefix: str, transitions: DataFrame, emi
     return total.unionByName(moves).unionByName(seen)
 
 
+#: How the counters of each part of a model begin, and the event that they need.
+MODEL_PARTS = {"packet_model": ("ExitStreamTrafficModel", "VITERBI_PACKETS"), "stream_model": ("ExitCircuitTrafficModel", "VITERBI_STREAMS")}
+
+
+def registered_names(spark: SparkSession, parts: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Counter, template, event, is_static: the names that a model brings along, of all its parts.
+
+    parts as sources/config.py's read_model gives them. Static names are the totals, which every model has.
+    """
+    out = None
+    for kind, (transitions, emissions) in parts.items():
+        prefix, event = MODEL_PARTS[kind]
+        own = model_counters(spark, prefix, transitions, emissions).select("counter", "template", F.lit(event).alias("event"), F.col("a").isNull().alias("is_static"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def unknown_templates(counters: DataFrame, noise: DataFrame) -> DataFrame:
     """H3: templates of a noise table that no counter of the model has; noise with any isn't valid."""
     return noise.select("template").join(counters, "template", "left_anti")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 STREAM_SUFFIXES = ("Count", "ByteCount", "OutboundByteCount", "InboundByteCount", "ByteHistogram", "OutboundByteHistogram", "InboundByteHistogram", "ByteRatio", "LifeTime")
 CIRCUIT_SUFFIXES = ("Count", "InboundCellCount", "OutboundCellCount", "InboundCellHistogram", "OutboundCellHistogram", "CellRatio", "LifeTime", "ReasonCountList")
@@ -130,13 +131,39 @@ def is_sampled(counter: str, more: dict[str, set[str]] | None = None) -> bool:
     return bool(events_for([counter], more) & SAMPLED)
 
 
+#: How counters begin whose events a relay sends regularly only with a flag.
+FLAGGED = (("Entry", "Guard"), ("Exit", "Exit"), ("HSDir2", "HSDir"), ("HSDir3", "HSDir3"))
+
+
 def are_events_expected(counters: list[str], flags: set[str]) -> bool:
     """P13."""
-    pairs = (("Entry", "Guard"), ("Exit", "Exit"), ("HSDir2", "HSDir"), ("HSDir3", "HSDir3"))
-    return any(c.startswith(lead) and flag in flags for c in counters for lead, flag in pairs)
+    return any(flag in flags for lead, flag in FLAGGED if any(c.startswith(lead) for c in counters))
+
+
+def events_expected(counters: list[str], flags: Column) -> Column:
+    """P13 for a column of relays' flags; without flags, no events are expected."""
+    wanted = [flag for lead, flag in FLAGGED if any(c.startswith(lead) for c in counters)]
+    held = F.arrays_overlap(flags, F.array(*map(F.lit, wanted))) if wanted else F.lit(False)
+    return F.coalesce(held, F.lit(False))
 
 
-def catalogue(spark: SparkSession) -> DataFrame:
-    """counter, events (in order), sampled."""
-    rows = [(n, sorted(e), bool(e & SAMPLED)) for n, e in _KNOWN.items()]
+def catalogue(spark: SparkSession, more: dict[str, set[str]] | None = None) -> DataFrame:
+    """counter, events (in order), sampled: all names, and those of `more`, which registered() gives."""
+    rows = [(n, sorted(e), bool(e & SAMPLED)) for n, e in (_KNOWN | (more or {})).items()]
     return spark.createDataFrame(rows, "counter string, events array<string>, sampled boolean")
+
+
+def needed_events(asked: DataFrame, by: list[str], more: dict[str, set[str]] | None = None) -> DataFrame:
+    """Asked (by, counter) to the events that each group of counters needs, in order, whether sampling bears on
+    any, and the names that nobody knows.
+
+    Names are told apart before they meet the catalogue, which is broadcast: its size doesn't depend on the data.
+    """
+    known = F.broadcast(catalogue(asked.sparkSession, more))
+    met = asked.select(*by, "counter").distinct().join(known, "counter", "left")
+    unknown = F.when(F.col("events").isNull(), F.col("counter"))
+    return met.groupBy(*by).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("events")))).alias("events"),
+        F.coalesce(F.max("sampled"), F.lit(False)).alias("sampled"),
+        F.array_sort(F.collect_set(unknown)).alias("unknown"),
+    )

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilcount.operators.hmm import SUM_TOLERANCE
+
 BINS = "counter string, bin_idx int, lo double, hi double"
 NOISE = "counter string, sigma double, sensitivity double, estimated_value double"
 
@@ -88,7 +90,7 @@ def model_problems(model: dict, kind: str = "packet_model") -> list[str]:
     out = [f"no observation {o}" for o in (("+", "-", "F") if kind == "packet_model" else ("$", "F")) if o not in observed]
 
     def sums(name: str, found: dict, exempt: bool = False) -> None:
-        if not exempt and not math.isclose(sum(found.values()), 1.0, rel_tol=1e-6):
+        if not exempt and not math.isclose(sum(found.values()), 1.0, rel_tol=SUM_TOLERANCE):
             out.append(f"{name} doesn't sum to 1")
 
     def known(names, space: set[str], what: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,9 +74,65 @@ def context_of(noise: DataFrame, privacy: dict, start: float, stopping: float, e
     return more | {"Time": times, "TallyServer": server}
 
 
+def _paths(*names: str) -> dict[str, str]:
+    return {f"Config.{n}": f"({n} path)" for n in names}
+
+
+#: What contexts don't tell of parties, and what stands there instead. A * is every name.
+_START = {"Config.Start.counters": "(counter bins, no counts)", "Config.Start.noise.counters": "(counter sigmas, no counts)"}
+HIDDEN = {
+    "DataCollector": _paths("state", "secret_handshake") | _START | {"Config.Start.sharekeepers.*": "(public key)"},
+    "ShareKeeper": _paths("key", "state", "secret_handshake") | _START | {"Status.public_key": "(public key)"},
+    "TallyServer": _paths("cert", "key", "state", "secret_handshake", "allocation", "results") | {"Config.counters": "(counter bins, no counts)"},
+}
+
+
+def _hide(part: object, path: list[str], text: str) -> None:
+    name, *rest = path
+    if not isinstance(part, dict):
+        return
+    for own in list(part) if name == "*" else [name] if name in part else []:
+        if rest:
+            _hide(part[own], rest, text)
+        else:
+            part[own] = text
+
+
+def cleaned(context: dict) -> dict:
+    """K1: a context without paths, keys, and counters that the tallies tell anyway. What isn't there stays away."""
+    out = copy.deepcopy(context)
+    for kind, hidden in HIDDEN.items():
+        for path, text in hidden.items():
+            _hide(out, [kind, *([] if kind == "TallyServer" else ["*"]), *path.split(".")], text)
+    return out
+
+
+def client_contexts(clients: DataFrame, configs: dict[str, dict] | None = None) -> dict:
+    """K1: for context_of, by kind: the Status of each client (a row of operators/clients.py's registry) and its Config, if any.
+
+    Clients without a kind aren't told. A round has as many clients as it has parties: configuration, not data.
+    """
+    out: dict = {}
+    for row in clients.where("kind is not null").toLocalIterator():
+        status = {k: v for k, v in row.asDict(recursive=True).items() if v is not None}
+        name, kind = str(status.pop("client")), status.pop("kind")
+        config = {"Config": configs[name]} if name in (configs or {}) else {}
+        out.setdefault(kind, {})[name] = {"Status": status} | config
+    return out
+
+
 def write_outcome(results: DataFrame, context: dict, folder: str, begin: float, end: float) -> str:
-    """K1: tallies with the context of their round; read_results reads both."""
-    told = F.lit('{"Context":' + json.dumps(context, sort_keys=True) + ',"Tally":')
+    """K1: tallies with the cleaned context of their round; read_results and read_contexts read them."""
+    told = F.lit('{"Context":' + json.dumps(cleaned(context), sort_keys=True) + ',"Tally":')
     path = f"{folder}/{results_name('outcome', begin, end)}"
     tallied(results).select(F.concat(told, "value", F.lit("}")).alias("value")).coalesce(1).write.text(path)
     return path
+
+
+def read_contexts(spark: SparkSession, path: str) -> DataFrame:
+    """K1: experiment, kind, client, part (Status or Config), field, value of clients in contexts; nested values stay JSON."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("experiment"), F.from_json("value", "map<string, string>")["Context"].alias("context"))
+    kinds = files.select("experiment", F.explode(F.from_json("context", "map<string, string>")).alias("kind", "told")).where(~F.col("kind").isin("Time", "TallyServer"))
+    clients = kinds.select("experiment", "kind", F.explode(F.from_json("told", "map<string, map<string, map<string, string>>>")).alias("client", "parts"))
+    fields = clients.select("experiment", "kind", "client", F.explode("parts").alias("part", "fields"))
+    return fields.select("experiment", "kind", "client", "part", F.explode("fields").alias("field", "value"))
