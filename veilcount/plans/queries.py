@@ -268,4 +268,4 @@ def st4_round_tallies(spark, sf_dir):
     return rounds.round_tallies(facts, 2, 1).drop("early")
 
 
-from veilcount.plans import history_queries, log_queries, server_queries  # noqa: E402, F401  some of their SQL builds on that of the queries above
+from veilcount.plans import history_queries, log_queries, server_queries, value_queries  # noqa: E402, F401  some of their SQL builds on that of the queries above

@@ -20,7 +20,7 @@ S_REGISTRY = f"""e AS (SELECT user_id AS client, event_id AS seq, CAST(floor(epo
   CASE WHEN event_id % 11 > 0 THEN CASE WHEN event_id % 5 < 3 THEN 'active' ELSE 'idle' END END AS state,
   CASE WHEN event_id % 13 = 0 THEN '0.' || event_id % 7 END AS version,
   CASE WHEN event_id % 17 = 0 THEN floor(epoch(ts)) - 5.0 END AS last_event,
-  CASE WHEN event_id % 6 = 0 THEN event_id % 3 + 0.5 END AS rtt, CASE WHEN event_id % 9 = 0 THEN 'f' || event_id END AS fingerprint FROM events),
+  CASE WHEN event_id % 6 = 0 THEN CAST(event_id % 3 + 0.5 AS DOUBLE) END AS rtt, CASE WHEN event_id % 9 = 0 THEN 'f' || event_id END AS fingerprint FROM events),
  l AS (SELECT client, max(seq) AS seq, arg_max(alive, seq) AS alive, max(kind) AS kind, arg_max(state, seq) FILTER (WHERE state IS NOT NULL) AS state,
   arg_max(version, seq) FILTER (WHERE version IS NOT NULL) AS version, arg_max(last_event, seq) FILTER (WHERE last_event IS NOT NULL) AS last_event,
   arg_max(rtt, seq) FILTER (WHERE rtt IS NOT NULL) AS rtt, arg_min(fingerprint, seq) FILTER (WHERE fingerprint IS NOT NULL) AS fingerprint FROM e GROUP BY 1),
