@@ -270,11 +270,12 @@ def op5_secrets(spark, sf_dir):
     def listed(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
+    def count(k: int) -> Column:
+        """A filter's second parameter, even one with a default, would be the index."""
+        return F.size(F.filter("found", lambda s: s["order"] == k)).cast("long")
+
     base = F.filter("found", lambda s: s["order"] < len(BASE))
-    counts = [
-        F.size(F.filter("found", lambda s, k=k: s["order"] == k)).cast("long").alias(f"n_{r.kind}")
-        for k, r in enumerate(BASE)
-    ]
+    counts = [count(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE)]
     return found.select(
         "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans")
     )
