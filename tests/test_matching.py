@@ -126,3 +126,12 @@ def test_closes_of_one_key_of_a_million_rows(spark):
     began = time.time()
     wrong = matching.next_close(streams, closes, ["k"], "ended", "closed").where("closed_at <> ended + 9 - ended % 10 or closed_at is null")
     assert wrong.count() == 0 and time.time() - began < 60
+
+
+def test_any_match_keeps_rows_whose_ids_recur(spark):
+    lists = spark.createDataFrame([(1, "a"), (0, "B"), (2, "c")], "list_idx int, item string")
+    rows = [(1, "A", None), (1, "c", "b"), (1, "A", None), (2, "x", None), (None, "c", "a"), (None, None, None)]
+    events = spark.createDataFrame(rows, "id long, k string, m string")
+    found = matching.any_match(events, lists, ["id"], [F.col("k"), F.col("m")])
+    want = [(1, 1.0), (1, 0.0), (1, 1.0), (2, INF), (None, 1.0), (None, INF)]
+    assert found.columns == ["id", "list_idx"] and sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))

@@ -87,10 +87,13 @@ def exact_match(events: DataFrame, lists: DataFrame, key: str, out: str = "list_
 
 
 def any_match(events: DataFrame, lists: DataFrame, id_cols: list[str], keys: list[Column], out: str = "list_idx") -> DataFrame:
-    """M3: the first list that holds any of the keys."""
-    named = disjoint(lists).select(F.col("item").alias("_item"), F.col("list_idx").cast("double").alias(out))
-    tried = events.select(*id_cols, F.explode(F.array(*[F.lower(k) for k in keys])).alias("_key"))
-    return tried.join(named, F.col("_key") == F.col("_item"), "left").groupBy(*id_cols).agg(F.coalesce(F.min(out), F.lit(INF)).alias(out))
+    """M3: the first list that holds any of the keys, a row for each event, whether or not its ids recur."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    found = events.select(*id_cols, *[k.alias(n) for n, k in zip(names, keys, strict=True)])
+    for n in names:
+        found = exact_match(found, lists, n, f"{n}_list")
+    first = F.array_min(F.array(*[F.col(f"{n}_list") for n in names]))
+    return found.select(*id_cols, first.alias(out))
 
 
 def onion_match(events: DataFrame, lists: DataFrame, id_cols: list[str], key: str, out: str = "list_idx") -> DataFrame:

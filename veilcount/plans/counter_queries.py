@@ -211,8 +211,8 @@ def cache_entries(spark, sf_dir) -> DataFrame:
     reasons = spark.createDataFrame(REASONS, "list_idx int, item string")
     hashed = spark.createDataFrame([("brand#21",)], "name string").select(F.lit(1).alias("list_idx"), scalars.onion_md5(F.col("name")).alias("item"))
     onions = spark.createDataFrame(ONIONS, "list_idx int, item string").unionByName(hashed)
-    found = matching.any_match(p, onions, ["p_partkey"], [F.col("address"), scalars.onion_md5(F.col("address"))], "onion_list")
-    p = matching.exact_match(p, reasons, "reason", "reason_list").join(found, "p_partkey")
+    found = matching.any_match(p, onions, p.columns, [F.col("address"), scalars.onion_md5(F.col("address"))], "onion_list")
+    p = matching.exact_match(found, reasons, "reason", "reason_list")
     return p.withColumn("onion_list", F.when(F.col("address").isNotNull(), F.col("onion_list")))
 
 
