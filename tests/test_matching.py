@@ -135,3 +135,14 @@ def test_any_match_keeps_rows_whose_ids_recur(spark):
     found = matching.any_match(events, lists, ["id"], [F.col("k"), F.col("m")])
     want = [(1, 1.0), (1, 0.0), (1, 1.0), (2, INF), (None, 1.0), (None, INF)]
     assert found.columns == ["id", "list_idx"] and sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+
+
+def test_ipv6_of_long_keys(spark, tmp_path):
+    """Keys beyond one group of an address are found too."""
+    from veilcount.plans.queries import QUERIES
+
+    keys = [1, 65_535, 65_536, 900_000, 2**33 + 7, 2**62, -1]
+    spark.createDataFrame([(k, 4) for k in keys], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(25).select(F.col("id").cast("int").alias("n_nationkey")).write.parquet(str(tmp_path / "nation.parquet"))
+    found = QUERIES["m5_longest_prefix_ipv6"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == sorted((k, 4) for k in keys)

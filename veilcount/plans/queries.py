@@ -229,7 +229,11 @@ def m5_longest_prefix_ipv6(spark, sf_dir):
     hexed = lambda c: F.lower(F.hex(c))
     nets = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("2001:db8:"), hexed("n_nationkey"), F.lit("::")).alias("net"), F.lit(48).alias("prefix_len"), F.col("n_nationkey").cast("long").alias("asn"))
     nets = nets.unionByName(spark.createDataFrame([("2001:DB8::", 32, 999)], "net string, prefix_len int, asn long"))
-    addresses = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("2001:db8:"), hexed("c_nationkey"), F.lit("::"), hexed("c_custkey")).alias("address"))
+    # A key of 64 bits takes four groups; one of 16 bits is written as the last alone.
+    k = F.col("c_custkey")
+    groups = [hexed(F.shiftrightunsigned(k, 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in (3, 2, 1, 0)]
+    host = F.when(k.between(0, 0xFFFF), hexed(k)).otherwise(F.concat_ws(":", *groups))
+    addresses = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("2001:db8:"), hexed("c_nationkey"), F.lit("::"), host).alias("address"))
     nets = nets.select(scalars.address_digits(F.col("net")).alias("digits"), "prefix_len", "asn")
     return matching.with_longest_prefix(addresses, nets, scalars.address_digits(F.col("address"))).select("c_custkey", "asn")
 
