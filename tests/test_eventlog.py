@@ -113,3 +113,13 @@ def test_a_stream_at_a_pace_survives_restarts(spark, tmp_path):
     run(None)
     got = sorted(int(r["fields"][0]) for r in spark.read.parquet(str(out)).collect())
     assert got == list(range(3000)) and len(batches) > 5 and max(batches) < 1000
+
+
+def test_a_compressed_log_holds_the_same_events_in_less_room(spark, tmp_path):
+    lines = spark.range(20_000).selectExpr("concat('dc', id % 3) AS party", "concat('650 C_', IF(id % 2 = 0, 'X', 'Y'), ' Key=', id, ' Other=value') AS value")
+    read, size = {}, {}
+    for how in ("none", "gzip"):
+        path = eventlog.write_log(lines, str(tmp_path / how), how)
+        read[how] = sorted(map(str, eventlog.read_log(spark, path, "C_").where("code = 'X'").collect()))
+        size[how] = sum(f.stat().st_size for f in (tmp_path / how).rglob("part-*"))
+    assert len(read["none"]) == 10_000 and read["none"] == read["gzip"] and size["gzip"] * 4 < size["none"]

@@ -155,7 +155,7 @@ def mixed_lines(spark, sf_dir):
 def stored_events(spark, sf_dir, *makers):
     """The lines written to the shared folder as a log, read through the source, judged once and stored by code."""
     lines = mixed_lines(spark, sf_dir) if not makers else makers[0](spark, sf_dir)
-    log = eventlog.write_log(lines, shared_path(spark, "log"))
+    log = eventlog.write_log(lines, shared_path(spark, "log"), "gzip")
     return families.write_events(families.judged(eventlog.read_log(spark, log, PREFIX)), shared_path(spark, "events"))
 
 
@@ -267,6 +267,6 @@ PUSHED = ["ExitStreamCount", "EntryConnectionCount"]
 )
 def s1_s2_pushed_log(spark, sf_dir):
     """A log read for two counters; the codes that they need are pushed down to the source."""
-    log = eventlog.write_log(mixed_lines(spark, sf_dir), shared_path(spark, "log"))
+    log = eventlog.write_log(mixed_lines(spark, sf_dir), shared_path(spark, "log"), "gzip")
     found = eventlog.read_log(spark, log, PREFIX, counters=PUSHED)
     return found.groupBy("code").agg(F.count("*").alias("events"), F.sum(F.size("fields")).alias("fields"))

@@ -264,8 +264,11 @@ def read_log(spark: SparkSession, path: str, prefix: str = "", counters: list[st
     return rows if codes is None else rows.where(rows["code"].isin(*codes))
 
 
-def write_log(lines: DataFrame, path: str) -> str:
-    """Lines (value, and party where there is one) as a log, a folder for each party; returns the path."""
+def write_log(lines: DataFrame, path: str, compression: str = "none") -> str:
+    """Lines (value, and party where there is one) as a log, a folder for each party; returns the path.
+
+    A compressed log (gzip) is many times smaller; a task then reads a whole file of it.
+    """
     by = ["party"] if "party" in lines.columns else []
-    lines.select("value", *by).write.partitionBy(*by).text(path)
+    lines.select("value", *by).write.option("compression", compression).option("zlib.compress.level", "BEST_SPEED").partitionBy(*by).text(path)
     return path
