@@ -102,3 +102,27 @@ def test_streamed_clients_equal_batch(spark, tmp_path):
     got = {(r.start, r.clients) for r in spark.sql("select * from clients").collect()}
     batch = {(r.w.start, r.n) for r in rows.groupBy(F.window("ts", "10 minutes").alias("w")).agg(F.count_distinct("ip").alias("n")).collect()}
     assert got and got <= batch
+
+
+def test_rules_are_compiled_not_interpreted(spark):
+    """What a generator holds, and methods that HotSpot refuses, are interpreted row by row."""
+    from veilcount.sources import events as ev
+
+    lines = spark.createDataFrame([("CONNECTION_CLOSE", ["A=1"])], "code string, fields array<string>")
+    plan = ev.accepted(lines)._jdf.queryExecution().executedPlan().toString()
+    held = [line for line in plan.split("\n") if "Generate" in line]
+    assert held and all("explode(array(_one" in line for line in held)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == ev.COMPILED_BYTES
+
+
+def test_tagged_fields_of_any_form_and_number(spark):
+    from veilcount.sources import events as ev
+
+    long = "x" * 200_000
+    sound = [[], [""], ["A=1", "", "B="], ["A=" + long, "B=2"], [f"K{i}={i}" for i in range(20_000)]]
+    odd = [["A"], ["=1"], ["A=1=2"], ["A=1", "A=2"], ["A=1\x00B=2"], ["A=1 2"], ["A\t=1"], ["A=1\n"], ["A=1", long]]
+    rows = [(i, fields) for i, fields in enumerate(sound + odd)]
+    df = spark.createDataFrame(rows, "i int, fields array<string>")
+    want = [dict(f.split("=") for f in fields if f) for fields in sound] + [{} for _ in odd]
+    got = {r["i"]: r["tags"] for r in df.select("i", ev.tagged(F.col("fields")).alias("tags")).collect()}
+    assert [got[i] for i in range(len(want))] == want

@@ -32,20 +32,37 @@ def enabled(events: DataFrame, codes: list[str]) -> DataFrame:
     return events.where(F.col("code").isin(*codes))
 
 
+#: Key=Value fields, joined by NUL. Possessive, so Java's matcher loops over any number of them and doesn't recurse.
+SOUND = r"^\x00*+(?:[^=\s\x00]++=[^=\s\x00]*+(?:\x00++|\z))*+\z"
+
+
 def tagged(fields: Column) -> Column:
     """Key=Value fields as a map; any malformed or repeated field empties the event."""
-    some = F.filter(fields, lambda x: x != "")
-    pair = lambda x: F.split(x, "=", -1)
-    sound = F.forall(some, lambda x: (F.size(pair(x)) == 2) & (F.get(pair(x), F.lit(0)) != "") & ~x.rlike(r"[\s\x00]"))
-    keys = F.transform(some, lambda x: F.get(pair(x), F.lit(0)))
-    values = F.transform(some, lambda x: F.get(pair(x), F.lit(1)))
+    text = F.array_join(fields, "\x00")
+    own = F.size(F.split(text, "\x00")) == F.greatest(F.size(fields), F.lit(1))  # no field holds a NUL of its own
+    keys = F.regexp_extract_all(text, F.lit(r"(?:^|\x00)([^=\x00]++)="), F.lit(1))
+    values = F.regexp_extract_all(text, F.lit(r"=([^\x00]*)"), F.lit(1))
     unique = F.size(F.array_distinct(keys)) == F.size(keys)
-    return F.when(sound & unique, F.map_from_arrays(keys, values)).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    return F.when(text.rlike(SOUND) & own & unique, F.map_from_arrays(keys, values)).otherwise(F.map_from_arrays(none, none))
+
+
+#: HotSpot compiles no method whose bytecode is larger.
+COMPILED_BYTES = 8000
+
+
+def small_methods(spark: SparkSession) -> None:
+    """Rules of many fields make methods that HotSpot would only interpret: then Spark is to cut them into smaller ones."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(COMPILED_BYTES))
+
+
+#: Integers that fit 64 bits, which are much cheaper than decimals.
+SHORT = r"^\s*[+-]?\d{1,18}\s*$"
 
 
 def integer(v: Column) -> Column:
     """An integer's text as a number, null for any other text: 12.7 and 1e3 aren't integers."""
-    return F.when(v.rlike(r"^\s*[+-]?\d+\s*$"), v.try_cast("decimal(38,0)"))
+    return F.when(v.rlike(SHORT), v.try_cast("long").cast("decimal(38,0)")).when(v.rlike(r"^\s*[+-]?\d+\s*$"), v.try_cast("decimal(38,0)"))
 
 
 @dataclass(frozen=True)
@@ -66,7 +83,7 @@ class Rule:
         elif self.kind == "list":
             ok = self._within(F.size(F.filter(F.split(v, ","), lambda x: x != "")))
         elif self.kind == "int":
-            ok = self._within(integer(v))
+            ok = F.when(v.rlike(SHORT), self._within(v.try_cast("long"))).otherwise(self._within(integer(v)))
         elif self.kind == "flag":
             ok = v.isin("0", "1")
         elif self.kind == "float":
@@ -231,14 +248,23 @@ TAGGED = {
 }
 
 
+def settled(events: DataFrame, name: str, value: Column) -> DataFrame:
+    """events with a value that is worked out once.
+
+    Exploding one value keeps filters above from taking the whole expression in for every field that they name; the
+    expression itself stays below, in a projection, which Spark compiles (what a generator holds may be interpreted).
+    """
+    return events.withColumn("_one", value).withColumn(name, F.explode(F.array("_one"))).drop("_one")
+
+
 def accepted(events: DataFrame, rules: dict[str, tuple] | None = None, model: bool = True) -> DataFrame:
     """Events (code, fields) with tags, reject_reason and valid, by the rules of each one's code.
 
     Unknown codes, malformed fields and, without a traffic model, its events are rejected; no row is lost.
     """
     known = TAGGED if rules is None else rules
-    # Exploding one value keeps filters above from taking the whole expression in for every field that they name.
-    parsed = events.withColumn("tags", F.explode(F.array(tagged(F.col("fields")))))
+    small_methods(events.sparkSession)
+    parsed = settled(events, "tags", tagged(F.col("fields")))
     reason = F.when(~F.col("code").isin(*known), "unknown code")
     if not model:
         reason = reason.when(F.col("code").startswith("VITERBI_"), "no traffic model")
@@ -246,7 +272,7 @@ def accepted(events: DataFrame, rules: dict[str, tuple] | None = None, model: bo
     for code, own in known.items():
         first = F.coalesce(*[F.when(~r.holds(F.col("tags")), r.field) for r in own])
         reason = reason.when(F.col("code") == code, first)
-    judged = parsed.withColumn("reject_reason", F.explode(F.array(reason)))
+    judged = settled(parsed, "reject_reason", reason)
     return judged.withColumn("valid", F.col("reject_reason").isNull())
 
 
