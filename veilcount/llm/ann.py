@@ -4,8 +4,13 @@ Vectors are dealt to lists around centroids that a balanced two-level k-means fi
 sample. A vector near a boundary goes to every list within a ratio of its nearest one's distance. The
 centroids are searched through an in-memory neighbour graph, and a query reads the lists within a
 ratio of the distance at which its nearest lists hold some candidates. No number of lists is fixed: a
-beam that lies within the ratio to its end widens. Lists and queries meet in blocks of bounded size,
-however large a list is; scores are inner products of the original vectors in double precision.
+beam that lies within the ratio to its end widens. Scores are inner products of the original vectors in
+double precision.
+
+Adjacent lists stand on one shelf. A vector goes once to each shelf that holds one of its lists, and a query
+once to each from which it reads; there they meet list by list, in blocks of bounded size, however large a
+list is. Queries first meet the shelf of their nearest list. Its best scores are a bound on what the other
+shelves return.
 
 The read ratio is calibrated in every run: a bounded number of queries, chosen by hash, meets all
 vectors outright, and the ratio is the one at which their lists hold the wanted share of their true
@@ -44,9 +49,12 @@ COPY_RATIO = 1.02
 FLOOR = 32
 #: Queries that calibrate the read ratio, and the share of their true neighbours that their lists hold.
 CALIBRATING, WANTED_RECALL = 128, 0.97
-#: Rows of a list, and of its queries, that meet in one task's matrix product.
-BLOCK_ROWS = 2048
-NEIGHBOURS, BEAM = 24, 64
+#: A shelf's lists hold about so many vectors without their copies; shelves number so many at least.
+SHELF_ROWS, LEAST_SHELVES = 8192, 48
+#: Vectors of a shelf, and queries, that meet in one task; and of a list, in one matrix product.
+HELD_ROWS, READ_ROWS, HELD_BLOCK, READ_BLOCK = 32_768, 16_384, 4096, 512
+#: A centroid's neighbours, a beam's width, and how many of a beam ask for their neighbours at once.
+NEIGHBOURS, BEAM, ASKED = 24, 64, 8
 
 
 Lists = Iterator[tuple[int, list[int]]]
@@ -81,33 +89,41 @@ class CentroidGraph:
             dist = own + self.norm[None, :] - 2 * x @ self.at.T
             order = np.argsort(dist, axis=1, kind="stable")
             return order.astype(np.int32), np.maximum(np.take_along_axis(dist, order, 1), 0)
-        n, w = len(x), len(self.entries)
-        ids = np.broadcast_to(self.entries, (n, w)).copy()
+        n, k = len(x), len(self.at)
+        found, found_at = np.zeros((n, beam), np.int32), np.full((n, beam), np.inf, np.float32)
+        ids = np.broadcast_to(self.entries, (n, len(self.entries))).copy()
         dist = own + self.norm[ids] - 2 * x @ self.at[self.entries].T
-        done = np.zeros((n, w), bool)
-        rows = np.arange(n)[:, None]
-        while self.links.shape[1]:
+        done, seen, live = np.zeros(ids.shape, bool), np.zeros((n, k), bool), np.arange(n)
+        seen[:, self.entries] = True
+        while len(live):
+            rows, w = np.arange(len(live))[:, None], ids.shape[1]
             waiting = np.where(done, np.inf, dist)
-            best = np.argpartition(waiting, min(3, w - 1), axis=1)[:, : min(4, w)]
-            if np.isinf(waiting[rows, best]).all():
-                break
+            best = np.argpartition(waiting, min(ASKED, w) - 1, axis=1)[:, : min(ASKED, w)]
+            over = np.isinf(waiting[rows, best]).all(axis=1) | (not self.links.shape[1])
+            if over.any():  # all of the beam is searched
+                found[live[over], : min(w, beam)], found_at[live[over], : min(w, beam)] = ids[over][:, :beam], dist[over][:, :beam]
+                live, ids, dist, done, best = live[~over], ids[~over], dist[~over], done[~over], best[~over]
+                rows = np.arange(len(live))[:, None]
+                if not len(live):
+                    break
             done[rows, best] = True
-            new = self.links[ids[rows, best]].reshape(n, -1)
-            new_dist = own + self.norm[new] - 2 * np.einsum("nd,nrd->nr", x, self.at[new])
-            ids, dist = np.hstack([ids, new]), np.hstack([dist, new_dist])
-            done = np.hstack([done, np.zeros(new.shape, bool)])
-            order = np.lexsort((~done, ids), axis=1)  # copies of an id next to each other, a searched one first
-            ids, dist, done = ids[rows, order], dist[rows, order], done[rows, order]
-            again = np.zeros(ids.shape, bool)
-            again[:, 1:] = ids[:, 1:] == ids[:, :-1]
-            dist[again] = np.inf
-            done[again] = True
+            near = self.links[ids[rows, best]].reshape(len(live), -1)
+            row, col = np.nonzero(~seen[live[:, None], near])
+            keys = np.sort(row * k + near[row, col])
+            row, new = np.divmod(keys[np.diff(keys, prepend=-1) > 0], k)  # each once
+            seen[live[row], new] = True
+            at = np.arange(len(row)) - np.searchsorted(row, row)
+            more = (len(live), int(at.max(initial=-1)) + 1)
+            new_ids, new_dist = np.zeros(more, np.int32), np.full(more, np.inf, np.float32)
+            new_ids[row, at] = new
+            new_dist[row, at] = own[live[row], 0] + self.norm[new] - 2 * np.einsum("nd,nd->n", x[live[row]], self.at[new])
+            ids, dist = np.hstack([ids, new_ids]), np.hstack([dist, new_dist])
+            done = np.hstack([done, np.isinf(new_dist)])
             if dist.shape[1] > beam:
                 keep = np.argpartition(dist, beam - 1, axis=1)[:, :beam]
                 ids, dist, done = ids[rows, keep], dist[rows, keep], done[rows, keep]
-            w = ids.shape[1]
-        order = np.argsort(dist, axis=1, kind="stable")
-        return ids[rows, order], np.maximum(dist[rows, order], 0)
+        order = np.argsort(found_at, axis=1, kind="stable")
+        return np.take_along_axis(found, order, 1), np.maximum(np.take_along_axis(found_at, order, 1), 0)
 
     def within(self, x: np.ndarray, ratio: float, sizes: np.ndarray | None = None, floor: int = 0) -> Lists:
         """(row, its lists within the ratio), nearest first. The ratio is to the nearest list's distance or,
@@ -119,9 +135,11 @@ class CentroidGraph:
             line = ratio**2 * base[:, None] + 1e-9
             # A beam that is within to its end may have left out others: it widens.
             wider = ((far[:, -1:] <= line)[:, 0] | ~reached) & (lists.shape[1] < len(self.at))
+            ends = (far <= line).sum(axis=1)
             for i in np.flatnonzero(~wider).tolist():
-                yield int(waiting[i]), lists[i, : int((far[i] <= line[i]).sum())].tolist()
-            waiting, beam = waiting[wider], 2 * beam
+                yield int(waiting[i]), lists[i, : ends[i]].tolist()
+            # A walk meets about as many centroids as its beam has neighbours: with all of them it is no shorter way.
+            waiting, beam = waiting[wider], 2 * beam if 2 * beam * self.links.shape[1] < len(self.at) else len(self.at)
 
     @staticmethod
     def base(lists: np.ndarray, far: np.ndarray, sizes: np.ndarray | None, floor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,28 +188,89 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 10, seed: int =
     return np.concatenate(parts)
 
 
-def _matrix(column: pd.Series, kind=np.float64) -> np.ndarray:
-    return np.vstack(column.to_numpy()).astype(kind)
+def shelved(centroids: np.ndarray, shelves: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
+    """A shelf for each list: near centroids share one."""
+    at = _k_means(centroids, shelves, rounds, np.random.default_rng(seed))
+    near = [
+        np.argmin((at**2).sum(axis=1)[None, :] - 2 * centroids[s : s + 4096] @ at.T, axis=1) for s in range(0, len(centroids), 4096)
+    ]
+    return np.concatenate(near)
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    """Vectors as doubles, a row each, from their bytes."""
+    return np.frombuffer(b"".join(column)).reshape(len(column), -1)
 
 
 def best_products(x: np.ndarray, queries: np.ndarray, y: np.ndarray, names: np.ndarray, keep: int) -> pd.DataFrame:
     """Each query's best candidates, by exact products; equal scores by the smaller name. names: ascending."""
-    rough = x @ y.T
-    keep = min(keep, len(y))
-    line = np.partition(rough, len(y) - keep, axis=1)[:, len(y) - keep][:, None]
-    row, col = np.nonzero(rough >= line - 1e-12 * np.abs(line))
-    exact = (x[row] * y[col]).sum(axis=1)
-    order = np.lexsort((names[col], -exact, row))
-    row, col, exact = row[order], col[order], exact[order]
-    top = np.arange(len(row)) - np.searchsorted(row, row) < keep
-    return pd.DataFrame({"query": queries[row[top]], "class": names[col[top]], "score": exact[top]})
+    reads, holds = ((np.zeros(n, np.int64), np.arange(n)) for n in (len(x), len(y)))
+    return best_in_lists(x, queries, reads, y, names, holds, keep)
+
+
+def best_in_lists(
+    x: np.ndarray, queries: np.ndarray, reads: tuple[np.ndarray, np.ndarray],
+    y: np.ndarray, names: np.ndarray, holds: tuple[np.ndarray, np.ndarray], keep: int, bounds: np.ndarray | None = None,
+) -> pd.DataFrame:
+    """Each query's best candidates in the lists that it reads, by exact products; equal scores by the smaller name.
+
+    reads, holds: (list, row of x or of y) of what a list is read by and holds. names: ascending. bounds: scores
+    below which a query's candidates aren't wanted.
+    """
+    bound = np.full(len(x), -np.inf) if bounds is None else bounds.copy()
+    # A product's rounding, twice over, whatever the order of its sum.
+    slack = 4 * x.shape[1] * np.finfo(float).eps * np.sqrt((x**2).sum(axis=1)) * np.sqrt((y**2).sum(axis=1).max())
+    parts, waiting = [], 0
+
+    def settled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best of what was found so far, each once; a full set raises its query's bound."""
+        row, col, exact = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort((col, -exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        once = np.ones(len(row), bool)
+        once[1:] = (row[1:] != row[:-1]) | (col[1:] != col[:-1])  # a pair has one score, so it stands side by side
+        row, col, exact = row[once], col[once], exact[once]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == keep - 1
+        bound[row[last]] = np.maximum(bound[row[last]], exact[last])
+        best = place < keep
+        return row[best], col[best], exact[best]
+
+    def by_list(lists: np.ndarray, rows: np.ndarray) -> dict[int, np.ndarray]:
+        names, sizes = np.unique(lists, return_counts=True)
+        each = np.split(rows[np.argsort(lists, kind="stable")], np.cumsum(sizes)[:-1])
+        return dict(zip(names.tolist(), each, strict=True))
+
+    members = by_list(*holds)
+    for at, readers in by_list(*reads).items():
+        held = members.get(at, ())
+        for h in range(0, len(held), HELD_BLOCK):
+            those = held[h : h + HELD_BLOCK]
+            block = y[those].T
+            for s in range(0, len(readers), READ_BLOCK):
+                asking = readers[s : s + READ_BLOCK]
+                rough = x[asking] @ block
+                new = np.flatnonzero(np.isneginf(bound[asking]))
+                if len(new) and len(those) >= keep:
+                    line = np.partition(rough[new], len(those) - keep, axis=1)[:, len(those) - keep]
+                    bound[asking[new]] = line - slack[asking[new]]
+                row, col = np.nonzero(rough >= (bound[asking] - slack[asking])[:, None])
+                row, col = asking[row], those[col]
+                parts.append((row, col, (x[row] * y[col]).sum(axis=1)))
+                waiting += len(row)
+                if waiting > max(4 * keep * len(x), 1 << 20):
+                    parts = [settled()]
+                    waiting = 0
+    row, col, exact = settled() if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pd.DataFrame({"query": queries[row], "class": names[col], "score": exact})
 
 
 class Router:
     """The graph with the space that it works in: all stored vectors get the length of the longest."""
 
-    def __init__(self, centroids: np.ndarray, longest: float):
+    def __init__(self, centroids: np.ndarray, longest: float, shelves: int = 1):
         self.graph, self.longest, self.sizes, self.floor = CentroidGraph(centroids), longest, None, 0
+        self.shelf = shelved(centroids, min(shelves, len(centroids))).tolist()
 
     @staticmethod
     def routed(x: np.ndarray, longest: float) -> np.ndarray:
@@ -207,6 +286,13 @@ class Router:
     def reads(self, x: np.ndarray, ratio: float) -> Lists:
         return self.graph.within(self.asked(x), ratio, self.sizes, self.floor)
 
+    def by_shelf(self, lists: list[int]) -> list[list[int]]:
+        """For each shelf of these lists, in their order: itself, then the lists that stand on it."""
+        shelves: dict[int, list[int]] = {}
+        for at in lists:
+            shelves.setdefault(self.shelf[at], [self.shelf[at]]).append(at)
+        return list(shelves.values())
+
     def needed(self, x: np.ndarray, neighbours: np.ndarray, owner: np.ndarray, copy_ratio: float) -> np.ndarray:
         """For each neighbour of x[owner]: the ratio at which the query reads one of its lists."""
         lists, far = self.graph.search(self.asked(x), len(self.graph.at))
@@ -219,24 +305,43 @@ class Router:
         return out
 
 
-def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame | None:
-    """vec_id, v: rows that take part; None where there are none."""
+def valid_vectors(vectors: DataFrame, is_query, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame] | None:
+    """Rows that take part and those of them that ask; None where there are none.
+
+    vec_id, v (the bytes of its doubles, zeros without a sign), norm (squared).
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[batch["v"].str.len() > 0]
+            if not len(batch):
+                continue
+            size = batch["v"].str.len().to_numpy(np.int64)
+            flat, starts = np.concatenate(batch["v"].to_list()).astype(np.float64) + 0.0, np.cumsum(size) - size
+            # A null component arrives as NaN.
+            ok = np.logical_and.reduceat(np.isfinite(flat), starts) & np.logical_or.reduceat(flat != 0, starts)
+            norm = np.add.reduceat(np.square(flat, where=np.isfinite(flat), out=np.zeros_like(flat)), starts)
+            v = [flat[s : s + n].tobytes() for s, n in zip(starts.tolist(), size.tolist(), strict=True)]
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "v": v, "norm": norm, "d": size})[ok]
+
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     v = v.where("vec_id is not null and v is not null")
-    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    v = v.where(~F.coalesce(odd, F.lit(True)) & F.exists("v", lambda x: x != 0))
-    length = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return v.where(F.size("v") == length[0]["d"]).dropDuplicates(["vec_id", "v"]) if length else None
+    kind = "vec_id long, v binary, norm double, d long"
+    valid = materialize(v.mapInPandas(run, kind), "vectors")
+    length = valid.groupBy("d").count().orderBy(F.desc("count"), "d").limit(1).collect()
+    if not length:
+        return None
+    return tuple(df.where(F.col("d") == length[0]["d"]).drop("d") for df in (valid, v.where(is_query).mapInPandas(run, kind)))
 
 
 def classes_of(v: DataFrame, k: int) -> DataFrame:
     """Classes of equal vectors, each with its k + 1 smallest ids (a query's own may be among them)."""
     salted = Window.partitionBy("v", F.pmod("vec_id", F.lit(64))).orderBy("vec_id")
     whole = Window.partitionBy("v").orderBy("vec_id")
-    few = v.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
+    few = v.dropDuplicates(["vec_id", "v"]).withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
     few = few.withColumn("n", F.row_number().over(whole)).where(F.col("n") <= k + 1)
     ids = F.array_sort(F.collect_list("vec_id")).alias("ids")
-    return materialize(few.groupBy("v").agg(F.min("vec_id").alias("class"), ids), "classes")
+    return materialize(few.groupBy("v").agg(F.min("vec_id").alias("class"), ids, F.max("norm").alias("norm")), "classes")
 
 
 def true_neighbours(classes: DataFrame, asking: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -258,7 +363,7 @@ def true_neighbours(classes: DataFrame, asking: pd.DataFrame, k: int) -> pd.Data
         yield best.assign(v=best["class"].map(held))
 
     best = Window.partitionBy("query").orderBy(F.desc("score"), "class")
-    found = classes.select("class", "v").mapInPandas(run, "query long, class long, score double, v array<double>")
+    found = classes.select("class", "v").mapInPandas(run, "query long, class long, score double, v binary")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
     return found.select("query", "class", "v").toPandas()  # k rows a query
 
@@ -286,25 +391,26 @@ def search(
     read_ratio: calibrated if None. figures, if given, gets the numbers of lists, copies and reads.
     """
     spark = vectors.sparkSession
-    v = valid_vectors(vectors, id_col, vector_col)
-    if v is None:
+    valid = valid_vectors(vectors, is_query, id_col, vector_col)
+    if valid is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    v, asked = valid
     classes = classes_of(v, k)
-    norms = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    n, longest = classes.agg(F.count("*"), F.max(norms)).first()
+    n, longest = classes.agg(F.count("*"), F.max("norm")).first()
 
     # Fit on a bounded sample, spread by hash; all of it if there is no more.
     n_lists = min(MOST_LISTS, math.ceil(LISTS_PER_ROOT * math.sqrt(n)))
     few = classes.orderBy(F.xxhash64("class")).limit(max(LEAST_SAMPLE, SAMPLED * n_lists))
     sample = Router.routed(_matrix(few.select("v").toPandas()["v"]), longest).astype(np.float32)
-    router = Router(fit_centroids(sample, n_lists), longest)
+    shelves = max(LEAST_SHELVES, math.ceil(n / SHELF_ROWS))
+    router = Router(fit_centroids(sample, n_lists), longest, shelves)
 
-    asked = v.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
+    asked = asked.select(F.col("vec_id").alias("query_id"), "v").distinct()
     queries = materialize(asked.join(classes.select("v", "class"), "v").select("query_id", "class"), "queries")
     asking = classes.join(queries.select("class").distinct(), "class", "left_semi").select("class", "v")
 
     def deal(rows: DataFrame, ratio: float, query: bool) -> DataFrame:
-        """Rows (list, class, v) of the lists that hold a vector, or that a query reads."""
+        """Each vector with the lists that hold it, or that a query reads, by shelf; the nearest list's shelf first."""
         sent = spark.sparkContext.broadcast(router)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -312,52 +418,70 @@ def search(
             for batch in batches:
                 for s in range(0, len(batch), 512):
                     part = batch.iloc[s : s + 512]
-                    names, rows, lists = part["class"].to_numpy(), [], []
-                    for row, found in route(_matrix(part["v"]), ratio):
-                        rows += [row] * len(found)
-                        lists += found
-                    yield pd.DataFrame(
-                        {"list": np.array(lists, np.int32), "class": names[rows], "v": [part["v"].iat[i] for i in rows]}
-                    )
+                    found = dict(route(_matrix(part["v"]), ratio))
+                    yield part.assign(shelves=[sent.value.by_shelf(found[i]) for i in range(len(part))])
+
+        return rows.select("class", "v").mapInPandas(run, "class long, v binary, shelves array<array<int>>")
 
-        return rows.select("class", "v").mapInPandas(run, "list int, class long, v array<double>")
+    def on_shelves(dealt: DataFrame, *more: str) -> DataFrame:
+        """A row for each vector and shelf."""
+        rows = dealt.select("class", "v", *more, F.explode("shelves").alias("at"))
+        return rows.select(F.col("at")[0].alias("shelf"), F.expr("slice(at, 2, size(at) - 1)").alias("lists"), "class", "v", *more)
+
+    def lists_of(dealt: DataFrame) -> DataFrame:
+        return on_shelves(dealt).select(F.explode("lists").alias("list"))
 
     held = materialize(deal(classes, COPY_RATIO, False), "postings")
     router.sizes, router.floor = np.zeros(len(router.graph.at), np.int64), FLOOR * k
-    for r in held.groupBy("list").count().collect():  # as many rows as lists
+    for r in lists_of(held).groupBy("list").count().collect():  # as many rows as lists
         router.sizes[r["list"]] = r["count"]
     if read_ratio is None:
         read_ratio = calibrated_ratio(router, classes, asking, k, CALIBRATING, wanted_recall)
     reads = materialize(deal(asking, read_ratio, True), "reads")
     if figures is not None:
         figures |= {"classes": n, "lists": len(router.graph.at), "read_ratio": read_ratio}
-        figures |= {"postings": held.count(), "queries": asking.count(), "reads": reads.count()}
-
-    # A list's blocks and its queries' blocks; the counts are as many as lists.
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias(name))
+        figures |= {"postings": lists_of(held).count(), "queries": asking.count(), "reads": lists_of(reads).count()}
+        figures |= {"shelves_read": on_shelves(reads).count()}
 
-    blocks = F.broadcast(parts(held, "held_blocks").join(parts(reads, "read_blocks"), "list"))
+    # A shelf's blocks and its queries' blocks; the counts are as many as shelves.
+    def parts(dealt: DataFrame, rows: int, name: str) -> DataFrame:
+        return on_shelves(dealt).groupBy("shelf").agg(F.ceil(F.count("*") / rows).alias(name))
 
-    def spread(df: DataFrame, own: str, other: str, seed: int) -> DataFrame:
+    def spread(df: DataFrame, blocks: DataFrame, own: str, other: str, seed: int) -> DataFrame:
         placed = F.pmod(F.xxhash64(F.lit(seed), "class"), F.col(own + "s")).cast("int")
         met = F.explode(F.sequence(F.lit(0), F.col(other + "s").cast("int") - 1))
-        joined = df.join(blocks, "list").withColumn(own, placed).withColumn(other, met)
-        return joined.select("list", "held_block", "read_block", "class", "v")
+        return df.join(blocks, "shelf").withColumn(own, placed).withColumn(other, met).drop("held_blocks", "read_blocks")
 
-    left, right = spread(reads, "read_block", "held_block", 1), spread(held, "held_block", "read_block", 2)
+    def lists_in(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """(list, row) of each list of each row."""
+        return np.concatenate(column.to_list()), np.repeat(np.arange(len(column)), column.str.len())
 
     def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         """Each query's best candidates of one block."""
         if not len(q) or not len(c):
             return pd.DataFrame({"query": [], "class": [], "score": []}).astype({"query": "int64", "class": "int64"})
         c = c.sort_values("class", kind="stable")
-        return best_products(_matrix(q["v"]), q["class"].to_numpy(), _matrix(c["v"]), c["class"].to_numpy(), k + 1)
-
-    keys = ["list", "held_block", "read_block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "query long, class long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "class")
-    near = found.groupBy("query", "class").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best))
+        asks = _matrix(q["v"]), q["class"].to_numpy(), lists_in(q["lists"])
+        has = _matrix(c["v"]), c["class"].to_numpy(), lists_in(c["lists"])
+        return best_in_lists(*asks, *has, k + 1, q["bound"].to_numpy(np.float64))
+
+    def meet(reading: DataFrame) -> DataFrame:
+        """What queries find on shelves; reading: class, v, shelves, bound."""
+        blocks = F.broadcast(parts(held, HELD_ROWS, "held_blocks").join(parts(reading, READ_ROWS, "read_blocks"), "shelf"))
+        keys = ["shelf", "held_block", "read_block"]
+        left = spread(on_shelves(reading, "bound"), blocks, "read_block", "held_block", 1).groupBy(*keys)
+        right = spread(on_shelves(held), blocks, "held_block", "read_block", 2).groupBy(*keys)
+        return left.cogroup(right).applyInPandas(score, "query long, class long, score double")
+
+    nearest = reads.withColumns({"shelves": F.slice("shelves", 1, 1), "bound": F.lit(-math.inf)})
+    first = materialize(meet(nearest), "nearest")
+    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "class")
+    bounds = first.withColumn("n", F.row_number().over(by_score)).where(F.col("n") == k + 1)
+    others = reads.where(F.size("shelves") > 1).join(bounds.select(F.col("query").alias("class"), "score"), "class", "left")
+    rest, bound = F.expr("slice(shelves, 2, size(shelves) - 1)"), F.coalesce("score", F.lit(-math.inf))
+    others = materialize(others.withColumns({"shelves": rest, "bound": bound}).drop("score"), "others")
+    found = first.unionByName(meet(others))
+    near = found.groupBy("query", "class").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(by_score))
     near = near.where(F.col("n") <= k + 1).drop("n")
     expanded = near.join(classes.select("class", "ids"), "class").select("query", "score", F.explode("ids").alias("vec_id"))
     by_id = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
